@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup
+from tellurion.llm import exact_dedup, sentencepiece_codec
 
 QUERIES = {
+    "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
