@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup, secret_scan, sentencepiece_codec
+from tellurion.llm import exact_dedup, license_scan, secret_scan, sentencepiece_codec
 
 QUERIES = {
+    "op9_license_scan": license_scan.op9_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 SQL = {
+    "op9_license_scan": license_scan.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
