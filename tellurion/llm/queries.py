@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup, license_scan, secret_scan, sentencepiece_codec
+from tellurion.llm import exact_dedup, license_scan, secret_scan, sentencepiece_codec, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op9_license_scan": license_scan.op9_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_warc": warc.SQL,
     "op9_license_scan": license_scan.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
