@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup, license_scan, secret_scan, sentencepiece_codec, warc
+from tellurion.llm import exact_dedup, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, warc
 
 QUERIES = {
+    "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op5_warc": warc.op5_warc,
     "op9_license_scan": license_scan.op9_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_minhash_dedup": minhash_dedup.SQL,
     "op5_warc": warc.SQL,
     "op9_license_scan": license_scan.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
