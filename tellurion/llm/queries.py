@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, warc
+from tellurion.llm import exact_dedup, license_scan, minhash_dedup, packing, secret_scan, sentencepiece_codec, warc
 
 QUERIES = {
+    "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op5_warc": warc.op5_warc,
     "op9_license_scan": license_scan.op9_license_scan,
