@@ -54,3 +54,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(col: str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``gone`` (one column of ids), which is broadcast if it is small."""
+    ids = land(gone.toDF("_gone"), f"{run_dir(docs.sparkSession, 'gone')}/ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")

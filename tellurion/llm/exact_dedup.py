@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, text_of
+from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, text_of, without
 
 LAST = 9223372036854775807
 STATE = {
@@ -137,9 +137,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    out = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(out, docs[id_col].eqNullSafe(out["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns; rows with a null id all stay."""
+    out = land(exact_dedup(docs, id_col, text_col), f"{run_dir(docs.sparkSession, 'kept')}/rows")
+    gone = out.filter("not kept and doc_id != keep_id").select("doc_id").distinct()
+    left = without(docs, gone, id_col)
+    again = out.filter("not kept and doc_id = keep_id").select("doc_id").distinct()
+    if not again.count():
+        return left
+    # Rows that repeat id and text: one of each stays.
+    ids = again.toDF("_again")
+    return left.join(ids, left[id_col] == ids["_again"], "left_anti").unionByName(left.join(ids, left[id_col] == ids["_again"], "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

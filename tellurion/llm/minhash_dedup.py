@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, table, text_of
+from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, table, text_of, without
 
 SHINGLE, BUCKETS, BAND = 5, 128, 4
 MANTISSA = 10
@@ -356,6 +356,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    return without(docs, near_dedup(docs, id_col, text_col).filter("not kept").select("doc_id"), id_col)
+
+
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
