@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup, license_scan, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec, warc
+from tellurion.llm import exact_dedup, hnsw, license_scan, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec, warc
 
 QUERIES = {
+    "op3_hnsw": hnsw.op3_hnsw,
     "op10_quality": quality.op10_quality,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
