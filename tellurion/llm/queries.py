@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tellurion.llm import exact_dedup, hnsw, license_scan, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec, warc
+from tellurion.llm import exact_dedup, hnsw, license_scan, line_dedup, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_hnsw": hnsw.op3_hnsw,
     "op10_quality": quality.op10_quality,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op6_minhash_dedup": minhash_dedup.SQL,
     "op5_warc": warc.SQL,
     "op9_license_scan": license_scan.SQL,
