@@ -1,4 +1,549 @@
-"""All registered queries and their SQL."""
+"""Registered queries, each with the SQL that gives the same rows. Doubles are rounded alike on both sides."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tellurion.functions import crs, measure, shapes, units
+from tellurion.functions import types as T
+from tellurion.operators import aggregates as agg
+from tellurion.operators import joins
+from tellurion.plans import views as V
+from tellurion.plans.views import CUSTOMER, PENTAGONS, SUPPLIER, TRACKS, ZONES
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def r(x, digits: int = 6):
+    return F.round(x, digits)
+
+
+def rs(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits})"
+
+
+# Pieces of SQL for the ellipsoid.
+E2, E1, A, B = measure.E2, measure.E1, measure.A, measure.B
+D = "::DOUBLE"
+
+
+def s_arc(phi: str) -> str:
+    n, radius = crs._rectifying(A, crs.WGS84_F)
+    return f"({radius!r}{D} * ({phi}" + "".join(f" + ({c!r}{D}) * sin({2 * j} * {phi})" for j, c in enumerate(crs._series(measure._ARC, n), 1)) + "))"
+
+
+def s_foot(mu: str) -> str:
+    n, _ = crs._rectifying(A, crs.WGS84_F)
+    return f"({mu}" + "".join(f" + ({c!r}{D}) * sin({2 * j} * {mu})" for j, c in enumerate(crs._series(measure._FOOT, n), 1)) + ")"
+
+
+def s_iso(phi: str) -> str:
+    return f"(asinh(tan({phi})) - {E1!r}{D} * atanh({E1!r}{D} * sin({phi})))"
+
+
+def s_normal(phi: str) -> str:
+    return f"({A}{D} / sqrt(1 - {E2!r}{D} * sin({phi}) * sin({phi})))"
+
+
+def s_turn(d: str) -> str:
+    return f"({d} - {2 * math.pi!r}{D} * floor(({d} + {math.pi!r}{D}) / {2 * math.pi!r}{D}))"
+
+
+def s_rhumb(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    p1, p2 = f"radians({lat1})", f"radians({lat2})"
+    d, arc, psi = s_turn(f"radians({lon2} - {lon1})"), f"({s_arc(p2)} - {s_arc(p1)})", f"({s_iso(p2)} - {s_iso(p1)})"
+    q = f"(CASE WHEN abs({p2} - {p1}) < 1e-11 THEN {s_normal(p1)} * cos({p1}) ELSE {arc} / CASE WHEN abs({p2} - {p1}) < 1e-11 THEN 1.0 ELSE {psi} END END)"
+    return f"sqrt({arc} * {arc} + {q} * {d} * {q} * {d})"
+
+
+def s_bearing(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    turn = s_turn(f"radians({lon2} - {lon1})")
+    return f"degrees(atan2({turn}, {s_iso(f'radians({lat2})')} - {s_iso(f'radians({lat1})')}))"
+
+
+def pairs(spark, sf: str) -> DataFrame:
+    """Each customer's point and that of another key."""
+    x, y = V.pt(F.col("id") * 3 + 1)
+    return V.customer_pt(spark, sf).withColumns({"lon2": x, "lat2": y})
+
+
+PAIRS = CUSTOMER + ", pr AS (SELECT *, {} AS lon2, {} AS lat2 FROM cp)".format(*V.sql_pt("(id * 3 + 1)"))
+
+
+# Units and systems.
+@query("convert_length", f"SELECT c_custkey AS id, {rs('abs(c_acctbal) / (6371008.8::DOUBLE / 1000) * (6371008.8::DOUBLE / 1609.344::DOUBLE)')} AS miles FROM customer")
+def convert_length(spark, sf):
+    return V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), r(units.convert_length(F.abs("c_acctbal"), "kilometers", "miles")).alias("miles"))
+
+
+@query("convert_area", f"SELECT c_custkey AS id, {rs('abs(c_acctbal) / 1.0::DOUBLE * 0.000247105::DOUBLE')} AS acres FROM customer")
+def convert_area(spark, sf):
+    return V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), r(units.convert_area(F.abs("c_acctbal"), "meters", "acres")).alias("acres"))
+
+
+@query("bearing_to_azimuth", f"SELECT c_custkey AS id, {rs('CASE WHEN fmod(c_acctbal, 360) < 0 THEN fmod(c_acctbal, 360) + 360 ELSE fmod(c_acctbal, 360) END')} AS azimuth FROM customer")
+def bearing_to_azimuth(spark, sf):
+    return V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), r(units.bearing_to_azimuth(F.col("c_acctbal"))).alias("azimuth"))
+
+
+_P = f"{math.pi!r}{D}"
+
+
+def s_shift(x: str, y: str) -> tuple[str, str]:
+    """The published offset series, before scaling."""
+    lat = f"(-100 + 2*{x} + 3*{y} + 0.2::DOUBLE*{y}*{y} + 0.1::DOUBLE*{x}*{y} + 0.2::DOUBLE*sqrt(abs({x})) + (20*sin(6*{x}*{_P}) + 20*sin(2*{x}*{_P}))*2/3::DOUBLE + (20*sin({y}*{_P}) + 40*sin({y}*{_P}/3))*2/3::DOUBLE + (160*sin({y}*{_P}/12) + 320*sin({y}*{_P}/30))*2/3::DOUBLE)"
+    lon = f"(300 + {x} + 2*{y} + 0.1::DOUBLE*{x}*{x} + 0.1::DOUBLE*{x}*{y} + 0.1::DOUBLE*sqrt(abs({x})) + (20*sin(6*{x}*{_P}) + 20*sin(2*{x}*{_P}))*2/3::DOUBLE + (20*sin({x}*{_P}) + 40*sin({x}*{_P}/3))*2/3::DOUBLE + (150*sin({x}*{_P}/12) + 300*sin({x}*{_P}/30))*2/3::DOUBLE)"
+    return lon, lat
+
+
+def s_gcj(lon: str, lat: str) -> tuple[str, str]:
+    dx, dy = s_shift(f"({lon} - 105)", f"({lat} - 35)")
+    w = f"(1 - {crs.GCJ_E2!r}{D} * sin(radians({lat})) * sin(radians({lat})))"
+    x0, x1, y0, y1 = crs.GCJ_BOX
+    box = f"{lon} BETWEEN {x0} AND {x1} AND {lat} BETWEEN {y0} AND {y1}"
+    nx = f"CASE WHEN {box} THEN {lon} + degrees({dx} * sqrt({w}) / ({crs.GCJ_A}{D} * cos(radians({lat})))) ELSE {lon} END"
+    ny = f"CASE WHEN {box} THEN {lat} + degrees({dy} * {w} * sqrt({w}) / ({crs.GCJ_A * (1 - crs.GCJ_E2)!r}{D})) ELSE {lat} END"
+    return nx, ny
+
+
+def s_bd(lon: str, lat: str) -> tuple[str, str]:
+    z = f"(sqrt({lon} * {lon} + {lat} * {lat}) + 0.00002::DOUBLE * sin({lat} * {crs.BD_PI!r}{D}))"
+    t = f"(atan2({lat}, {lon}) + 0.000003::DOUBLE * cos({lon} * {crs.BD_PI!r}{D}))"
+    return f"{z} * cos({t}) + 0.0065::DOUBLE", f"{z} * sin({t}) + 0.006::DOUBLE"
+
+
+def s_steps(forward) -> str:
+    """The fixed point in five steps, each its own table."""
+    out = ", s0 AS (SELECT id, lon, lat, lon AS x, lat AS y FROM cp)"
+    fx, fy = forward("x", "y")
+    for k in range(crs.INVERSE_STEPS):
+        out += f", s{k + 1} AS (SELECT id, lon, lat, x + (lon - ({fx})) AS x, y + (lat - ({fy})) AS y FROM s{k})"
+    return out
+
+
+def _two(spark, sf, f):
+    rows = V.customer_pt(spark, sf)
+    x, y = f(F.col("lon"), F.col("lat"))
+    return rows.select("id", r(x).alias("x"), r(y).alias("y"))
+
+
+def _two_sql(fx: str, fy: str) -> str:
+    return f"WITH {CUSTOMER} SELECT id, {rs(fx)} AS x, {rs(fy)} AS y FROM cp"
+
+
+def _register_crs() -> None:
+    fixed = {
+        "wgs84_to_gcj02": (crs.wgs84_to_gcj02, _two_sql(*s_gcj("lon", "lat"))),
+        "gcj02_to_wgs84": (crs.gcj02_to_wgs84, f"WITH {CUSTOMER}{s_steps(s_gcj)} SELECT id, {rs('x')} AS x, {rs('y')} AS y FROM s{crs.INVERSE_STEPS}"),
+        "gcj02_to_bd09": (crs.gcj02_to_bd09, _two_sql(*s_bd("lon", "lat"))),
+        "bd09_to_gcj02": (crs.bd09_to_gcj02, f"WITH {CUSTOMER}{s_steps(s_bd)} SELECT id, {rs('x')} AS x, {rs('y')} AS y FROM s{crs.INVERSE_STEPS}"),
+        "to_mercator": (crs.to_mercator, _two_sql("6378137::DOUBLE * radians(lon)", f"6378137::DOUBLE * ln(tan({math.pi / 4!r}{D} + radians(lat) / 2))")),
+    }
+    for name, (f, sql) in fixed.items():
+        query(name, sql)(lambda spark, sf, f=f: _two(spark, sf, f))
+
+
+_register_crs()
+
+
+@query("wgs84_to_bd09", f"WITH {CUSTOMER}, g AS (SELECT id, {s_gcj('lon', 'lat')[0]} AS gx, {s_gcj('lon', 'lat')[1]} AS gy FROM cp) SELECT id, {rs(s_bd('gx', 'gy')[0])} AS x, {rs(s_bd('gx', 'gy')[1])} AS y FROM g")
+def wgs84_to_bd09(spark, sf):
+    return _two(spark, sf, lambda x, y: crs.convert(x, y, "WGS84", "BD-09"))
+
+
+@query("to_wgs84", f"WITH {CUSTOMER} SELECT id, {rs('degrees(lon * 100000 / 6378137::DOUBLE)')} AS x, {rs(f'degrees(2 * atan(exp(lat * 100000 / 6378137::DOUBLE)) - {math.pi / 2!r}{D})')} AS y FROM cp")
+def to_wgs84(spark, sf):
+    return _two(spark, sf, lambda x, y: crs.from_mercator(x * 100000, y * 100000))
+
+
+@query("utm_zone", f"WITH {CUSTOMER} SELECT id, least(60, greatest(1, floor((lon + 180) / 6) + 1))::INT AS zone FROM cp")
+def utm_zone(spark, sf):
+    return V.customer_pt(spark, sf).select("id", crs.utm_zone(F.col("lon")).alias("zone"))
+
+
+@query("gauss_kruger_zone", f"WITH {CUSTOMER} SELECT id, floor(lon / 3 + 0.5::DOUBLE)::INT AS zone3, (floor(lon / 6) + 1)::INT AS zone6 FROM cp")
+def gauss_kruger_zone(spark, sf):
+    return V.customer_pt(spark, sf).select("id", crs.gauss_kruger_zone(F.col("lon")).alias("zone3"), crs.gauss_kruger_zone(F.col("lon"), 6).alias("zone6"))
+
+
+def s_tmerc(c: crs.Crs, source: str) -> str:
+    """A chain of tables that ends in tm(id, x, y)."""
+    e = math.sqrt(c.f * (2 - c.f))
+    n, radius = crs._rectifying(c.a, c.f)
+    series = list(enumerate(crs._series(crs.FORWARD, n), 1))
+    xi = "xi0" + "".join(f" + ({k!r}{D}) * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, k in series)
+    eta = "eta0" + "".join(f" + ({k!r}{D}) * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, k in series)
+    return f"""t0 AS (SELECT *, radians(lon - {c.lon0}{D}) AS d, sinh(atanh(sin(radians(lat))) - {e!r}{D} * atanh({e!r}{D} * sin(radians(lat)))) AS tau FROM {source}),
+t1 AS (SELECT *, atan2(tau, cos(d)) AS xi0, asinh(sin(d) / sqrt(tau * tau + cos(d) * cos(d))) AS eta0 FROM t0),
+tm AS (SELECT *, {c.k0 * radius!r}{D} * ({eta}) + {c.east}{D} AS x, {c.k0 * radius!r}{D} * ({xi}) + {c.north}{D} AS y FROM t1)"""
+
+
+GK = crs.normalize_crs("EPSG:4549")
+
+
+@query("tmerc_forward", f"WITH {CUSTOMER}, near AS (SELECT * FROM cp WHERE abs(lon - 120) < 20), {s_tmerc(GK, 'near')} SELECT id, {rs('x', 4)} AS x, {rs('y', 4)} AS y FROM tm")
+def tmerc_forward(spark, sf):
+    x, y = crs.convert(F.col("lon"), F.col("lat"), "WGS84", "EPSG:4549")
+    return V.customer_pt(spark, sf).filter(F.abs(F.col("lon") - 120) < 20).select("id", r(x, 4).alias("x"), r(y, 4).alias("y"))
+
+
+@query("tmerc_round_trip", f"WITH {CUSTOMER} SELECT id, {rs('lon')} AS lon, {rs('lat')} AS lat FROM cp WHERE abs(lon - 105) < 20")
+def tmerc_round_trip(spark, sf):
+    rows = V.customer_pt(spark, sf).filter(F.abs(F.col("lon") - 105) < 20)
+    x, y = crs.convert(F.col("lon"), F.col("lat"), "WGS84", "EPSG:32648")
+    lon, lat = crs.convert(F.col("x"), F.col("y"), "EPSG:32648", "WGS84")
+    return rows.select("id", x.alias("x"), y.alias("y")).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
+
+
+# Measures.
+@query("rhumb_distance", f"WITH {PAIRS} SELECT id, {rs(s_rhumb('lon', 'lat', 'lon2', 'lat2'), 3)} AS metres FROM pr")
+def rhumb_distance(spark, sf):
+    return pairs(spark, sf).select("id", r(measure.rhumb_distance(*map(F.col, ("lon", "lat", "lon2", "lat2")), "meters"), 3).alias("metres"))
+
+
+@query("rhumb_bearing", f"WITH {PAIRS} SELECT id, {rs(s_bearing('lon', 'lat', 'lon2', 'lat2'))} AS bearing FROM pr")
+def rhumb_bearing(spark, sf):
+    return pairs(spark, sf).select("id", r(measure.rhumb_bearing(*map(F.col, ("lon", "lat", "lon2", "lat2")))).alias("bearing"))
+
+
+_N, _R = crs._rectifying(A, crs.WGS84_F)
+
+
+@query("rhumb_destination", f"""WITH {CUSTOMER}, a AS (SELECT *, radians(lat) AS p1, radians((id * 37) % 360 + 0.5::DOUBLE) AS az, (abs(z) * 10 + 1) AS s FROM cp),
+b AS (SELECT *, ({s_arc('p1')} + s * cos(az)) / {_R!r}{D} AS mu FROM a), c AS (SELECT *, {s_foot('mu')} AS p2 FROM b),
+d AS (SELECT *, lon + degrees(CASE WHEN abs(cos(az)) < 1e-9 THEN s * sin(az) / ({s_normal('p1')} * cos(p1)) ELSE tan(az) * ({s_iso('p2')} - {s_iso('p1')}) END) AS x FROM c)
+SELECT id, {rs('x - 360 * floor((x + 180) / 360)')} AS lon, {rs('degrees(p2)')} AS lat FROM d""")
+def rhumb_destination(spark, sf):
+    x, y = measure.rhumb_destination(F.col("lon"), F.col("lat"), F.abs("z") * 10 + 1, (F.col("id") * 37) % 360 + 0.5, "meters")
+    return V.customer_pt(spark, sf).select("id", r(x).alias("lon"), r(y).alias("lat"))
+
+
+_NODES = "nodes(u, w) AS (VALUES " + ", ".join(f"({float(t)!r}{D}, {float(w)!r}{D})" for t, w in zip(measure.NODES, measure.NODE_WEIGHTS, strict=True)) + ")"
+
+
+def s_panels(edges: str) -> str:
+    """Quadrature points of edges(px, py, qx, qy): phi and weight, on panels of two degrees."""
+    return f"""pn AS (SELECT *, greatest(1, ceil(greatest(abs(qx - px), abs(qy - py)) / 2::DOUBLE))::INT AS k FROM {edges}),
+pi AS (SELECT *, unnest(range(k)) AS j FROM pn),
+quad AS (SELECT pi.*, radians(py + (qy - py) * ((j + u) / k)) AS phi, w / k AS wt FROM pi, nodes)"""
+
+
+_SPEED = f"""sqrt(power({A * (1 - E2)!r}{D} / power(1 - {E2!r}{D} * sin(phi) * sin(phi), 1.5::DOUBLE) * radians(qy - py), 2)
+  + power({A}{D} / sqrt(1 - {E2!r}{D} * sin(phi) * sin(phi)) * cos(phi) * radians(qx - px), 2))"""
+_ZONE = f"({B * B / 2!r}{D} * (sin(phi) / (1 - {E2!r}{D} * sin(phi) * sin(phi)) + atanh({E1!r}{D} * sin(phi)) / {E1!r}{D}))"
+
+
+@query("planar_length", f"WITH {TRACKS}, {_NODES}, {s_panels('ts')} SELECT user_id, {rs(f'sum(wt * {_SPEED}) / 1000', 3)} AS km FROM quad GROUP BY user_id")
+def planar_length(spark, sf):
+    return joins.length_of(V.tracks(spark, sf), "user_id").select("user_id", r(F.col("metres") / 1000, 3).alias("km"))
+
+
+@query("planar_area", f"WITH {ZONES}, {PENTAGONS}, {_NODES}, {s_panels('pe')} SELECT zone, {rs(f'abs(sum(wt * {_ZONE} * radians(qx - px))) / 1e6', 3)} AS km2 FROM quad GROUP BY zone")
+def planar_area(spark, sf):
+    return V.pentagons(spark, sf).select("zone", r(measure.area(F.col("geom")) / 1e6, 3).alias("km2"))
+
+
+@query("bbox", f"WITH {TRACKS} SELECT user_id, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM t GROUP BY user_id")
+def bbox(spark, sf):
+    return V.tracks(spark, sf).select("user_id", T.bbox(F.col("geom")).alias("b")).select("user_id", "b.*")
+
+
+@query("bbox_polygon", f"""WITH {TRACKS}, b AS (SELECT user_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM t GROUP BY user_id)
+SELECT user_id, unnest([0, 1, 2, 3, 4]) AS i, unnest([x0, x1, x1, x0, x0]) AS x, unnest([y0, y0, y1, y1, y0]) AS y FROM b""")
+def bbox_polygon(spark, sf):
+    rows = V.tracks(spark, sf).select("user_id", T.bbox_polygon(T.bbox(F.col("geom"))).alias("g"))
+    return rows.select("user_id", F.posexplode(T.positions_of(F.col("g"))).alias("i", "p")).select("user_id", "i", "p.x", "p.y")
+
+
+@query("center", f"WITH {TRACKS} SELECT user_id, {rs('(min(x) + max(x)) / 2')} AS x, {rs('(min(y) + max(y)) / 2')} AS y FROM t GROUP BY user_id")
+def center(spark, sf):
+    return V.tracks(spark, sf).select("user_id", measure.center(F.col("geom")).alias("c")).select("user_id", r(F.col("c.x")).alias("x"), r(F.col("c.y")).alias("y"))
+
+
+@query("centroid", f"WITH {ZONES}, {PENTAGONS} SELECT zone, {rs('avg(px)')} AS x, {rs('avg(py)')} AS y FROM pe GROUP BY zone")
+def centroid(spark, sf):
+    return V.pentagons(spark, sf).select("zone", measure.centroid(F.col("geom")).alias("c")).select("zone", r(F.col("c.x")).alias("x"), r(F.col("c.y")).alias("y"))
+
+
+@query("square", f"""WITH {TRACKS}, b AS (SELECT user_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM t GROUP BY user_id),
+s AS (SELECT *, greatest(x1 - x0, y1 - y0) AS side FROM b)
+SELECT user_id, {rs('x0 - (side - (x1 - x0)) / 2')} AS xmin, {rs('y0 - (side - (y1 - y0)) / 2')} AS ymin, {rs('x1 + (side - (x1 - x0)) / 2')} AS xmax, {rs('y1 + (side - (y1 - y0)) / 2')} AS ymax FROM s""")
+def square(spark, sf):
+    rows = V.tracks(spark, sf).select("user_id", measure.square(T.bbox(F.col("geom"))).alias("b")).select("user_id", "b.*")
+    return rows.select("user_id", *[r(F.col(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query("center_mean", f"WITH {CUSTOMER} SELECT {rs('sum(lon * abs(z)) / sum(abs(z))')} AS lon, {rs('sum(lat * abs(z)) / sum(abs(z))')} AS lat FROM cp")
+def center_mean(spark, sf):
+    return agg.center_mean(V.customer_pt(spark, sf).withColumn("w", F.abs("z")), weight="w").select(r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"))
+
+
+@query("envelope", f"WITH {CUSTOMER}, b AS (SELECT min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM cp) SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest([x0, x1, x1, x0, x0]) AS x, unnest([y0, y0, y1, y1, y0]) AS y FROM b")
+def envelope(spark, sf):
+    return agg.envelope(V.customer_pt(spark, sf)).select(F.posexplode(T.positions_of(F.col("geom"))).alias("i", "p")).select("i", "p.x", "p.y")
+
+
+# Structure.
+@query("explode", f"WITH {TRACKS} SELECT user_id, i::INT AS i, x, y FROM t")
+def explode(spark, sf):
+    return V.tracks(spark, sf).select("user_id", F.posexplode(T.positions_of(F.col("geom"))).alias("i", "p")).select("user_id", "i", "p.x", "p.y")
+
+
+@query("line_segment", f"WITH {TRACKS} SELECT user_id, i::INT AS i, px, py, qx, qy FROM ts")
+def line_segment(spark, sf):
+    rows = joins.segment_rows(V.tracks(spark, sf), "user_id", "geom", "s")
+    return rows.select("user_id", F.col("s_no").alias("i"), F.col("s.p.x").alias("px"), F.col("s.p.y").alias("py"), F.col("s.q.x").alias("qx"), F.col("s.q.y").alias("qy"))
+
+
+def _positions(rows, key, geom):
+    return rows.select(key, F.posexplode(T.positions_of(geom)).alias("i", "p")).select(key, "i", "p.x", "p.y")
+
+
+@query("flip", f"WITH {TRACKS} SELECT user_id, i::INT AS i, y AS x, x AS y FROM t")
+def flip(spark, sf):
+    return _positions(V.tracks(spark, sf), "user_id", shapes.flip(F.col("geom")))
+
+
+@query("truncate", f"WITH {TRACKS} SELECT user_id, i::INT AS i, round(x, 1) AS x, round(y, 1) AS y FROM t WHERE (x * 1000)::BIGINT % 100 <> 50 AND (y * 1000)::BIGINT % 100 <> 50")
+def truncate(spark, sf):
+    """Ties are left out, which the two engines round apart."""
+    both = V.tracks(spark, sf).select("user_id", F.posexplode(F.arrays_zip(T.positions_of(F.col("geom")).alias("o"), T.positions_of(shapes.truncate(F.col("geom"), 1)).alias("t"))).alias("i", "p"))
+    tie = lambda c: F.round(c * 1000).cast("long") % 100 == 50
+    return both.filter(~tie(F.col("p.o.x")) & ~tie(F.col("p.o.y"))).select("user_id", "i", F.col("p.t.x").alias("x"), F.col("p.t.y").alias("y"))
+
+
+@query("rewind", f"WITH {ZONES}, {PENTAGONS}, o AS (SELECT zone, i, px, py FROM pe UNION ALL SELECT zone, 5, px, py FROM pe WHERE i = 0) SELECT zone, i::INT AS i, px AS x, py AS y FROM o")
+def rewind(spark, sf):
+    turned = T.map_rings(F.col("geom"), lambda x, i: F.reverse(x))
+    return _positions(V.pentagons(spark, sf), "zone", shapes.rewind(turned))
+
+
+@query("clean_coords", f"WITH {TRACKS} SELECT user_id, count(*) AS n FROM (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS by_ FROM t WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE bx IS NULL OR bx <> x OR by_ <> y GROUP BY user_id")
+def clean_coords(spark, sf):
+    twice = T.map_rings(F.col("geom"), lambda x, i: F.flatten(F.transform(x, lambda p: F.array(p, p))))
+    return V.tracks(spark, sf).select("user_id", F.size(T.positions_of(shapes.clean_coords(twice))).cast("long").alias("n"))
+
+
+@query("polygon_to_line", f"WITH {ZONES}, {PENTAGONS} SELECT zone, 'MultiLineString' AS kind, 6 AS n FROM pe GROUP BY zone")
+def polygon_to_line(spark, sf):
+    g = shapes.polygon_to_line(F.col("geom"))
+    return V.pentagons(spark, sf).select("zone", g["kind"].alias("kind"), F.size(T.positions_of(g)).alias("n"))
+
+
+@query("line_to_polygon", f"WITH {TRACKS} SELECT user_id, 'MultiPolygon' AS kind, max(n) + 1 AS positions FROM t WHERE n >= 3 GROUP BY user_id")
+def line_to_polygon(spark, sf):
+    g = shapes.line_to_polygon(F.col("geom"))
+    return V.tracks(spark, sf).filter(F.size(T.positions_of(F.col("geom"))) >= 3).select("user_id", g["kind"].alias("kind"), F.size(T.positions_of(g)).cast("long").alias("positions"))
+
+
+@query("combine", f"WITH {TRACKS} SELECT 'MultiLineString' AS kind, count(DISTINCT user_id) AS parts, count(*) AS positions FROM t")
+def combine(spark, sf):
+    g = agg.combine(V.tracks(spark, sf))
+    return g.select("geom.kind", F.size("geom.parts").cast("long").alias("parts"), F.size(T.positions_of(F.col("geom"))).cast("long").alias("positions"))
+
+
+@query("create_bins", f"WITH {CUSTOMER} SELECT segment, count(*) AS n, min(id) AS first, max(id) AS last FROM cp GROUP BY segment")
+def create_bins(spark, sf):
+    b = agg.create_bins(V.customer_pt(spark, sf), "segment", "id")
+    return b.select("segment", F.size("features").cast("long").alias("n"), F.element_at("features", 1).alias("first"), F.element_at("features", -1).alias("last"))
+
+
+# Predicates and joins.
+_RAY = "(sum(CASE WHEN (py > lat) <> (qy > lat) AND lon < (qx - px) * (lat - py) / CASE WHEN qy = py THEN 1 ELSE qy - py END + px THEN 1 ELSE 0 END) % 2 = 1"
+_ON = "bool_or((qx - px) * (lat - py) - (qy - py) * (lon - px) = 0 AND lon BETWEEN least(px, qx) AND greatest(px, qx) AND lat BETWEEN least(py, qy) AND greatest(py, qy)))"
+IN_PENTAGON = f"{ZONES}, {PENTAGONS}, hit AS (SELECT id, zone FROM cp, pe GROUP BY id, zone HAVING {_RAY} OR {_ON})"
+
+
+@query("boolean_clockwise", f"WITH {ZONES}, {PENTAGONS} SELECT zone, sum((qx - px) * (qy + py)) > 0 AS clockwise FROM pe GROUP BY zone")
+def boolean_clockwise(spark, sf):
+    return V.pentagons(spark, sf).select("zone", shapes.boolean_clockwise(F.element_at(F.element_at(F.col("geom.parts"), 1), 1)).alias("clockwise"))
+
+
+@query("boolean_concave", f"""WITH {ZONES}, {PENTAGONS} SELECT a.zone, bool_or((a.qx - a.px) * (b.qy - b.py) - (a.qy - a.py) * (b.qx - b.px) > 0) AND bool_or((a.qx - a.px) * (b.qy - b.py) - (a.qy - a.py) * (b.qx - b.px) < 0) AS concave
+FROM pe a JOIN pe b ON a.zone = b.zone AND b.i = (a.i + 1) % 5 GROUP BY a.zone""")
+def boolean_concave(spark, sf):
+    return V.pentagons(spark, sf).select("zone", shapes.boolean_concave(F.col("geom")).alias("concave"))
+
+
+@query("point_in_polygon", f"WITH {CUSTOMER}, {IN_PENTAGON} SELECT id, zone FROM hit")
+def point_in_polygon(spark, sf):
+    return joins.points_in_regions(V.customer_pt(spark, sf), V.pentagons(spark, sf)).select("id", "zone")
+
+
+@query("points_within_polygon", f"WITH {CUSTOMER}, {IN_PENTAGON} SELECT DISTINCT id FROM hit")
+def points_within_polygon(spark, sf):
+    return joins.points_within_polygon(V.customer_pt(spark, sf), V.pentagons(spark, sf)).select("id")
+
+
+@query("tag", f"WITH {CUSTOMER}, {IN_PENTAGON} SELECT cp.id, min(zone) AS tagged FROM cp LEFT JOIN hit USING (id) GROUP BY cp.id")
+def tag(spark, sf):
+    return joins.tag(V.customer_pt(spark, sf), V.pentagons(spark, sf), "zone", "tagged", "id", "zone").select("id", "tagged")
+
+
+@query("collect", f"WITH {CUSTOMER}, {IN_PENTAGON}, zs AS (SELECT DISTINCT zone FROM pe) SELECT zs.zone, count(hit.id) AS n, {rs('coalesce(sum(z), 0)', 2)} AS total FROM zs LEFT JOIN hit ON hit.zone = zs.zone LEFT JOIN cp ON cp.id = hit.id GROUP BY zs.zone")
+def collect(spark, sf):
+    c = joins.collect(V.pentagons(spark, sf), V.customer_pt(spark, sf), "z", "values", "zone", "id")
+    return c.select("zone", F.size("values").cast("long").alias("n"), r(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
+
+
+@query("zone_rollup", f"""WITH {CUSTOMER}, {ZONES} SELECT zone, zone_name, count(*) AS customers, {rs('sum(z)', 2)} AS balance,
+  {rs('avg(' + s_rhumb('lon', 'lat', '((x0 + x1) / 2)', '((y0 + y1) / 2)') + ') / 1000', 3)} AS mean_km
+FROM cp JOIN z ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY zone, zone_name""")
+def zone_rollup(spark, sf):
+    """Customers by zone: number, balance, and mean rhumb distance to the zone's centre."""
+    own = V.zones(spark, sf).withColumn("mid", measure.center(F.col("geom"))).select("zone", "zone_name", "geom", "mid")
+    hits = joins.points_in_regions(V.customer_pt(spark, sf).select("lon", "lat", "z"), own, size=V.ZONE_H)
+    km = measure.rhumb_distance(F.col("lon"), F.col("lat"), F.col("mid")["x"], F.col("mid")["y"])
+    return hits.select("zone", "zone_name", "z", km.alias("km")).groupBy("zone", "zone_name").agg(F.count(F.lit(1)).alias("customers"), r(F.sum("z"), 2).alias("balance"), r(F.avg("km"), 3).alias("mean_km"))
+
+
+_DIST = s_rhumb("lon", "lat", "rlon", "rlat")
+
+
+@query("nearest_point", f"WITH {CUSTOMER}, {SUPPLIER}, d AS (SELECT id, sid, {_DIST} AS m FROM cp, sp) SELECT id, arg_min(sid, m) AS sid, {rs('min(m)', 2)} AS metres FROM d GROUP BY id")
+def nearest_point(spark, sf):
+    return joins.nearest_point(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), "id", "sid", 500_000.0).select("id", "sid", r(F.col("distance"), 2).alias("metres"))
+
+
+@query("nearest_k", f"WITH {CUSTOMER}, {SUPPLIER}, d AS (SELECT id, sid, {_DIST} AS m FROM cp, sp) SELECT id, sid, {rs('m', 2)} AS metres, row_number() OVER (PARTITION BY id ORDER BY m, sid) AS rank FROM d QUALIFY rank <= 3")
+def nearest_k(spark, sf):
+    return joins.nearest_k(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), "id", "sid", 3, 800_000.0).select("id", "sid", r(F.col("distance"), 2).alias("metres"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("within_distance", f"WITH {CUSTOMER}, {SUPPLIER} SELECT id, sid, {rs(_DIST, 2)} AS metres FROM cp, sp WHERE {_DIST} <= 300000")
+def within_distance(spark, sf):
+    return joins.within_distance(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), 300_000.0).select("id", "sid", r(F.col("distance"), 2).alias("metres"))
+
+
+@query("bbox_search", f"""WITH {TRACKS}, b AS (SELECT user_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM t WHERE i < 2 GROUP BY user_id)
+SELECT a.user_id AS a, b.user_id AS b FROM b a JOIN b ON a.user_id < b.user_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def bbox_search(spark, sf):
+    short = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 2))))
+    rows = V.tracks(spark, sf).select("user_id", T.bbox(short).alias("box"))
+    found = joins.boxes_join(rows.toDF("a", "lbox"), rows.toDF("b", "rbox"), 10.0)
+    return found.filter("a < b").select("a", "b")
+
+
+_SEG = """(CASE WHEN d <> 0 THEN ((cx - ax) * ty - (cy - ay) * tx) / d END)"""
+
+
+@query("line_intersect", f"""WITH {TRACKS}, s AS (SELECT * FROM ts WHERE i = 0 AND user_id % 5 = 0),
+c AS (SELECT a.user_id AS a, b.user_id AS b, a.px AS ax, a.py AS ay, a.qx - a.px AS sx, a.qy - a.py AS sy, b.px AS cx, b.py AS cy, b.qx - b.px AS tx, b.qy - b.py AS ty FROM s a JOIN s b ON a.user_id < b.user_id),
+e AS (SELECT *, sx * ty - sy * tx AS d FROM c), f AS (SELECT *, ((cx - ax) * ty - (cy - ay) * tx) / nullif(d, 0) AS u, ((cx - ax) * sy - (cy - ay) * sx) / nullif(d, 0) AS v FROM e)
+SELECT a, b, {rs('ax + u * sx')} AS x, {rs('ay + u * sy')} AS y FROM f WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1""")
+def line_intersect(spark, sf):
+    first = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 2))))
+    rows = V.tracks(spark, sf).filter("user_id % 5 = 0").select("user_id", first.alias("geom"))
+    found = joins.line_intersect(rows.toDF("a", "geom"), rows.toDF("b", "geom2"), "a", "b", "geom", "geom2", 10.0).filter("a < b")
+    return found.select("a", "b", r(F.col("x")).alias("x"), r(F.col("y")).alias("y")).distinct()
+
+
+# Statistics.
+@query("distance_weight", f"WITH {SUPPLIER}, w AS (SELECT a.sid AS i, b.sid AS j FROM sp a, sp b WHERE a.sid <> b.sid AND {s_rhumb('a.rlon', 'a.rlat', 'b.rlon', 'b.rlat')} <= 800000) SELECT i, j, {rs('1.0::DOUBLE / count(*) OVER (PARTITION BY i)')} AS w FROM w")
+def distance_weight(spark, sf):
+    return agg.distance_weight(V.supplier_pt(spark, sf), "sid", 800_000.0, "rlon", "rlat").select("i", "j", r(F.col("w")).alias("w"))
+
+
+_W = f"w0 AS (SELECT a.sid AS i, b.sid AS j FROM sp a, sp b WHERE a.sid <> b.sid AND {s_rhumb('a.rlon', 'a.rlat', 'b.rlon', 'b.rlat')} <= 800000), w AS (SELECT i, j, 1.0::DOUBLE / count(*) OVER (PARTITION BY i) AS w FROM w0)"
+
+
+@query("moran_index", f"""WITH {SUPPLIER}, {_W}, zz AS (SELECT sid, sz - (SELECT avg(sz) FROM sp) AS z FROM sp),
+m AS (SELECT sum(z * z) AS m2, sum(z * z * z * z) AS m4, count(*)::DOUBLE AS n FROM zz), nu AS (SELECT sum(w * a.z * b.z) AS num, sum(w) AS s0 FROM w JOIN zz a ON a.sid = i JOIN zz b ON b.sid = j),
+p AS (SELECT sum(power(coalesce(a.w, 0) + coalesce(b.w, 0), 2)) / 2 AS s1 FROM (SELECT DISTINCT i, j FROM (SELECT i, j FROM w UNION ALL SELECT j, i FROM w)) k LEFT JOIN w a ON a.i = k.i AND a.j = k.j LEFT JOIN w b ON b.i = k.j AND b.j = k.i),
+s AS (SELECT sum(t * t) AS s2 FROM (SELECT k, sum(w) AS t FROM (SELECT i AS k, w FROM w UNION ALL SELECT j, w FROM w) GROUP BY k)),
+o AS (SELECT n / s0 * num / m2 AS i, -1 / (n - 1) AS e, (n * ((n*n - 3*n + 3) * s1 - n * s2 + 3*s0*s0) - (n * m4 / (m2*m2)) * ((n*n - n) * s1 - 2*n*s2 + 6*s0*s0)) / ((n-1)*(n-2)*(n-3)*s0*s0) - 1 / ((n-1)*(n-1)) AS v FROM m, nu, p, s)
+SELECT {rs('i')} AS "index", {rs('e')} AS expected, {rs('v')} AS variance, {rs('(i - e) / sqrt(v)', 4)} AS z FROM o""")
+def moran_index(spark, sf):
+    rows = V.supplier_pt(spark, sf)
+    m = agg.moran_index(rows, agg.distance_weight(rows, "sid", 800_000.0, "rlon", "rlat"), "sid", "sz")
+    return m.select(r(F.col("index")).alias("index"), r(F.col("expected")).alias("expected"), r(F.col("variance")).alias("variance"), r(F.col("z"), 4).alias("z"))
+
+
+@query("directional_mean", f"WITH {TRACKS}, e AS (SELECT user_id, arg_min(x, i) AS ax, arg_min(y, i) AS ay, arg_max(x, i) AS bx, arg_max(y, i) AS by_ FROM t GROUP BY user_id), b AS (SELECT radians({s_bearing('ax', 'ay', 'bx', 'by_')}) AS b, {s_rhumb('ax', 'ay', 'bx', 'by_')} AS m FROM e WHERE ax <> bx OR ay <> by_), s AS (SELECT degrees(atan2(sum(sin(b)), sum(cos(b)))) AS d, 1 - sqrt(power(sum(sin(b)), 2) + power(sum(cos(b)), 2)) / count(*) AS v, avg(m) AS m, count(*) AS n FROM b) SELECT {rs('CASE WHEN d < 0 THEN d + 360 ELSE d END')} AS mean_bearing, {rs('v')} AS circular_variance, {rs('m', 3)} AS mean_length, n FROM s")
+def directional_mean(spark, sf):
+    ps = T.positions_of(F.col("geom"))
+    a, b = F.element_at(ps, 1), F.element_at(ps, -1)
+    ends = V.tracks(spark, sf).select(a.alias("a"), b.alias("b")).filter("a != b")
+    at = [F.col("a")["x"], F.col("a")["y"], F.col("b")["x"], F.col("b")["y"]]
+    d = agg.directional_mean(ends.select(measure.rhumb_bearing(*at).alias("bearing"), measure.rhumb_distance(*at, "meters").alias("length")))
+    return d.select(r(F.col("mean_bearing")).alias("mean_bearing"), r(F.col("circular_variance")).alias("circular_variance"), r(F.col("mean_length"), 3).alias("mean_length"), "n")
+
+
+_FRAME = crs.Crs("frame", "tmerc")
+
+
+def s_frame(source: str) -> str:
+    """Plane coordinates of source(lon, lat) in the frame of its box: tm(.., x, y)."""
+    e = math.sqrt(crs.WGS84_F * (2 - crs.WGS84_F))
+    n, radius = crs._rectifying(A, crs.WGS84_F)
+    series = list(enumerate(crs._series(crs.FORWARD, n), 1))
+    xi = "xi0" + "".join(f" + ({k!r}{D}) * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, k in series)
+    eta = "eta0" + "".join(f" + ({k!r}{D}) * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, k in series)
+    return f"""t0 AS (SELECT *, radians(lon - (SELECT (min(lon) + max(lon)) / 2 FROM {source})) AS d, sinh(atanh(sin(radians(lat))) - {e!r}{D} * atanh({e!r}{D} * sin(radians(lat)))) AS tau FROM {source}),
+t1 AS (SELECT *, atan2(tau, cos(d)) AS xi0, asinh(sin(d) / sqrt(tau * tau + cos(d) * cos(d))) AS eta0 FROM t0),
+tm AS (SELECT *, {radius!r}{D} * ({eta}) AS x, {radius!r}{D} * ({xi}) AS y FROM t1)"""
+
+
+@query("standard_deviational_ellipse", f"""WITH {CUSTOMER}, {s_frame('cp')}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(lon) AS lon, avg(lat) AS lat FROM tm),
+s AS (SELECT sum(power(x - mx, 2)) AS xx, sum(power(y - my, 2)) AS yy, sum((x - mx) * (y - my)) AS xy, count(*)::DOUBLE AS n, any_value(m.lon) AS lon, any_value(m.lat) AS lat FROM tm, m),
+a AS (SELECT *, atan2(xx - yy + sqrt(power(xx - yy, 2) + 4 * xy * xy), 2 * xy) AS th FROM s)
+SELECT {rs('lon')} AS lon, {rs('lat')} AS lat, {rs('degrees(th)')} AS rotation, {rs('sqrt(greatest(0, 2 * (xx * cos(th) * cos(th) - 2 * xy * cos(th) * sin(th) + yy * sin(th) * sin(th)) / (n - 2)))', 2)} AS sigma_x,
+{rs('sqrt(greatest(0, 2 * (xx * sin(th) * sin(th) + 2 * xy * cos(th) * sin(th) + yy * cos(th) * cos(th)) / (n - 2)))', 2)} AS sigma_y FROM a""")
+def standard_deviational_ellipse(spark, sf):
+    e = agg.standard_deviational_ellipse(V.customer_pt(spark, sf))
+    return e.select(*[r(F.col(c)).alias(c) for c in ("lon", "lat", "rotation")], *[r(F.col(c), 2).alias(c) for c in ("sigma_x", "sigma_y")])
+
+
+@query("quadrat_analysis", f"""WITH {CUSTOMER}, {s_frame('cp')}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tm),
+c AS (SELECT least(3, floor((x - x0) / (x1 - x0) * 4)) AS i, least(3, floor((y - y0) / (y1 - y0) * 4)) AS j, count(*) AS n FROM tm, b GROUP BY ALL)
+SELECT sum(n)::BIGINT AS points, 16 AS cells, count(*) AS filled, {rs('sum(n) / 16::DOUBLE')} AS expected, {rs('sum(n * n) / (sum(n) / 16::DOUBLE) - sum(n)', 4)} AS chi_squared FROM c""")
+def quadrat_analysis(spark, sf):
+    q = agg.quadrat_analysis(V.customer_pt(spark, sf))
+    return q.select("points", "cells", "filled", r(F.col("expected")).alias("expected"), r(F.col("chi_squared"), 4).alias("chi_squared"))
+
+
+@query("nearest_neighbor_analysis", f"""WITH {SUPPLIER}, p AS (SELECT sid, rlon AS lon, rlat AS lat FROM sp), {s_frame('p')}, d AS (SELECT a.sid, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM tm a, tm b WHERE a.sid <> b.sid GROUP BY a.sid)
+SELECT {rs('avg(d)', 2)} AS observed, {rs('0.5::DOUBLE / sqrt(count(*) / 1e13::DOUBLE)', 2)} AS expected, {rs('avg(d) / (0.5::DOUBLE / sqrt(count(*) / 1e13::DOUBLE))')} AS nn_index, count(*) AS n FROM d""")
+def nearest_neighbor_analysis(spark, sf):
+    a = agg.nearest_neighbor_analysis(V.supplier_pt(spark, sf), "sid", 1e13, 200_000.0, "rlon", "rlat")
+    return a.select(r(F.col("observed"), 2).alias("observed"), r(F.col("expected"), 2).alias("expected"), r(F.col("nn_index")).alias("nn_index"), "n")
+
+
+@query("idw", f"WITH {CUSTOMER}, {SUPPLIER}, d AS (SELECT sid, z, {_DIST} AS m FROM cp, sp WHERE {_DIST} <= 400000) SELECT sid, {rs('CASE WHEN min(m) < 1e-9 THEN avg(z) FILTER (m < 1e-9) ELSE sum(z / m) / sum(1 / m) END', 4)} AS z FROM d GROUP BY sid")
+def idw(spark, sf):
+    targets = V.supplier_pt(spark, sf).select("sid", F.col("rlon").alias("lon"), F.col("rlat").alias("lat"))
+    return agg.idw(V.customer_pt(spark, sf), targets, "sid", "z", 400_000.0).select("sid", r(F.col("z"), 4).alias("z"))
+
+
+@query("network_nodes", f"WITH {TRACKS}, e AS (SELECT user_id, x, y FROM t WHERE i = 0 OR i = n - 1) SELECT round(x, 9) AS x, round(y, 9) AS y, count(*) AS degree, count(DISTINCT user_id) AS lines FROM e GROUP BY ALL")
+def network_nodes(spark, sf):
+    return agg.network_nodes(V.tracks(spark, sf), "user_id")
+
+
+@query("network_duplicates", f"WITH {TRACKS}, u AS (SELECT DISTINCT user_id FROM t) SELECT user_id + 1000000 AS id, user_id AS first FROM u WHERE user_id % 3 = 0")
+def network_duplicates(spark, sf):
+    rows = V.tracks(spark, sf).select(F.col("user_id").alias("id"), "geom")
+    again = rows.filter("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), T.map_rings(F.col("geom"), lambda x, i: F.reverse(x)).alias("geom"))
+    return agg.network_duplicates(rows.unionByName(again), "id")
+
+
+@query("planepoint", f"WITH {CUSTOMER} SELECT id, {rs('z * (10 - (lon - 73.5::DOUBLE) / 10 - (lat - 18) / 10) / 10 + 5 * ((lon - 73.5::DOUBLE) / 100) + 7 * ((lat - 18) / 100)')} AS z FROM cp")
+def planepoint(spark, sf):
+    lit = lambda *v: tuple(F.lit(float(x)) for x in v)
+    x, y = F.col("lon") - 73.5, F.col("lat") - 18
+    corners = [(*lit(0, 0), F.col("z")), lit(100, 0, 5), lit(0, 100, 7)]
+    return V.customer_pt(spark, sf).select("id", r(shapes.planepoint(x, y, corners)).alias("z"))
