@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tellurion.functions.units import metres
+from tellurion.session import ship
 
 A, FLAT = 6378137.0, 1 / 298.257223563
 B, E2 = A * (1 - FLAT), FLAT * (2 - FLAT)
@@ -217,11 +218,13 @@ def _null(c: Column) -> Column:
 
 def distance(lon1, lat1, lon2, lat2, units: str = "kilometers") -> Column:
     """Geodesic distance; null where a coordinate is. A literal origin makes it one-to-many."""
+    ship()
     return _null(distance_udf(lon1, lat1, lon2, lat2)) / metres(units)
 
 
 def bearing(lon1, lat1, lon2, lat2, final: bool = False) -> Column:
     """First azimuth in (-180, 180], or the last one in [0, 360)."""
+    ship()
     both = inverse_udf(lon1, lat1, lon2, lat2)
     if not final:
         return _null(both["azi1"])
@@ -229,10 +232,12 @@ def bearing(lon1, lat1, lon2, lat2, final: bool = False) -> Column:
 
 
 def destination(lon, lat, length, azimuth, units: str = "kilometers") -> Column:
+    ship()
     return direct_udf(lon, lat, azimuth, length * metres(units))
 
 
 def midpoint(lon1, lat1, lon2, lat2) -> Column:
+    ship()
     both = inverse_udf(lon1, lat1, lon2, lat2)
     return direct_udf(lon1, lat1, both["azi1"], both["s12"] / 2)
 

@@ -268,7 +268,18 @@ def point_on_line(g: Geom, p, tol: float = 0.01, ignore_ends: bool = False) -> b
 def overlaid(op, a: Geom, b: Geom) -> Geom | None:
     """A set operation of two areas in their common plane; nothing for an empty result."""
     f = Frame(a, b)
-    return f.earth(op(f.plane(densified(a)), f.plane(densified(b))))
+    return thinned(f.earth(op(f.plane(densified(a)), f.plane(densified(b)))))
+
+
+def thinned(g: Geom | None, tol: float = 0.015) -> Geom | None:
+    """Without what densifying put in: positions within ``tol`` metres of the straight line in degrees."""
+    def ring(r):
+        if len(r) > 3 and (r[0] == r[-1]).all():  # start at a corner
+            r = pl.closed(np.roll(r[:-1], -int(np.lexsort((r[:-1, 1], r[:-1, 0]))[0]), axis=0))
+        out = pl.simplify(r, tol / 111_000)
+        return out if len(out) >= 4 else r
+
+    return mapped(g, ring) if g else None
 
 
 def intersect(a: Geom, b: Geom) -> Geom | None:
@@ -285,7 +296,7 @@ def xor(a: Geom, b: Geom) -> Geom | None:
 
 def union(*geoms: Geom) -> Geom | None:
     f = Frame(*geoms)
-    return f.earth(pl.union(*[f.plane(densified(g)) for g in geoms]))
+    return thinned(f.earth(pl.union(*[f.plane(densified(g)) for g in geoms])))
 
 
 def mask(g: Geom, cover: Geom) -> Geom | None:
