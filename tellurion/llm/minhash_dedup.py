@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, table, text_of, without
+from tellurion.llm.common import BROADCAST_ROWS, bounded, land, run_dir, table, text_of, without
 
 SHINGLE, BUCKETS, BAND = 5, 128, 4
 MANTISSA = 10
@@ -179,7 +179,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, full: bool = False) ->
                     ["doc_id", "n", "digest", "items" if full else "reg"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id long, n long, digest binary, {'items' if full else 'reg'} binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), f"doc_id long, n long, digest binary, {'items' if full else 'reg'} binary")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, needed: DataFrame, path: str) -> DataFrame:
@@ -206,7 +206,7 @@ def bands(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BUCKETS // BAND)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
 
-    return classes.select("id", "reg").mapInArrow(run, "key long, id long")
+    return classes.select("id", "reg").mapInArrow(bounded(run), "key long, id long")
 
 
 def near(pairs: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def near(pairs: DataFrame) -> DataFrame:
             ok = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (estimate((ra == rb).mean(axis=1)) >= least_estimate(na, nb))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(bounded(run), "a long, b long")
 
 
 def verify(pairs: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def verify(pairs: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(bounded(run), "a long, b long")
 
 
 def components(links: DataFrame, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import land, run_dir, table, text_of
+from tellurion.llm.common import bounded, land, run_dir, table, text_of
 
 CAPACITY = 2048
 #: Documents in a sequence, and its attention cost. These bind nothing that tokens don't, so that sequences are few.
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out[0])])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int = MAX_COST, weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import table, text_of
+from tellurion.llm.common import bounded, table, text_of
 
 PASSAGE, TRAIN_DOCS, FOLDS = 64, 3000, 5
 #: A score at least so high predicts label 1.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([passages(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["id", "label", "x"])
 
-    found = sorted((r["id"], r["label"], bytes(r["x"])) for r in rows.select("_label_id", "_label", "text").mapInArrow(run, "id long, label int, x binary").collect())
+    found = sorted((r["id"], r["label"], bytes(r["x"])) for r in rows.select("_label_id", "_label", "text").mapInArrow(bounded(run), "id long, label int, x binary").collect())
     y = np.array([r[1] for r in found])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
                 s = _scores(model, x.column(2).to_pylist()).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text") ->
                 x = b.slice(at, 256)
                 yield x.filter(pa.array(_scores(model, [t or "" for t in x.column(k).to_pylist()]) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import table, text_of
+from tellurion.llm.common import bounded, table, text_of
 
 # The known forms, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -186,7 +186,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str, by: str = "[SECRET]") -> str:
@@ -208,7 +208,7 @@ def redact(df: DataFrame, text_col: str = "text", by: str = "[SECRET]") -> DataF
             new = pa.array([None if x is None else redacted(x, by) for x in (v.as_py() for v in b.column(k))], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == k else b.column(i) for i in range(b.num_columns)], b.schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(bounded(run), schema)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import table, text_of
+from tellurion.llm.common import bounded, table, text_of
 
 #: Words that a worker's table holds at most; a full one starts afresh.
 TABLE_WORDS = 200_000
@@ -113,7 +113,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 ids = [[i for w in m for i in w[1]] for m in c.look_up(texts)] if c.by_word else c.sp.encode(texts, num_threads=1)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -124,7 +124,7 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "id
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.sp.decode(ids or []) for ids in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(bounded(run), "doc_id long, text string")
 
 
 def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
@@ -153,7 +153,7 @@ def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
                     out.append((doc_id, len(ids), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, table, text_of
+from tellurion.llm.common import BROADCAST_ROWS, bounded, land, run_dir, table, text_of
 
 CHUNK = 256 * 1024
 DATE = "2020-01-01T00:00:00Z"
@@ -119,7 +119,7 @@ def write(chunks: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], ["archive", "records"])
 
-    return land(chunks.mapInArrow(run, "archive string, records long"), f"{folder}/manifest")
+    return land(chunks.mapInArrow(bounded(run), "archive string, records long"), f"{folder}/manifest")
 
 
 
@@ -185,7 +185,7 @@ def read(manifest: DataFrame, data: bool = True, chunk: int = CHUNK) -> DataFram
                         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     n = max(1, manifest.count())
-    return manifest.select("archive").repartition(n, "archive").mapInArrow(run, CHUNKS)
+    return manifest.select("archive").repartition(n, "archive").mapInArrow(bounded(run), CHUNKS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
