@@ -1,0 +1,271 @@
+"""Operators on documents against brute force, with edge rows."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from tellurion.llm import exact_dedup, license_scan, line_dedup, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+def test_exact_dedup(edge_docs, no_docs):
+    docs = edge_docs.collect()
+    out = rows(exact_dedup.exact_dedup(edge_docs))
+    assert len(out) == len(docs)
+    groups = {}
+    for d in docs:
+        groups.setdefault(norm(d["text"]), []).append(d["doc_id"])
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for sha, ids in by_sha.items():
+        own = [r for r in out if r["text_sha256"] == sha]
+        assert sorted(str(r["doc_id"]) for r in own) == sorted(map(str, ids))
+        least = min((i for i in ids if i is not None), default=None)
+        assert {r["keep_id"] for r in own} == {least} and {r["group_size"] for r in own} == {len(ids)}
+        assert sum(r["kept"] for r in own) == 1
+    assert rows(exact_dedup.exact_dedup(no_docs)) == []
+
+
+def test_exact_dedup_checks_bytes_and_keeps_state(edge_docs):
+    from pyspark.sql import functions as F
+
+    want = sorted(map(str, rows(exact_dedup.exact_dedup(edge_docs).drop("kept"))))
+    weak = lambda t: F.lpad(F.hex(F.crc32(t.cast("binary")) % 3), 2, "0")  # noqa: E731  nearly all texts collide
+    assert sorted(map(str, rows(exact_dedup.exact_dedup(edge_docs, digest=weak).drop("kept")))) == want
+    assert sorted(map(str, rows(exact_dedup.exact_dedup(edge_docs, files_per_batch=1).drop("kept")))) == want
+
+
+def test_keep_first(edge_docs):
+    left = exact_dedup.keep_first(edge_docs)
+    assert left.columns == edge_docs.columns
+    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 8, 9, 10, 11, 12]
+
+
+def near_brute(docs):
+    sets, ids = {}, {}
+    for d in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in d["text"] or ""))
+        k = min(5, len(w))
+        if d["doc_id"] is not None:
+            sets[d["doc_id"]] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    ids = {i: (len(s), find(i)) for i, s in sets.items()}
+    return ids
+
+
+def test_near_dedup(spark, edge_docs, no_docs):
+    want = near_brute(edge_docs.collect())
+    for r in rows(minhash_dedup.near_dedup(edge_docs)):
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
+            assert r["kept"] == (r["component_id"] == r["doc_id"])
+        else:
+            assert r["component_id"] is None and r["kept"]
+    assert rows(minhash_dedup.near_dedup(no_docs)) == []
+
+
+def test_near_dedup_chains_and_families(spark):
+    """Chains whose ends are far apart, and a family of near copies larger than a block."""
+    rng = np.random.default_rng(4)
+    texts = []
+    words = [f"w{rng.integers(10**6)}" for _ in range(120)]
+    for _ in range(25):
+        texts.append(" ".join(words))
+        words[rng.integers(120)] = f"n{rng.integers(10**6)}"
+    base = [f"b{i}" for i in range(400)]
+    for i in range(300):
+        own = list(base)
+        own[i] = f"changed{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_brute(docs.collect())
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(minhash_dedup.near_dedup(docs))}
+    assert got == want
+
+
+def test_register_estimate():
+    rng = np.random.default_rng(1)
+    errors = []
+    for j in (0.5, 0.7, 0.85, 0.95):
+        for _ in range(20):
+            pool = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+            n = int(2000 / (2 - 2 * j / (1 + j)))
+            common = int(2 * n * j / (1 + j))
+            a, b = np.sort(pool[:n]), np.sort(pool[n - common : 2 * n - common])
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            est = minhash_dedup.estimate((minhash_dedup.registers(a) == minhash_dedup.registers(b)).mean())
+            errors.append(est - true)
+    assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.25
+
+
+def test_line_dedup(spark, edge_docs, no_docs):
+    docs = sorted(edge_docs.collect(), key=lambda d: (d["doc_id"] is None, d["doc_id"] or 0))
+    lines = [(d["doc_id"] if d["doc_id"] is not None else 2**63 - 1, k, re.findall(r"[^\x20\x09-\x0D]+", x)) for d in docs for k, x in enumerate((d["text"] or "").split("\n"))]
+    first = {}
+    for i, k, w in lines:
+        if len(w) >= 3:
+            first.setdefault(tuple(w), (i, k))
+
+    def one(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return any(a == b[:k] + b[k + 1 :] for k in range(len(b)))
+
+    near = {w for w, at in first.items() if len(w) >= 10 and any(len(v) >= 10 and at2 < at and one(w, v) for v, at2 in first.items())}
+    want = {}
+    for i, k, w in lines:
+        if len(w) >= 3 and (first[tuple(w)] != (i, k) or tuple(w) in near):
+            want.setdefault(i, set()).add(k)
+    for r in rows(line_dedup.line_dedup(edge_docs)):
+        if r["doc_id"] is not None:
+            assert set(r["dropped"]) == want.get(r["doc_id"], set()), r
+    assert rows(line_dedup.line_dedup(no_docs)) == []
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(edge_docs).collect()}
+    assert kept[1] == "short" and kept[4] is None and "line one is here" in kept[10]
+
+
+def test_sentencepiece(edge_docs, no_docs):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = {}
+    for d in edge_docs.collect():
+        ids = sp.encode(d["text"] or "")
+        want[d["doc_id"], d["text"]] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest() if ids else hashlib.sha256(b"").hexdigest())
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(sentencepiece_codec.digests(edge_docs, path, table_words=50)))
+    assert len(got) == edge_docs.count() and {g[1:] for g in got} == set(want.values())
+    assert rows(sentencepiece_codec.digests(no_docs, path)) == []
+    some = edge_docs.filter("doc_id in (5, 10)")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(some, path), path)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {d["doc_id"]: d["text"] for d in some.collect()}
+
+
+@pytest.mark.parametrize("text", ["", " ", "a ", " a", "a  b", "▁", "é▁ x", "\n\t x  ", "日本 語", "\x00 a", "<s> </s>", "🙂 🙂"])
+def test_sentencepiece_odd(text):
+    c = sentencepiece_codec.codec(P.path("piece_bpe_32k.model"))
+    assert c.by_word and c.ids(text) == c.sp.encode(text)
+
+
+def test_secrets(edge_docs, no_docs):
+    out = {r["doc_id"]: r for r in rows(secret_scan.scan(edge_docs))}
+    r = out[11]
+    assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 1, 1)
+    assert r["spans"] == "assign:0:25,access:27:47,hex:48:80"
+    assert r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
+    assert out[4]["spans"] == "" and out[8]["spans"] == ""
+    assert rows(secret_scan.scan(no_docs)) == []
+    kept = {x["doc_id"]: x["text"] for x in secret_scan.redact(edge_docs).collect()}
+    assert kept[11] == '[SECRET]" [SECRET] [SECRET] x' and kept[4] is None
+
+
+def test_random_tokens():
+    import base64
+    import random
+
+    random.seed(3)
+    hits = [bool(secret_scan.random_spans("key " + base64.b64encode(random.randbytes(30)).decode() + " end", [])) for _ in range(200)]
+    assert sum(hits) >= 190
+    for w in ("getElementByIdFromSomethingElse", "/usr/local/lib/python3/site-packages/foo", "THE_QUICK_BROWN_FOX_JUMPS_OVER", "12345678901234567890123", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"):
+        assert secret_scan.random_spans(w, []) == []
+
+
+def test_licenses(edge_docs, no_docs):
+    out = {r["doc_id"]: r for r in rows(license_scan.scan(edge_docs))}
+    r = out[12]
+    assert r["n_words"] == 11 and r["n_base"] == 4 and (r["first_word"], r["last_word"]) == (3, 9)
+    assert r["base_labels"] == "apache,cc-by,mit" and "mit-release" in r["labels"] and 0 <= r["score"] <= 1
+    assert out[4]["n_words"] == 0 and out[4]["first_word"] is None and out[4]["labels"] == ""
+    assert rows(license_scan.scan(no_docs)) == []
+
+
+def test_packing(edge_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    out = rows(packing.packed(edge_docs, path))
+    docs = edge_docs.collect()
+    want = sorted(len(tok.encode(d["text"] or "", add_special_tokens=False).ids) + 1 for d in docs)
+    by_doc = {}
+    for r in out:
+        by_doc.setdefault((r["doc_id"], r["ids_crc32"] if r["doc_id"] in (None, 1) else 0), []).append(r)
+    assert sum(want) == sum(r["length"] for r in out)
+    ids = np.array(tok.encode([d["text"] for d in docs if d["doc_id"] == 8][0], add_special_tokens=False).ids + [0], "<u4")
+    for r in out:
+        assert r["length"] <= 2048
+        if r["doc_id"] == 8:
+            assert r["start"] == 2048 * r["piece"] and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in seqs.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert rows(packing.packed(no_docs, path)) == []
+
+
+def test_best_fit_capacities():
+    rng = np.random.default_rng(0)
+    n = rng.integers(1, 500, 800)
+    for docs, cost in ((2048, 2048**2), (4, 2048**2), (2048, 300_000)):
+        bins, _ = packing.best_fit(n, 2048, docs, cost)
+        for b in range(bins.max() + 1):
+            own = n[bins == b]
+            assert own.sum() <= 2048 and len(own) <= docs and (own**2).sum() <= cost
+    bins, _ = packing.best_fit(n)
+    assert bins.max() + 1 <= -(-n.sum() // 2048) + 1
+
+
+@pytest.mark.parametrize("text", ["", "Don't STOP", "été 12x", "a\x1cb", "<|endoftext|> x", "日本", "ÿ×²", "é", "'Re's"])
+def test_tokeniser_words(text):
+    w = packing.tokeniser(P.path("word_bpe_49k.json"))
+    assert w.by_word and w.latin and w.ids([text])[0].tolist() == w.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_quality(spark, edge_docs, no_docs):
+    good = "the river runs past the old mill and nobody in the town remembers who built it or why it was left there so long ago"
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        w = good.split()
+        w = w[i % 20 :] + w[: i % 20]
+        docs.append((i, " ".join(x.upper() + "!!" for x in w) if bad else " ".join(w) + "."))
+        labels.append((i, 0 if bad else 1))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(d, y)
+    out = rows(quality.score(d, model))
+    held = [r for r in out if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert held and np.mean([r["predicted"] == (r["doc_id"] % 4 != 0) for r in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows(quality.score(edge_docs, model)))
+    assert rows(quality.score(no_docs, model)) == []
+    assert quality.train(d, y.limit(0)) == 0.5
+    assert quality.keep_good(edge_docs, 1.0).count() == edge_docs.count() and quality.keep_good(edge_docs, 0.1).count() == 0
