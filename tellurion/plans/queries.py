@@ -547,3 +547,251 @@ def planepoint(spark, sf):
     x, y = F.col("lon") - 73.5, F.col("lat") - 18
     corners = [(*lit(0, 0), F.col("z")), lit(100, 0, 5), lit(0, 100, 7)]
     return V.customer_pt(spark, sf).select("id", r(shapes.planepoint(x, y, corners)).alias("z"))
+
+
+# Kernels. Where SQL has no counterpart the tests hold them against closed forms.
+def _geo():
+    from tellurion.functions import geodesic
+
+    return geodesic
+
+
+def _udfs():
+    from tellurion.functions import udfs
+
+    return udfs
+
+
+def _tables():
+    from tellurion.operators import tables
+
+    return tables
+
+
+@query("geodesic_distance")
+def geodesic_distance(spark, sf):
+    return pairs(spark, sf).select("id", r(_geo().distance(*map(F.col, ("lon", "lat", "lon2", "lat2")), "meters"), 4).alias("metres"))
+
+
+@query("geodesic_bearing")
+def geodesic_bearing(spark, sf):
+    at = list(map(F.col, ("lon", "lat", "lon2", "lat2")))
+    return pairs(spark, sf).select("id", r(_geo().bearing(*at)).alias("bearing"), r(_geo().bearing(*at, final=True)).alias("final"))
+
+
+@query("destination", f"WITH {CUSTOMER} SELECT id, {rs('lon', 5)} AS lon, {rs('lat', 5)} AS lat FROM cp")
+def destination(spark, sf):
+    """There and back again: the destination's way back ends where it began."""
+    geo = _geo()
+    rows = V.customer_pt(spark, sf).withColumn("d", geo.destination(F.col("lon"), F.col("lat"), F.abs("z") * 0.1 + 1, (F.col("id") * 37 % 360).cast("double")))
+    back = geo.inverse_udf(F.col("d.x"), F.col("d.y"), F.col("lon"), F.col("lat"))
+    rows = rows.withColumn("b", back).withColumn("e", geo.direct_udf(F.col("d.x"), F.col("d.y"), F.col("b.azi1"), F.col("b.s12")))
+    return rows.select("id", r(F.col("e.x"), 5).alias("lon"), r(F.col("e.y"), 5).alias("lat"))
+
+
+@query("midpoint")
+def midpoint(spark, sf):
+    m = _geo().midpoint(*map(F.col, ("lon", "lat", "lon2", "lat2")))
+    return pairs(spark, sf).select("id", m.alias("m")).select("id", r(F.col("m.x")).alias("lon"), r(F.col("m.y")).alias("lat"))
+
+
+@query("angle")
+def angle(spark, sf):
+    a = _geo().angle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"), F.lit(100.0), F.lit(35.0))
+    return pairs(spark, sf).select("id", r(a).alias("angle"))
+
+
+@query("geodesic_area")
+def geodesic_area(spark, sf):
+    return V.pentagons(spark, sf).select("zone", r(_udfs().geodesic_area("geom") / 1e6, 3).alias("km2"))
+
+
+@query("geodesic_length")
+def geodesic_length(spark, sf):
+    return V.tracks(spark, sf).select("user_id", r(_udfs().geodesic_length("geom") / 1000, 3).alias("km"))
+
+
+@query("buffer_points")
+def buffer_points(spark, sf):
+    u = _udfs()
+    return V.customer_pt(spark, sf).select("id", r(u.geodesic_area(u.buffer(T.point("lon", "lat"), 1000.0)), 2).alias("area"))
+
+
+def _pentagon_pairs(spark, sf):
+    """Each pentagon with a copy of itself moved east and north."""
+    moved = T.map_positions(F.col("geom"), lambda p: T.position(p["x"] + 2.5, p["y"] + 1.5))
+    return V.pentagons(spark, sf).select("zone", "geom", moved.alias("other"))
+
+
+def _set_query(name: str):
+    @query(name)
+    def f(spark, sf):
+        u = _udfs()
+        rows = _pentagon_pairs(spark, sf).withColumn("out", getattr(u, name)(F.col("geom"), F.col("other")))
+        return rows.select("zone", r(u.geodesic_area("out") / 1e6, 3).alias("km2"))
+
+
+for _name in ("intersect", "difference", "union", "xor", "mask"):
+    _set_query(_name)
+
+
+@query("relate", f"WITH {ZONES} SELECT zone, '2FFF1FFF2' AS same, true AS equal, false AS disjoint FROM z")
+def relate(spark, sf):
+    u = _udfs()
+    m = u.relate(F.col("geom"), F.col("geom"))
+    return V.pentagons(spark, sf).select("zone", m.alias("same")).select("zone", "same", shapes.boolean_relation(F.col("same"), "equal", 2, 2).alias("equal"), shapes.boolean_relation(F.col("same"), "disjoint", 2, 2).alias("disjoint"))
+
+
+def _shape_query(name: str, *args):
+    @query(name)
+    def f(spark, sf):
+        u = _udfs()
+        g = getattr(u, name)(F.col("lon"), F.col("lat"), *[F.lit(float(a)) for a in args])
+        return V.customer_pt(spark, sf).filter("id <= 200").select("id", g.alias("g")).select("id", F.col("g.kind").alias("kind"), F.size(T.positions_of(F.col("g"))).alias("positions"))
+
+
+_shape_query("circle", 1000)
+_shape_query("sector", 1000, 10, 100)
+_shape_query("line_arc", 1000, 10, 100)
+_shape_query("ellipse", 2000, 1000, 30)
+_shape_query("great_circle", 100, 35)
+
+
+def _line_query(name: str, *args, digits: int = 6):
+    @query(name)
+    def f(spark, sf):
+        u = _udfs()
+        few = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 6))))
+        out = getattr(u, name)(F.col("line"), *[F.lit(float(a)) for a in args])
+        rows = V.tracks(spark, sf).select("user_id", few.alias("line")).select("user_id", out.alias("g"))
+        return rows.select("user_id", F.posexplode(T.positions_of(F.col("g"))).alias("i", "p")).select("user_id", "i", r(F.col("p.x"), digits).alias("x"), r(F.col("p.y"), digits).alias("y"))
+
+
+_line_query("translate", 1000, 45)
+_line_query("rotate", 30)
+_line_query("scale", 0.5)
+_line_query("line_slice_along", 1000, 500000)
+_line_query("line_chunk", 400000)
+_line_query("line_offset", 500)
+_line_query("bezier_spline")
+_line_query("simplify", 100000)
+_line_query("convex")
+_line_query("bbox_clip", 80, 20, 110, 45)
+
+
+@query("nearest_point_on_line")
+def nearest_point_on_line(spark, sf):
+    few = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 6))))
+    n = _udfs().nearest_point_on_line(few, F.lit(100.0), F.lit(35.0))
+    return V.tracks(spark, sf).select("user_id", n.alias("n")).select("user_id", r(F.col("n.x")).alias("x"), r(F.col("n.y")).alias("y"), r(F.col("n.dist"), 2).alias("metres"), F.col("n.index").alias("index"))
+
+
+@query("validate")
+def validate(spark, sf):
+    u = _udfs()
+    return V.pentagons(spark, sf).select("zone", u.boolean_valid(F.col("geom")).alias("valid"), F.size(u.validate("geom")).alias("issues"))
+
+
+@query("center_of_mass")
+def center_of_mass(spark, sf):
+    u = _udfs()
+    return V.pentagons(spark, sf).select("zone", u.center_of_mass("geom").alias("c")).select("zone", r(F.col("c.x"), 5).alias("x"), r(F.col("c.y"), 5).alias("y"))
+
+
+@query("tesselate", f"WITH {ZONES}, {PENTAGONS} SELECT zone, {rs('abs(sum(px * qy - qx * py)) / 2', 4)} AS area FROM pe GROUP BY zone")
+def tesselate(spark, sf):
+    t = _udfs().tesselate(F.col("geom"))
+    shoelace = lambda ring: F.abs(F.aggregate(measure.segments(ring), F.lit(0.0), lambda a, s: a + s["p"]["x"] * s["q"]["y"] - s["q"]["x"] * s["p"]["y"])) / 2
+    total = F.aggregate(T.rings_of(F.col("t")), F.lit(0.0), lambda a, ring: a + shoelace(ring))
+    return V.pentagons(spark, sf).select("zone", t.alias("t")).select("zone", r(total, 4).alias("area"))
+
+
+@query("clusters_dbscan")
+def clusters_dbscan(spark, sf):
+    return _tables().dbscan(V.supplier_pt(spark, sf), "sid", 300_000.0, 3, "rlon", "rlat")
+
+
+@query("clusters_kmeans")
+def clusters_kmeans(spark, sf):
+    k = _tables().kmeans(V.supplier_pt(spark, sf), "sid", 5, x="rlon", y="rlat")
+    return k.select("sid", "cluster", r(F.col("centroid_lon"), 5).alias("lon"), r(F.col("centroid_lat"), 5).alias("lat"))
+
+
+@query("convex_hull")
+def convex_hull(spark, sf):
+    h = _tables().convex_hull(V.supplier_pt(spark, sf).filter("rlon between 80 and 120"), "rlon", "rlat")
+    return h.select(F.posexplode(T.positions_of(F.col("geom"))).alias("i", "p")).select("i", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
+
+
+@query("dissolve")
+def dissolve(spark, sf):
+    d = _tables().dissolve(V.zones(spark, sf).withColumn("row", F.floor(F.col("zone") / 5)), "row", fid="zone")
+    return d.select("row", "zone", r(_udfs().geodesic_area("geom") / 1e6, 1).alias("km2"))
+
+
+@query("square_grid_counts", "SELECT 'rectangle' AS kind, 42 AS n UNION ALL SELECT 'triangle', 48 UNION ALL SELECT 'hex', 15 UNION ALL SELECT 'square', 24")
+def square_grid_counts(spark, sf):
+    t, box = _tables(), (116.0, 39.0, 116.4, 39.2)
+    out = None
+    for kind, sy in (("rectangle", 3000.0), ("triangle", None), ("hex", None), ("square", None)):
+        n = t.grid(spark, box, 5000.0, kind, sy).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.col("n").cast("int").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("tin")
+def tin(spark, sf):
+    return _tables().tin(V.supplier_pt(spark, sf).select(F.lit(1).alias("g"), "rlon", "rlat", "sz"), "g", "rlon", "rlat", "sz").select(r(F.col("a"), 2).alias("a"), r(F.col("b"), 2).alias("b"), r(F.col("c"), 2).alias("c"))
+
+
+@query("voronoi")
+def voronoi(spark, sf):
+    v = _tables().voronoi(V.supplier_pt(spark, sf).filter("rlon between 90 and 115").select(F.lit(1).alias("g"), "sid", "rlon", "rlat"), "g", "sid", "rlon", "rlat")
+    return v.select("sid", r(_udfs().geodesic_area("geom") / 1e6, 1).alias("km2"))
+
+
+def _ramp(spark):
+    return spark.range(231).select(F.lit(1).alias("g"), (120 + F.col("id") % 21 * 0.01).alias("lon"), (30 + F.floor(F.col("id") / 21) * 0.01).alias("lat"), (F.col("id") % 21 * 0.01).alias("z"))
+
+
+@query("isolines", "SELECT l::DOUBLE AS level, 120 + l::DOUBLE AS x FROM (VALUES (0.055), (0.125)) t(l)")
+def isolines(spark, sf):
+    """Contours of a ramp are meridians."""
+    c = _tables().isolines(_ramp(spark), "g", [0.055, 0.125])
+    return c.select("level", F.explode(T.positions_of(F.col("geom"))).alias("p")).groupBy("level").agg(r(F.avg("p.x"), 6).alias("x"))
+
+
+@query("isobands", "SELECT '0-0.05' AS name, 1 AS parts UNION ALL SELECT '0.05-0.13', 1")
+def isobands(spark, sf):
+    return _tables().isobands(_ramp(spark), "g", [0.0, 0.05, 0.13]).select("name", F.size("geom.parts").alias("parts"))
+
+
+@query("network_issues")
+def network_issues(spark, sf):
+    first = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 2))))
+    return _tables().network_issues(V.tracks(spark, sf).select("user_id", first.alias("geom")), "user_id", size=10.0)
+
+
+@query("coverage_overlaps")
+def coverage_overlaps(spark, sf):
+    wide = T.map_positions(F.col("geom"), lambda p: T.position(p["x"] + 0.001 * (F.col("zone") % 3), p["y"]))
+    return _tables().coverage_overlaps(V.zones(spark, sf).select("zone", wide.alias("geom")), "zone", size=V.ZONE_H).select("a", "b", r(F.col("area") / 1e6, 2).alias("km2"))
+
+
+@query("geofence_counts", f"""WITH ev AS (SELECT ts, {V.sql_pt('event_id')[0]} AS lon, {V.sql_pt('event_id')[1]} AS lat FROM events), {ZONES}
+SELECT date_trunc('day', ts) AS start, zone, count(*) AS n FROM ev JOIN z ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY ALL""")
+def geofence_counts(spark, sf):
+    """The streaming operator on a table."""
+    from tellurion.streaming.geofence import zone_counts
+
+    x, y = V.pt("event_id")
+    rows = V.table(spark, sf, "events").select("ts", x.alias("lon"), y.alias("lat"))
+    return zone_counts(rows, V.zones(spark, sf), window="1 day", size=V.ZONE_H).select(F.col("start").cast("timestamp_ntz").alias("start"), "zone", "n")
+
+
+@query("geojson_round_trip", f"WITH {TRACKS} SELECT user_id, i::INT AS i, x, y FROM t")
+def geojson_round_trip(spark, sf):
+    from tellurion.sources import geojson
+
+    text = geojson.to_geojson(F.col("geom"))
+    return _positions(V.tracks(spark, sf).select("user_id", geojson.from_geojson(text).alias("geom")), "user_id", F.col("geom"))
