@@ -27,13 +27,24 @@ LEAST_WORDS, NEAR_WORDS = 3, 10
 LAST = 9223372036854775807
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, doc_id, ord, line (from 0), norm (words with one space between), n, key."""
+def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid, doc_id, ord, line (from 0), raw."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("rid", "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.withColumn("norm", F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")))
+    return rows.select("rid", "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """``raw`` replaced by norm (words with one space between), n and key."""
+    # Single spaces, which are most, are left as they stand.
+    norm = F.trim(F.regexp_replace("raw", r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    rows = rows.withColumn("norm", norm).drop("raw")
     rows = rows.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int"))
-    return rows.select("rid", "doc_id", "ord", "line", "norm", "n", F.substring(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)), 1, 16).alias("key"))
+    return rows.withColumn("key", F.substring(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)), 1, 16))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid, doc_id, ord, line, norm, n, key."""
+    return with_words(raw_lines(docs, id_col, text_col))
 
 
 def halves(norm: Column, n: Column) -> Column:
@@ -88,8 +99,9 @@ def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, pa
     some = land(half.join(shared, "half").select("id").distinct().join(first.select("id", "key", "ord", "line"), "id"), f"{path}/hopeful")
     keys = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
     # Their words come from where each stands first.
-    lines = lines_of(docs, id_col, text_col).select("ord", "line", "norm", "n", "key")
-    lines = lines.join(keys, ["key", "ord", "line"]).dropDuplicates(["id"]).select("id", "ord", "line", "n", F.split("norm", " ").alias("words"))
+    lines = raw_lines(docs, id_col, text_col).select("ord", "line", "raw").join(keys.withColumnRenamed("key", "own_key"), ["ord", "line"])
+    # An id may come with several texts: the line's own has its key.
+    lines = with_words(lines).filter("key = own_key").dropDuplicates(["id"]).select("id", "ord", "line", "n", F.split("norm", " ").alias("words"))
     lines = land(lines, f"{path}/words")
     every = variants(lines)
     earliest = every.groupBy("k", "k2").agg(F.min(F.struct("ord", "line", "id")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
