@@ -47,9 +47,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_words(raw_lines(docs, id_col, text_col))
 
 
-def halves(norm: Column, n: Column) -> Column:
+def halves(words: Column, n: Column) -> Column:
     """Hashes of the first and last half, for pairs of equal length and for pairs with a line one word shorter."""
-    words = F.split(norm, " ")
 
     def pair(length: Column) -> list[Column]:
         m = F.floor(length / 2).cast("int")
@@ -121,8 +120,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that id. An empty table gives an empty result; other columns play no part.
     """
     path = run_dir(docs.sparkSession, "line-dedup")
-    rows = lines_of(docs, id_col, text_col).withColumn("halves", F.when(F.col("n") >= NEAR_WORDS, halves(F.col("norm"), F.col("n"))))
-    rows = land(rows.drop("norm"), f"{path}/lines")
+    # Words are a column of their own, so that a line is split once for all its halves.
+    rows = lines_of(docs, id_col, text_col).withColumn("words", F.split("norm", " "))
+    rows = rows.withColumn("halves", F.when(F.col("n") >= NEAR_WORDS, halves(F.col("words"), F.col("n"))))
+    rows = land(rows.drop("norm", "words"), f"{path}/lines")
     tried = rows.filter(F.col("n") >= LEAST_WORDS)
     first = tried.groupBy("key").agg(F.min(F.struct("ord", "line")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     first = land(first.select("key", F.xxhash64("key").alias("id"), "at.ord", "at.line", "n", "halves"), f"{path}/first")
