@@ -647,7 +647,7 @@ def _shape_query(name: str, *args):
     def f(spark, sf):
         u = _udfs()
         g = getattr(u, name)(F.col("lon"), F.col("lat"), *[F.lit(float(a)) for a in args])
-        return V.customer_pt(spark, sf).filter("id <= 200").select("id", g.alias("g")).select("id", F.col("g.kind").alias("kind"), F.size(T.positions_of(F.col("g"))).alias("positions"))
+        return V.customer_pt(spark, sf).select("id", g.alias("g")).select("id", F.col("g.kind").alias("kind"), F.size(T.positions_of(F.col("g"))).alias("positions"))
 
 
 _shape_query("circle", 1000)
