@@ -174,33 +174,28 @@ def line_slice_along(line: np.ndarray, start: float, stop: float) -> np.ndarray:
 def nearest_on_line(line: np.ndarray, p) -> tuple[np.ndarray, float, float, int]:
     """The nearest point, its distance, its place along the line, and its segment.
 
-    Each segment's foot comes from a plane at the point, refined by two more
-    planes at the foot itself.
+    The foot on every segment is refined until it no longer moves; none is left out.
     """
     total, az = _measures(line)
-    best = (None, math.inf, 0.0, 0)
-    seg = np.concatenate([line[:-1], line[1:]], axis=1)
-    scale = np.array([math.cos(math.radians(p[1])), 1.0])
-    rough = np.array([pl.distances(np.asarray([p]) * scale, (s.reshape(2, 2) * scale).ravel()[None])[0] for s in seg])
-    for k in np.argsort(rough)[: max(8, len(seg) // 10)]:
-        size = total[k + 1] - total[k]
-        if size == 0:
-            continue
-        s, zp, _ = geo.inverse(seg[k, 0], seg[k, 1], p[0], p[1])
-        t = float(np.clip(float(s) * math.cos(math.radians(float(zp) - az[k])), 0, size))
-        for _ in range(6):
-            x, y, z = geo.direct(seg[k, 0], seg[k, 1], az[k], t)
-            s, zp, _ = geo.inverse(x, y, p[0], p[1])
-            step = float(s) * math.cos(math.radians(float(zp) - float(z)))
-            new = float(np.clip(t + step, 0, size))
-            if abs(new - t) < 1e-9:
-                break
-            t = new
-        x, y, _ = geo.direct(seg[k, 0], seg[k, 1], az[k], t)
-        d = float(geo.inverse(x, y, p[0], p[1])[0])
-        if d < best[1] - 1e-9:
-            best = (np.array([float(x), float(y)]), d, float(total[k] + t), int(k))
-    return best if best[0] is not None else (line[0], float(geo.inverse(*line[0], *p)[0]), 0.0, 0)
+    k = np.flatnonzero(np.diff(total) > 0)
+    if not len(k):
+        return line[0], float(geo.inverse(*line[0], *p)[0]), 0.0, 0
+    size, lon, lat, az = np.diff(total)[k], line[k, 0], line[k, 1], az[k]
+    s, zp, _ = geo.inverse(lon, lat, p[0], p[1])
+    t = np.clip(s * np.cos(np.radians(zp - az)), 0, size)
+    for _ in range(30):
+        x, y, z = geo.direct(lon, lat, az, t)
+        s, zp, _ = geo.inverse(x, y, p[0], p[1])
+        new = np.clip(t + s * np.cos(np.radians(zp - z)), 0, size)
+        done = np.abs(new - t).max() < 1e-6
+        t = new
+        if done:
+            break
+    x, y, _ = geo.direct(lon, lat, az, t)
+    d = geo.inverse(x, y, p[0], p[1])[0]
+    # Of equally near segments, such as two that share an end, the first.
+    i = int(np.flatnonzero(d <= d.min() + 1e-9)[0])
+    return np.array([float(x[i]), float(y[i])]), float(d[i]), float(total[k[i]] + t[i]), int(k[i])
 
 
 def point_to_line(g: Geom, p) -> float:
@@ -222,8 +217,15 @@ def line_slice(line: np.ndarray, p, q) -> np.ndarray:
 
 
 def line_chunk(line: np.ndarray, length: float) -> list[np.ndarray]:
-    total = _measures(line)[0][-1]
-    return [line_slice_along(line, k * length, min(total, (k + 1) * length)) for k in range(max(1, math.ceil(total / length - 1e-12)))]
+    """Pieces of a length, the last one shorter; the line is measured once for all of them."""
+    total, az = _measures(line)
+    if not total[-1] > 0:
+        raise ValueError("the slice is empty")
+    at = np.minimum(total[-1], length * np.arange(max(1, math.ceil(total[-1] / length - 1e-12)) + 1))
+    k = np.minimum(np.searchsorted(total, at, side="right") - 1, len(line) - 2)
+    x, y, _ = geo.direct(line[k, 0], line[k, 1], az[k], at - total[k])
+    cut = np.stack([x, y], axis=1)
+    return [np.concatenate([cut[[i]], line[(total > lo + 1e-9) & (total < hi - 1e-9)], cut[[i + 1]]]) for i, (lo, hi) in enumerate(zip(at, at[1:], strict=False))]
 
 
 def line_offset(line: np.ndarray, d: float, steps: int = 32) -> np.ndarray:

@@ -661,9 +661,8 @@ def _line_query(name: str, *args, digits: int = 6):
     @query(name)
     def f(spark, sf):
         u = _udfs()
-        few = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 6))))
-        out = getattr(u, name)(F.col("line"), *[F.lit(float(a)) for a in args])
-        rows = V.tracks(spark, sf).select("user_id", few.alias("line")).select("user_id", out.alias("g"))
+        out = getattr(u, name)(F.col("geom"), *[F.lit(float(a)) for a in args])
+        rows = V.tracks(spark, sf).select("user_id", out.alias("g"))
         return rows.select("user_id", F.posexplode(T.positions_of(F.col("g"))).alias("i", "p")).select("user_id", "i", r(F.col("p.x"), digits).alias("x"), r(F.col("p.y"), digits).alias("y"))
 
 
@@ -681,8 +680,7 @@ _line_query("bbox_clip", 80, 20, 110, 45)
 
 @query("nearest_point_on_line")
 def nearest_point_on_line(spark, sf):
-    few = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 6))))
-    n = _udfs().nearest_point_on_line(few, F.lit(100.0), F.lit(35.0))
+    n = _udfs().nearest_point_on_line(F.col("geom"), F.lit(100.0), F.lit(35.0))
     return V.tracks(spark, sf).select("user_id", n.alias("n")).select("user_id", r(F.col("n.x")).alias("x"), r(F.col("n.y")).alias("y"), r(F.col("n.dist"), 2).alias("metres"), F.col("n.index").alias("index"))
 
 
@@ -768,8 +766,7 @@ def isobands(spark, sf):
 
 @query("network_issues")
 def network_issues(spark, sf):
-    first = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 2))))
-    return _tables().network_issues(V.tracks(spark, sf).select("user_id", first.alias("geom")), "user_id", size=10.0)
+    return _tables().network_issues(V.tracks(spark, sf), "user_id", size=10.0)
 
 
 @query("coverage_overlaps")
