@@ -569,11 +569,18 @@ def tin(points: np.ndarray, z: np.ndarray) -> list[tuple[np.ndarray, tuple[float
 
 
 def voronoi(points: np.ndarray, box=None) -> list[Geom]:
+    """Cells within a box; unless one is given, the sites' own, wider by a tenth on each side or as far as a plane reaches."""
     p = np.asarray(points, float)
-    if box is None:
-        pad = np.maximum(np.ptp(p, axis=0), 1e-9) * 0.1
+    f = None
+    for share in (0.1 - k / 200 for k in range(21)) if box is None else ():
+        pad = np.maximum(np.ptp(p, axis=0), 1e-9) * max(share, 0.0)
         box = (*(p.min(0) - pad), *(p.max(0) + pad))
-    f = Frame(("MultiPoint", [[np.array([[box[0], box[1]], [box[2], box[3]]])]]))
+        try:
+            f = Frame(("MultiPoint", [[np.array([[box[0], box[1]], [box[2], box[3]]])]]))
+            break
+        except ValueError:
+            continue
+    f = f or Frame(("MultiPoint", [[np.array([[box[0], box[1]], [box[2], box[3]]])]]))
     corners = f.to(np.array([[box[0], box[1]], [box[2], box[1]], [box[2], box[3]], [box[0], box[3]]]))
     plane = (*corners.min(0), *corners.max(0))
     cover = pl.closed(corners)

@@ -717,7 +717,7 @@ def clusters_kmeans(spark, sf):
 
 @query("convex_hull")
 def convex_hull(spark, sf):
-    h = _tables().convex_hull(V.supplier_pt(spark, sf).filter("rlon between 80 and 120"), "rlon", "rlat")
+    h = _tables().convex_hull(V.supplier_pt(spark, sf), "rlon", "rlat")
     return h.select(F.posexplode(T.positions_of(F.col("geom"))).alias("i", "p")).select("i", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
@@ -744,7 +744,7 @@ def tin(spark, sf):
 
 @query("voronoi")
 def voronoi(spark, sf):
-    v = _tables().voronoi(V.supplier_pt(spark, sf).filter("rlon between 90 and 115").select(F.lit(1).alias("g"), "sid", "rlon", "rlat"), "g", "sid", "rlon", "rlat")
+    v = _tables().voronoi(V.supplier_pt(spark, sf).select(F.lit(1).alias("g"), "sid", "rlon", "rlat"), "g", "sid", "rlon", "rlat")
     return v.select("sid", r(_udfs().geodesic_area("geom") / 1e6, 1).alias("km2"))
 
 
