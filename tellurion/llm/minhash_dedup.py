@@ -33,7 +33,7 @@ from tellurion.llm.common import BROADCAST_ROWS, bounded, land, run_dir, table,
 
 SHINGLE, BUCKETS, BAND = 5, 128, 4
 MANTISSA = 10
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union; this is op6's bound.
 PERCENT = 85
 #: Classes in a block of an open bucket.
 BLOCK = 256
@@ -151,19 +151,19 @@ def estimate(same: np.ndarray) -> np.ndarray:
     return np.clip((same - CHANCE) / (1 - CHANCE), 0, 1)
 
 
-def least_estimate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def least_estimate(n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """What a pair at the bound stays above: six standard deviations of as many registers as are independent."""
-    j = PERCENT / 100
+    j = percent / 100
     own = np.minimum(BUCKETS, np.minimum(n_a, n_b)) / 2
     return j - 6 * np.sqrt(j * (1 - j) / own)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the bound."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, full: bool = False) -> DataFrame:
@@ -209,7 +209,7 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", "reg").mapInArrow(bounded(run), "key long, id long")
 
 
-def near(pairs: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs with set sizes and registers, those whose estimate may reach the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,18 +218,18 @@ def near(pairs: DataFrame) -> DataFrame:
                 continue
             na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             ra, rb = (np.frombuffer(b"".join(x.as_py() for x in b.column(i)), np.uint16).reshape(-1, BUCKETS) for i in (4, 5))
-            ok = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (estimate((ra == rb).mean(axis=1)) >= least_estimate(na, nb))
+            ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (estimate((ra == rb).mean(axis=1)) >= least_estimate(na, nb, percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(bounded(run), "a long, b long")
 
 
-def verify(pairs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs with full sets, those that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(bounded(run), "a long, b long")
@@ -261,7 +261,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _joined(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, regs: np.ndarray, items: list, left: int) -> list[tuple[int, int]]:
+def _joined(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, regs: np.ndarray, items: list, left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links of a block pair between what isn't joined yet; rows before ``left`` are compared with the rest, or all when 0."""
     parent = {r: r for r in roots.tolist()}
 
@@ -276,18 +276,18 @@ def _joined(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, regs: np.ndar
         at = np.arange(max(left, i + 1), n)
         at = at[roots[at] != roots[i]]
         if len(at):
-            at = at[100 * np.minimum(sizes[at], sizes[i]) >= PERCENT * np.maximum(sizes[at], sizes[i])]
+            at = at[100 * np.minimum(sizes[at], sizes[i]) >= percent * np.maximum(sizes[at], sizes[i])]
         if len(at):
-            at = at[estimate((regs[at] == regs[i]).mean(axis=1)) >= least_estimate(sizes[at], sizes[i])]
+            at = at[estimate((regs[at] == regs[i]).mean(axis=1)) >= least_estimate(sizes[at], sizes[i], percent)]
         for j in at.tolist():
             a, b = find(int(roots[i])), find(int(roots[j]))
-            if a != b and linked(items[i], items[j]):
+            if a != b and linked(items[i], items[j], percent):
                 parent[a] = b
                 out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], path: str) -> DataFrame:
+def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], path: str, percent: int = PERCENT) -> DataFrame:
     """Links inside buckets that hold several components, by block pairs."""
     rooted = member.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     rooted = land(rooted, f"{path}/rooted")
@@ -307,13 +307,13 @@ def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of:
         if left == 0 and pdf["i"].iat[0] != pdf["j"].iat[0] or left == len(pdf):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         regs = np.frombuffer(b"".join(pdf["reg"]), np.uint16).reshape(-1, BUCKETS)
-        out = _joined(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), regs, [np.frombuffer(x, np.uint64) for x in pdf["items"]], left)
+        out = _joined(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), regs, [np.frombuffer(x, np.uint64) for x in pdf["items"]], left, percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Null text counts as empty: no shingles, linked with nothing, kept. Rows with
@@ -342,11 +342,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = member.filter("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     light = classes.select("id", "n", "reg")
     pairs = pairs.join(light.toDF("a", "na", "ra"), "a").join(light.toDF("b", "nb", "rb"), "b")
-    pairs = land(near(pairs), f"{path}/pairs")
+    pairs = land(near(pairs, percent), f"{path}/pairs")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{path}/sets")
-    links = land(verify(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")), f"{path}/links")
+    links = land(verify(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b"), percent), f"{path}/links")
     roots = land(components(links, f"{path}/rounds"), f"{path}/roots")
-    more = land(open_links(member.select("key", "id"), classes, roots, sets_of, path), f"{path}/more")
+    more = land(open_links(member.select("key", "id"), classes, roots, sets_of, path, percent), f"{path}/more")
     if more.count():
         roots = land(components(links.unionByName(more), f"{path}/rounds-2"), f"{path}/roots-2")
 
@@ -356,9 +356,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    return without(docs, near_dedup(docs, id_col, text_col).filter("not kept").select("doc_id"), id_col)
+    return without(docs, near_dedup(docs, id_col, text_col, percent).filter("not kept").select("doc_id"), id_col)
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,26 @@
+"""Cases that earlier bounds of the operators left out."""
+
+import base64
+import random
+
+import numpy as np
+
+from tellurion.llm import minhash_dedup, secret_scan
+
+
+def test_near_dedup_bound_of_the_pipeline(spark):
+    """Pairs between 0.80 and 0.85 are near copies for the pipeline's stage, though not for op6."""
+    import corpus_pipeline as cp
+
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(200)]
+        rows.append((2 * k, " ".join(words)))
+        for at in (30, 80, 120, 170):
+            words[at] = f"n{k}x{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    a, b = (minhash_dedup.shingles(t) for _, t in rows[:2])
+    assert 0.80 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in cp.unlike(spark, docs, "").collect()) == list(range(0, 40, 2))
+    assert minhash_dedup.near_dedup(docs).filter("kept").count() == 40
