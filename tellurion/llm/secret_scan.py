@@ -33,7 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: "=" stands as padding only, so a value is parted from the name before it.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Share of false finds, and the least p-value at which a test still calls a token uniform.
 FDR, UNIFORM_P = 1e-3, 1e-3
 # Alphabets in the order in which they are tried.

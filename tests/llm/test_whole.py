@@ -24,3 +24,16 @@ def test_near_dedup_bound_of_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in cp.unlike(spark, docs, "").collect()) == list(range(0, 40, 2))
     assert minhash_dedup.near_dedup(docs).filter("kept").count() == 40
+
+
+def test_secrets_after_a_name():
+    random.seed(5)
+    for name in ("AWS_ACCESS=", "KEY=", "https://example.org/x?sig=", "AWS_SECRET_ACCESS_KEY="):
+        hits = 0
+        for _ in range(100):
+            value = base64.b64encode(random.randbytes(30)).decode()
+            text = f"see {name}{value} end"
+            hits += value not in secret_scan.redacted(text) and name in secret_scan.redacted(text)
+        assert hits >= 90, name
+    short = ["".join(random.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=19)) for _ in range(200)]
+    assert sum(bool(secret_scan.random_spans(f"key {x} end", [])) for x in short) >= 50
