@@ -287,14 +287,21 @@ def _joined(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, regs: np.ndar
     return out
 
 
+def open_buckets(rooted: DataFrame) -> DataFrame:
+    """key, n: the buckets that hold several components; of those with the same members one, as they are compared once.
+
+    Members are told by their number and two digests of hashed ids, which dense ids can't make agree.
+    """
+    digests = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("bits")]
+    counts = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *digests).filter("lo != hi")
+    return counts.groupBy("lo", "hi", "n", "all", "bits").agg(F.min("key").alias("key")).select("key", "n")
+
+
 def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], path: str, percent: int = PERCENT) -> DataFrame:
     """Links inside buckets that hold several components, by block pairs."""
     rooted = member.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     rooted = land(rooted, f"{path}/rooted")
-    counts = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("id").alias("all")).filter("lo != hi")
-    # Buckets with the same members are compared once.
-    counts = counts.groupBy("lo", "hi", "n", "all").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("same"))
-    open_ = land(rooted.join(counts.select("key", "n"), "key"), f"{path}/open")
+    open_ = land(rooted.join(open_buckets(rooted), "key"), f"{path}/open")
     sets = sets_of(open_.select("id").distinct(), f"{path}/open-sets")
     open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -37,3 +37,13 @@ def test_secrets_after_a_name():
         assert hits >= 90, name
     short = ["".join(random.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=19)) for _ in range(200)]
     assert sum(bool(secret_scan.random_spans(f"key {x} end", [])) for x in short) >= 50
+
+
+def test_unlike_buckets_stay_apart(spark):
+    """Buckets of the same size, roots and sum of ids, with other members; and one with the same members as another."""
+    root = dict.fromkeys((1, 5, 6, 7, 8), 1) | dict.fromkeys((100, 107), 100)
+    buckets = {11: (5, 8, 107), 12: (6, 7, 107), 13: (5, 8, 107), 14: (5, 6, 7)}
+    rooted = spark.createDataFrame([(k, i, root[i]) for k, ids in buckets.items() for i in ids], "key long, id long, root long")
+    assert sorted(map(tuple, minhash_dedup.open_buckets(rooted).collect())) == [(11, 3), (12, 3)]
+    large = spark.createDataFrame([(k, 2**62 + i, 2**62 + i) for k in (1, 2) for i in range(4)], "key long, id long, root long")
+    assert minhash_dedup.open_buckets(large).count() == 1
