@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +17,45 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``.
+    """The folder that all machines share: ``spark.checkpoint.dir``, or what the session set as its checkpoint folder.
 
-    Only a local session may go without it; it gets a temporary folder then.
+    Only a local session may go without either; it gets a temporary folder then.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="tellurion-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        # The setting itself can't be changed in a running session; the context keeps the folder.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tellurion-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+_made: list[tuple[str, str]] = []
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run's tables; ``scratch`` removes those made within it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders of the runs made in the block, whose results must have been written by its end.
+
+    Results are lazy and read those folders, so operators can't remove them on their own.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        jvm, own = spark.sparkContext._jvm, [p for app, p in _made[before:] if app == spark.sparkContext.applicationId]
+        del _made[before:]
+        for p in own:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

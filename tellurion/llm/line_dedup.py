@@ -1,17 +1,21 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Words are the unit of editing and one edit is the bound: a line is dropped when
-an earlier line of the corpus is equal to it, or differs by one word put in,
-left out or exchanged. Lines under ``NEAR_WORDS`` words are held to equality, and
-lines under ``LEAST_WORDS`` are left alone.
-
-Each line's variants, the line with one word deleted and the line with one gap, are
-emitted as hashed keys that name length and place. Lines that share a key are
-all within one edit of each other, so the earliest line of a key answers for
-all its lines: groups are aggregated, and pairs are never listed. Only lines
-that share the first or last half with another line can have a neighbour (one
-edit spares one half), so only those emit variants. Each answer is verified on
-the words themselves.
+A line is dropped when an earlier line of the corpus is equal to it or within one
+edit. The unit of editing is the word for pairs whose longer line has
+``WORD_EDITS`` words or more, and the character for pairs of shorter lines, of
+which a word would be a large part. White space counts as one space.
+
+A line's variants are the line with one unit left out and the line with one gap,
+as hashed keys that name length and place. Lines that share a key are all within
+one edit of each other, so the earliest line of a key answers for all its
+lines: groups are aggregated, and pairs are never listed. Each answer is verified
+on the lines themselves.
+
+A variant is emitted only where another line may have it. A line with a whole
+block of units left out says so cheaply: one edit lies in one block, and the lines
+agree in all others. Lines are first held against each other with one of two
+blocks left out, those that are left with one of ``BLOCKS``, and only the blocks
+that agree with another line's are taken apart. None of this loses a pair.
 
 Only DataFrame operations are used.
 """
@@ -23,60 +27,105 @@ from pyspark.sql import functions as F
 
 from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, table, text_of
 
-LEAST_WORDS, NEAR_WORDS = 3, 10
+#: Words of the longer line from which a pair is edited by words.
+WORD_EDITS = 10
+BLOCKS = 8
 LAST = 9223372036854775807
+#: A line's place in the corpus as one number that compares as (id, line) does.
+PLACE = "decimal(38,0)"
 
 
-def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, doc_id, ord, line (from 0), raw."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.select("rid", "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid, doc_id, ord, text: ``rid`` tells rows apart, ``ord`` puts null ids last."""
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
 
 
-def with_words(rows: DataFrame) -> DataFrame:
-    """``raw`` replaced by norm (words with one space between), n and key."""
-    # Single spaces, which are most, are left as they stand.
-    norm = F.trim(F.regexp_replace("raw", r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
-    rows = rows.withColumn("norm", norm).drop("raw")
-    rows = rows.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int"))
+def normalised(raw: Column) -> Column:
+    """Words with one space between; single spaces, which are most, are left as they stand."""
+    return F.trim(F.regexp_replace(raw, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """norm replaced or joined by n (words) and key (128 bits)."""
+    rows = rows.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int"))
     return rows.withColumn("key", F.substring(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)), 1, 16))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, doc_id, ord, line, norm, n, key."""
-    return with_words(raw_lines(docs, id_col, text_col))
+class Unit:
+    """Words or characters of the normalised line: how many, and the first or last few of them."""
 
+    def __init__(self, name: str):
+        self.name = name
 
-def halves(words: Column, n: Column) -> Column:
-    """Hashes of the first and last half, for pairs of equal length and for pairs with a line one word shorter."""
+    def length(self) -> Column:
+        return F.col("n") if self.name == "word" else F.length("norm")
 
-    def pair(length: Column) -> list[Column]:
-        m = F.floor(length / 2).cast("int")
-        return [F.xxhash64(length, F.lit(0), F.slice(words, F.lit(1), m)), F.xxhash64(length, F.lit(1), F.slice(words, n - m + 1, m))]
+    def ahead(self, k: Column) -> Column:
+        return F.call_function("substring_index", F.col("norm"), F.lit(" "), k) if self.name == "word" else F.substring("norm", F.lit(1), k)
 
-    return F.array(*pair(n), *pair(n - 1))
+    def behind(self, k: Column) -> Column:
+        if self.name == "word":
+            return F.call_function("substring_index", F.col("norm"), F.lit(" "), -k)
+        return F.substring("norm", F.length("norm") - k + 1, k)
 
+    def key(self, seed: int, m: Column, at: Column, a: Column, b: Column) -> Column:
+        """What stays of a line of ``m`` units, or of ``m + 1`` with one left out, without those from a to b."""
+        return F.xxhash64(F.lit(seed), F.lit(self.name), m, at, self.ahead(a), self.behind(m - b))
 
-def chain(hashes: Column) -> Column:
-    """Running hashes: of no word, the first, the first two, and so on."""
-    zero = F.struct(F.lit(0).cast("long").alias("h"), F.array(F.lit(0).cast("long")).alias("all"))
 
-    def step(acc: Column, x: Column) -> Column:
-        h = F.xxhash64(acc["h"], x)
-        return F.struct(h.alias("h"), F.concat(acc["all"], F.array(h)).alias("all"))
+WORD, CHAR = Unit("word"), Unit("char")
+#: (unit, whether the line is the longer one or of equal length, what lines take part): lengths are those that stay.
+SLOTS = [
+    (WORD, True, lambda n: n >= WORD_EDITS),
+    (WORD, False, lambda n: n >= WORD_EDITS - 1),
+    (CHAR, True, lambda n: (n > 0) & (n < WORD_EDITS)),
+    (CHAR, False, lambda n: (n > 0) & (n < WORD_EDITS)),
+]
 
-    return F.aggregate(hashes, zero, step)["all"]
 
+def bounds(m: Column, block, blocks: int) -> tuple[Column, Column]:
+    """Where a block of a line of m units begins and ends."""
+    i = block if isinstance(block, Column) else F.lit(block)
+    return F.floor(i * m / blocks).cast("int"), F.floor((i + 1) * m / blocks).cast("int")
 
-def variants(lines: DataFrame) -> DataFrame:
-    """k, k2 for each variant of each line: one of its words deleted, or one gap, told apart by length and place."""
-    rows = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("ahead", chain(F.col("h"))).withColumn("behind", chain(F.reverse("h")))
-    rows = rows.withColumn("x", F.aggregate("h", F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+
+def block_keys(blocks: int) -> Column:
+    """An array of (slot, block, k) for each block left out under each slot that the line takes part in."""
+    out = []
+    for s, (unit, longer, part) in enumerate(SLOTS):
+        m = unit.length() - (1 if longer else 0)
+        for i in range(blocks):
+            k = unit.key(blocks, m, F.lit(i), *bounds(m, i, blocks))
+            out.append(F.when(part(F.col("n")), F.struct(F.lit(s).alias("slot"), F.lit(i).alias("block"), k.alias("k"))))
+    return F.array_compact(F.array(*out))
+
+
+def halves() -> list[Column]:
+    """The keys with one of two blocks left out: four for the unit that all of a line's pairs share, two for its other."""
     n = F.col("n")
-    deleted = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(n - 1, i, F.element_at("ahead", i), F.element_at("behind", n - i + 1)).alias("k"), F.col("x").bitwiseXOR(F.element_at("h", i)).alias("k2")))
-    gap = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.struct(F.xxhash64(n, i, F.element_at("ahead", i), F.element_at("behind", n - i + 2)).alias("k"), F.col("x").alias("k2")))
-    return rows.select("id", "ord", "line", F.explode(F.concat(deleted, gap)).alias("v")).select("id", "ord", "line", "v.k", "v.k2")
+    own = []
+    for longer in (True, False):
+        for i in (0, 1):
+            w, c = (F.when(p(n), u.key(2, (m := u.length() - (1 if longer else 0)), F.lit(i), *bounds(m, i, 2))) for u, x, p in SLOTS if x == longer)
+            own.append((w, c))
+    # A line takes part by words, by characters, or, one word short of the bound, by both.
+    columns = [F.coalesce(w, c) for w, c in own]
+    both = [F.when(n == WORD_EDITS - 1, c) for _, c in own[2:]]
+    return columns + both
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """k, k2 for each place in the blocks that ``lines`` (key, at, n, norm, slot, block) name."""
+    out = None
+    for s, (unit, longer, _) in enumerate(SLOTS):
+        m = unit.length() - (1 if longer else 0)
+        a, b = bounds(m, F.col("block"), BLOCKS)
+        rows = lines.filter(F.col("slot") == s).select("key", "at", "n", "norm", F.explode(F.sequence(a, b)).alias("j"))
+        j = F.col("j")
+        rows = rows.select("key", "at", unit.key(1, m, j, j, j).alias("k"), unit.key(2, m, j, j, j).alias("k2"))
+        out = rows if out is None else out.unionByName(rows)
+    # Neighbouring blocks share a place.
+    return out.distinct()
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -90,80 +139,104 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(p == 0, True).when(F.size(a) == F.size(b), rest(a, p + 1) == rest(b, p + 1)).when(F.size(a) == F.size(b) + 1, rest(a, p + 1) == rest(b, p)).when(F.size(b) == F.size(a) + 1, rest(b, p + 1) == rest(a, p)).otherwise(False)
 
 
-def near_lines(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """id, near_ord, near_line: distinct lines with an earlier neighbour, and the earliest one."""
-    long = first.filter(F.col("n") >= NEAR_WORDS)
-    half = long.select("id", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("half")
-    some = land(half.join(shared, "half").select("id").distinct().join(first.select("id", "key", "ord", "line"), "id"), f"{path}/hopeful")
-    keys = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-    # Their words come from where each stands first.
-    lines = raw_lines(docs, id_col, text_col).select("ord", "line", "raw").join(keys.withColumnRenamed("key", "own_key"), ["ord", "line"])
+def small(df: DataFrame) -> DataFrame:
+    """A landed table marked for broadcasting if it was counted and is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def near_lines(rows: DataFrame, first: DataFrame, path: str) -> DataFrame:
+    """key, near: distinct lines with a neighbour, and the place of the earliest one; ``rows`` are the documents."""
+    ids = first.filter("n > 0").select(F.xxhash64("key").alias("id"), F.explode(F.array_compact(F.array("h0", "h1", "h2", "h3", "h4", "h5"))).alias("half"))
+    shared = ids.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
+    some = land(ids.join(shared, "half", "left_semi").select("id").distinct(), f"{path}/hopeful")
+    some = first.withColumn("id", F.xxhash64("key")).join(small(some), "id", "left_semi").select("key", "at")
+    # Their words come from where each stands first: a document is taken apart for the lines that it is asked for.
+    width = F.lit(1 << 31).cast("decimal(10,0)")
+    some = some.select("key", "at", F.floor(F.col("at") / width).cast("long").alias("of"), F.pmod("at", width).cast("int").alias("line"))
+    asked = land(some.groupBy("of").agg(F.collect_list(F.struct("key", "at", "line")).alias("own")), f"{path}/asked")
+    lines = rows.join(small(asked), rows["ord"] == asked["of"]).select(F.split("text", "\n").alias("raw"), "own").select("raw", F.explode("own").alias("o"))
+    lines = lines.select(F.col("o.key").alias("of"), F.col("o.at").alias("at"), normalised(F.get("raw", F.col("o.line"))).alias("norm"))
     # An id may come with several texts: the line's own has its key.
-    lines = with_words(lines).filter("key = own_key").dropDuplicates(["id"]).select("id", "ord", "line", "n", F.split("norm", " ").alias("words"))
+    lines = keyed(lines.filter("norm is not null")).filter("key = of").dropDuplicates(["key"]).select("key", "at", "n", "norm")
     lines = land(lines, f"{path}/words")
-    every = variants(lines)
-    earliest = every.groupBy("k", "k2").agg(F.min(F.struct("ord", "line", "id")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    found = every.join(earliest, ["k", "k2"]).filter("id != top.id").groupBy("id").agg(F.min("top").alias("top"))
-    found = found.select("id", F.col("top.id").alias("near_id"), F.col("top.ord").alias("near_ord"), F.col("top.line").alias("near_line"))
-    words = lines.select("id", "words")
-    pairs = found.join(words, "id").join(words.toDF("near_id", "near_words"), "near_id")
-    return land(pairs.filter(within_one(F.col("words"), F.col("near_words"))).select("id", "near_ord", "near_line"), f"{path}/near")
+
+    blocks = lines.select("key", F.explode(block_keys(BLOCKS)).alias("b")).select("key", "b.slot", "b.block", "b.k")
+    blocks = land(blocks, f"{path}/blocks")
+    shared = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
+    taken = blocks.join(shared, "k", "left_semi").select("key", "slot", "block")
+    every = land(variants(taken.join(lines, "key")), f"{path}/variants")
+    top = every.groupBy("k", "k2").agg(F.min("at").alias("near"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2", "near")
+    found = every.join(top, ["k", "k2"]).filter("at != near").groupBy("key").agg(F.min("near").alias("near"))
+    pairs = found.join(lines.select("key", "n", "norm"), "key").join(lines.select(F.col("at").alias("near"), F.col("n").alias("m"), F.col("norm").alias("other")), "near")
+    same = F.when(F.greatest("n", "m") < WORD_EDITS, F.levenshtein("norm", "other", 1) >= 0).otherwise(within_one(F.split("norm", " "), F.split("other", " ")))
+    return land(pairs.filter(same).select("key", "near"), f"{path}/near")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, n_lines, n_exact, n_near, dropped for rows of (rid, doc_id, ord, text)."""
+    path = run_dir(rows.sparkSession, "line-dedup")
+    lines = rows.select("rid", "doc_id", "ord", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("norm", normalised(F.col("raw"))).drop("raw")
+    at = (F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")).cast(PLACE)
+    lines = keyed(lines).select("rid", "doc_id", at.alias("at"), "line", "n", "key", *[h.alias(f"h{i}") for i, h in enumerate(halves())])
+    lines = land(lines, f"{path}/lines")
+    # Numbers only, so that groups are hashed and never sorted.
+    first = lines.filter("n > 0").groupBy("key").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n"), *[F.max(f"h{i}").alias(f"h{i}") for i in range(6)])
+    first = land(first, f"{path}/first")
+    near = near_lines(rows, first, path)
+    told = first.select("key", F.col("at").alias("first"), "times").join(near, "key", "left").withColumn("near", F.coalesce(F.col("near") < F.col("first"), F.lit(False)))
+    told = land(told.filter("times > 1 or near").drop("times"), f"{path}/told")
+    out = lines.filter("n > 0").select("rid", "line", "at", "key").join(small(told), "key")
+    out = out.select("rid", "line", (F.col("at") != F.col("first")).alias("exact"), "near").filter("exact or near")
+    out = out.groupBy("rid").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.sort_array(F.collect_list("line")).alias("dropped"))
+    whole = lines.groupBy("rid", "doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<int>")
+    return whole.join(out, "rid", "left").select("rid", "doc_id", "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_exact, n_near, dropped (line numbers from 0, ascending).
 
-    Earlier means a smaller id, then a smaller line number. Null text is the
-    empty text, one line without words, which is never dropped. Null ids come
-    last. Of rows that repeat an id each keeps the lines that come first under
-    that id. An empty table gives an empty result; other columns play no part.
+    Earlier means a smaller id, then a smaller line number. Lines without words
+    are never dropped, and a null text is one such line. Null ids come last. Of
+    rows that repeat an id each keeps the lines that come first under that id.
+    An empty table gives an empty result; other columns play no part.
     """
-    path = run_dir(docs.sparkSession, "line-dedup")
-    # Words are a column of their own, so that a line is split once for all its halves.
-    rows = lines_of(docs, id_col, text_col).withColumn("words", F.split("norm", " "))
-    rows = rows.withColumn("halves", F.when(F.col("n") >= NEAR_WORDS, halves(F.col("words"), F.col("n"))))
-    rows = land(rows.drop("norm", "words"), f"{path}/lines")
-    tried = rows.filter(F.col("n") >= LEAST_WORDS)
-    first = tried.groupBy("key").agg(F.min(F.struct("ord", "line")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    first = land(first.select("key", F.xxhash64("key").alias("id"), "at.ord", "at.line", "n", "halves"), f"{path}/first")
-    near = near_lines(docs, first, id_col, text_col, path)
-    told = first.select("key", "id", F.col("ord").alias("first_ord"), F.col("line").alias("first_line")).join(near, "id", "left")
-    earlier = F.coalesce(F.struct("near_ord", "near_line") < F.struct(F.col("first_ord").alias("near_ord"), F.col("first_line").alias("near_line")), F.lit(False))
-    told = land(told.select("key", "first_ord", "first_line", (F.col("near_ord").isNotNull() & earlier).alias("near")), f"{path}/told")
-    again = ~((F.col("ord") == F.col("first_ord")) & (F.col("line") == F.col("first_line")))
-    out = rows.select("rid", "doc_id", "ord", "line", "key").join(told, "key", "left")
-    out = out.withColumn("exact", F.coalesce(again, F.lit(False))).withColumn("near", ~F.col("exact") & F.coalesce("near", F.lit(False)))
-    out = out.groupBy("rid", "doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("exact").alias("n_exact"),
-        F.count_if("near").alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line")))).alias("dropped"),
-    )
-    return out.drop("rid")
+    return marked(numbered(docs, id_col, text_col)).drop("rid")
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with dropped lines taken out of their texts; all columns stay."""
-    gone = line_dedup(docs, id_col, text_col).filter(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")).dropDuplicates(["_id"])
-    out = docs.join(gone, docs[id_col] == gone["_id"], "left")
-    kept = F.array_join(F.filter(F.split(out[text_col], "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    return out.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    """The rows with dropped lines taken out of their texts; all columns stay, whatever their names.
+
+    Rows are told apart by a number of their own, so rows that repeat an id keep
+    what is theirs. Null texts stay null.
+    """
+    path = run_dir(docs.sparkSession, "without-lines")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = land(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), f"{path}/rows")
+    text = names[docs.columns.index(text_col)]
+    rows = own.select("rid", F.col(names[docs.columns.index(id_col)]).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
+    gone = marked(rows).filter(F.size("dropped") > 0).select("rid", "dropped")
+    out = own.join(gone, "rid", "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    out = out.withColumn(text, F.when(F.col("dropped").isNull(), F.col(text)).otherwise(kept))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).withColumn("dropped", F.array_join("dropped", ","))
 
 
-# Every line with a wildcard for each word and in each gap; lines that share such a string are within one edit.
+# Every line with a wildcard for each unit and in each gap; lines that share such a string are within one edit.
 SQL = rf"""
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
 l AS MATERIALIZED (SELECT doc_id, line, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM d),
-f AS MATERIALIZED (SELECT w, min((doc_id, line)) AS loc FROM l WHERE len(w) >= {LEAST_WORDS} GROUP BY w),
+f AS MATERIALIZED (SELECT w, min((doc_id, line)) AS loc, array_to_string(w, ' ') AS s FROM l WHERE len(w) > 0 GROUP BY w),
 v AS MATERIALIZED (SELECT DISTINCT w, loc, unnest(list_concat(
-    list_transform(range(1, len(w) + 1), lambda i: md5(array_to_string(list_concat(w[1 : i - 1], [chr(9)], w[i + 1 :]), ' '))),
-    list_transform(range(1, len(w) + 2), lambda i: md5(array_to_string(list_concat(w[1 : i - 1], [chr(9)], w[i :]), ' '))))) AS k
-  FROM f WHERE len(w) >= {NEAR_WORDS}),
+    CASE WHEN len(w) >= {WORD_EDITS} THEN list_transform(range(1, len(w) + 1), lambda i: md5('w' || array_to_string(list_concat(w[1 : i - 1], [chr(9)], w[i + 1 :]), ' '))) ELSE [] END,
+    CASE WHEN len(w) >= {WORD_EDITS} - 1 THEN list_transform(range(1, len(w) + 2), lambda i: md5('w' || array_to_string(list_concat(w[1 : i - 1], [chr(9)], w[i :]), ' '))) ELSE [] END,
+    CASE WHEN len(w) < {WORD_EDITS} THEN list_transform(range(1, length(s) + 1), lambda i: md5('c' || substr(s, 1, i - 1) || chr(9) || substr(s, i + 1))) ELSE [] END,
+    CASE WHEN len(w) < {WORD_EDITS} THEN list_transform(range(1, length(s) + 2), lambda i: md5('c' || substr(s, 1, i - 1) || chr(9) || substr(s, i))) ELSE [] END)) AS k
+  FROM f),
 g AS (SELECT k, min(loc) AS top FROM v GROUP BY k),
 near AS (SELECT w, min(top) AS top FROM v JOIN g USING (k) GROUP BY w),
 t AS (SELECT l.doc_id, l.line, f.loc IS NOT NULL AND (l.doc_id, l.line) <> f.loc AS exact, coalesce(near.top < f.loc, false) AS near

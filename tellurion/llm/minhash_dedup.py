@@ -11,9 +11,10 @@ sets have full sketches too. Runs of registers are band keys.
    chance collisions of registers, may reach the bound, and is then verified
    on the full sets. Verified links give components.
 3. Buckets whose classes all lie in one component can add nothing. The classes of
-   the others are dealt in blocks, and the block pairs are compared in place:
-   estimates first, then full sets, keeping only links that join what isn't
-   joined yet. Nothing is capped; all links found give the final components.
+   the others are dealt in blocks. A block pair is compared on registers first; the
+   classes that have a candidate in it come again with their full sets, and only
+   links that join what isn't joined yet are kept. Nothing is capped; all links found
+   give the final components.
 
 No step emits all pairs of a bucket, and no step brings a whole bucket to one task.
 """
@@ -261,8 +262,30 @@ def components(links: DataFrame, path: str) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _candidates(at: int, n: int, first: int, roots: np.ndarray, sizes: np.ndarray, regs: np.ndarray, percent: int) -> np.ndarray:
+    """Rows from ``first`` on, of another component than row ``at``, whose estimate with it may reach the bound."""
+    out = np.arange(first, n)
+    out = out[roots[out] != roots[at]]
+    if len(out):
+        out = out[100 * np.minimum(sizes[out], sizes[at]) >= percent * np.maximum(sizes[out], sizes[at])]
+    if len(out):
+        out = out[estimate((regs[out] == regs[at]).mean(axis=1)) >= least_estimate(sizes[out], sizes[at], percent)]
+    return out
+
+
+def _involved(roots: np.ndarray, sizes: np.ndarray, regs: np.ndarray, left: int, percent: int = PERCENT) -> np.ndarray:
+    """Whether each row of a block pair has a candidate in it; rows before ``left`` are compared with the rest, or all when 0."""
+    n = len(roots)
+    out = np.zeros(n, bool)
+    for i in range(left or n):
+        found = _candidates(i, n, max(left, i + 1), roots, sizes, regs, percent)
+        out[found] = True
+        out[i] |= len(found) > 0
+    return out
+
+
 def _joined(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, regs: np.ndarray, items: list, left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of a block pair between what isn't joined yet; rows before ``left`` are compared with the rest, or all when 0."""
+    """Links of a block pair between what isn't joined yet, verified on full sets."""
     parent = {r: r for r in roots.tolist()}
 
     def find(x):
@@ -273,13 +296,7 @@ def _joined(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, regs: np.ndar
 
     out, n = [], len(ids)
     for i in range(left or n):
-        at = np.arange(max(left, i + 1), n)
-        at = at[roots[at] != roots[i]]
-        if len(at):
-            at = at[100 * np.minimum(sizes[at], sizes[i]) >= percent * np.maximum(sizes[at], sizes[i])]
-        if len(at):
-            at = at[estimate((regs[at] == regs[i]).mean(axis=1)) >= least_estimate(sizes[at], sizes[i], percent)]
-        for j in at.tolist():
+        for j in _candidates(i, n, max(left, i + 1), roots, sizes, regs, percent).tolist():
             a, b = find(int(roots[i])), find(int(roots[j]))
             if a != b and linked(items[i], items[j], percent):
                 parent[a] = b
@@ -301,23 +318,39 @@ def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of:
     """Links inside buckets that hold several components, by block pairs."""
     rooted = member.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     rooted = land(rooted, f"{path}/rooted")
-    open_ = land(rooted.join(open_buckets(rooted), "key"), f"{path}/open")
-    sets = sets_of(open_.select("id").distinct(), f"{path}/open-sets")
+    open_ = rooted.join(open_buckets(rooted), "key")
     open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", "id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    full = open_.join(classes.select("id", "n", "reg").join(sets, "id"), "id")
+    # Registers first: only classes with a candidate in a block pair bring their full sets to it.
+    light = open_.join(classes.select("id", "n", "reg"), "id")
+
+    def first_of(pdf: pd.DataFrame) -> int | None:
+        """Where the second block begins; 0 for a block with itself, None where one of two is empty."""
+        if pdf["i"].iat[0] == pdf["j"].iat[0]:
+            return 0
+        left = int((pdf["own"] == pdf["i"]).sum())
+        return left if 0 < left < len(pdf) else None
+
+    def registers_of(pdf: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(pdf["reg"]), np.uint16).reshape(-1, BUCKETS)
+
+    def involve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "id"])
+        left = first_of(pdf)
+        own = np.zeros(len(pdf), bool) if left is None else _involved(pdf["root"].to_numpy(), pdf["n"].to_numpy(), registers_of(pdf), left, percent)
+        return pdf.loc[own, ["key", "i", "j", "own", "id", "root", "n", "reg"]]
+
+    some = land(light.groupBy("key", "i", "j").applyInPandas(involve, "key long, i int, j int, own int, id long, root long, n long, reg binary"), f"{path}/open")
+    sets = sets_of(some.select("id").distinct(), f"{path}/open-sets")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["own", "id"])
-        left = 0 if pdf["i"].iat[0] == pdf["j"].iat[0] else int((pdf["own"] == pdf["i"]).sum())
-        if left == 0 and pdf["i"].iat[0] != pdf["j"].iat[0] or left == len(pdf):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        regs = np.frombuffer(b"".join(pdf["reg"]), np.uint16).reshape(-1, BUCKETS)
-        out = _joined(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), regs, [np.frombuffer(x, np.uint64) for x in pdf["items"]], left, percent)
+        left = first_of(pdf)
+        out = [] if left is None else _joined(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), registers_of(pdf), [np.frombuffer(x, np.uint64) for x in pdf["items"]], left, percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return some.join(sets, "id").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -358,7 +391,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = land(components(links.unionByName(more), f"{path}/rounds-2"), f"{path}/roots-2")
 
     named = rep.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    out = sk.select("doc_id", "n", "digest").join(named, "digest", "left")
+    # Documents without words have no digest; a key of their own keeps them from meeting in one task.
+    named = named.withColumnRenamed("digest", "of")
+    own_key = F.coalesce("digest", F.lpad(F.xxhash64("doc_id").cast("string"), 24, " ").cast("binary")).alias("of")
+    out = sk.select("doc_id", "n", own_key).join(named, "of", "left")
     own = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import binascii
 import json
+import math
 import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ from tellurion.llm.common import bounded, land, run_dir, table, text_of
 CAPACITY = 2048
 #: Documents in a sequence, and its attention cost. These bind nothing that tokens don't, so that sequences are few.
 MAX_DOCS, MAX_COST = CAPACITY, CAPACITY * CAPACITY
+#: What each capacity's residual weighs in the norm.
 WEIGHTS = (1.0, 0.05, 0.05)
 #: Pieces in a shard, about; each shard closes with one part-filled sequence or a few.
 SHARD = 20_000
@@ -151,10 +152,14 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int = MAX_COST, weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece; lengths come in any order, none above the capacity.
 
-    Open bins with the same residuals are alike, so they are kept in stacks by
-    residual tokens; a bin leaves when it has no token or document left.
+    A piece is held against all open bins of its shard in one array operation; a bin
+    leaves when it has no token, document or cost left. Raises ValueError for a
+    piece that no empty bin takes.
     """
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    longest = int(lengths.max()) if len(lengths) else 0
+    if longest > capacity or longest * longest > max_cost or max_docs < 1:
+        raise ValueError("a piece is beyond an empty sequence's capacity")
     caps = np.array([capacity, max_docs, max_cost], float)
     size = 1024
     left, number, used = np.zeros((size, 3)), np.zeros(size, np.int64), 0
@@ -185,28 +190,37 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int = MAX_COST, weights: tuple[float, float, float] = WEIGHTS, shard: int = SHARD) -> DataFrame:
-    """Landed pieces with sequence_id and offset added; other columns of the pieces stay."""
+    """Landed pieces with sequence_id and offset added; other columns of the pieces stay.
+
+    A piece that is above ``max_cost`` by itself would fit nowhere: that is an error.
+    """
     rows_in = rows.count()
     n = max(1, -(-rows_in // shard))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
-        bins, offsets = best_fit(pdf["length"].to_numpy(), capacity, max_docs, max_cost, weights)
-        return pdf.drop(columns="shard").assign(sequence_id=pdf["shard"].to_numpy().astype(np.int64) * (1 << 32) + bins, offset=offsets)
+    def run(t: pa.Table) -> pa.Table:
+        # Arrow keeps ids whole beside nulls, which pandas would turn into floats.
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        bins, offsets = best_fit(t.column("length").to_numpy(), capacity, max_docs, max_cost, weights)
+        place = np.int64(t.column("shard")[0].as_py()) * (1 << 32) + bins
+        return t.drop_columns(["shard"]).append_column("sequence_id", pa.array(place)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("shard").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts hold the end id alone. A null doc_id stays null; rows
-    that repeat an id are documents of their own. An empty table gives an empty
-    result; other columns play no part.
+    ``max_docs`` and ``max_cost`` (the sum of squared lengths) bound a sequence
+    beside its tokens; left out, tokens alone bind, for the fewest sequences.
+    Pieces are cut so that each is within the cost by itself. Null and empty
+    texts hold the end id alone. A null doc_id stays null; rows that repeat an id
+    are documents of their own. An empty table gives an empty result; other
+    columns play no part.
     """
-    own = land(pieces(docs, path, id_col, text_col, capacity=capacity), f"{run_dir(docs.sparkSession, 'packing')}/pieces")
-    return pack(own, capacity, capacity, capacity * capacity)
+    piece = min(capacity, math.isqrt(max_cost)) if max_cost else capacity
+    own = land(pieces(docs, path, id_col, text_col, capacity=piece), f"{run_dir(docs.sparkSession, 'packing')}/pieces")
+    return pack(own, capacity, max_docs or capacity, max_cost or capacity * capacity)
 
 
 def op7_vector_best_fit(spark, sf_dir: str) -> DataFrame:
