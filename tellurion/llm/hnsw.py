@@ -1,28 +1,44 @@
 """Approximate nearest neighbours: a navigable small-world graph with layers for each shard.
 
 Equal vectors are one vertex, so that thousands of copies can't cut the graph
-off; their smallest ids are kept beside it. Distinct vectors are dealt over shards
-of bounded size by hash. A shard's graph is a stack of layers; each layer is a flat
-array of neighbour places, filled with -1, built from the top down in batches.
-Shards are landed as rows of binary arrays. Every shard is searched for every
-query of its dimension, in blocks, and the shards' nearest are merged.
+off; their smallest ids are kept beside it. Distinct vectors are dealt over cells
+by their nearest centre (centres are fitted on a bounded sample; every vector is
+indexed), and cells over shards of bounded size by hash. A shard's graph is a
+stack of layers; each layer is a flat array of neighbour places, filled with -1,
+built from the top down in batches. Shards are landed as rows of binary arrays.
+
+A query visits the shards of its nearest cells, and the shards' nearest are merged.
+How many cells is measured on the sample, against brute force there: the fewest that
+hold ``HELD`` of the true neighbours. Vectors that lie in clusters need few cells at
+any size; those without structure need most, as nothing less would find them. A
+shard is sent to one task, unless its queries fill several blocks. Cells grow in
+number with the vectors up to ``SAMPLE / PER_CENTRE``; beyond that each takes more shards.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import land, run_dir, table
+from tellurion.llm.common import bounded, land, run_dir, table
 
 #: Neighbours a vertex has above and in the lowest layer; candidates kept while building and searching.
 DEGREE, DEGREE_0, BUILD, SEARCH = 16, 32, 80, 160
-#: Distinct vectors in a shard and queries in a block, about.
-SHARD, BLOCK = 8192, 8192
+#: Distinct vectors in a shard: at least, and, where there are more than ``SHARDS`` such shards, at most.
+SHARD, SHARD_MOST, SHARDS = 8192, 65536, 1024
+#: Queries in a block, about.
+BLOCK = 8192
+#: Share of true neighbours that the visited cells must hold, measured for so many vectors of the sample.
+HELD, MEASURED = 0.97, 500
+#: Vectors that centres are fitted on at most, in number and bytes, how many for each centre, and rounds of fitting.
+SAMPLE, SAMPLE_BYTES, PER_CENTRE, ROUNDS = 100_000, 64 << 20, 20, 8
 AT_ONCE, BATCH = 4, 256
 
 
@@ -154,55 +170,147 @@ def descend(x: np.ndarray, layers: list, q: np.ndarray, top: int) -> np.ndarray:
     return entry
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vectors in single precision, which graphs are built and walked in, and what they were divided by."""
+    by = float(np.abs(x).max()) or 1.0
+    return (x / by).astype(np.float32), by
+
+
 def search(x: np.ndarray, layers: list, q: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest found; what the walk keeps is measured again in double precision."""
     place, dist = [], []
+    near, by = scaled(x)
     for lo in range(0, len(q), BATCH):
         own = q[lo : lo + BATCH]
-        p, d = beam(x, layers[-1][1], own, descend(x, layers[:-1], own, 0), max(width, k))
-        place.append(p[:, :k])
-        dist.append(d[:, :k])
+        walk = np.clip(own / by, -1e18, 1e18).astype(np.float32)
+        p, _ = beam(near, layers[-1][1], walk, descend(near, layers[:-1], walk, 0), max(width, k))
+        with np.errstate(over="ignore"):
+            d = squared(x, p, own)
+        order = np.lexsort((p, d), axis=1)[:, :k]
+        place.append(np.take_along_axis(p, order, 1))
+        dist.append(np.sqrt(np.take_along_axis(d, order, 1)))
     return np.concatenate(place), np.concatenate(dist)
 
 
-INDEX = "dim int, shard int, ids binary, vectors binary, layers array<binary>"
-
-
-def build_index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """A row per shard from distinct vectors (rep long, v array<double>): ids, vectors and flat neighbour arrays."""
-    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+def fit_centres(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
+    """k centres by a few rounds of Lloyd's algorithm from a fixed choice of rows."""
+    x, _ = scaled(x)
+    c = x[np.random.Generator(np.random.PCG64(seed)).choice(len(x), k, replace=False)]
+    for _ in range(ROUNDS if k > 1 else 0):
+        own = nearest_centres(x, c, 1)[:, 0]
+        n = np.bincount(own, minlength=k)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c).astype(np.float32)
+    return c
+
+
+def nearest_centres(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of each row's k nearest centres, in blocks."""
+    norm, out = np.einsum("id,id->i", c, c), []
+    for lo in range(0, len(x), 1024):
+        d = norm[None] - 2 * (x[lo : lo + 1024] @ c.T)
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(d), 1)))
+    return np.concatenate(out) if out else np.zeros((0, k), int)
+
+
+def probes_needed(x: np.ndarray, c: np.ndarray, k: int = 10, held: float = HELD) -> int:
+    """The fewest nearest cells of a row that hold so many of its k nearest rows, over the first rows of a sample."""
+    if len(c) == 1 or len(x) < 2:
+        return len(c)
+    own = nearest_centres(x, c, 1)[:, 0]
+    q = x[:MEASURED]
+    norm, needed = np.einsum("id,id->i", x, x), []
+    for lo in range(0, len(q), 64):
+        d = norm[None] - 2 * (q[lo : lo + 64] @ x.T)
+        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+        near = own[np.argpartition(d, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]]
+        order = np.argsort(np.einsum("id,id->i", c, c)[None] - 2 * (q[lo : lo + 64] @ c.T), axis=1)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(c))[None].repeat(len(order), 0), 1)
+        needed.append(np.take_along_axis(place, near, 1).ravel())
+    return int(np.quantile(np.concatenate(needed), held, method="higher")) + 1
+
+
+#: A class of equal vectors goes by its smallest id and a hash of the vector, since an id may come with several.
+INDEX = "dim int, cell int, shard int, ids binary, marks binary, vectors binary, layers array<binary>"
+
+
+class Cells:
+    """Centres for each length of vector, what they were scaled by, and how many cells a query visits."""
+
+    def __init__(self, centres: dict[int, tuple[np.ndarray, float, int]]):
+        self.centres = centres
+
+    def of(self, rows: DataFrame, every_probe: bool) -> DataFrame:
+        """``rows`` (with v, array<double>) with dim and cell added, in their nearest cell or in each that they visit."""
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        centres, at = self.centres, rows.columns.index("v")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes = np.asarray(pc.list_value_length(b.column(at)))
+                for dim in np.unique(sizes):
+                    if dim in centres:
+                        x = b.filter(pa.array(sizes == dim))
+                        c, by, probes = centres[dim]
+                        v = x.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                        near = nearest_centres(np.clip(v / by, -1e18, 1e18).astype(np.float32), c, probes if every_probe else 1)
+                        rows = x.take(pa.array(np.repeat(np.arange(len(v)), near.shape[1])))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(near.size, dim), pa.int32()), pa.array(near.ravel(), pa.int32())], [*rows.schema.names, "dim", "cell"])
+
+        return rows.mapInArrow(bounded(run), f"{fields}, dim int, cell int")
+
+
+def fit_cells(vectors: DataFrame, shard: int | None = None) -> tuple[Cells, int]:
+    """Cells from a sample that a hash of the ids chooses, and the size of a shard."""
+    counts = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = max(counts.values(), default=0)
+    size = shard or min(SHARD_MOST, max(SHARD, most // SHARDS))
+    centres = {}
+    for dim, n in counts.items():
+        cap = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        rows = vectors.filter(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(min(n, cap)) if n > size else None
+        x = np.stack([np.asarray(r["v"], float) for r in rows.select("v").collect()]) if rows is not None else np.zeros((1, dim))
+        k = max(1, min(-(-n // size), len(x) // PER_CENTRE)) if rows is not None else 1
+        c, (own, by) = fit_centres(x, k), scaled(x)
+        centres[dim] = (c, by, probes_needed(own, c))
+    return Cells(centres), size
+
+
+def build_index(vectors: DataFrame, path: str, shard: int | None = None) -> tuple[DataFrame, Cells]:
+    """A row per shard from distinct vectors (rep long, mark long, v array<double>), landed: ids, vectors and flat neighbour arrays."""
+    cells, size = fit_cells(vectors, shard)
+    dealt = land(cells.of(vectors.select("rep", "mark", "v"), False), f"{path}/dealt")
+    counts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("shards"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
+        pdf = pdf.sort_values(["rep", "mark"])
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        layers = build(x)
+        layers = build(scaled(x)[0])
         flat = [np.concatenate([[links.shape[1]], links[:-1].ravel()]).astype(np.int32).tobytes() for _, links in layers]
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "layers": [flat]})
-
-    dims = {r["dim"]: r["shards"] for r in sizes.collect()}
-    if not dims:
-        return vectors.sparkSession.createDataFrame([], INDEX)
-    shards = F.element_at(F.create_map(*[F.lit(v) for kv in dims.items() for v in kv]), F.size("v"))
-    dealt = vectors.select("rep", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep"), shards.cast("long")).cast("int").alias("shard"))
-    return dealt.groupBy("dim", "shard").applyInPandas(run, INDEX)
-
-
-def search_index(index: DataFrame, queries: DataFrame, k: int, n_queries: int, block: int = BLOCK, width: int = SEARCH) -> DataFrame:
-    """query_id, rep, score: each shard's k nearest distinct vectors of each query (query_id long, v array<double>)."""
-    blocks = max(1, -(-n_queries // block))
-    shards = index.select("dim", "shard")
-    per_dim = {r["dim"]: r["n"] for r in shards.groupBy("dim").agg(F.max("shard").alias("n")).collect()}
-    schema = "query_id long, rep long, score double"
-    if not per_dim:
-        return index.sparkSession.createDataFrame([], schema)
-    last = F.element_at(F.create_map(*[F.lit(v) for kv in per_dim.items() for v in kv]), F.size("v"))
-    own = queries.filter(F.size("v").isin(list(per_dim))).select("query_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("shard"))
-    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return pd.DataFrame({"dim": [key[0]], "cell": [key[1]], "shard": [key[2]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "marks": [pdf["mark"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "layers": [flat]})
+
+    dealt = dealt.join(F.broadcast(counts), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards").cast("long")).cast("int"))
+    return land(dealt.groupBy("dim", "cell", "shard").applyInPandas(run, INDEX), f"{path}/index"), cells
+
+
+def search_index(index: DataFrame, cells: Cells, queries: DataFrame, k: int, path: str, block: int = BLOCK, width: int = SEARCH) -> DataFrame:
+    """query_id, rep, mark, score: the k nearest distinct vectors of each query (query_id long, v array<double>) in each shard that it visits."""
+    asked = land(cells.of(queries.select("query_id", "v"), True), f"{path}/asked")
+    # One row a cell, as many as there are centres.
+    blocks = asked.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    shards = index.select("dim", "cell", F.col("shard").alias("shard"))
+    own = asked.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
+    own = own.join(shards, ["dim", "cell"])
+    dealt = index.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    by = ["dim", "cell", "shard", "block"]
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in ("query_id", "rep", "mark", "score")})
         row = left.iloc[0]
-        ids = np.frombuffer(row["ids"], np.int64)
+        ids, marks = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.int64)
         x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
         layers = []
         for raw in row["layers"]:
@@ -210,10 +318,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, n_queries: int, b
             layers.append((None, np.concatenate([flat[1:].reshape(len(ids), flat[0]), np.full((1, flat[0]), -1, np.int32)])))
         q = np.stack(right["v"].to_numpy()).astype(np.float64)
         place, dist = search(x, layers, q, min(k, len(ids)), width)
-        found = pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), place.shape[1]), "rep": ids[place.ravel()], "score": np.sqrt(dist.ravel())})
+        found = pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), place.shape[1]), "rep": ids[place.ravel()], "mark": marks[place.ravel()], "score": dist.ravel()})
         return found[place.ravel() >= 0]
 
-    return dealt.groupBy("dim", "shard", "block").cogroup(own.groupBy("dim", "shard", "block")).applyInPandas(run, schema)
+    return dealt.groupBy(*by).cogroup(own.groupBy(*by)).applyInPandas(run, "query_id long, rep long, mark long, score double")
 
 
 def first_of(df: DataFrame, by: str, order: list[str], k: int, rank: str = "rank") -> DataFrame:
@@ -221,28 +329,30 @@ def first_of(df: DataFrame, by: str, order: list[str], k: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, width: int = SEARCH) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, width: int = SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to each row whose id is divisible by ``every``.
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do rows with a null id. Vectors of another length than the query's
     are not its candidates. Ties go to the smaller id. Rows that repeat an id are
-    one row where their vectors are equal. An empty table gives an empty result;
-    other columns play no part.
+    one row where their vectors are equal; an id with several vectors is as near
+    as the nearest of them, and asks with the least of them. An empty table gives
+    an empty result; other columns play no part.
     """
     path = run_dir(vectors.sparkSession, "hnsw")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite & F.exists("v", lambda c: c != 0), F.lit(False)))
     # Of equal vectors, the k + 1 smallest ids are all that any result can name.
-    members = land(first_of(rows, "v", ["vec_id"], k + 1, "place"), f"{path}/members")
-    reps = members.filter("place = 1").select(F.col("vec_id").alias("rep"), "v")
-    index = land(build_index(reps, shard), f"{path}/index")
-    queries = land(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"]), f"{path}/queries")
-    found = search_index(index, queries, k + 1, queries.count(), width=width)
-    found = first_of(found, "query_id", ["score", "rep"], k + 1, "place").drop("place")
-    owners = members.join(members.filter("place = 1").select("v", F.col("vec_id").alias("rep")), "v").select("rep", "vec_id").distinct()
-    out = found.join(owners, "rep").filter("vec_id != query_id").select("query_id", "vec_id", "score")
+    members = land(first_of(rows.dropDuplicates(["v", "vec_id"]), "v", ["vec_id"], k + 1, "place"), f"{path}/members")
+    reps = members.filter("place = 1").select(F.col("vec_id").alias("rep"), F.xxhash64("v").alias("mark"), "v")
+    index, cells = build_index(reps, path, shard)
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    found = search_index(index, cells, queries, k + 1, path, width=width)
+    # Ties are settled by ids, so every class that may hold one of the k stays: those as near as the last.
+    found = found.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).filter(F.col("place") <= k + 1).drop("place")
+    owners = members.select("v", "vec_id").join(reps, "v").select("rep", "mark", "vec_id")
+    out = found.join(owners, ["rep", "mark"]).filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return first_of(out, "query_id", ["score", "vec_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -43,6 +43,38 @@ def test_vector_edges(spark):
     assert hnsw.nearest(df.limit(0)).collect() == []
 
 
+def test_routing_recall(spark):
+    """Shards far smaller than the table, so that queries visit some of many cells: recall on the embeddings table."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.collect()
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+    want = brute(ids, x)
+    got = {}
+    for r in hnsw.nearest(df, shard=len(rows) // 25).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(got[q] & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def test_clustered_vectors_visit_few_cells():
+    rng = np.random.default_rng(8)
+    x = (10 * rng.standard_normal((40, 16))[rng.integers(40, size=4000)] + 0.1 * rng.standard_normal((4000, 16))).astype(np.float32)
+    c = hnsw.fit_centres(x, 40)
+    assert hnsw.probes_needed(hnsw.scaled(x)[0], c) <= 4
+    flat = rng.standard_normal((4000, 64)).astype(np.float32)
+    assert hnsw.probes_needed(hnsw.scaled(flat)[0], hnsw.fit_centres(flat, 40)) > 20
+
+
+def test_repeated_vector_rows(spark):
+    """Rows that repeat an id never crowd out others, and an id may come with several vectors."""
+    rows = [(100, [1.0, 0.0])] + [(1, [2.0, 0.0])] * 20 + [(i, [2.0, 0.0]) for i in range(2, 12)] + [(50, [9.0, 9.0]), (50, [1.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in hnsw.nearest(df).collect())
+    assert got == [(1, 50, 0.5)] + [(k + 1, k, 1.0) for k in range(1, 10)]
+    two = spark.createDataFrame([(0, [5.0, 5.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [5.0, 7.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in sorted(hnsw.nearest(two).collect(), key=lambda r: r["rank"])] == [(1, 1.0), (2, float(np.hypot(5, 6)))]
+
+
 @pytest.mark.parametrize("chunk", [7, 262144])
 def test_warc(spark, chunk):
     rows = [(1, "u", "abc"), (2, "u", "abc"), (3, None, "é" * 50), (4, "u\nv", None), (5, "w", ""), (6, "x", "x" * 1000), (None, "y", "abc"), (7, "z", "only")]
