@@ -2,12 +2,17 @@
 
 In a model whose pieces never reach over a white-space marker, and whose
 normaliser changes nothing but the markers, each marked word is segmented by
-itself: a text's ids are its words' ids, in order. Each worker keeps a table of
-the distinct marked words that it has met, segments a word once when it first
-comes, and joins the ids back by position. A corpus-wide table would have to
-shuffle every word occurrence of the corpus and back, many times the input; a
-table for each worker moves nothing, and a lost executor only rebuilds its own.
+itself: a text's ids are its words' ids, in order.
 
+1. Texts are read in blocks of ``BLOCK_BYTES``, about. A block lists its distinct
+   marked words once and keeps its texts as places in that list. Blocks are landed.
+2. The blocks' lists make the table of the corpus's distinct marked words. Each is
+   segmented once, wherever it stands.
+3. The table is joined to the lists by word, and the ids go back to their blocks,
+   where the texts' places pick them up in order.
+
+So what is shuffled is each block's distinct words and its places, never a row for
+each word of a text. A frequent word is one row for each block that holds it.
 Models for which the two conditions don't hold are applied to whole texts.
 """
 
@@ -15,53 +20,36 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import bounded, table, text_of
+from tellurion.llm.common import bounded, land, run_dir, table, text_of
 
-#: Words that a worker's table holds at most; a full one starts afresh.
-TABLE_WORDS = 200_000
+#: Bytes of text in a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 MARK = "▁"
 ROWS = 256
 
 
 class Codec:
-    """One worker's model with its word table; ``words`` maps a marked word to (count, ids as text, ids)."""
+    """One worker's model."""
 
-    def __init__(self, model: str, table_words: int = TABLE_WORDS):
+    def __init__(self, model: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.table_words, self.words = table_words, {}
         #: A lone marker, which the library would take for no text at all.
         self.lone = [self.sp.piece_to_id(MARK)]
         self.by_word = separable(self.sp, model)
 
-    def ids(self, text: str) -> list[int]:
-        if not self.by_word:
-            return self.sp.encode(text)
-        return [i for w in self.look_up([text])[0] for i in w[1]]
-
-    def look_up(self, texts: list[str]) -> list[list[tuple[str, list[int]]]]:
-        """For each marked word of each text, by position: its ids as text, and its ids.
-
-        The words that are new in all the texts go to the library in one call.
-        """
-        marked, known = [split_marked(t) if t else [] for t in texts], self.words
-        new = {w for m in marked for w in m if w not in known}
-        if len(known) + len(new) > self.table_words:
-            known.clear()
-            new = {w for m in marked for w in m}
-        if new:
-            order = list(new)
-            for w, ids in zip(order, self.sp.encode(order, num_threads=1), strict=True):
-                ids = ids or self.lone
-                known[w] = (",".join(map(str, ids)), ids)
-        return [[known[w] for w in m] for m in marked]
+    def segment(self, words: list[str]) -> list[list[int]]:
+        """The ids of marked words, each given without its first marker."""
+        return [ids or self.lone for ids in self.sp.encode(words, num_threads=1)]
 
 
 def split_marked(text: str) -> list[str]:
@@ -92,28 +80,102 @@ def separable(sp, model: str) -> bool:
     return alone and plain and not inside and not own and not t.treat_whitespace_as_suffix and t.model_type == t.BPE
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec(model: str, table_words: int = TABLE_WORDS) -> Codec:
-    if (model, table_words) not in _codecs:
-        _codecs[model, table_words] = Codec(model, table_words)
-    return _codecs[model, table_words]
+def codec(model: str) -> Codec:
+    if model not in _codecs:
+        _codecs[model] = Codec(model)
+    return _codecs[model]
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
-    """doc_id and ids (array of int) for each row; null text is the empty text, which has no ids."""
+def blocks_of(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, doc_ids, sizes (words of each text), places (of the texts' words in the list, one after another) and words."""
+    schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("wide", pa.bool_()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model, table_words)
+        def fresh():
+            return [], [], [], {}, 0
+
+        def block(ids, sizes, places, known):
+            wide = len(known) > 1 << 16
+            return pa.RecordBatch.from_pylist([{"block": uuid.uuid4().bytes, "doc_ids": ids, "sizes": sizes, "wide": wide, "places": np.concatenate([*places, np.zeros(0, np.int64)]).astype("<u4" if wide else "<u2").tobytes(), "words": list(known)}], schema)
+
+        ids, sizes, places, known, n = fresh()
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
+                marked = split_marked(text) if text else []
+                places.append(np.fromiter([known.setdefault(w, len(known)) for w in marked], np.int64, len(marked)))
+                ids.append(doc_id)
+                sizes.append(len(marked))
+                n += len(text) + 64
+                if n >= block_bytes:
+                    yield block(ids, sizes, places, known)
+                    ids, sizes, places, known, n = fresh()
+        if ids:
+            yield block(ids, sizes, places, known)
+
+    return rows.mapInArrow(bounded(run), "block binary, doc_ids array<long>, sizes array<int>, wide boolean, places binary, words array<string>")
+
+
+def word_table(words: DataFrame, model: str) -> DataFrame:
+    """word, ids of each distinct marked word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                x = b.slice(at, ROWS)
-                texts = x.column(1).to_pylist()
-                ids = [[i for w in m for i in w[1]] for m in c.look_up(texts)] if c.by_word else c.sp.encode(texts, num_threads=1)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.segment(b.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, ids array<int>")
+    return words.select("word").distinct().mapInArrow(bounded(run), "word string, ids array<int>")
+
+
+def through_table(df: DataFrame, model: str, id_col: str, text_col: str, result: Callable, schema: pa.Schema, ddl: str, block_bytes: int) -> DataFrame:
+    """``result(codec, ids, told)`` for each text: its ids as a list and as decimal text; gives the columns after doc_id."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    own = [f.name for f in schema]
+
+    def made(docs: list, every: Iterator[tuple[list[int], str]]) -> pa.Table:
+        c = codec(model)
+        out = [(d, *result(c, ids, told)) for d, (ids, told) in zip(docs, every, strict=True)]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True) if out else [[]] * len(own), schema, strict=True)], schema=schema)
+
+    if not codec(model).by_word:
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = codec(model)
+            for b in batches:
+                for at in range(0, b.num_rows, ROWS):
+                    x = b.slice(at, ROWS)
+                    found = c.sp.encode(x.column(1).to_pylist(), num_threads=1)
+                    yield from made(x.column(0).to_pylist(), ((ids, ",".join(map(str, ids))) for ids in found)).to_batches()
+
+        return rows.mapInArrow(bounded(whole), ddl)
+
+    blocks = land(blocks_of(rows, block_bytes), f"{run_dir(df.sparkSession, 'sentencepiece')}/blocks")
+    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    table = word_table(words, model)
+    found = words.join(table, "word").select(F.col("block").alias("of"), "place", "ids")
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids: list = [None] * right.num_rows
+        for at, own in zip(right.column("place").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            ids[at] = own
+        told = [",".join(map(str, x)) for x in ids]
+        tables = []
+        for row in left.select(["doc_ids", "sizes", "wide", "places"]).to_pylist():
+            places, ends = np.frombuffer(row["places"], "<u4" if row["wide"] else "<u2").tolist(), np.cumsum(row["sizes"]).tolist()
+            cut = (places[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False))
+            tables.append(made(row["doc_ids"], (([i for p in own for i in ids[p]], ",".join([told[p] for p in own])) for own in cut)))
+        return pa.concat_tables(tables) if tables else schema.empty_table()
+
+    light = blocks.select("block", "doc_ids", "sizes", "wide", "places")
+    return light.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(back, ddl)
+
+
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and ids (array of int) for each row; null text is the empty text, which has no ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return through_table(df, model, id_col, text_col, lambda c, ids, told: (ids,), schema, "doc_id long, ids array<int>", block_bytes)
 
 
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -127,33 +189,20 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "id
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(bounded(run), "doc_id long, text string")
 
 
-def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: encoded whole, then decoded from the ids.
 
-    Encodes and decodes in one pass, so that ids are not carried out of the
-    worker. Null text is the empty text (no ids, decoded to the empty text); a
-    null id stays null; repeated rows each give a row; an empty table gives an
-    empty result; other columns play no part.
+    Null text is the empty text (no ids, decoded to the empty text); a null id
+    stays null; repeated rows each give a row; an empty table gives an empty
+    result; other columns play no part.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model, table_words)
-        for b in batches:
-            out: list[tuple] = []
-            for at in range(0, b.num_rows, ROWS):
-                x = b.slice(at, ROWS)
-                texts = x.column(1).to_pylist()
-                for doc_id, found in zip(x.column(0).to_pylist(), c.look_up(texts) if c.by_word else c.sp.encode(texts, num_threads=1), strict=True):
-                    if c.by_word:
-                        ids, told = [i for w in found for i in w[1]], ",".join([w[0] for w in found])
-                    else:
-                        ids, told = found, ",".join(map(str, found))
-                    back = c.sp.decode(ids) if ids else ""
-                    out.append((doc_id, len(ids), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def result(c: Codec, ids: list[int], told: str) -> tuple:
+        back = c.sp.decode(ids) if ids else ""
+        return len(ids), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return through_table(df, model, id_col, text_col, result, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", block_bytes)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
