@@ -1,12 +1,17 @@
 """License scans: known phrases, and an exact set-similarity join with templates.
 
-A text block (a line) matches a template when it holds at least ``THRESHOLD`` of
-the template's distinct words. The join is exact. The templates' words are
-ordered by the number of documents that hold them, rarest first, counted over
-the whole corpus; then a block must hold a word of the template's prefix, be
-long enough, and leave enough words after the first common one. What passes is
-verified on the full sets. The templates are a fixed list, so their side of the
-join is a literal, and a document is scanned where it lies without a shuffle.
+A text block is a line with words, together with the lines after it that begin
+within ``WITHIN`` words of its own beginning, so that a notice wrapped over
+several lines stands in one block; lines without words, such as a bare comment
+mark, are passed over. A block matches a template when it holds at least
+``THRESHOLD`` of the template's distinct words.
+
+The join is exact. The templates' words are ordered by the number of documents
+that hold them, rarest first, counted over the whole corpus. Blocks meet templates
+on the words of the templates' prefixes; a pair goes on when the block has words
+enough, and when enough are left after the first common one. What passes is
+verified on the full sets. A text is read once; only documents that hold enough of
+a template's words as a whole are cut into blocks.
 
 Only DataFrame operations are used.
 """
@@ -15,25 +20,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import table, text_of
+from tellurion.llm.common import BROADCAST_ROWS, land, run_dir, table, text_of
 
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Notices that name a license, by label.
+# Notices that name a license or grant it, by label.
 TEMPLATES = {
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "apache-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "gpl-work": "This work is licensed under the GNU General Public License",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-release": "Released under the MIT License",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "warranty-disclaimer": "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
+    "zlib-notice": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
 }
 THRESHOLD = 0.8
+#: Words from the beginning of a block's first line within which its other lines begin.
+WITHIN = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,12 +75,6 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def frequencies(df: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
-    """Of the templates' words, the documents that hold each, over the whole table; as many rows as words."""
-    held = df.select(F.explode(F.array_intersect(strings(vocabulary), words(canonical(text_of(text_col))))).alias("word"))
-    return {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
 def count_of(canon: Column, phrase: str) -> Column:
     return (F.length(canon) - F.length(F.replace(canon, F.lit(phrase), F.lit("")))) / F.lit(len(phrase))
 
@@ -74,25 +84,72 @@ def spaces_half(x: Column) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def matches(own: Column, order: list[str], templates: dict[str, list[str]], threshold: float) -> Column:
-    """Array of (label, containment) for one block's template words, which stand in the global order."""
+def needed(n: int, threshold: float) -> int:
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def read(df: DataFrame, id_col: str, text_col: str, sets: dict[str, list[str]], threshold: float) -> DataFrame:
+    """What one reading of each text gives: counts, the phrases' places, its template words, and the text if it may hold a notice."""
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("canon", canonical(F.col("text")))
+    some = F.contains("canon", F.lit("license")) | F.contains("canon", F.lit("cc by"))
+    rows = rows.withColumn("n_words", F.when(F.col("canon") == "", 0).otherwise(F.length("canon") - F.length(F.replace("canon", F.lit(" "), F.lit(""))) + 1).cast("long"))
+    rows = rows.withColumn("twice", F.when(some, F.concat(F.lit(" "), F.replace("canon", F.lit(" "), F.lit("  ")), F.lit(" "))))
+    doubled = {p: " " + p.replace(" ", "  ") + " " for p in PHRASES}
+    for i, p in enumerate(doubled.values()):
+        rows = rows.withColumn(f"n{i}", F.coalesce(count_of(F.col("twice"), p).cast("long"), F.lit(0)))
+    firsts = [F.when(F.col(f"n{i}") > 0, spaces_half(F.substring_index("twice", p, 1))) for i, p in enumerate(doubled.values())]
+    lasts = [F.when(F.col(f"n{i}") > 0, F.col("n_words") - spaces_half(F.substring_index("twice", p, -1)) - len(p.split())) for i, p in enumerate(doubled.values())]
+    base = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(x)) for i, x in enumerate(PHRASES.values())]))
+    rows = rows.withColumn("own", F.array_intersect(strings(sorted({w for ws in sets.values() for w in ws})), words(F.col("canon"))))
+    hopeful = F.lit(False)
+    for ws in sets.values():
+        need = needed(len(ws), threshold)
+        hopeful = hopeful | F.when(F.size("own") >= need, F.size(F.array_intersect(strings(ws), F.col("own"))) >= need).otherwise(False)
+    places = sum((F.col(f"n{i}") for i in range(len(PHRASES))), F.lit(0)).cast("long")
+    return rows.select("rid", "doc_id", "n_words", places.alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), "own", F.when(hopeful, F.col("text")).alias("text"))
+
+
+def blocks(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rid, block, own: the template words of each block of the texts, rarest first."""
+    lines = rows.filter("text is not null").select("rid", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    lines = lines.select("rid", "block", words(canonical(F.col("line"))).alias("ws")).withColumn("n", F.size("ws").cast("long")).filter("n > 0")
+    by = Window.partitionBy("rid").orderBy("block")
+    lines = lines.withColumn("start", F.sum("n").over(by) - F.col("n"))
+    near = Window.partitionBy("rid").orderBy("start").rangeBetween(0, WITHIN)
+    # Only template words are carried into the windows.
+    lines = lines.withColumn("ws", F.array_intersect(strings(order), F.col("ws")))
+    lines = lines.withColumn("all", F.flatten(F.collect_list("ws").over(near)))
+    return lines.select("rid", "block", F.array_intersect(strings(order), F.col("all")).alias("own"))
+
+
+def template_rows(spark, sets: dict[str, list[str]], order: list[str], threshold: float) -> DataFrame:
+    """A row for each word of each template's prefix: word, label, ws (all its words, rarest first), prefix, need, at (place in ws)."""
     rank = {w: i for i, w in enumerate(order)}
+
+    def with_place(own: Column):
+        return lambda w, i: F.struct(w.alias("word"), i.alias("at"), own.alias("t"))
+
     out = []
-    for label, ws in templates.items():
+    for label, ws in sets.items():
         ws = sorted(ws, key=rank.__getitem__)
         need = needed(len(ws), threshold)
         prefix = ws[: len(ws) - need + 1]
-        first = F.element_at(F.array_intersect(strings(prefix), own), 1)
-        left = F.least(F.lit(len(ws)) - F.array_position(strings(ws), first), F.size(own) - F.array_position(own, first)) + 1
-        common = F.size(F.array_intersect(strings(ws), own))
-        verified = F.when(common >= need, F.struct(F.lit(label).alias("label"), (common / F.lit(float(len(ws)))).alias("score")))
-        # Length, prefix and position come first; each is cheaper than the next.
-        out.append(F.when((F.size(own) >= need) & F.arrays_overlap(strings(prefix), own), F.when(left >= need, verified)))
-    return F.filter(F.array(*out), lambda m: m.isNotNull())
+        own = F.struct(F.lit(label).alias("label"), strings(ws).alias("ws"), strings(prefix).alias("prefix"), F.lit(need).alias("need"))
+        out.append(F.transform(strings(prefix), with_place(own)))
+    return spark.range(1).select(F.explode(F.concat(*out)).alias("r")).select("r.word", "r.at", "r.t.*")
 
 
-def needed(n: int, threshold: float) -> int:
-    return max(1, math.ceil(threshold * n - 1e-9))
+def join_templates(found: DataFrame, templates: DataFrame) -> DataFrame:
+    """rid, block, label, score of the blocks that reach a template's threshold."""
+    tokens = found.select("rid", "block", "own", F.posexplode("own").alias("place", "word"))
+    # Templates are a parameter: a few rows for each.
+    pairs = tokens.join(F.broadcast(templates), "word").filter(F.size("own") >= F.col("need"))
+    # A pair counts at its first common word, after which enough of both must be left.
+    pairs = pairs.filter(F.element_at(F.array_intersect("prefix", "own"), 1) == F.col("word"))
+    pairs = pairs.filter(F.least(F.size("ws") - F.col("at"), F.size("own") - F.col("place")) >= F.col("need"))
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("ws", "own"))).filter("common >= need")
+    return pairs.select("rid", "block", "label", (F.col("common") / F.size("ws")).alias("score"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,42 +160,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     null places. A null id stays null; repeated rows each give a row; an empty
     table gives an empty result; other columns play no part.
     """
+    path = run_dir(df.sparkSession, "license-scan")
     sets = {k: template_words(v) for k, v in templates.items()}
     vocabulary = sorted({w for ws in sets.values() for w in ws})
-    held = frequencies(df, text_col, vocabulary)
+    rows = land(read(df, id_col, text_col, sets, threshold), f"{path}/rows")
+    # The documents that hold each template word: as many rows as such words.
+    held = {r["word"]: r["n"] for r in rows.select(F.explode("own").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("canon", canonical(F.col("text")))
-    some = F.contains("canon", F.lit("license")) | F.contains("canon", F.lit("cc by"))
-    rows = rows.withColumn("n_words", F.when(F.col("canon") == "", 0).otherwise(F.length("canon") - F.length(F.replace("canon", F.lit(" "), F.lit(""))) + 1).cast("long"))
-    rows = rows.withColumn("twice", F.when(some, F.concat(F.lit(" "), F.replace("canon", F.lit(" "), F.lit("  ")), F.lit(" "))))
-    doubled = {p: " " + p.replace(" ", "  ") + " " for p in PHRASES}
-    for i, p in enumerate(doubled.values()):
-        rows = rows.withColumn(f"n{i}", F.coalesce(count_of(F.col("twice"), p).cast("long"), F.lit(0)))
-    firsts = [F.when(F.col(f"n{i}") > 0, spaces_half(F.substring_index("twice", p, 1))) for i, p in enumerate(doubled.values())]
-    lasts = [F.when(F.col(f"n{i}") > 0, F.col("n_words") - spaces_half(F.substring_index("twice", p, -1)) - len(p.split())) for i, p in enumerate(doubled.values())]
-    base = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(x)) for i, x in enumerate(PHRASES.values())]))
-
-    # A block's words are among its document's: only documents that pass as a whole are taken apart.
-    rows = rows.withColumn("own", F.array_intersect(strings(order), words(F.col("canon"))))
-    hopeful = F.lit(False)
-    for ws in sets.values():
-        hopeful = hopeful | (F.size(F.array_intersect(strings(ws), F.col("own"))) >= needed(len(ws), threshold))
-    blocks = F.split("text", "\n")
-    per_block = F.transform(blocks, lambda b: F.array_intersect(strings(order), words(canonical(b))))
-    rows = rows.withColumn("blocks", F.when(hopeful, per_block).otherwise(F.array().cast("array<array<string>>")))
-    rows = rows.withColumn("found", F.flatten(F.transform("blocks", lambda own: matches(own, order, sets, threshold))))
-    return rows.select(
-        "doc_id",
-        "n_words",
-        sum((F.col(f"n{i}") for i in range(len(PHRASES))), F.lit(0)).cast("long").alias("n_base"),
-        F.least(*firsts).alias("first_word"),
-        F.greatest(*lasts).alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("found", lambda m: m["label"])))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("found", lambda m: m["score"])), F.lit(0.0)).alias("score"),
-    )
+    found = join_templates(blocks(rows, order), template_rows(df.sparkSession, sets, order, threshold))
+    found = land(found.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("score").alias("score")), f"{path}/found")
+    out = rows.drop("text", "own").join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "rid", "left")
+    more = F.coalesce("more", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", more))), ",").alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -146,7 +184,7 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Brute force: every line against every template, every place against every phrase."""
+    """Brute force: every block against every template, every place against every phrase."""
     sets = ", ".join(f"('{k}', [{', '.join(repr(w) for w in template_words(v))}], {needed(len(template_words(v)), THRESHOLD)})" for k, v in TEMPLATES.items())
     phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{k}')" for p, k in PHRASES.items())
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -159,8 +197,10 @@ places AS (
   SELECT doc_id, p.label, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d WHERE len(w) > 0) x, phrases p
   WHERE w[i + 1] = p.ws[1] AND w[i + 1 : i + len(p.ws)] = p.ws),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({low.format("line")}, '{word}')) AS w
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+lines AS (SELECT doc_id, i, regexp_extract_all({low.format("line")}, '{word}') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+begins AS (SELECT doc_id, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS begin_word FROM lines WHERE len(w) > 0),
+blocks AS (SELECT doc_id, list_distinct(flatten(list(w) OVER (PARTITION BY doc_id ORDER BY begin_word RANGE BETWEEN CURRENT ROW AND {WITHIN} FOLLOWING))) AS w FROM begins),
 found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(len(list_intersect(w, ws))::DOUBLE / len(ws)) AS score
   FROM blocks, templates WHERE len(list_intersect(w, ws)) >= need GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
