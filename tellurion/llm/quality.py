@@ -1,14 +1,15 @@
 """Quality classifier by gated attention over passages (multiple-instance learning).
 
-A document is a bag of passages of 64 words. Each passage is encoded from the
-shapes of its words, its punctuation and a few ratios; gated attention, learned
-from document labels, weighs the passages, and the weighted mean representation
-gives the document's score. Every passage of a text takes part, in training
-and in scoring.
-
-The model is fitted on at most ``TRAIN_DOCS`` labelled documents, chosen by a
-hash of their ids; only those documents' features come to the driver. Labels
-whose crc32(id as text) mod 5 is 0 are never read.
+A document is a bag of passages of 64 words. Each passage is encoded from its
+words (hashed into ``LEXICAL`` counts), the shapes of its words, its punctuation
+and a few ratios; gated attention, learned from document labels, weighs the
+passages, and the weighted mean representation gives the document's score. Every
+passage of a text takes part, in training and in scoring.
+
+The model is fitted on labelled documents chosen by a hash of their ids, at most
+``TRAIN_DOCS`` and no more than hold ``TRAIN_WORDS`` words in all; only those
+documents' features come to the driver. Labels whose crc32(id as text) mod 5 is 0
+are never read.
 """
 
 from __future__ import annotations
@@ -21,25 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurion.llm.common import bounded, table, text_of
+from tellurion.llm.minhash_dedup import word_hashes
 
-PASSAGE, TRAIN_DOCS, FOLDS = 64, 3000, 5
+PASSAGE, FOLDS = 64, 5
+TRAIN_DOCS, TRAIN_WORDS = 3000, 2_500_000
 #: A score at least so high predicts label 1.
 THRESHOLD = 0.3
 HIDDEN, GATE, EPOCHS, RATE, DECAY, SEED = 24, 12, 120, 0.02, 1e-4, 7
 
-SHAPES = 3 * 4 * 2 * 4
+SHAPES, LEXICAL = 3 * 4 * 2 * 4, 256
 _PUNCT = np.full(256, -1)
 _MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 _PUNCT[_MARKS] = np.arange(len(_MARKS))
 RATIOS = 9
-WIDTH = SHAPES + len(_MARKS) + RATIOS
+WIDTH = LEXICAL + SHAPES + len(_MARKS) + RATIOS
 _CLASS = np.zeros((256, 5), np.int32)  # space, upper, digit, punctuation, beyond ASCII
 _CLASS[[32, 9, 10, 11, 12, 13], 0] = 1
 _CLASS[65:91, 1] = 1
 _CLASS[48:58, 2] = 1
 _CLASS[_MARKS, 3] = 1
 _CLASS[128:, 4] = 1
-_ODD = np.random.Generator(np.random.PCG64(5)).integers(1, 2**62, 256, dtype=np.uint64)
 
 
 def passages(text: str) -> np.ndarray:
@@ -64,10 +66,8 @@ def passages(text: str) -> np.ndarray:
     marks = np.flatnonzero(_PUNCT[raw] >= 0)
     own = at[np.clip(np.searchsorted(starts, marks, side="right") - 1, 0, n - 1)]
     signs = np.bincount(own * len(_MARKS) + _PUNCT[raw[marks]], minlength=m * len(_MARKS)).reshape(m, -1) / words[:, None]
-    # Words are told apart by their bytes' sum and ends, enough for a ratio.
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_ODD[raw], out=total[1:])
-    hashed = (total[ends] - total[starts]) * np.uint64(0x9E3779B97F4A7C15) + raw[starts] * np.uint64(0x94D049BB133111EB)
+    hashed = word_hashes(text)
+    lexical = np.bincount(at * LEXICAL + (hashed % np.uint64(LEXICAL)).astype(np.int64), minlength=m * LEXICAL).reshape(m, LEXICAL) / words[:, None]
     order = np.lexsort((hashed, at))
     fresh = np.append(True, (hashed[order][1:] != hashed[order][:-1]) | (at[1:] != at[:-1]))
     distinct = np.bincount(at[fresh], minlength=m) / words
@@ -75,7 +75,7 @@ def passages(text: str) -> np.ndarray:
     chars = np.bincount(at, size, m)
     lines = np.bincount(at[np.clip(np.searchsorted(starts, np.flatnonzero(raw == 10), side="right") - 1, 0, n - 1)], minlength=m) / words
     ratios = [distinct, again, chars / words / 10, np.bincount(at, up, m) / chars, np.bincount(at, digit, m) / chars, np.bincount(at, punct, m) / chars, np.bincount(at, beyond, m) / chars, lines, words]
-    return np.concatenate([hist, signs, np.stack(ratios, 1)], axis=1).astype(np.float32)
+    return np.concatenate([lexical, hist, signs, np.stack(ratios, 1)], axis=1).astype(np.float32)
 
 
 class Model:
@@ -84,12 +84,15 @@ class Model:
     def __init__(self, mean, scale, weights: dict[str, np.ndarray]):
         self.mean, self.scale, self.w = mean, scale, weights
 
-    def forward(self, x: np.ndarray, first: np.ndarray):
-        """first: where each document's passages begin."""
-        w = self.w
+    def prepared(self, x: np.ndarray) -> np.ndarray:
         # The last column is the passage's words: the fewer, the closer its features are drawn to the mean.
         x = np.clip((x - self.mean) / self.scale, -5, 5) * (x[:, -1:] / (x[:, -1:] + 6))
         x[:, -1] = 0
+        return x
+
+    def forward(self, x: np.ndarray, first: np.ndarray):
+        """From prepared features; first: where each document's passages begin."""
+        w = self.w
         h = np.tanh(x @ w["enc"] + w["enc_b"])
         v, u = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
         e = (v * u) @ w["att"]
@@ -98,11 +101,11 @@ class Model:
         a = e / np.add.reduceat(e, first)[of]
         z = np.add.reduceat(a[:, None] * h, first)
         p = 1 / (1 + np.exp(-np.clip(z @ w["out"] + w["out_b"], -30, 30)))
-        return x, h, v, u, a, of, z, p
+        return h, v, u, a, of, z, p
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         first = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
-        return self.forward(np.concatenate(bags), first)[-1]
+        return self.forward(self.prepared(np.concatenate(bags)), first)[-1]
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
@@ -114,8 +117,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Mod
     w = {k: np.zeros(s, np.float32) if k.endswith("_b") else (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32) for k, s in shapes.items()}
     model = Model(x.mean(0), x.std(0) + 1e-2, w)
     m, s, y = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, labels.astype(np.float32)
+    xs = model.prepared(x)
     for t in range(1, epochs + 1):
-        xs, h, v, u, a, of, z, p = model.forward(x, first)
+        h, v, u, a, of, z, p = model.forward(xs, first)
         d = (p - y) / len(y)
         g = {"out": z.T @ d, "out_b": d.sum()}
         dz = d[:, None] * w["out"]
@@ -140,22 +144,32 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = TRAIN_DOCS) -> Model | float:
-    """The model, or the share of label 1 (0.5 without labels) where the labels have not both values."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> Model | float:
+    """The model, or the share of label 1 (0.5 without labels) where the labels have not both values.
+
+    Of several labels of one id the greatest counts; every row that repeats a
+    labelled id is an example of its own. Null ids and labels are left out, and
+    null texts are empty ones.
+    """
     own = labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_label_id").isNotNull() & ~held_out("_label_id"))
     # One label for each id, and at most max_docs ids: this side's size is bounded.
     own = own.groupBy("_label_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("_label_id"), text_of(text_col).alias("text")).join(F.broadcast(own), "_label_id")
+    # Documents in the hash's order until they hold words enough; rows that repeat an id go together.
+    sizes = rows.groupBy("_label_id").agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")) + PASSAGE).alias("n")).orderBy(F.xxhash64("_label_id"), "_label_id").collect()
+    ends = np.cumsum([r["n"] for r in sizes])
+    kept = [r["_label_id"] for r, end in zip(sizes, ends.tolist(), strict=True) if end <= max_words] or [r["_label_id"] for r in sizes[:1]]
+    rows = rows.filter(F.col("_label_id").isin(kept)) if len(kept) < len(sizes) else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([passages(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([passages(t.as_py()).astype(np.float16).tobytes() for t in b.column(2)], pa.binary())], ["id", "label", "x"])
 
     found = sorted((r["id"], r["label"], bytes(r["x"])) for r in rows.select("_label_id", "_label", "text").mapInArrow(bounded(run), "id long, label int, x binary").collect())
     y = np.array([r[1] for r in found])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    return fit([np.frombuffer(r[2], np.float32).reshape(-1, WIDTH) for r in found], y)
+    return fit([np.frombuffer(r[2], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in found], y)
 
 
 def _scores(model: Model | float, texts: list[str]) -> np.ndarray:
@@ -181,7 +195,12 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
-    """The rows that the model predicts 1, with all their columns."""
+    """The rows that the model predicts 1, with all their columns.
+
+    Null texts are scored as empty ones and stay null. Rows are judged one by one,
+    so null ids, repeated rows and columns of any name change nothing; an empty
+    table stays empty.
+    """
     k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
