@@ -38,7 +38,7 @@ BLOCK = 8192
 #: Share of true neighbours that the visited cells must hold, measured for so many vectors of the sample.
 HELD, MEASURED = 0.97, 500
 #: Vectors that centres are fitted on at most, in number and bytes, how many for each centre, and rounds of fitting.
-SAMPLE, SAMPLE_BYTES, PER_CENTRE, ROUNDS = 100_000, 64 << 20, 20, 8
+SAMPLE, SAMPLE_BYTES, PER_CENTRE, ROUNDS = 50_000, 32 << 20, 20, 8
 AT_ONCE, BATCH = 4, 256
 
 
@@ -271,7 +271,8 @@ def fit_cells(vectors: DataFrame, shard: int | None = None) -> tuple[Cells, int]
     for dim, n in counts.items():
         cap = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
         rows = vectors.filter(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(min(n, cap)) if n > size else None
-        x = np.stack([np.asarray(r["v"], float) for r in rows.select("v").collect()]) if rows is not None else np.zeros((1, dim))
+        # The bounded sample is all that the driver sees of the vectors.
+        x = rows.select("v").toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim) if rows is not None else np.zeros((1, dim))
         k = max(1, min(-(-n // size), len(x) // PER_CENTRE)) if rows is not None else 1
         c, (own, by) = fit_centres(x, k), scaled(x)
         centres[dim] = (c, by, probes_needed(own, c))
