@@ -47,3 +47,19 @@ def test_unlike_buckets_stay_apart(spark):
     assert sorted(map(tuple, minhash_dedup.open_buckets(rooted).collect())) == [(11, 3), (12, 3)]
     large = spark.createDataFrame([(k, 2**62 + i, 2**62 + i) for k in (1, 2) for i in range(4)], "key long, id long, root long")
     assert minhash_dedup.open_buckets(large).count() == 1
+
+
+def test_wrapped_notices(spark):
+    """Notices over several lines, behind comment marks, and beside a long line."""
+    from tellurion.llm import license_scan
+
+    notice = license_scan.TEMPLATES["apache-notice"].split()
+    wrapped = "\n".join("// " + " ".join(notice[i : i + 4]) + "\n//" for i in range(0, len(notice), 4))
+    grant = license_scan.TEMPLATES["mit-grant"].split()
+    cut = " ".join(grant[:10]) + "\n" + " ".join(grant[10:20]) + "\n\n" + " ".join(grant[20:])
+    apart = "\n".join([" ".join(grant[:10]), "word " * 200, " ".join(grant[10:20]), "word " * 200, " ".join(grant[20:])])
+    docs = spark.createDataFrame([(1, wrapped), (2, "x = 1\n" + cut), (3, apart), (4, "plain words\nof no interest")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert out[1]["labels"] == "apache,apache-notice" and out[1]["score"] == 1.0
+    assert out[2]["labels"] == "mit-grant" and out[2]["score"] == 1.0
+    assert out[3]["labels"] == "" and out[4]["labels"] == "" and out[4]["score"] == 0.0
