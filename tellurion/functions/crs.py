@@ -291,3 +291,10 @@ def convert_columns(df: DataFrame, source: str | Crs, target: str | Crs, x: str
     """The table with its coordinate columns replaced."""
     nx, ny = convert(F.col(x), F.col(y), source, target)
     return df.withColumns({x: nx, y: ny})
+
+
+def transform(geom: Column, source: str | Crs, target: str | Crs) -> Column:
+    """A whole geometry in another system; nothing leaves the JVM."""
+    from tellurion.functions import types as T
+
+    return T.map_positions(geom, lambda p: T.position(*convert(p["x"], p["y"], source, target)))

@@ -22,15 +22,37 @@ A, FLAT = 6378137.0, 1 / 298.257223563
 B, E2 = A * (1 - FLAT), FLAT * (2 - FLAT)
 EP2 = E2 / (1 - E2)
 _X, _W = np.polynomial.legendre.leggauss(16)
+#: Arcs up to so many radians take one short rule, which is as exact there.
+SHORT, _X8, _W8 = 0.3, *np.polynomial.legendre.leggauss(8)
+#: Rows that are solved at once, so that what they need stays in the processor's cache.
+CHUNK = 1 << 14
+
+
+def _rule(s1, s2):
+    """Panels, nodes and weights that suit all arcs from s1 to s2."""
+    if len(s1) and np.nanmax(np.abs(s2 - s1), initial=0.0) <= SHORT:
+        return ((s1, s2),), _X8, _W8
+    mid = (s1 + s2) / 2
+    return ((s1, mid), (mid, s2)), _X, _W
+
+
+def chunked(f, *args):
+    """A function of arrays that gives arrays, over pieces of them."""
+    args = np.broadcast_arrays(*(np.asarray(v, float) for v in args))
+    shape, args = args[0].shape, [v.ravel() for v in args]
+    if args[0].size <= CHUNK:
+        return tuple(v.reshape(shape) for v in f(*args))
+    out = [f(*(v[lo : lo + CHUNK] for v in args)) for lo in range(0, args[0].size, CHUNK)]
+    return tuple(np.concatenate(v).reshape(shape) for v in zip(*out, strict=True))
 
 
 def _integrals(s1, s2, sa0, what: str):
-    """Integrals over arc length from s1 to s2 on the auxiliary sphere, in two halves."""
+    """Integrals over arc length from s1 to s2 on the auxiliary sphere."""
     k2 = EP2 * (1 - sa0 * sa0)
-    total, mid = 0.0, (s1 + s2) / 2
-    for lo, hi in ((s1, mid), (mid, s2)):
+    total, (panels, x, w) = 0.0, _rule(s1, s2)
+    for lo, hi in panels:
         half = (hi - lo) / 2
-        t = (hi + lo)[:, None] / 2 + half[:, None] * _X
+        t = (hi + lo)[:, None] / 2 + half[:, None] * x
         root = np.sqrt(1 + k2[:, None] * np.sin(t) ** 2)
         if what == "distance":
             v = root
@@ -38,7 +60,7 @@ def _integrals(s1, s2, sa0, what: str):
             v = (2 - FLAT) / (1 + (1 - FLAT) * root)
         else:
             v = (root * root - 1) / root
-        total = total + half * (v * _W).sum(axis=1)
+        total = total + half * (v @ w)
     return total
 
 
@@ -48,9 +70,11 @@ def _wrap(d):
 
 def inverse(lon1, lat1, lon2, lat2):
     """s12 in metres, and the azimuths in degrees at both ends, in (-180, 180]."""
-    lon1, lat1, lon2, lat2 = (np.asarray(v, float) for v in np.broadcast_arrays(lon1, lat1, lon2, lat2))
-    shape = lon1.shape
-    lon1, lat1, lon2, lat2 = (v.ravel() for v in (lon1, lat1, lon2, lat2))
+    return chunked(lambda *a: _inverse(*a)[:3], lon1, lat1, lon2, lat2)
+
+
+def _inverse(lon1, lat1, lon2, lat2):
+    """As ``inverse``, and the area between the geodesic and the equator, positive for eastward ones in the north."""
     bad = ~(np.isfinite(lon1) & np.isfinite(lat1) & np.isfinite(lon2) & np.isfinite(lat2))
     lon1, lat1, lon2, lat2 = (np.where(bad, 0.0, v) for v in (lon1, lat1, lon2, lat2))
     d = _wrap(lon2 - lon1)
@@ -118,16 +142,32 @@ def inverse(lon1, lat1, lon2, lat2):
     sa1, sa2 = np.where(swap < 0, sa2, sa1), np.where(swap < 0, sa1, sa2)
     ca1, ca2 = np.where(swap < 0, ca2, ca1), np.where(swap < 0, ca1, ca2)
     sign, turn = east, swap * north
+    strip = np.where(same | equator | nothing, 0.0, east * north * _strip(sig1, np.maximum(sig1, sig2), sa0, np.hypot(np.cos(a1), np.sin(a1) * z1)))
     az1, az2 = np.degrees(np.arctan2(sa1 * sign, ca1 * turn)), np.degrees(np.arctan2(sa2 * sign, ca2 * turn))
     az1, az2 = (np.where(v == -180, 180.0, v) for v in (az1, az2))
-    return tuple(np.where(bad, np.nan, v).reshape(shape) for v in (s12, az1, az2))
+    return tuple(np.where(bad, np.nan, v) for v in (s12, az1, az2, strip))
+
+
+def _strip(s1, s2, sa0, ca0):
+    """Area between the equator and a geodesic's arc: zones' areas over the longitude that it passes."""
+    ca0 = ca0[:, None]
+    k2, total, (panels, x, w) = EP2 * ca0 * ca0, 0.0, _rule(s1, s2)
+    for lo, hi in panels:
+        half = (hi - lo) / 2
+        t = np.sin((hi + lo)[:, None] / 2 + half[:, None] * x)
+        sin_b = ca0 * t
+        cos2 = np.maximum(1e-32, 1 - sin_b * sin_b)
+        turn = sa0[:, None] * (1 / cos2 - FLAT * (2 - FLAT) / (1 + (1 - FLAT) * np.sqrt(1 + k2 * t * t)))
+        total = total + half * ((_zone_of(sin_b / np.sqrt(sin_b * sin_b + (1 - FLAT) ** 2 * cos2)) * turn) @ w)
+    return total
 
 
 def direct(lon, lat, azimuth, s12):
     """lon2, lat2 and the azimuth there, after s12 metres."""
-    lon, lat, azimuth, s12 = (np.asarray(v, float) for v in np.broadcast_arrays(lon, lat, azimuth, s12))
-    shape = lon.shape
-    lon, lat, azimuth, s12 = (v.ravel() for v in (lon, lat, azimuth, s12))
+    return chunked(_direct, lon, lat, azimuth, s12)
+
+
+def _direct(lon, lat, azimuth, s12):
     sa1, ca1 = np.sin(np.radians(azimuth)), np.cos(np.radians(azimuth))
     b1 = np.arctan2((1 - FLAT) * np.sin(np.radians(lat)), np.cos(np.radians(lat)))
     c1 = np.maximum(np.cos(b1), 1e-16)
@@ -149,7 +189,7 @@ def direct(lon, lat, azimuth, s12):
     lon2 = _wrap(lon + np.degrees(lam))
     lat2 = np.degrees(np.arctan2(np.sin(b2), (1 - FLAT) * np.cos(b2)))
     az2 = np.degrees(np.arctan2(sa0, ca0 * np.cos(sig2)))
-    return lon2.reshape(shape), lat2.reshape(shape), az2.reshape(shape)
+    return lon2, lat2, az2
 
 
 def _signed(s1, s2, sa0, what):
@@ -159,30 +199,21 @@ def _signed(s1, s2, sa0, what):
     return sum(_integrals(a, b, sa0, what) for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def _zone(phi):
-    """Area from the equator to a latitude, square metres a radian of longitude."""
-    e, s = np.sqrt(E2), np.sin(phi)
+def _zone_of(s):
+    """Area from the equator to the latitude with this sine, square metres a radian of longitude."""
+    e = np.sqrt(E2)
     return B * B / 2 * (s / (1 - E2 * s * s) + np.arctanh(e * s) / e)
 
 
+def strips(lon1, lat1, lon2, lat2):
+    """Signed areas between geodesic edges and the equator, square metres."""
+    return chunked(lambda *a: _inverse(*a)[3:], lon1, lat1, lon2, lat2)[0]
+
+
 def ring_area(lon, lat) -> float:
     """Signed area inside a closed ring of geodesic edges, square metres; counter-clockwise is positive."""
     lon, lat = np.asarray(lon, float), np.asarray(lat, float)
-    s12, az1, _ = inverse(lon[:-1], lat[:-1], lon[1:], lat[1:])
-    total = 0.0
-    # Each edge is walked at the rule's nodes; between them longitude gives the strip's width.
-    t = (_X + 1) / 2
-    keep = s12 > 0
-    a, o, z, s = lat[:-1][keep], lon[:-1][keep], az1[keep], s12[keep]
-    if not len(s):
-        return 0.0
-    lo, la, az = direct(o[:, None], a[:, None], z[:, None], s[:, None] * t)
-    phi = np.radians(la)
-    n = A / np.sqrt(1 - E2 * np.sin(phi) ** 2)
-    # d lon / d s along a geodesic.
-    rate = np.sin(np.radians(az)) / (n * np.cos(phi))
-    total = (s / 2 * ((_zone(phi) * rate) * _W).sum(axis=1)).sum()
-    return -float(total)
+    return -float(strips(lon[:-1], lat[:-1], lon[1:], lat[1:]).sum())
 
 
 def area(parts) -> float:
@@ -190,6 +221,28 @@ def area(parts) -> float:
     return float(sum(max(0.0, abs(ring_area(*p[0].T)) - sum(abs(ring_area(*h.T)) for h in p[1:])) for p in parts))
 
 
+def feet(ax, ay, bx, by, px, py):
+    """Of geodesics from a to b, the places nearest to p: x, y, distance, and metres along; found by steps that end."""
+    return chunked(_feet, ax, ay, bx, by, px, py)
+
+
+def _feet(ax, ay, bx, by, px, py):
+    size, az, _ = inverse(ax, ay, bx, by)
+    s, zp, _ = inverse(ax, ay, px, py)
+    t, open_ = np.clip(s * np.cos(np.radians(zp - az)), 0, size), np.arange(len(size))
+    for _ in range(60):
+        x, y, z = direct(ax[open_], ay[open_], az[open_], t[open_])
+        s, zp, _ = inverse(x, y, px[open_], py[open_])
+        new = np.clip(t[open_] + s * np.cos(np.radians(zp - z)), 0, size[open_])
+        still = np.abs(new - t[open_]) > 1e-6
+        t[open_] = new
+        open_ = open_[still]
+        if not len(open_):
+            break
+    x, y, _ = direct(ax, ay, az, t)
+    return x, y, inverse(x, y, px, py)[0], t
+
+
 def _struct(*names: str) -> StructType:
     return StructType([StructField(n, DoubleType()) for n in names])
 
@@ -212,6 +265,17 @@ def direct_udf(lon: pd.Series, lat: pd.Series, azimuth: pd.Series, s12: pd.Serie
     return pd.DataFrame({"x": x, "y": y})
 
 
+@F.pandas_udf(_struct("x", "y", "dist", "along"))
+def foot_udf(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, px: pd.Series, py: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("x", "y", "dist", "along"), feet(*(v.to_numpy(float) for v in (ax, ay, bx, by, px, py))), strict=True)))
+
+
+def foot(ax, ay, bx, by, px, py) -> Column:
+    """The place of a segment that is nearest to a point: struct of x, y, dist and along, in metres."""
+    ship()
+    return foot_udf(ax, ay, bx, by, px, py)
+
+
 def _null(c: Column) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 

@@ -75,6 +75,19 @@ def rhumb_distance(lon1, lat1, lon2, lat2, units: str = "kilometers"):
     return m.sqrt(d_arc * d_arc + q * d * (q * d)) / metres(units)
 
 
+def rhumb_place(lon: Column, lat: Column) -> Column:
+    """What a point brings to rhumb distances, so that pairs need no series: longitude, latitude, isometric latitude, arc, and its parallel's radius."""
+    phi = F.radians(lat)
+    return F.struct(F.radians(lon).alias("lam"), phi.alias("phi"), isometric(phi).alias("psi"), meridian_arc(phi).alias("arc"), (normal_radius(phi) * F.cos(phi)).alias("round"))
+
+
+def rhumb_between(a: Column, b: Column) -> Column:
+    """Metres between two ``rhumb_place``s."""
+    d, d_arc = _turn(b["lam"] - a["lam"]), b["arc"] - a["arc"]
+    q = F.when(F.abs(b["phi"] - a["phi"]) < 1e-11, a["round"]).otherwise(d_arc / F.nullif(b["psi"] - a["psi"], F.lit(0.0))) * d
+    return F.sqrt(d_arc * d_arc + q * q)
+
+
 def rhumb_bearing(lon1, lat1, lon2, lat2, final: bool = False):
     """Degrees in (-180, 180]; the final bearing is that from the end, turned about, in [0, 360)."""
     m = engine(lon1)

@@ -1,17 +1,24 @@
-"""Columns over whole geometries that need a kernel: one Arrow batch of rows at a time."""
+"""Columns over whole geometries that need a kernel: one Arrow batch of rows at a time.
+
+Geometries stay Arrow arrays on the way: a batch's positions are one flat array
+with offsets for rings, parts and rows. What has a closed form for each position or
+edge is computed over the whole batch at once; the rest over one row's rings.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tellurion.functions import geodesic as geo
+from tellurion.functions.crs import convert
+from tellurion.functions.measure import centroid
 from tellurion.operators import geodetic as g
 from tellurion.operators import planar as pl
 from tellurion.session import ship
@@ -21,24 +28,84 @@ GEOMETRY = StructType([StructField("kind", StringType()), StructField("parts", A
 ISSUE = StructType([StructField("code", StringType()), StructField("severity", StringType()), StructField("part", IntegerType()), StructField("ring", IntegerType())])
 REPAIR = StructType([StructField("geom", GEOMETRY), StructField("fixes", ArrayType(StringType()))])
 
-
-def unpack(text: str | None):
-    """The kernel's form of a geometry that came as JSON; None for null.
-
-    Ragged nested arrays don't survive the way into pandas, so geometries travel as text.
-    """
-    if text is None:
-        return None
-    v = json.loads(text)
-    if v.get("kind") is None or v.get("parts") is None:
-        return None
-    return v["kind"], [[np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in part] for part in v["parts"]]
-
-
-def pack(geom) -> dict | None:
-    if geom is None:
-        return None
-    return {"kind": geom[0], "parts": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in part] for part in geom[1]]}
+XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+ARROW = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(XY))))])
+
+
+class Batch:
+    """A batch's geometries: kinds, flat positions, and offsets of rows, parts and rings; null rows are empty."""
+
+    def __init__(self, kinds: list, rows: np.ndarray, parts: np.ndarray, rings: np.ndarray, xy: np.ndarray):
+        self.kinds, self.rows, self.parts, self.rings, self.xy = kinds, rows, parts, rings, xy
+
+    @classmethod
+    def of(cls, arr: pa.Array) -> Batch:
+        parts = arr.field("parts")
+        there = np.asarray(arr.is_valid()) & np.asarray(parts.is_valid())
+        kinds = [k if ok else None for k, ok in zip(arr.field("kind").to_pylist(), there, strict=True)]
+        # Offsets from where this batch begins in its buffers.
+        rows, rings = _offsets(parts), parts.values.slice(parts.offsets[0].as_py())
+        inner, points = _offsets(rings), rings.values.slice(rings.offsets[0].as_py() if len(rings) else 0)
+        last, flat = _offsets(points), points.values.slice(points.offsets[0].as_py() if len(points) else 0)
+        n = int(last[-1]) if len(last) else 0
+        flat = flat.slice(0, n)
+        xy = np.stack([np.asarray(flat.field("x"), float), np.asarray(flat.field("y"), float)], axis=1) if n else np.zeros((0, 2))
+        return cls(kinds, rows, inner, last, xy)
+
+    def arrow(self) -> pa.Array:
+        xy = pa.StructArray.from_arrays([pa.array(self.xy[:, 0]), pa.array(self.xy[:, 1])], fields=list(XY))
+        nest = xy
+        for offsets in (self.rings, self.parts):
+            nest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nest)
+        none = pa.array([k is None for k in self.kinds], pa.bool_())
+        parts = pa.ListArray.from_arrays(pa.array(self.rows, pa.int32()), nest, mask=none)
+        return pa.StructArray.from_arrays([pa.array(self.kinds, pa.string()), parts], fields=list(ARROW), mask=none)
+
+    def geoms(self) -> list:
+        out = []
+        for i, kind in enumerate(self.kinds):
+            out.append(None if kind is None else (kind, [[self.xy[self.rings[r] : self.rings[r + 1]] for r in range(self.parts[p], self.parts[p + 1])] for p in range(self.rows[i], self.rows[i + 1])]))
+        return out
+
+    @classmethod
+    def from_geoms(cls, geoms: list) -> Batch:
+        rings = [[[np.asarray(r, float).reshape(-1, 2) for r in part] for part in v[1]] if v else [] for v in geoms]
+        flat = [r for v in rings for part in v for r in part]
+        ends = lambda sizes: np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+        return cls([v[0] if v else None for v in geoms], ends([len(v) for v in rings]), ends([len(part) for v in rings for part in v]), ends([len(r) for r in flat]), np.concatenate(flat) if flat else np.zeros((0, 2)))
+
+    @classmethod
+    def of_rings(cls, kind: str, xy: np.ndarray, there: np.ndarray) -> Batch:
+        """One ring of equal size for each row (rows x positions x 2); rows that aren't there are null."""
+        n, m = xy.shape[:2]
+        ends = np.concatenate([[0], np.cumsum(there)])
+        k = int(ends[-1])
+        return cls([kind if ok else None for ok in there], ends, np.arange(k + 1), m * np.arange(k + 1), xy[there].reshape(-1, 2))
+
+    def row_of(self) -> np.ndarray:
+        """The row of each position."""
+        ring_row = np.repeat(np.arange(len(self.kinds)), np.diff(self.parts[self.rows])) if len(self.kinds) else np.zeros(0, int)
+        return np.repeat(ring_row, np.diff(self.rings))
+
+    def edges(self) -> np.ndarray:
+        """Places of the positions that another of the same ring follows."""
+        inner = np.ones(len(self.xy), bool)
+        ends = self.rings[1:][np.diff(self.rings) > 0]
+        inner[ends - 1] = False
+        return np.flatnonzero(inner)
+
+    def sums(self, at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions summed by ring, and each ring's part."""
+        ring = np.repeat(np.arange(len(self.rings) - 1), np.diff(self.rings))[at]
+        return np.bincount(ring, v, len(self.rings) - 1), np.repeat(np.arange(len(self.parts) - 1), np.diff(self.parts))
+
+
+def _offsets(arr: pa.ListArray) -> np.ndarray:
+    """Offsets from 0; nulls are as long as nothing."""
+    if not len(arr):
+        return np.zeros(1, np.int64)
+    o = np.asarray(arr.offsets, np.int64)
+    return o - o[0]
 
 
 def line(positions: np.ndarray) -> tuple:
@@ -49,58 +116,162 @@ def lines(rows: list[np.ndarray]) -> tuple:
     return "MultiLineString", [[r] for r in rows]
 
 
+def _column(run: Callable, result: DataType, geoms: int, n_args: tuple) -> Column:
+    ship()
+    cols = [a if isinstance(a, Column) else F.col(a) if isinstance(a, str) else F.lit(a) for a in n_args]
+    return F.arrow_udf(run, result, ArrowUDFType.SCALAR)(*cols)
+
+
 def kernel(f: Callable, result: DataType = GEOMETRY, geoms: int = 1) -> Callable[..., Column]:
     """A column function whose first ``geoms`` arguments are geometries; null in, null out."""
+    inner = list(result.fields) if isinstance(result, StructType) else []
 
-    def run(*cols) -> pd.Series | pd.DataFrame:
-        own = [[unpack(x) for x in c] for c in cols[:geoms]]
-        rest = [c.tolist() for c in cols[geoms:]]
+    def run(*cols):
+        own = [Batch.of(c).geoms() for c in cols[:geoms]]
+        rest = [c.to_pylist() for c in cols[geoms:]]
         out = [None if any(v is None for v in row) else f(*row) for row in zip(*own, *rest, strict=True)]
         if result is GEOMETRY:
-            packed = [pack(v) or {"kind": None, "parts": None} for v in out]
-            return pd.DataFrame({"kind": [v["kind"] for v in packed], "parts": [v["parts"] for v in packed]})
-        if isinstance(result, StructType):
-            names = result.fieldNames()
-            return pd.DataFrame([dict.fromkeys(names) if v is None else dict(zip(names, v, strict=True)) for v in out], columns=names)
-        return pd.Series(out, dtype=object)
-
-    def call(*args) -> Column:
-        ship()
-        cols = [a if isinstance(a, Column) else F.col(a) if isinstance(a, str) else F.lit(a) for a in args]
-        cols = [F.to_json(c) if i < geoms else c for i, c in enumerate(cols)]
-        wrapped = _typed(run, len(cols), result)
-        out = F.pandas_udf(wrapped, result)(*cols)
-        return F.when(out["kind"].isNotNull(), out) if result is GEOMETRY else out
-
-    return call
-
-
-def _typed(run, n: int, result: DataType):
-    """Pandas UDFs take their kind from annotations, which depend on the arguments."""
-    ret = pd.DataFrame if isinstance(result, StructType) else pd.Series
-    args = ", ".join(f"a{i}" for i in range(n))
-    space: dict = {"run": run}
-    exec(f"def wrapped({args}):\n    return run({args})", space)
-    f = space["wrapped"]
-    f.__annotations__ = {f"a{i}": pd.Series for i in range(n)} | {"return": ret}
-    return f
+            return Batch.from_geoms(out).arrow()
+        if result is REPAIR:
+            geom = Batch.from_geoms([v[0] if v else None for v in out]).arrow()
+            fixes = pa.array([v[1] if v else None for v in out], pa.list_(pa.string()))
+            return pa.StructArray.from_arrays([geom, fixes], names=["geom", "fixes"], mask=pa.array([v is None for v in out], pa.bool_()))
+        if inner:
+            return pa.array([None if v is None else dict(zip(result.fieldNames(), v, strict=True)) for v in out], _arrow(result))
+        return pa.array(out, _arrow(result))
+
+    return lambda *args: _column(run, result, geoms, args)
+
+
+def _arrow(kind: DataType) -> pa.DataType:
+    if isinstance(kind, StructType):
+        return pa.struct([(x.name, _arrow(x.dataType)) for x in kind.fields])
+    if isinstance(kind, ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return {DoubleType(): pa.float64(), IntegerType(): pa.int32(), BooleanType(): pa.bool_(), StringType(): pa.string()}[kind]
+
+
+def _numbers(cols) -> list[np.ndarray]:
+    """Columns of numbers as arrays, nulls as NaN."""
+    return [np.asarray(c.cast(pa.float64()).to_numpy(zero_copy_only=False), float) for c in cols]
+
+
+def moved(f: Callable) -> Callable[..., Column]:
+    """A column function that maps positions: ``f(x, y, *numbers)`` over all of a batch's."""
+
+    def run(*cols):
+        b, rest = Batch.of(cols[0]), _numbers(cols[1:])
+        row = b.row_of()
+        b.xy = np.stack(f(b.xy[:, 0], b.xy[:, 1], *(v[row] for v in rest))[:2], axis=1)
+        bad = np.isnan(np.stack(rest)).any(axis=0) if rest else np.zeros(len(b.kinds), bool)
+        if bad.any():
+            return Batch.from_geoms([None if x else v for v, x in zip(b.geoms(), bad, strict=True)]).arrow()
+        return b.arrow()
+
+    return lambda *args: _column(run, GEOMETRY, 1, args)
+
+
+def shaped(kind: str, f: Callable) -> Callable[..., Column]:
+    """A column function of numbers that gives one ring for each row: ``f`` gives rows x positions of x and of y."""
+
+    def run(*cols):
+        v = _numbers(cols)
+        there = ~np.isnan(np.stack(v)).any(axis=0)
+        x, y = f(*(np.where(there, c, 1.0)[:, None] for c in v))
+        return Batch.of_rings(kind, np.stack([x, y], axis=-1), there).arrow()
+
+    return lambda *args: _column(run, GEOMETRY, 0, args)
+
+
+def measured(f: Callable) -> Callable[..., Column]:
+    """A column function from a batch of geometries to a number for each row; null for null."""
+
+    def run(col):
+        b = Batch.of(col)
+        return pa.array(f(b), pa.float64(), mask=np.array([k is None for k in b.kinds], bool))
+
+    return lambda *args: _column(run, DoubleType(), 1, args)
+
+
+def line(positions: np.ndarray) -> tuple:
+    return "LineString", [[positions]]
+
+
+def lines(rows: list[np.ndarray]) -> tuple:
+    return "MultiLineString", [[r] for r in rows]
 
 
 def _ring(geom) -> np.ndarray:
     return g.rings(geom)[0]
 
 
+def buffer(geom, radius, steps: int = 16, edges: str = "planar", method: str = "geodesic", tolerance: float = 0.01, crs: str = "WGS84") -> Column:
+    """All within ``radius`` metres of each geometry; see the kernel for the options. A batch's points are solved at once."""
+    turn = -360.0 * np.arange(4 * steps + 1) / (4 * steps)
+
+    def run(col, metres):
+        b, (r,) = Batch.of(col), _numbers([metres])
+        if crs != "WGS84":
+            b.xy = np.stack(convert(b.xy[:, 0], b.xy[:, 1], crs, "WGS84"), axis=1).reshape(-1, 2)
+        point = np.array([k == "Point" for k in b.kinds], bool) & (r > 0) & (np.diff(b.rows) == 1)
+        out: list = [None] * len(b.kinds)
+        if point.any():
+            at = b.xy[b.rings[b.parts[b.rows[:-1][point]]]]
+            x, y, _ = geo.direct(at[:, :1], at[:, 1:], turn, r[point][:, None])
+            for i, ring in zip(np.flatnonzero(point), np.stack([x, y], axis=-1), strict=True):
+                out[i] = ("Polygon", [[ring]])
+        for i, v in enumerate(b.geoms()):
+            if v is not None and not point[i] and not np.isnan(r[i]):
+                out[i] = g.buffer(v, float(r[i]), steps, edges, method, tolerance)
+        done = Batch.from_geoms(out)
+        if crs != "WGS84":
+            done.xy = np.stack(convert(done.xy[:, 0], done.xy[:, 1], "WGS84", crs), axis=1).reshape(-1, 2)
+        return done.arrow()
+
+    return _column(run, GEOMETRY, 1, (geom, radius))
+
+
 # Geometry from geometry.
-buffer = kernel(lambda a, r: g.buffer(a, r))
 simplify = kernel(lambda a, tol: g.simplified(a, tol))
 simplify_topology = kernel(lambda a, tol: g.simplified(a, tol, True))
 convex = kernel(g.convex)
 concave = kernel(g.concave)
 polygon_smooth = kernel(lambda a, n: g.smoothed(a, int(n)))
 bezier_spline = kernel(lambda a: g.bezier_spline(a))
-translate = kernel(lambda a, d, b: g.translated(a, d, b))
-rotate = kernel(lambda a, angle: g.rotated(a, angle))
-scale = kernel(lambda a, f: g.scaled(a, f))
+translate = moved(lambda x, y, d, b: geo.direct(x, y, b, d))
+
+
+def _turned(x, y, angle, px, py):
+    s, az, _ = geo.inverse(px, py, x, y)
+    return geo.direct(px, py, az + angle, s)
+
+
+def _stretched(x, y, factor, px, py):
+    s, az, _ = geo.inverse(px, py, x, y)
+    return geo.direct(px, py, az, s * factor)
+
+
+_rotate, _scale = moved(_turned), moved(_stretched)
+
+
+def _pivot(geom, pivot) -> tuple:
+    """The pivot's coordinates; the geometry's mean position unless one is given."""
+    p = centroid(F.col(geom) if isinstance(geom, str) else geom) if pivot is None else None
+    return (p["x"], p["y"]) if pivot is None else pivot
+
+
+def rotate(geom, angle, pivot=None) -> Column:
+    """Turned clockwise about ``pivot``, a pair of numbers or columns."""
+    return _rotate(geom, angle, *_pivot(geom, pivot))
+
+
+def scale(geom, factor, origin=None) -> Column:
+    """Stretched along geodesics from ``origin``, a pair of numbers or columns."""
+    return _scale(geom, factor, *_pivot(geom, origin))
+
+
+line_slice = kernel(lambda a, x1, y1, x2, y2: line(g.line_slice(_ring(a), (x1, y1), (x2, y2))))
+polygon_tangents = kernel(lambda a, x, y: ("MultiPoint", [[p[None]] for p in g.polygon_tangents(a, (x, y))]))
 clean_coords = kernel(lambda a, tol: g.clean_coords(a, tol))
 line_slice_along = kernel(lambda a, lo, hi: line(g.line_slice_along(_ring(a), lo, hi)))
 line_chunk = kernel(lambda a, n: lines(g.line_chunk(_ring(a), n)))
@@ -119,12 +290,35 @@ mask = kernel(g.mask, geoms=2)
 line_split = kernel(lambda a, b: lines(pl.line_split(_ring(a), g.rings(b))), geoms=2)
 line_overlap = kernel(lambda a, b: lines(g.line_overlap(_ring(a), _ring(b))), geoms=2)
 
-# Shapes about a point: x, y and their measures.
-circle = kernel(lambda x, y, r: g.circle((x, y), r), geoms=0)
+# Shapes about a point: x, y and their measures, over whole batches.
+STEPS = 64
+
+
+def _circle(x, y, r):
+    return geo.direct(x, y, -360.0 * np.arange(STEPS + 1) / STEPS, r)[:2]
+
+
+def _arc(x, y, r, a, b):
+    sweep = (b - a) % 360
+    return geo.direct(x, y, a + np.where(sweep == 0, 360.0, sweep) * np.arange(STEPS + 1) / STEPS, r)[:2]
+
+
+def _ellipse(x, y, a, b, turn):
+    t = 2 * np.pi * np.arange(STEPS + 1) / STEPS
+    east, north = a * np.cos(t), b * np.sin(t)
+    return geo.direct(x, y, np.degrees(np.arctan2(east, north)) + turn, np.hypot(east, north))[:2]
+
+
+def _great_circle(x, y, x2, y2, steps=100):
+    s, az, _ = geo.inverse(x, y, x2, y2)
+    return geo.direct(x, y, az, s * np.arange(steps) / (steps - 1))[:2]
+
+
+circle = shaped("Polygon", _circle)
+line_arc = shaped("LineString", _arc)
+ellipse = shaped("Polygon", _ellipse)
+great_circle = shaped("LineString", _great_circle)
 sector = kernel(lambda x, y, r, a, b: g.sector((x, y), r, a, b), geoms=0)
-line_arc = kernel(lambda x, y, r, a, b: g.line_arc((x, y), r, a, b), geoms=0)
-ellipse = kernel(lambda x, y, a, b, t: g.ellipse((x, y), a, b, t), geoms=0)
-great_circle = kernel(lambda a, b, c, d: g.great_circle((a, b), (c, d)), geoms=0)
 
 # Positions, numbers and tests.
 along = kernel(lambda a, d: tuple(g.along(_ring(a), d).tolist()), POSITION)
@@ -137,11 +331,56 @@ point_to_polygon_distance = kernel(lambda a, x, y: g.point_to_polygon(a, (x, y))
 boolean_point_on_line = kernel(lambda a, x, y, tol: g.point_on_line(a, (x, y), tol), BooleanType())
 boolean_parallel = kernel(lambda a, b: g.boolean_parallel(_ring(a), _ring(b)), BooleanType(), geoms=2)
 relate = kernel(lambda a, b: pl.relate(*a, *b), StringType(), geoms=2)
-boolean_intersects = kernel(lambda a, b: not pl.relate(*a, *b).startswith("FF") or pl.relate(*a, *b)[3:5] != "FF", BooleanType(), geoms=2)
-geodesic_length = kernel(lambda a: float(sum(geo.inverse(r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1])[0].sum() for r in g.rings(a) if "Point" not in a[0])), DoubleType())
-geodesic_area = kernel(lambda a: geo.area(a[1]) if g.areal(a) else 0.0, DoubleType())
+
+
+def _apart(a, b) -> bool:
+    """Whether the boxes of two geometries don't meet."""
+    p, q = (np.concatenate([*g.rings(v), np.zeros((0, 2))]) for v in (a, b))
+    return not len(p) or not len(q) or bool((p.min(0) > q.max(0)).any() or (q.min(0) > p.max(0)).any())
+
+
+def _intersects(a, b) -> bool:
+    if _apart(a, b):
+        return False
+    m = pl.relate(*a, *b)
+    return not m.startswith("FF") or m[3:5] != "FF"
+
+
+boolean_intersects = kernel(_intersects, BooleanType(), geoms=2)
+
+
+def _length(b: Batch) -> np.ndarray:
+    at = b.edges()
+    p, q = b.xy[at], b.xy[at + 1]
+    s = geo.inverse(p[:, 0], p[:, 1], q[:, 0], q[:, 1])[0]
+    point = np.array([k is not None and "Point" in k for k in b.kinds], bool)
+    return np.where(point, 0.0, np.bincount(b.row_of()[at], s, len(b.kinds)))
+
+
+def _area(b: Batch) -> np.ndarray:
+    at = b.edges()
+    p, q = b.xy[at], b.xy[at + 1]
+    areal = np.array([k is not None and "Polygon" in k for k in b.kinds], bool)
+    own = areal[b.row_of()[at]]
+    ring, part = b.sums(at[own], geo.strips(*p[own].T, *q[own].T))
+    # A part is its first ring's area less those of the others, and never below nothing.
+    sign = np.full(len(ring), -1.0)
+    sign[b.parts[:-1][np.diff(b.parts) > 0]] = 1.0
+    parts = np.maximum(0.0, np.bincount(part, sign * np.abs(ring), len(b.parts) - 1))
+    return np.bincount(np.repeat(np.arange(len(b.kinds)), np.diff(b.rows)), parts, len(b.kinds))
+
+
+geodesic_length = measured(_length)
+geodesic_area = measured(_area)
 validate = kernel(lambda a: [dict(zip(("code", "severity", "part", "ring"), v, strict=True)) for v in g.validate(a)], ArrayType(ISSUE))
-make_valid = kernel(lambda a: (lambda v: (pack(v[0]), v[1]))(g.make_valid(a)), REPAIR)
+_make_valid = kernel(lambda a, grid, least, tol: g.make_valid(a, grid, least, tol), REPAIR)
+
+
+def make_valid(geom, snap_grid: float = 0.0, min_area: float = 0.0, clean_tolerance: float = 0.0) -> Column:
+    """A repaired geometry and the list of what was done to it; the options are metres and square metres."""
+    return _make_valid(geom, float(snap_grid), float(min_area), float(clean_tolerance))
+
+
 
 
 def boolean_valid(geom: Column) -> Column:

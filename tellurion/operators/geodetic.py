@@ -305,15 +305,30 @@ def mask(g: Geom, cover: Geom) -> Geom | None:
     return difference(cover, g)
 
 
-def _band(g: Geom, radius: float, steps: int) -> list:
+def along_geodesics(g: Geom, tol: float = 0.01, most: int = 256) -> Geom:
+    """Geodesic edges cut so that the plane's chord stays within ``tol`` metres of them."""
+    def ring(r):
+        s, az, _ = geo.inverse(r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1])
+        out = [r[:1]]
+        for a, b, n, z in zip(r, r[1:], s, az, strict=False):
+            # A geodesic leaves the chord of a plane of its extent by less than its length squared over the earth's size.
+            k = int(np.clip(math.ceil(n / math.sqrt(8 * tol * 6.3e6)), 1, most))
+            x, y, _ = geo.direct(a[0], a[1], float(z), n * np.arange(1, k) / k)
+            out += [np.stack([x, y], axis=1), b[None]]
+        return np.concatenate(out)
+
+    return mapped(g, ring)
+
+
+def _band(g: Geom, radius: float, steps: int, edges: str = "planar", tol: float = 0.01) -> list:
     """Strips along segments and circles at positions, in longitude and latitude."""
-    out = []
+    out, cut = [], densified if edges == "planar" else along_geodesics
     for r in rings(g):
         for c in np.unique(r, axis=0):
             # Turned by an odd angle, so that corners of strips don't fall on the circle's.
             out.append([pl.closed(around(c, radius, 3.7 - 360.0 * np.arange(4 * steps) / (4 * steps)))])
         if len(r) > 1 and "Point" not in g[0]:
-            r = densified(("LineString", [[r]]))[1][0][0]
+            r = cut(("LineString", [[r]]), tol)[1][0][0]
             s, z1, z2 = geo.inverse(r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1])
             for a, b, u, v, n in zip(r, r[1:], z1, z2, s, strict=False):
                 if n > 0:
@@ -321,20 +336,48 @@ def _band(g: Geom, radius: float, steps: int) -> list:
     return out
 
 
-def buffer(g: Geom, radius: float, steps: int = 16) -> Geom | None:
-    """All within ``radius`` metres; a negative one draws areas in, zero leaves the area of the input."""
+def _plane_band(parts: list, line: bool, radius: float, steps: int) -> list:
+    """The same in a plane, where directions are the plane's own."""
+    out, turn = [], np.radians(3.7 - 360.0 * np.arange(4 * steps) / (4 * steps))
+    for r in (r for part in parts for r in part):
+        for c in np.unique(r, axis=0):
+            out.append([pl.closed(c + radius * np.stack([np.sin(turn), np.cos(turn)], axis=1))])
+        for a, b in zip(r, r[1:], strict=False) if line else ():
+            d = b - a
+            if n := math.hypot(*d):
+                side = radius * np.array([d[1], -d[0]]) / n
+                out.append([pl.closed(np.array([a + side, a - side, b - side, b + side]))])
+    return out
+
+
+def buffer(g: Geom, radius: float, steps: int = 16, edges: str = "planar", method: str = "geodesic", tolerance: float = 0.01) -> Geom | None:
+    """All within ``radius`` metres; a negative one draws areas in, zero leaves the area of the input.
+
+    ``steps`` are segments of a quarter circle. ``edges`` tells whether edges are
+    straight in longitude and latitude or geodesics; they are followed within
+    ``tolerance`` metres. ``method`` places the outline by geodesics or by the
+    plane's own distances, which is quicker and as good as the plane.
+    """
+    if edges not in ("planar", "geodesic") or method not in ("geodesic", "projected"):
+        raise ValueError(f"no such edges or method: {edges}, {method}")
+    tol = tolerance if tolerance > 0 else 0.01
+    cut = densified if edges == "planar" else along_geodesics
     if radius == 0:
-        return union(g) if areal(g) else None
+        return g if areal(g) else None
     if radius < 0 and not areal(g):
         return None
     if g[0] == "Point" and radius > 0:
         return circle(rings(g)[0][0], radius, 4 * steps)
-    band = ("MultiPolygon", _band(g, abs(radius), steps))
-    f = Frame(g, band)
-    pieces = f.plane(band)
+    if method == "geodesic":
+        band = ("MultiPolygon", _band(g, abs(radius), steps, edges, tol))
+        f = Frame(g, band)
+        pieces = f.plane(band)
+    else:
+        f = Frame(g)
+        pieces = _plane_band(f.plane(cut(g, tol) if "Point" not in g[0] else g), "Point" not in g[0], abs(radius), steps)
     if radius > 0:
-        return f.earth(pl.union(pieces, f.plane(densified(g)) if areal(g) else []))
-    return f.earth(pl.difference(f.plane(densified(g)), pieces))
+        return f.earth(pl.union(pieces, f.plane(cut(g, tol)) if areal(g) else []))
+    return f.earth(pl.difference(f.plane(cut(g, tol)), pieces))
 
 
 def bbox_clip(g: Geom, box) -> Geom:

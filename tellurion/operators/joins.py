@@ -7,12 +7,15 @@ residual test decides. Nothing here falls back to a nested loop.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellurion.functions import measure
 from tellurion.functions import types as T
 from tellurion.functions.shapes import boxes_meet, point_in_polygon, segment_crossing
+from tellurion.session import land
 
 #: A degree of latitude is nowhere shorter, in metres; nor one of longitude, times the cosine of latitude.
 DEGREE = 110_000.0
@@ -84,54 +87,139 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, distance=N
     """Pairs within ``radius`` metres, with their distance in metres.
 
     ``distance`` maps four columns to metres; the rhumb distance unless another
-    is given. The left side is listed under the cells that its circle's box
-    meets. No pair is found across the antimeridian.
+    is given. What the rhumb distance needs of a point is computed once for the
+    point, before the join. The left side is listed under the cells that its
+    circle's box meets. No pair is found across the antimeridian.
     """
-    distance = distance or (lambda a, b, c, d: measure.rhumb_distance(a, b, c, d, "meters"))
     size = max(1e-6, 2 * radius / DEGREE)
     dx, dy = reach(F.col(ly), radius)
     a, b = F.col(lx), F.col(ly)
     box = F.struct((a - dx).alias("xmin"), (b - dy).alias("ymin"), (a + dx).alias("xmax"), (b + dy).alias("ymax"))
-    own = with_cells(left.withColumn("_reach", box), F.col("_reach"), size)
-    other = right.withColumn("_px", cell(F.col(rx), size)).withColumn("_py", cell(F.col(ry), size))
-    test = (own["_cx"] == other["_px"]) & (own["_cy"] == other["_py"]) & F.col(rx).between(F.col("_reach")["xmin"], F.col("_reach")["xmax"]) & F.col(ry).between(F.col("_reach")["ymin"], F.col("_reach")["ymax"])
-    pairs = own.join(other, test).drop("_cx", "_cy", "_px", "_py", "_reach")
-    return pairs.withColumn(out, distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry))).filter(F.col(out) <= radius)
+    left, right = left.withColumn("_reach", box), right.withColumn("_px", cell(F.col(rx), size)).withColumn("_py", cell(F.col(ry), size))
+    if distance is None:
+        left, right = left.withColumn("_from", measure.rhumb_place(a, b)), right.withColumn("_to", measure.rhumb_place(F.col(rx), F.col(ry)))
+    own = with_cells(left, F.col("_reach"), size)
+    test = (own["_cx"] == right["_px"]) & (own["_cy"] == right["_py"]) & F.col(rx).between(F.col("_reach")["xmin"], F.col("_reach")["xmax"]) & F.col(ry).between(F.col("_reach")["ymin"], F.col("_reach")["ymax"])
+    metres = measure.rhumb_between(F.col("_from"), F.col("_to")) if distance is None else distance(a, b, F.col(rx), F.col(ry))
+    pairs = own.join(right, test).withColumn(out, metres).drop("_cx", "_cy", "_px", "_py", "_reach", "_from", "_to")
+    return pairs.filter(F.col(out) <= radius)
+
+
+def density_radius(points: DataFrame, per_circle: float, x: str, y: str) -> float:
+    """Metres of a circle that holds so many points where they are spread evenly over their box; one small aggregate."""
+    s = points.agg(F.count(x).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    if not s["n"] or s["x0"] is None or s["y0"] is None:
+        return 1.0
+    mid = math.radians((s["y0"] + s["y1"]) / 2)
+    area = max(s["x1"] - s["x0"], 1e-9) * DEGREE * max(math.cos(mid), 0.01) * max(s["y1"] - s["y0"], 1e-9) * DEGREE
+    return max(1.0, math.sqrt(per_circle * area / (math.pi * s["n"])))
+
+
+def widening(rest: DataFrame, target_id: str, start: float, search, most: float = 4e7) -> DataFrame:
+    """``search(targets, radius)`` over circles that grow fourfold, for the targets that have found nothing yet.
+
+    Every round's results and what is left are landed, so a round runs once. What
+    a circle holds is complete, so a target that has found something is done.
+    """
+    out, radius = None, start
+    while True:
+        found = land(search(rest, radius))
+        out = found if out is None else out.unionByName(found)
+        rest = land(rest.join(found.select(target_id).distinct(), target_id, "left_anti"))
+        if radius > most or not rest.limit(1).count():
+            return out
+        radius *= 4
 
 
-def nearest_point(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, start: float, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
+def nearest_point(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, start: float | None = None, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
     """target_id, point_id and distance of the nearest point; the smaller id wins a tie.
 
-    Circles of ``start`` metres grow fourfold for targets that have found
-    nothing. What a circle holds is complete, so its least distance is the least.
+    Circles start at ``start`` metres, or where they hold a few points.
     """
-    out, radius, rest = None, start, targets.select(target_id, lx, ly)
-    while True:
-        found = within_distance(rest, points.select(point_id, rx, ry), radius, distance, lx, ly, rx, ry)
-        best = found.groupBy(target_id).agg(F.min(F.struct("distance", point_id)).alias("b")).select(target_id, F.col(f"b.{point_id}").alias(point_id), F.col("b.distance").alias("distance"))
-        out = best if out is None else out.unionByName(best)
-        rest = rest.join(best, target_id, "left_anti")
-        if radius > 4e7 or not rest.limit(1).count():
-            return out
-        radius *= 4
+    own = points.select(point_id, rx, ry)
+
+    def search(rest: DataFrame, radius: float) -> DataFrame:
+        found = within_distance(rest, own, radius, distance, lx, ly, rx, ry)
+        best = found.groupBy(target_id).agg(F.min(F.struct("distance", point_id)).alias("b"))
+        return best.select(target_id, F.col(f"b.{point_id}").alias(point_id), F.col("b.distance").alias("distance"))
 
+    return widening(targets.select(target_id, lx, ly), target_id, start or density_radius(own, 4, rx, ry), search)
 
-def nearest_k(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, k: int, start: float, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
+
+def nearest_k(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, k: int, start: float | None = None, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
     """The k nearest points of each target with their ranks; circles grow until they hold k."""
     from pyspark.sql import Window
 
-    out, radius, rest = None, start, targets.select(target_id, lx, ly)
-    total = points.count()
-    while True:
-        found = within_distance(rest, points.select(point_id, rx, ry), radius, distance, lx, ly, rx, ry)
-        full = found.groupBy(target_id).count().filter(F.col("count") >= min(k, total)).select(target_id)
-        ranked = found.join(full, target_id, "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(target_id).orderBy("distance", point_id))).filter(F.col("rank") <= k)
-        ranked = ranked.select(target_id, point_id, "distance", "rank")
-        out = ranked if out is None else out.unionByName(ranked)
-        rest = rest.join(full, target_id, "left_anti")
-        if radius > 4e7 or not rest.limit(1).count():
-            return out
-        radius *= 4
+    own = points.select(point_id, rx, ry)
+    total = own.count()
+    by = Window.partitionBy(target_id)
+
+    def search(rest: DataFrame, radius: float) -> DataFrame:
+        found = within_distance(rest, own, radius, distance, lx, ly, rx, ry)
+        ranked = found.withColumn("rank", F.row_number().over(by.orderBy("distance", point_id))).filter(F.col("rank") <= k)
+        full = ranked.withColumn("most", F.max("rank").over(by)).filter(F.col("most") >= min(k, total))
+        return full.select(target_id, point_id, "distance", "rank")
+
+    return widening(targets.select(target_id, lx, ly), target_id, start or density_radius(own, 3 * k, rx, ry), search)
+
+
+def lines_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, radius: float, x: str = "lon", y: str = "lat", geom: str = "geom") -> DataFrame:
+    """Each point's nearest line within ``radius`` metres: point_id, line_id, seg (from 0), x, y and distance.
+
+    Lines are geodesics between their positions. Of lines as near as each other
+    the smaller id has it. Segments are found by cells as points are; the exact
+    foot is solved for pairs whose boxes meet.
+    """
+    from tellurion.functions.geodesic import foot
+
+    segs = segment_rows(lines, line_id, geom, "s").select(line_id, F.col("s_no").alias("seg"), F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"), "s_box")
+    # A geodesic may leave its ends' box towards the pole; no farther than a great circle's sagitta and a tenth.
+    bulge = 1.1 * F.degrees(F.radians(F.abs(F.col("bx") - F.col("ax"))) ** 2) / 16
+    box = F.struct(F.col("s_box.xmin").alias("xmin"), (F.col("s_box.ymin") - bulge).alias("ymin"), F.col("s_box.xmax").alias("xmax"), (F.col("s_box.ymax") + bulge).alias("ymax"))
+    segs = segs.withColumn("_sbox", box).drop("s_box")
+    dx, dy = reach(F.col(y), radius)
+    own = F.struct((F.col(x) - dx).alias("xmin"), (F.col(y) - dy).alias("ymin"), (F.col(x) + dx).alias("xmax"), (F.col(y) + dy).alias("ymax"))
+    pairs = boxes_join(points.select(point_id, x, y, own.alias("_own")), segs, max(1e-6, 2 * radius / DEGREE), "_own", "_sbox")
+    pairs = pairs.withColumn("f", foot("ax", "ay", "bx", "by", x, y)).filter(F.col("f.dist") <= radius)
+    best = pairs.groupBy(point_id).agg(F.min(F.struct(F.round("f.dist", 9).alias("d"), line_id, "seg", "f.x", "f.y")).alias("b"))
+    return best.select(point_id, F.col(f"b.{line_id}").alias(line_id), "b.seg", "b.x", "b.y", F.col("b.d").alias("distance"))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, start: float | None = None, x: str = "lon", y: str = "lat", geom: str = "geom") -> DataFrame:
+    """Each point's nearest line of a table, as ``lines_within`` gives it, by circles that grow until they meet one."""
+    ends = lines.select(F.explode(T.positions_of(F.col(geom))).alias("p")).select("p.x", "p.y")
+    search = lambda rest, radius: lines_within(rest, lines, point_id, line_id, radius, x, y, geom)
+    return widening(points.select(point_id, x, y), point_id, start or density_radius(ends, 1, "x", "y"), search)
+
+
+def nearest_point_to_line(points: DataFrame, line: Column, point_id: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    """The point that is nearest to one line, as point_id and distance in metres; the smaller id wins a tie."""
+    from tellurion.functions.udfs import point_to_line_distance
+
+    d = points.select(point_id, F.round(point_to_line_distance(line, F.col(x), F.col(y)), 9).alias("distance")).filter(F.col("distance").isNotNull())
+    return d.agg(F.min(F.struct("distance", point_id)).alias("b")).select(F.col(f"b.{point_id}").alias(point_id), F.col("b.distance").alias("distance"))
+
+
+def snap_points(points: DataFrame, reference: DataFrame, point_id: str, line_id: str, tolerance: float, x: str = "lon", y: str = "lat", geom: str = "geom") -> DataFrame:
+    """Every point with x, y moved onto the reference within ``tolerance`` metres, and whether it moved.
+
+    A reference position within reach comes first, or else the nearest place on a
+    reference line. The reference's lines are taken as they are, not noded.
+    """
+    ends = reference.select(F.explode(T.positions_of(F.col(geom))).alias("_p")).select(F.col("_p.x").alias("_vx"), F.col("_p.y").alias("_vy")).distinct()
+    own = points.select(point_id, x, y)
+    at = within_distance(own, ends, tolerance, geodesic_metres, x, y, "_vx", "_vy").groupBy(point_id).agg(F.min(F.struct("distance", "_vx", "_vy")).alias("_v"))
+    rest = own.join(at, point_id, "left_anti")
+    near = lines_within(rest, reference, point_id, line_id, tolerance, x, y, geom).select(point_id, F.col("x").alias("_ex"), F.col("y").alias("_ey"))
+    out = own.join(at, point_id, "left").join(near, point_id, "left")
+    nx, ny = F.coalesce("_v._vx", "_ex", x), F.coalesce("_v._vy", "_ey", y)
+    return out.select(point_id, nx.alias("x"), ny.alias("y"), ((nx != F.col(x)) | (ny != F.col(y))).alias("moved"))
+
+
+def geodesic_metres(a: Column, b: Column, c: Column, d: Column) -> Column:
+    from tellurion.functions.geodesic import distance
+
+    return distance(a, b, c, d, "meters")
 
 
 def boxes_join(left: DataFrame, right: DataFrame, size: float, lbox: str = "lbox", rbox: str = "rbox", how: str = "inner") -> DataFrame:
@@ -166,22 +254,18 @@ def line_intersect(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
 def nearest_point_plane(points: DataFrame, fid: str, start: float, px: str = "px", py: str = "py") -> DataFrame:
     """Each point's distance to the nearest other point in a plane; circles grow fourfold until they hold one."""
-    out, radius = None, start
-    rest = points.select(F.col(fid).alias("fid"), F.col(px).alias("px"), F.col(py).alias("py"))
+    rest = land(points.select(F.col(fid).alias("fid"), F.col(px).alias("px"), F.col(py).alias("py")))
     others = rest.toDF("other", "qx", "qy")
-    total = rest.count()
-    while True:
+
+    def search(rest: DataFrame, radius: float) -> DataFrame:
         box = F.struct((F.col("px") - radius).alias("xmin"), (F.col("py") - radius).alias("ymin"), (F.col("px") + radius).alias("xmax"), (F.col("py") + radius).alias("ymax"))
         own = with_cells(rest.withColumn("_box", box), F.col("_box"), 2 * radius)
         there = others.withColumn("_px", cell(F.col("qx"), 2 * radius)).withColumn("_py", cell(F.col("qy"), 2 * radius))
         d = F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2)
         pairs = own.join(there, (own["_cx"] == there["_px"]) & (own["_cy"] == there["_py"])).filter("fid != other").withColumn("distance", d)
-        best = pairs.filter(F.col("distance") <= radius).groupBy("fid").agg(F.min("distance").alias("distance"))
-        out = best if out is None else out.unionByName(best)
-        rest = rest.join(best, "fid", "left_anti")
-        if total < 2 or radius > 1e8 or not rest.limit(1).count():
-            return out
-        radius *= 4
+        return pairs.filter(F.col("distance") <= radius).groupBy("fid").agg(F.min("distance").alias("distance"))
+
+    return widening(rest, "fid", start, search, 1e8)
 
 
 def length_of(lines: DataFrame, line_id: str, geom: str = "geom") -> DataFrame:

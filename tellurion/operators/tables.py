@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -11,19 +12,27 @@ from pyspark.sql import functions as F
 
 from tellurion.functions import crs
 from tellurion.functions import types as T
-from tellurion.functions.udfs import GEOMETRY, pack, unpack
 from tellurion.operators import geodetic as g
 from tellurion.operators import planar as pl
 from tellurion.operators.aggregates import bbox, framed
 from tellurion.operators.joins import boxes_join, cell, with_cells
-from tellurion.session import ship
+from tellurion.session import land, ship
 
 GEOM_DDL = T.GEOMETRY
 
 
-def land(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+def unpack(text: str | None):
+    """The kernels' form of a geometry that came into pandas as JSON; None for null."""
+    v = json.loads(text) if text is not None else {}
+    if v.get("kind") is None or v.get("parts") is None:
+        return None
+    return v["kind"], [[np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in part] for part in v["parts"]]
+
+
+def pack(geom) -> dict | None:
+    if geom is None:
+        return None
+    return {"kind": geom[0], "parts": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in part] for part in geom[1]]}
 
 
 # Set operations on groups.
@@ -369,6 +378,3 @@ def network_issues(df: DataFrame, line_id: str, geom: str = "geom", size: float
     cross = line_intersect(a, a.toDF("b", "geom2"), "a", "b", "geom", "geom2", size).filter("a < b")
     cross = cross.select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).distinct().join(nodes.select("x", "y"), ["x", "y"], "left_anti")
     return ends.unionByName(pseudo).unionByName(cross.select(F.lit("crossing-without-node").alias("code"), "x", "y"))
-
-
-GEOMETRY_TYPE = GEOMETRY

@@ -1,10 +1,11 @@
-"""Python workers import this package from where the driver did, if they share its disk."""
+"""What a session gives the library: how Python workers find it, and how lineage is cut."""
 
 from __future__ import annotations
 
 import os
 
 from pyspark import SparkContext
+from pyspark.sql import DataFrame
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -13,3 +14,14 @@ def ship() -> None:
     context = SparkContext._active_spark_context
     if context is not None and ROOT not in context.environment.get("PYTHONPATH", "").split(":"):
         context.environment["PYTHONPATH"] = ":".join(x for x in (ROOT, context.environment.get("PYTHONPATH", "")) if x)
+
+
+def land(df: DataFrame) -> DataFrame:
+    """Computed once, with its lineage cut, in the shared checkpoint folder where the session has one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cluster if they come in fewer partitions than it has cores; small files come in one."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
