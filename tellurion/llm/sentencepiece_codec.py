@@ -4,15 +4,17 @@ In a model whose pieces never reach over a white-space marker, and whose
 normaliser changes nothing but the markers, each marked word is segmented by
 itself: a text's ids are its words' ids, in order.
 
-1. Texts are read in blocks of ``BLOCK_BYTES``, about. A block lists its distinct
-   marked words once and keeps its texts as places in that list. Blocks are landed.
-2. The blocks' lists make the table of the corpus's distinct marked words. Each is
-   segmented once, wherever it stands.
-3. The table is joined to the lists by word, and the ids go back to their blocks,
-   where the texts' places pick them up in order.
-
-So what is shuffled is each block's distinct words and its places, never a row for
-each word of a text. A frequent word is one row for each block that holds it.
+Texts are read in blocks of ``BLOCK_BYTES``, about. A block lists its distinct marked
+words once and keeps its texts as places in that list. The words are segmented in
+one of two tables, and the places pick their ids up in order:
+
+* the block's own, where it lies: nothing is shuffled, and a word is segmented once
+  for each block that holds it;
+* the corpus's (``corpus_table``): blocks are landed, their lists are joined by word
+  with a table in which every word of the corpus stands once, and the ids go back
+  to their blocks. That moves each block's list twice and its places once, which
+  pays for models slower than this one, or where words are few and often repeated.
+
 Models for which the two conditions don't hold are applied to whole texts.
 """
 
@@ -89,32 +91,32 @@ def codec(model: str) -> Codec:
     return _codecs[model]
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, list[np.ndarray], list[str]]]:
+    """Ids of the rows of each block, the places of each text's marked words, and the block's distinct words."""
+    ids, places, known, n = [], [], {}, 0
+    for b in batches:
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = text.as_py()
+            marked = split_marked(text) if text else []
+            places.append(np.fromiter([known.setdefault(w, len(known)) for w in marked], np.int64, len(marked)))
+            ids.append(doc_id)
+            n += len(text) + 64
+            if n >= block_bytes:
+                yield ids, places, list(known)
+                ids, places, known, n = [], [], {}, 0
+    if ids:
+        yield ids, places, list(known)
+
+
 def blocks_of(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, doc_ids, sizes (words of each text), places (of the texts' words in the list, one after another) and words."""
     schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("wide", pa.bool_()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh():
-            return [], [], [], {}, 0
-
-        def block(ids, sizes, places, known):
-            wide = len(known) > 1 << 16
-            return pa.RecordBatch.from_pylist([{"block": uuid.uuid4().bytes, "doc_ids": ids, "sizes": sizes, "wide": wide, "places": np.concatenate([*places, np.zeros(0, np.int64)]).astype("<u4" if wide else "<u2").tobytes(), "words": list(known)}], schema)
-
-        ids, sizes, places, known, n = fresh()
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
-                marked = split_marked(text) if text else []
-                places.append(np.fromiter([known.setdefault(w, len(known)) for w in marked], np.int64, len(marked)))
-                ids.append(doc_id)
-                sizes.append(len(marked))
-                n += len(text) + 64
-                if n >= block_bytes:
-                    yield block(ids, sizes, places, known)
-                    ids, sizes, places, known, n = fresh()
-        if ids:
-            yield block(ids, sizes, places, known)
+        for ids, places, words in in_blocks(batches, block_bytes):
+            wide = len(words) > 1 << 16
+            flat = np.concatenate([*places, np.zeros(0, np.int64)]).astype("<u4" if wide else "<u2")
+            yield pa.RecordBatch.from_pylist([{"block": uuid.uuid4().bytes, "doc_ids": ids, "sizes": [len(p) for p in places], "wide": wide, "places": flat.tobytes(), "words": words}], schema)
 
     return rows.mapInArrow(bounded(run), "block binary, doc_ids array<long>, sizes array<int>, wide boolean, places binary, words array<string>")
 
@@ -130,7 +132,7 @@ def word_table(words: DataFrame, model: str) -> DataFrame:
     return words.select("word").distinct().mapInArrow(bounded(run), "word string, ids array<int>")
 
 
-def through_table(df: DataFrame, model: str, id_col: str, text_col: str, result: Callable, schema: pa.Schema, ddl: str, block_bytes: int) -> DataFrame:
+def through_table(df: DataFrame, model: str, id_col: str, text_col: str, result: Callable, schema: pa.Schema, ddl: str, block_bytes: int, corpus_table: bool) -> DataFrame:
     """``result(codec, ids, told)`` for each text: its ids as a list and as decimal text; gives the columns after doc_id."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     own = [f.name for f in schema]
@@ -151,6 +153,18 @@ def through_table(df: DataFrame, model: str, id_col: str, text_col: str, result:
 
         return rows.mapInArrow(bounded(whole), ddl)
 
+    def picked(docs: list, cut, ids: list[list[int]]) -> pa.Table:
+        told = [",".join(map(str, x)) for x in ids]
+        return made(docs, (([i for p in own for i in ids[p]], ",".join([told[p] for p in own])) for own in cut))
+
+    if not corpus_table:
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = codec(model)
+            for docs, places, words in in_blocks(batches, block_bytes):
+                yield from picked(docs, (p.tolist() for p in places), c.segment(words) if words else []).to_batches()
+
+        return rows.mapInArrow(bounded(here), ddl)
+
     blocks = land(blocks_of(rows, block_bytes), f"{run_dir(df.sparkSession, 'sentencepiece')}/blocks")
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
     table = word_table(words, model)
@@ -160,22 +174,21 @@ def through_table(df: DataFrame, model: str, id_col: str, text_col: str, result:
         ids: list = [None] * right.num_rows
         for at, own in zip(right.column("place").to_pylist(), right.column("ids").to_pylist(), strict=True):
             ids[at] = own
-        told = [",".join(map(str, x)) for x in ids]
         tables = []
         for row in left.select(["doc_ids", "sizes", "wide", "places"]).to_pylist():
             places, ends = np.frombuffer(row["places"], "<u4" if row["wide"] else "<u2").tolist(), np.cumsum(row["sizes"]).tolist()
             cut = (places[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False))
-            tables.append(made(row["doc_ids"], (([i for p in own for i in ids[p]], ",".join([told[p] for p in own])) for own in cut)))
+            tables.append(picked(row["doc_ids"], cut, ids))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     light = blocks.select("block", "doc_ids", "sizes", "wide", "places")
     return light.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(back, ddl)
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, corpus_table: bool = False) -> DataFrame:
     """doc_id and ids (array of int) for each row; null text is the empty text, which has no ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return through_table(df, model, id_col, text_col, lambda c, ids, told: (ids,), schema, "doc_id long, ids array<int>", block_bytes)
+    return through_table(df, model, id_col, text_col, lambda c, ids, told: (ids,), schema, "doc_id long, ids array<int>", block_bytes, corpus_table)
 
 
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -189,7 +202,7 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "id
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(bounded(run), "doc_id long, text string")
 
 
-def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, corpus_table: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: encoded whole, then decoded from the ids.
 
     Null text is the empty text (no ids, decoded to the empty text); a null id
@@ -202,7 +215,7 @@ def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
         return len(ids), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return through_table(df, model, id_col, text_col, result, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", block_bytes)
+    return through_table(df, model, id_col, text_col, result, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", block_bytes, corpus_table)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

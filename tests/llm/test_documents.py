@@ -198,8 +198,10 @@ def test_sentencepiece(edge_docs, no_docs):
 
     want = sorted(told(d["doc_id"], d["text"]) for d in edge_docs.collect())
     for size in (1, 300, sentencepiece_codec.BLOCK_BYTES):
-        got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(sentencepiece_codec.digests(edge_docs, path, block_bytes=size)))
-        assert got == want
+        for corpus in (False, True):
+            got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(sentencepiece_codec.digests(edge_docs, path, block_bytes=size, corpus_table=corpus)))
+            assert got == want
+    assert rows(sentencepiece_codec.digests(no_docs, path, corpus_table=True)) == []
     assert rows(sentencepiece_codec.digests(no_docs, path)) == []
     some = edge_docs.filter("doc_id in (5, 10)")
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(some, path), path)
