@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.functions import types as T
@@ -68,3 +68,33 @@ def find_point(df: DataFrame, fid: str, coord_idx: int, geom: str = "geom") -> D
     """The position at an index, counted from the end if negative."""
     at = coord_idx + 1 if coord_idx >= 0 else coord_idx
     return df.select(fid, F.try_element_at(T.positions_of(F.col(geom)), F.lit(at)).alias("p"))
+
+
+def find_segment(df: DataFrame, fid: str, index: int, geom: str = "geom") -> DataFrame:
+    """p and q of each geometry's segment at an index over all its rings, counted from the end if negative; null beyond."""
+    from tellurion.functions.measure import segments
+
+    every = F.flatten(F.transform(T.rings_of(F.col(geom)), segments))
+    at = index + 1 if index >= 0 else index
+    return df.select(fid, F.try_element_at(every, F.lit(at)).alias("s")).select(fid, "s.p", "s.q")
+
+
+def contains_number(c: Column) -> Column:
+    """Whether an array holds finite numbers only, and any."""
+    return (F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
+def validate_bbox(c: Column) -> Column:
+    """An array of four or six numbers, or the row fails."""
+    ok = F.size(c).isin(4, 6) & contains_number(c)
+    return F.when(ok, c).otherwise(F.raise_error(F.lit("a box has four or six numbers")).cast("array<double>"))
+
+
+def get_coord(geom: Column) -> Column:
+    """The position of a point, or the row fails."""
+    return F.when(geom["kind"] == "Point", F.element_at(T.positions_of(geom), 1)).otherwise(F.raise_error(F.lit("not a point")).cast(T.POSITION))
+
+
+def require_kind(geom: Column, kind: str) -> Column:
+    """The geometry if it is of this kind, or the row fails."""
+    return F.when(geom["kind"] == kind, geom).otherwise(F.raise_error(F.concat(F.lit(f"not a {kind}: "), geom["kind"])).cast(T.GEOMETRY))

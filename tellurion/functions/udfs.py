@@ -325,11 +325,81 @@ along = kernel(lambda a, d: tuple(g.along(_ring(a), d).tolist()), POSITION)
 center_of_mass = kernel(lambda a: tuple(g.center_of_mass(a).tolist()), POSITION)
 point_on_feature = kernel(lambda a: tuple(g.point_on_feature(a).tolist()), POSITION)
 NEAREST = StructType([StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("dist", DoubleType()), StructField("location", DoubleType()), StructField("index", IntegerType())])
-nearest_point_on_line = kernel(lambda a, x, y: (lambda n: (float(n[0][0]), float(n[0][1]), n[1], n[2], n[3]))(g.nearest_on_line(_ring(a), (x, y))), NEAREST)
-point_to_line_distance = kernel(lambda a, x, y: g.point_to_line(a, (x, y)), DoubleType())
-point_to_polygon_distance = kernel(lambda a, x, y: g.point_to_polygon(a, (x, y)), DoubleType())
-boolean_point_on_line = kernel(lambda a, x, y, tol: g.point_on_line(a, (x, y), tol), BooleanType())
-boolean_parallel = kernel(lambda a, b: g.boolean_parallel(_ring(a), _ring(b)), BooleanType(), geoms=2)
+
+
+def _nearest(b: Batch, x: np.ndarray, y: np.ndarray, places: bool = False) -> np.ndarray:
+    """For each row its place nearest to a point: x, y, distance, metres along and segment; NaN where there is none.
+
+    Every segment of a batch is solved at once. Of segments as near as each other, such as two that share an end, the first counts.
+    """
+    at = b.edges()
+    row = b.row_of()[at]
+    p, q = b.xy[at], b.xy[at + 1]
+    fx, fy, d, t = geo.feet(*p.T, *q.T, x[row], y[row])
+    out = np.full((len(b.kinds), 5), np.nan)
+    d = np.where(np.isnan(d), np.inf, d)
+    least = np.full(len(b.kinds), np.inf)
+    np.minimum.at(least, row, d)
+    near = np.flatnonzero(np.isfinite(d) & (d <= least[row] + 1e-9))
+    own, first = np.unique(row[near], return_index=True)
+    best = near[first]
+    start = np.searchsorted(row, own)
+    out[own] = np.stack([fx[best], fy[best], d[best], t[best], best - start], axis=1)
+    if places and len(own):
+        total = np.concatenate([[0.0], np.cumsum(geo.inverse(*p.T, *q.T)[0])])
+        out[own, 3] += total[best] - total[start]
+    return out
+
+
+def _nearest_column(result: DataType, f: Callable, places: bool = False) -> Callable[..., Column]:
+    """``f(batch, nearest places, other numbers)`` over a geometry and a point's x and y."""
+
+    def run(*cols):
+        b, (x, y, *rest) = Batch.of(cols[0]), _numbers(cols[1:])
+        return f(b, _nearest(b, x, y, places), x, y, *rest)
+
+    return lambda *args: _column(run, result, 1, args)
+
+
+def _place(b: Batch, found: np.ndarray, *_) -> pa.Array:
+    none = np.isnan(found[:, 2])
+    cols = [pa.array(found[:, k], pa.float64(), mask=none) for k in range(4)]
+    return pa.StructArray.from_arrays([*cols, pa.array(np.where(none, 0, found[:, 4]).astype(np.int32), mask=none)], names=NEAREST.fieldNames(), mask=pa.array(none))
+
+
+def _signed(b: Batch, found: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+    inside = np.array([v is not None and np.isfinite(d) and g.inside(v, (px, py)) for v, d, px, py in zip(b.geoms(), found[:, 2], x, y, strict=True)], bool)
+    return pa.array(np.where(inside, -found[:, 2], found[:, 2]), pa.float64(), mask=np.isnan(found[:, 2]))
+
+
+nearest_point_on_line = _nearest_column(NEAREST, _place, True)
+point_to_line_distance = _nearest_column(DoubleType(), lambda b, found, x, y: pa.array(found[:, 2], pa.float64(), mask=np.isnan(found[:, 2])))
+point_to_polygon_distance = _nearest_column(DoubleType(), _signed)
+boolean_point_on_line = _nearest_column(BooleanType(), lambda b, found, x, y, tol: pa.array(found[:, 2] <= tol, pa.bool_(), mask=np.isnan(found[:, 2]) | np.isnan(tol)))
+
+
+def _parallel(one, two, tol: float = 0.1) -> pa.Array:
+    """Segment by segment the same bearing, or the opposite one, within ``tol`` degrees."""
+    a, b = Batch.of(one), Batch.of(two)
+    at, bt = a.edges(), b.edges()
+    ra, rb = a.row_of()[at], b.row_of()[bt]
+    na, nb = np.bincount(ra, minlength=len(a.kinds)), np.bincount(rb, minlength=len(b.kinds))
+    same = (na == nb) & (na > 0)
+    at, bt = at[same[ra]], bt[same[rb]]
+    za, zb = (geo.inverse(*v.xy[k].T, *v.xy[k + 1].T)[1] for v, k in ((a, at), (b, bt)))
+    off = np.abs((za - zb + 90) % 180 - 90) > tol
+    apart = np.bincount(a.row_of()[at], off, len(a.kinds)) > 0
+    return pa.array(same & ~apart, pa.bool_(), mask=np.array([k is None or j is None for k, j in zip(a.kinds, b.kinds, strict=True)], bool))
+
+
+def boolean_parallel(a, b) -> Column:
+    return _column(_parallel_run, BooleanType(), 2, (a, b))
+
+
+def _parallel_run(a, b):
+    return _parallel(a, b)
+
+
 relate = kernel(lambda a, b: pl.relate(*a, *b), StringType(), geoms=2)
 
 
@@ -388,7 +458,7 @@ def boolean_valid(geom: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Names for SQL: the geodesic scalars."""
+    """Names for SQL: the geodesic scalars; other columns are ``F.expr``-free functions of this module."""
     ship()
     spark.udf.register("geo_distance", geo.distance_udf)
     spark.udf.register("geo_inverse", geo.inverse_udf)

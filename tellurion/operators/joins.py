@@ -163,12 +163,13 @@ def nearest_k(targets: DataFrame, points: DataFrame, target_id: str, point_id: s
     return widening(targets.select(target_id, lx, ly), target_id, start or density_radius(own, 3 * k, rx, ry), search)
 
 
-def lines_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, radius: float, x: str = "lon", y: str = "lat", geom: str = "geom") -> DataFrame:
+def lines_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, radius: float, x: str = "lon", y: str = "lat", geom: str = "geom", but: Column | None = None) -> DataFrame:
     """Each point's nearest line within ``radius`` metres: point_id, line_id, seg (from 0), x, y and distance.
 
     Lines are geodesics between their positions. Of lines as near as each other
     the smaller id has it. Segments are found by cells as points are; the exact
-    foot is solved for pairs whose boxes meet.
+    foot is solved for pairs whose boxes meet. ``but`` names a line that isn't the
+    point's neighbour.
     """
     from tellurion.functions.geodesic import foot
 
@@ -180,6 +181,7 @@ def lines_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: st
     dx, dy = reach(F.col(y), radius)
     own = F.struct((F.col(x) - dx).alias("xmin"), (F.col(y) - dy).alias("ymin"), (F.col(x) + dx).alias("xmax"), (F.col(y) + dy).alias("ymax"))
     pairs = boxes_join(points.select(point_id, x, y, own.alias("_own")), segs, max(1e-6, 2 * radius / DEGREE), "_own", "_sbox")
+    pairs = pairs if but is None else pairs.filter(F.col(line_id) != but)
     pairs = pairs.withColumn("f", foot("ax", "ay", "bx", "by", x, y)).filter(F.col("f.dist") <= radius)
     best = pairs.groupBy(point_id).agg(F.min(F.struct(F.round("f.dist", 9).alias("d"), line_id, "seg", "f.x", "f.y")).alias("b"))
     return best.select(point_id, F.col(f"b.{line_id}").alias(line_id), "b.seg", "b.x", "b.y", F.col("b.d").alias("distance"))

@@ -215,6 +215,32 @@ def grid(spark: SparkSession, box: tuple[float, float, float, float], size: floa
     return rows.select("i", "j", _polygon([back(*q) for q in [(a, b), (c, b), (c, d), (a, d), (a, b)]]))
 
 
+def grid_masked(spark: SparkSession, box: tuple[float, float, float, float], size: float, mask: DataFrame, kind: str = "square", size_y: float | None = None, geom: str = "geom", cells: float = 1.0) -> DataFrame:
+    """The grid's cells that touch an area of ``mask``, or its points inside one."""
+    from tellurion.functions.udfs import boolean_intersects
+    from tellurion.operators.joins import points_in_regions
+
+    rows, over = grid(spark, box, size, kind, size_y), mask.select(F.col(geom).alias("_mask"))
+    if kind == "point":
+        return points_in_regions(rows, over.withColumnRenamed("_mask", "geom"), how="left_semi")
+    keys = [c for c in rows.columns if c != "geom"]
+    pairs = boxes_join(rows.withColumn("_l", T.bbox(F.col("geom"))), over.withColumn("_r", T.bbox(F.col("_mask"))), cells, "_l", "_r")
+    return pairs.filter(boolean_intersects(F.col("geom"), F.col("_mask"))).select(*keys, "geom").dropDuplicates(keys)
+
+
+def interpolate(samples: DataFrame, box: tuple[float, float, float, float], size: float, z: str, radius: float, kind: str = "square", weight: float = 1.0) -> DataFrame:
+    """Cells (i, j, ..) of a grid with the inverse-distance mean of the samples about their middles; cells without any are left out."""
+    from tellurion.functions.measure import centroid
+    from tellurion.operators.aggregates import idw
+
+    rows = grid(samples.sparkSession, box, size, kind)
+    keys = [c for c in rows.columns if c in ("i", "j", "half")]
+    rows = rows.withColumn("_cell", F.struct(*keys))
+    if kind != "point":
+        rows = rows.withColumn("_c", centroid(F.col("geom"))).withColumns({"lon": F.col("_c.x"), "lat": F.col("_c.y")})
+    return idw(samples, rows.select("_cell", "lon", "lat"), "_cell", z, radius, weight).select("_cell.*", "z")
+
+
 def _cells(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     """Rows of a lattice from one range, split over the cluster."""
     return spark.range(nx * ny).select((F.col("id") % max(nx, 1)).cast("int").alias("i"), F.floor(F.col("id") / max(nx, 1)).cast("int").alias("j"))
@@ -236,8 +262,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = land(jump)
         label = jump.select("id", "root")
         if not jump.filter("root != was").limit(1).count():
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def dbscan(df: DataFrame, fid: str, radius: float, min_points: int = 3, x: str = "lon", y: str = "lat") -> DataFrame:
@@ -366,6 +392,25 @@ def coverage_gaps(df: DataFrame, fid: str, geom: str = "geom", min_gap: float =
     return whole.select(F.to_json("geom").alias("geom")).mapInPandas(run, f"area double, geom {GEOM_DDL}").filter(F.col("area") >= min_gap).orderBy(F.desc("area"))
 
 
+def network_ends(df: DataFrame, line_id: str, geom: str = "geom", max_undershoot: float = 0.0, max_overshoot: float = 0.0, size: float = 0.1) -> DataFrame:
+    """code, line, x, y, distance: ends of one line alone that stop short of another line, or run past one, by metres at most."""
+    from tellurion.operators.joins import geodesic_metres, line_intersect, lines_within
+
+    r = F.element_at(F.element_at(F.col(geom)["parts"], 1), 1)
+    ends = df.select(F.col(line_id).alias("line"), F.explode(F.array(F.element_at(r, 1), F.element_at(r, -1))).alias("p")).select("line", "p.x", "p.y")
+    alone = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line")).filter("n = 1").select("line", "x", "y")
+    alone = land(alone.withColumn("end", F.struct("line", "x", "y")))
+    # The line's own segments are no neighbours of its end.
+    near = lines_within(alone.select("end", "x", "y"), df, "end", line_id, max_undershoot, "x", "y", geom, but=F.col("end.line"))
+    under = near.filter("distance > 0").select(F.lit("undershoot").alias("code"), "end.line", "end.x", "end.y", "distance")
+    a = df.select(F.col(line_id).alias("a"), F.col(geom).alias("geom"))
+    cross = line_intersect(a, a.toDF("b", "geom2"), "a", "b", "geom", "geom2", size).filter("a != b").select(F.col("a").alias("line"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    d = geodesic_metres(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
+    over = alone.join(cross, "line").withColumn("distance", d).filter((F.col("distance") > 0) & (F.col("distance") <= max_overshoot))
+    over = over.groupBy("line", "x", "y").agg(F.min("distance").alias("distance")).select(F.lit("overshoot").alias("code"), "line", "x", "y", "distance")
+    return under.unionByName(over)
+
+
 def network_issues(df: DataFrame, line_id: str, geom: str = "geom", size: float = 0.1) -> DataFrame:
     """code, x, y: dangles, pseudo nodes and crossings without a node."""
     from tellurion.operators.aggregates import network_nodes

@@ -11,8 +11,10 @@ from tellurion.functions import crs, measure, shapes, units
 from tellurion.functions import types as T
 from tellurion.operators import aggregates as agg
 from tellurion.operators import joins
+from tellurion.session import spread
+from tellurion.plans import geosql as G
 from tellurion.plans import views as V
-from tellurion.plans.views import CUSTOMER, PENTAGONS, SUPPLIER, TRACKS, ZONES
+from tellurion.plans.views import CUSTOMER, LATTICE, PENTAGONS, STREETS, SUPPLIER, TRACKS, ZONES
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -195,15 +197,15 @@ tm AS (SELECT *, {c.k0 * radius!r}{D} * ({eta}) + {c.east}{D} AS x, {c.k0 * radi
 GK = crs.normalize_crs("EPSG:4549")
 
 
-@query("tmerc_forward", f"WITH {CUSTOMER}, near AS (SELECT * FROM cp WHERE abs(lon - 120) < 20), {s_tmerc(GK, 'near')} SELECT id, {rs('x', 4)} AS x, {rs('y', 4)} AS y FROM tm")
+@query("tmerc_forward", f"WITH {CUSTOMER}, {s_tmerc(GK, 'cp')} SELECT id, {rs('x', 4)} AS x, {rs('y', 4)} AS y FROM tm")
 def tmerc_forward(spark, sf):
     x, y = crs.convert(F.col("lon"), F.col("lat"), "WGS84", "EPSG:4549")
-    return V.customer_pt(spark, sf).filter(F.abs(F.col("lon") - 120) < 20).select("id", r(x, 4).alias("x"), r(y, 4).alias("y"))
+    return V.customer_pt(spark, sf).select("id", r(x, 4).alias("x"), r(y, 4).alias("y"))
 
 
-@query("tmerc_round_trip", f"WITH {CUSTOMER} SELECT id, {rs('lon')} AS lon, {rs('lat')} AS lat FROM cp WHERE abs(lon - 105) < 20")
+@query("tmerc_round_trip", f"WITH {CUSTOMER} SELECT id, {rs('lon')} AS lon, {rs('lat')} AS lat FROM cp")
 def tmerc_round_trip(spark, sf):
-    rows = V.customer_pt(spark, sf).filter(F.abs(F.col("lon") - 105) < 20)
+    rows = V.customer_pt(spark, sf)
     x, y = crs.convert(F.col("lon"), F.col("lat"), "WGS84", "EPSG:32648")
     lon, lat = crs.convert(F.col("x"), F.col("y"), "EPSG:32648", "WGS84")
     return rows.select("id", x.alias("x"), y.alias("y")).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
@@ -318,12 +320,10 @@ def flip(spark, sf):
     return _positions(V.tracks(spark, sf), "user_id", shapes.flip(F.col("geom")))
 
 
-@query("truncate", f"WITH {TRACKS} SELECT user_id, i::INT AS i, round(x, 1) AS x, round(y, 1) AS y FROM t WHERE (x * 1000)::BIGINT % 100 <> 50 AND (y * 1000)::BIGINT % 100 <> 50")
+@query("truncate", f"WITH {TRACKS} SELECT user_id, i::INT AS i, round(x::DECIMAL(12, 3), 1)::DOUBLE AS x, round(y::DECIMAL(12, 3), 1)::DOUBLE AS y FROM t")
 def truncate(spark, sf):
-    """Ties are left out, which the two engines round apart."""
-    both = V.tracks(spark, sf).select("user_id", F.posexplode(F.arrays_zip(T.positions_of(F.col("geom")).alias("o"), T.positions_of(shapes.truncate(F.col("geom"), 1)).alias("t"))).alias("i", "p"))
-    tie = lambda c: F.round(c * 1000).cast("long") % 100 == 50
-    return both.filter(~tie(F.col("p.o.x")) & ~tie(F.col("p.o.y"))).select("user_id", "i", F.col("p.t.x").alias("x"), F.col("p.t.y").alias("y"))
+    """Ties go away from zero by a position's decimal digits, which the engine rounds by."""
+    return _positions(V.tracks(spark, sf), "user_id", shapes.truncate(F.col("geom"), 1))
 
 
 @query("rewind", f"WITH {ZONES}, {PENTAGONS}, o AS (SELECT zone, i, px, py FROM pe UNION ALL SELECT zone, 5, px, py FROM pe WHERE i = 0) SELECT zone, i::INT AS i, px AS x, py AS y FROM o")
@@ -416,12 +416,12 @@ _DIST = s_rhumb("lon", "lat", "rlon", "rlat")
 
 @query("nearest_point", f"WITH {CUSTOMER}, {SUPPLIER}, d AS (SELECT id, sid, {_DIST} AS m FROM cp, sp) SELECT id, arg_min(sid, m) AS sid, {rs('min(m)', 2)} AS metres FROM d GROUP BY id")
 def nearest_point(spark, sf):
-    return joins.nearest_point(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), "id", "sid", 500_000.0).select("id", "sid", r(F.col("distance"), 2).alias("metres"))
+    return joins.nearest_point(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), "id", "sid").select("id", "sid", r(F.col("distance"), 2).alias("metres"))
 
 
 @query("nearest_k", f"WITH {CUSTOMER}, {SUPPLIER}, d AS (SELECT id, sid, {_DIST} AS m FROM cp, sp) SELECT id, sid, {rs('m', 2)} AS metres, row_number() OVER (PARTITION BY id ORDER BY m, sid) AS rank FROM d QUALIFY rank <= 3")
 def nearest_k(spark, sf):
-    return joins.nearest_k(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), "id", "sid", 3, 800_000.0).select("id", "sid", r(F.col("distance"), 2).alias("metres"), F.col("rank").cast("long").alias("rank"))
+    return joins.nearest_k(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), "id", "sid", 3).select("id", "sid", r(F.col("distance"), 2).alias("metres"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("within_distance", f"WITH {CUSTOMER}, {SUPPLIER} SELECT id, sid, {rs(_DIST, 2)} AS metres FROM cp, sp WHERE {_DIST} <= 300000")
@@ -429,11 +429,10 @@ def within_distance(spark, sf):
     return joins.within_distance(V.customer_pt(spark, sf), V.supplier_pt(spark, sf), 300_000.0).select("id", "sid", r(F.col("distance"), 2).alias("metres"))
 
 
-@query("bbox_search", f"""WITH {TRACKS}, b AS (SELECT user_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM t WHERE i < 2 GROUP BY user_id)
+@query("bbox_search", f"""WITH {TRACKS}, b AS (SELECT user_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM t GROUP BY user_id)
 SELECT a.user_id AS a, b.user_id AS b FROM b a JOIN b ON a.user_id < b.user_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
 def bbox_search(spark, sf):
-    short = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 2))))
-    rows = V.tracks(spark, sf).select("user_id", T.bbox(short).alias("box"))
+    rows = V.tracks(spark, sf).select("user_id", T.bbox(F.col("geom")).alias("box"))
     found = joins.boxes_join(rows.toDF("a", "lbox"), rows.toDF("b", "rbox"), 10.0)
     return found.filter("a < b").select("a", "b")
 
@@ -441,14 +440,13 @@ def bbox_search(spark, sf):
 _SEG = """(CASE WHEN d <> 0 THEN ((cx - ax) * ty - (cy - ay) * tx) / d END)"""
 
 
-@query("line_intersect", f"""WITH {TRACKS}, s AS (SELECT * FROM ts WHERE i = 0 AND user_id % 5 = 0),
-c AS (SELECT a.user_id AS a, b.user_id AS b, a.px AS ax, a.py AS ay, a.qx - a.px AS sx, a.qy - a.py AS sy, b.px AS cx, b.py AS cy, b.qx - b.px AS tx, b.qy - b.py AS ty FROM s a JOIN s b ON a.user_id < b.user_id),
+@query("line_intersect", f"""WITH {STREETS},
+c AS (SELECT a.id AS a, b.id AS b, a.px AS ax, a.py AS ay, a.qx - a.px AS sx, a.qy - a.py AS sy, b.px AS cx, b.py AS cy, b.qx - b.px AS tx, b.qy - b.py AS ty FROM ss a JOIN ss b ON a.id < b.id),
 e AS (SELECT *, sx * ty - sy * tx AS d FROM c), f AS (SELECT *, ((cx - ax) * ty - (cy - ay) * tx) / nullif(d, 0) AS u, ((cx - ax) * sy - (cy - ay) * sx) / nullif(d, 0) AS v FROM e)
-SELECT a, b, {rs('ax + u * sx')} AS x, {rs('ay + u * sy')} AS y FROM f WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1""")
+SELECT DISTINCT a, b, {rs('ax + u * sx')} AS x, {rs('ay + u * sy')} AS y FROM f WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1""")
 def line_intersect(spark, sf):
-    first = T.geometry("LineString", F.array(F.array(F.slice(T.positions_of(F.col("geom")), 1, 2))))
-    rows = V.tracks(spark, sf).filter("user_id % 5 = 0").select("user_id", first.alias("geom"))
-    found = joins.line_intersect(rows.toDF("a", "geom"), rows.toDF("b", "geom2"), "a", "b", "geom", "geom2", 10.0).filter("a < b")
+    rows = V.streets(spark, sf)
+    found = joins.line_intersect(rows.toDF("a", "geom"), rows.toDF("b", "geom2"), "a", "b", "geom", "geom2", 1.0).filter("a < b")
     return found.select("a", "b", r(F.col("x")).alias("x"), r(F.col("y")).alias("y")).distinct()
 
 
@@ -568,53 +566,64 @@ def _tables():
     return tables
 
 
-@query("geodesic_distance")
+_PAIRS = PAIRS + ", p2 AS (SELECT id, lon AS lon1, lat AS lat1, lon2, lat2 FROM pr), " + G.inverse("p2", "gi")
+
+
+@query("geodesic_distance", f"WITH {_PAIRS} SELECT id, {rs('s12', 3)} AS metres FROM gi")
 def geodesic_distance(spark, sf):
-    return pairs(spark, sf).select("id", r(_geo().distance(*map(F.col, ("lon", "lat", "lon2", "lat2")), "meters"), 4).alias("metres"))
+    return pairs(spark, sf).select("id", r(_geo().distance(*map(F.col, ("lon", "lat", "lon2", "lat2")), "meters"), 3).alias("metres"))
 
 
-@query("geodesic_bearing")
+@query("geodesic_bearing", f"WITH {_PAIRS} SELECT id, {rs('az1')} AS bearing, {rs('CASE WHEN az2 < 0 THEN az2 + 360 ELSE az2 END')} AS final FROM gi")
 def geodesic_bearing(spark, sf):
     at = list(map(F.col, ("lon", "lat", "lon2", "lat2")))
     return pairs(spark, sf).select("id", r(_geo().bearing(*at)).alias("bearing"), r(_geo().bearing(*at, final=True)).alias("final"))
 
 
-@query("destination", f"WITH {CUSTOMER} SELECT id, {rs('lon', 5)} AS lon, {rs('lat', 5)} AS lat FROM cp")
+@query("destination", f"WITH {CUSTOMER}, o AS (SELECT id, lon AS lon1, lat AS lat1, (id * 37 % 360)::DOUBLE AS az, (abs(z) * 0.1::DOUBLE + 1) * 1000 AS s FROM cp), {G.direct('o', 'gd')} SELECT id, {rs('x')} AS lon, {rs('y')} AS lat FROM gd")
 def destination(spark, sf):
-    """There and back again: the destination's way back ends where it began."""
-    geo = _geo()
-    rows = V.customer_pt(spark, sf).withColumn("d", geo.destination(F.col("lon"), F.col("lat"), F.abs("z") * 0.1 + 1, (F.col("id") * 37 % 360).cast("double")))
-    back = geo.inverse_udf(F.col("d.x"), F.col("d.y"), F.col("lon"), F.col("lat"))
-    rows = rows.withColumn("b", back).withColumn("e", geo.direct_udf(F.col("d.x"), F.col("d.y"), F.col("b.azi1"), F.col("b.s12")))
-    return rows.select("id", r(F.col("e.x"), 5).alias("lon"), r(F.col("e.y"), 5).alias("lat"))
+    d = _geo().destination(F.col("lon"), F.col("lat"), F.abs("z") * 0.1 + 1, (F.col("id") * 37 % 360).cast("double"))
+    return V.customer_pt(spark, sf).select("id", d.alias("d")).select("id", r(F.col("d.x")).alias("lon"), r(F.col("d.y")).alias("lat"))
 
 
-@query("midpoint")
+@query("midpoint", f"WITH {_PAIRS}, o AS (SELECT id, lon1, lat1, az1 AS az, s12 / 2 AS s FROM gi), {G.direct('o', 'gd')} SELECT id, {rs('x')} AS lon, {rs('y')} AS lat FROM gd")
 def midpoint(spark, sf):
     m = _geo().midpoint(*map(F.col, ("lon", "lat", "lon2", "lat2")))
     return pairs(spark, sf).select("id", m.alias("m")).select("id", r(F.col("m.x")).alias("lon"), r(F.col("m.y")).alias("lat"))
 
 
-@query("angle")
+_ANGLE = "abs((az2b - az1b + 180) - 360 * floor((az2b - az1b + 180) / 360) - 180)"
+
+
+@query("angle", f"""WITH {PAIRS}, p1 AS (SELECT id, lon2 AS lon1, lat2 AS lat1, lon AS lon2, lat AS lat2 FROM pr), {G.inverse('p1', 'ga')},
+p3 AS (SELECT id, lon2 AS lon1, lat2 AS lat1, 100.0::DOUBLE AS lon2, 35.0::DOUBLE AS lat2 FROM pr), {G.inverse('p3', 'gc')}, b AS (SELECT ga.id, ga.az1 AS az1b, gc.az1 AS az2b FROM ga JOIN gc USING (id))
+SELECT id, {rs(_ANGLE)} AS angle FROM b""")
 def angle(spark, sf):
     a = _geo().angle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"), F.lit(100.0), F.lit(35.0))
     return pairs(spark, sf).select("id", r(a).alias("angle"))
 
 
-@query("geodesic_area")
+@query("geodesic_area", f"WITH {ZONES}, {PENTAGONS}, e AS (SELECT zone, px AS lon1, py AS lat1, qx AS lon2, qy AS lat2 FROM pe), {G.inverse('e', 'gi', area=True)} SELECT zone, {rs('abs(sum(strip)) / 1e6', 3)} AS km2 FROM gi GROUP BY zone")
 def geodesic_area(spark, sf):
     return V.pentagons(spark, sf).select("zone", r(_udfs().geodesic_area("geom") / 1e6, 3).alias("km2"))
 
 
-@query("geodesic_length")
+@query("geodesic_length", f"WITH {TRACKS}, e AS (SELECT user_id, px AS lon1, py AS lat1, qx AS lon2, qy AS lat2 FROM ts), {G.inverse('e', 'gi')} SELECT user_id, {rs('sum(s12) / 1000', 3)} AS km FROM gi GROUP BY user_id")
 def geodesic_length(spark, sf):
     return V.tracks(spark, sf).select("user_id", r(_udfs().geodesic_length("geom") / 1000, 3).alias("km"))
 
 
-@query("buffer_points")
+def s_around(az: str, s: str, n: int, source: str = "cp") -> str:
+    """Tables that end in gd(id, i, x, y): n + 1 places about each point, at bearings and distances that i gives."""
+    return f"ar AS (SELECT id, lon AS lon1, lat AS lat1, unnest(range({n} + 1)) AS i FROM {source}), ao AS (SELECT *, {az} AS az, {s} AS s FROM ar), {G.direct('ao', 'gd')}"
+
+
+@query("buffer_points", f"""WITH {CUSTOMER}, {s_around('-360.0::DOUBLE * i / 64', '1000.0::DOUBLE', 64)},
+e AS (SELECT a.id, a.x AS lon1, a.y AS lat1, b.x AS lon2, b.y AS lat2 FROM gd a JOIN gd b ON a.id = b.id AND b.i = a.i + 1), {G.inverse('e', 'gi', rounds=4, area=True)}
+SELECT id, {rs('abs(sum(strip)) / 1e4', 2)} AS hectares FROM gi GROUP BY id""")
 def buffer_points(spark, sf):
     u = _udfs()
-    return V.customer_pt(spark, sf).select("id", r(u.geodesic_area(u.buffer(T.point("lon", "lat"), 1000.0)), 2).alias("area"))
+    return spread(V.customer_pt(spark, sf)).select("id", r(u.geodesic_area(u.buffer(T.point("lon", "lat"), 1000.0)) / 1e4, 2).alias("hectares"))
 
 
 def _pentagon_pairs(spark, sf):
@@ -642,33 +651,50 @@ def relate(spark, sf):
     return V.pentagons(spark, sf).select("zone", m.alias("same")).select("zone", "same", shapes.boolean_relation(F.col("same"), "equal", 2, 2).alias("equal"), shapes.boolean_relation(F.col("same"), "disjoint", 2, 2).alias("disjoint"))
 
 
-def _shape_query(name: str, *args):
-    @query(name)
+def _shape_query(name: str, args: tuple, sql: str):
+    @query(name, sql)
     def f(spark, sf):
         u = _udfs()
         g = getattr(u, name)(F.col("lon"), F.col("lat"), *[F.lit(float(a)) for a in args])
-        return V.customer_pt(spark, sf).select("id", g.alias("g")).select("id", F.col("g.kind").alias("kind"), F.size(T.positions_of(F.col("g"))).alias("positions"))
+        rows = spread(V.customer_pt(spark, sf)).select("id", F.posexplode(T.positions_of(g)).alias("i", "p"))
+        return rows.select("id", "i", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
-_shape_query("circle", 1000)
-_shape_query("sector", 1000, 10, 100)
-_shape_query("line_arc", 1000, 10, 100)
-_shape_query("ellipse", 2000, 1000, 30)
-_shape_query("great_circle", 100, 35)
+def _shape_sql(az: str, s: str, n: int, last: str = "gd") -> str:
+    return f"WITH {CUSTOMER}, {s_around(az, s, n)} SELECT id, i::INT AS i, {rs('x')} AS x, {rs('y')} AS y FROM {last}"
 
 
-def _line_query(name: str, *args, digits: int = 6):
-    @query(name)
+_T = f"(i * 2 * {math.pi!r}{D} / 64)"
+_shape_query("circle", (1000,), _shape_sql("-360.0::DOUBLE * i / 64", "1000.0::DOUBLE", 64))
+_shape_query("line_arc", (1000, 10, 100), _shape_sql("10 + 90.0::DOUBLE * i / 64", "1000.0::DOUBLE", 64))
+# From the last place of the arc to the first, between two visits to the centre.
+_shape_query("sector", (1000, 10, 100), _shape_sql("10 + 90.0::DOUBLE * (65 - i) / 64", "CASE WHEN i IN (0, 66) THEN 0.0::DOUBLE ELSE 1000.0::DOUBLE END", 66))
+_shape_query("ellipse", (2000, 1000, 30), _shape_sql(f"degrees(atan2(2000 * cos{_T}, 1000 * sin{_T})) + 30", f"sqrt(power(2000 * cos{_T}, 2) + power(1000 * sin{_T}, 2))", 64))
+_shape_query("great_circle", (100, 35), f"""WITH {CUSTOMER}, e AS (SELECT id, lon AS lon1, lat AS lat1, 100.0::DOUBLE AS lon2, 35.0::DOUBLE AS lat2 FROM cp), {G.inverse('e', 'gi')},
+o AS (SELECT id, lon1, lat1, az1 AS az, unnest(range(100)) AS i, s12 * i / 99 AS s FROM gi), {G.direct('o', 'gd')} SELECT id, i::INT AS i, {rs('x')} AS x, {rs('y')} AS y FROM gd""")
+
+
+def _line_query(name: str, *args, digits: int = 6, sql: str | None = None):
+    @query(name, sql)
     def f(spark, sf):
         u = _udfs()
         out = getattr(u, name)(F.col("geom"), *[F.lit(float(a)) for a in args])
-        rows = V.tracks(spark, sf).select("user_id", out.alias("g"))
+        rows = spread(V.tracks(spark, sf)).select("user_id", out.alias("g"))
         return rows.select("user_id", F.posexplode(T.positions_of(F.col("g"))).alias("i", "p")).select("user_id", "i", r(F.col("p.x"), digits).alias("x"), r(F.col("p.y"), digits).alias("y"))
 
 
-_line_query("translate", 1000, 45)
-_line_query("rotate", 30)
-_line_query("scale", 0.5)
+_MOVED = f"SELECT user_id, i::INT AS i, {rs('x')} AS x, {rs('y')} AS y FROM gd"
+
+
+def _polar_sql(az: str, s: str) -> str:
+    """Every position from its track's mean position, turned or stretched."""
+    return f"""WITH {TRACKS}, m AS (SELECT user_id, avg(x) AS mx, avg(y) AS my FROM t GROUP BY user_id), e AS (SELECT user_id, i, mx AS lon1, my AS lat1, x AS lon2, y AS lat2 FROM t JOIN m USING (user_id)), {G.inverse('e', 'gi')},
+o AS (SELECT user_id, i, lon1, lat1, {az} AS az, {s} AS s FROM gi), {G.direct('o', 'gd')} {_MOVED}"""
+
+
+_line_query("translate", 1000, 45, sql=f"WITH {TRACKS}, o AS (SELECT user_id, i, x AS lon1, y AS lat1, 45.0::DOUBLE AS az, 1000.0::DOUBLE AS s FROM t), {G.direct('o', 'gd')} {_MOVED}")
+_line_query("rotate", 30, sql=_polar_sql("az1 + 30", "s12"))
+_line_query("scale", 0.5, sql=_polar_sql("az1", "s12 * 0.5::DOUBLE"))
 _line_query("line_slice_along", 1000, 500000)
 _line_query("line_chunk", 400000)
 _line_query("line_offset", 500)
@@ -721,10 +747,11 @@ def convex_hull(spark, sf):
     return h.select(F.posexplode(T.positions_of(F.col("geom"))).alias("i", "p")).select("i", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
-@query("dissolve")
+@query("dissolve", f"""WITH {ZONES}, q AS (SELECT floor(zone / 5)::BIGINT AS row, min(zone) AS zone, max(x1) - min(x0) AS dx, sin(radians(min(y0))) AS lo, sin(radians(max(y1))) AS hi FROM z GROUP BY ALL)
+SELECT row, zone, {rs(f"radians(dx) * ({G.zone('hi')} - {G.zone('lo')}) / 1e6", 0)} AS km2 FROM q""")
 def dissolve(spark, sf):
     d = _tables().dissolve(V.zones(spark, sf).withColumn("row", F.floor(F.col("zone") / 5)), "row", fid="zone")
-    return d.select("row", "zone", r(_udfs().geodesic_area("geom") / 1e6, 1).alias("km2"))
+    return d.select("row", "zone", r(measure.area(F.col("geom")) / 1e6, 0).alias("km2"))
 
 
 @query("square_grid_counts", "SELECT 'rectangle' AS kind, 42 AS n UNION ALL SELECT 'triangle', 48 UNION ALL SELECT 'hex', 15 UNION ALL SELECT 'square', 24")
@@ -748,25 +775,50 @@ def voronoi(spark, sf):
     return v.select("sid", r(_udfs().geodesic_area("geom") / 1e6, 1).alias("km2"))
 
 
-def _ramp(spark):
-    return spark.range(231).select(F.lit(1).alias("g"), (120 + F.col("id") % 21 * 0.01).alias("lon"), (30 + F.floor(F.col("id") / 21) * 0.01).alias("lat"), (F.col("id") % 21 * 0.01).alias("z"))
+_LEVELS = [3500.0, 4500.0, 5500.0]
+
+
+def s_cut(p: str, q: str) -> str:
+    """Where the level crosses an edge of a triangle."""
+    t = f"(l - {p}z) / ({q}z - {p}z)"
+    y = lambda v: "by_" if v == "b" else f"{v}y"
+    return f"SELECT l, {p}x + {t} * ({q}x - {p}x) AS x, {y(p)} + {t} * ({y(q)} - {y(p)}) AS y FROM lv WHERE ({p}z >= l) <> ({q}z >= l)"
 
 
-@query("isolines", "SELECT l::DOUBLE AS level, 120 + l::DOUBLE AS x FROM (VALUES (0.055), (0.125)) t(l)")
+@query("isolines", f"""WITH {LATTICE}, lv AS (SELECT * FROM tri, (SELECT unnest([{', '.join(map(str, _LEVELS))}])::DOUBLE AS l)),
+cut AS ({s_cut('a', 'b')} UNION ALL {s_cut('b', 'c')} UNION ALL {s_cut('a', 'c')}) SELECT DISTINCT l AS level, {rs('x')} AS x, {rs('y')} AS y FROM cut""")
 def isolines(spark, sf):
-    """Contours of a ramp are meridians."""
-    c = _tables().isolines(_ramp(spark), "g", [0.055, 0.125])
-    return c.select("level", F.explode(T.positions_of(F.col("geom"))).alias("p")).groupBy("level").agg(r(F.avg("p.x"), 6).alias("x"))
+    """The places of contours over the nations' lattice."""
+    c = _tables().isolines(V.lattice(spark, sf), "g", _LEVELS)
+    return c.select("level", F.explode(T.positions_of(F.col("geom"))).alias("p")).select("level", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y")).distinct()
 
 
-@query("isobands", "SELECT '0-0.05' AS name, 1 AS parts UNION ALL SELECT '0.05-0.13', 1")
+def s_below(level: str) -> str:
+    """The share of a triangle that lies below a level, from its sorted heights z1, z2, z3."""
+    return f"""CASE WHEN {level} <= z1 THEN 0 WHEN {level} >= z3 THEN 1 WHEN {level} <= z2 THEN power({level} - z1, 2) / ((z2 - z1) * (z3 - z1)) ELSE 1 - power(z3 - {level}, 2) / ((z3 - z1) * (z3 - z2)) END"""
+
+
+@query("isobands", f"""WITH {LATTICE}, so AS (SELECT list_sort([az, bz, cz]) AS zs, zs[1] AS z1, zs[2] AS z2, zs[3] AS z3 FROM tri),
+b AS (SELECT *, unnest([{', '.join(map(str, _LEVELS[:-1]))}])::DOUBLE AS lo, unnest([{', '.join(map(str, _LEVELS[1:]))}])::DOUBLE AS hi FROM so)
+SELECT lo AS min, hi AS max, {rs(f"sum(1.5::DOUBLE * (({s_below('hi')}) - ({s_below('lo')})))", 4)} AS area FROM b GROUP BY lo, hi""")
 def isobands(spark, sf):
-    return _tables().isobands(_ramp(spark), "g", [0.0, 0.05, 0.13]).select("name", F.size("geom.parts").alias("parts"))
+    """Areas in square degrees of the bands over the nations' lattice."""
+    rings = F.col("geom.parts")
+    shoelace = lambda ring: F.abs(F.aggregate(measure.segments(ring), F.lit(0.0), lambda a, s: a + s["p"]["x"] * s["q"]["y"] - s["q"]["x"] * s["p"]["y"])) / 2
+    area = F.aggregate(rings, F.lit(0.0), lambda acc, part: acc + F.aggregate(F.transform(part, lambda ring, i: shoelace(ring) * F.when(i == 0, 1).otherwise(-1)), F.lit(0.0), lambda a, v: a + v))
+    bands = _tables().isobands(V.lattice(spark, sf), "g", _LEVELS)
+    return bands.select("min", "max", r(F.coalesce(area, F.lit(0.0)), 4).alias("area"))
 
 
-@query("network_issues")
+@query("network_issues", f"""WITH {STREETS}, e AS (SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM sv WHERE i <> 1), nd AS (SELECT x, y, count(*) AS degree, count(DISTINCT id) AS lines FROM e GROUP BY ALL),
+c AS (SELECT a.id AS a, b.id AS b, a.px AS ax, a.py AS ay, a.qx - a.px AS sx, a.qy - a.py AS sy, b.px AS cx, b.py AS cy, b.qx - b.px AS tx, b.qy - b.py AS ty FROM ss a JOIN ss b ON a.id < b.id),
+g AS (SELECT *, sx * ty - sy * tx AS d FROM c), f AS (SELECT *, ((cx - ax) * ty - (cy - ay) * tx) / nullif(d, 0) AS u, ((cx - ax) * sy - (cy - ay) * sx) / nullif(d, 0) AS v FROM g),
+k AS (SELECT DISTINCT round(ax + u * sx, 9) AS x, round(ay + u * sy, 9) AS y FROM f WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1),
+o AS (SELECT 'dangle' AS code, x, y FROM nd WHERE degree = 1 UNION ALL SELECT 'pseudo-node', x, y FROM nd WHERE degree = 2 AND lines = 2 UNION ALL SELECT 'crossing-without-node', x, y FROM k ANTI JOIN nd USING (x, y))
+SELECT code, {rs('x')} AS x, {rs('y')} AS y FROM o""")
 def network_issues(spark, sf):
-    return _tables().network_issues(V.tracks(spark, sf), "user_id", size=10.0)
+    found = _tables().network_issues(V.streets(spark, sf), "id", size=1.0)
+    return found.select("code", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"))
 
 
 @query("coverage_overlaps")
@@ -792,3 +844,7 @@ def geojson_round_trip(spark, sf):
 
     text = geojson.to_geojson(F.col("geom"))
     return _positions(V.tracks(spark, sf).select("user_id", geojson.from_geojson(text).alias("geom")), "user_id", F.col("geom"))
+
+
+# The rest of the kernels' queries register themselves here too.
+from tellurion.plans import kernels  # noqa: E402, F401
