@@ -101,7 +101,10 @@ def text_of(col: str) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``gone`` (one column of ids), which is broadcast if it is small."""
-    ids = land(gone.toDF("_gone"), f"{run_dir(docs.sparkSession, 'gone')}/ids")
+    """The rows of ``docs`` whose id isn't in ``gone`` (one column of ids), which is broadcast if it is small.
+
+    Rows with a null id stay, as do all rows where ``gone`` is empty; columns may have any names.
+    """
+    ids = land(gone.toDF("gone"), f"{run_dir(docs.sparkSession, 'gone')}/ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")
+    return docs.join(ids, docs[id_col] == ids["gone"], "left_anti")

@@ -137,16 +137,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows with a null id all stay."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows with a null id all stay. Of rows that repeat an id each is judged by its
+    own text, and of those that repeat text too, white space apart, one stays.
+    Null texts are empty ones and stay null. An empty table stays empty; columns
+    may have any names.
+    """
     out = land(exact_dedup(docs, id_col, text_col), f"{run_dir(docs.sparkSession, 'kept')}/rows")
-    gone = out.filter("not kept and doc_id != keep_id").select("doc_id").distinct()
-    left = without(docs, gone, id_col)
-    again = out.filter("not kept and doc_id = keep_id").select("doc_id").distinct()
-    if not again.count():
-        return left
-    # Rows that repeat id and text: one of each stays.
-    ids = again.toDF("_again")
-    return left.join(ids, left[id_col] == ids["_again"], "left_anti").unionByName(left.join(ids, left[id_col] == ids["_again"], "left_semi").dropDuplicates([id_col, text_col]))
+    gone = out.filter("not kept and doc_id is not null").select("doc_id", "keep_id", "text_sha256").distinct()
+    gone = land(gone, f"{run_dir(docs.sparkSession, 'gone')}/pairs")
+    left = without(docs, gone.select("doc_id").distinct(), id_col)
+    # An id that is in question may have other rows: those whose text isn't gone, and one of those that repeat it.
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    ids = F.broadcast(ids) if gone.count() <= BROADCAST_ROWS else ids
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+    key = F.col(names[docs.columns.index(id_col)]).cast("long")
+    some = own.withColumn("_id", key).join(ids, F.col("_id") == F.col("_gone"), "left_semi").withColumn("_sha", sha256(normalised(text)))
+    pairs = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), (F.col("keep_id") == F.col("doc_id")).alias("_same"))
+    some = some.join(pairs, ["_id", "_sha"], "left").filter("_same is null or _same")
+    once = some.filter("_same").dropDuplicates(["_id", "_sha"])
+    return left.unionByName(some.filter("_same is null").unionByName(once).select(*names).toDF(*docs.columns))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

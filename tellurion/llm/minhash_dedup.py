@@ -367,8 +367,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    return without(docs, near_dedup(docs, id_col, text_col, percent).filter("not kept").select("doc_id"), id_col)
+    """The rows of ``docs`` that stay, one document of each component, with all their columns.
+
+    Rows with a null id or without words all stay. Rows that repeat an id are one
+    document: they go when none of them is kept. An empty table stays empty;
+    columns may have any names.
+    """
+    found = near_dedup(docs, id_col, text_col, percent).filter("doc_id is not null")
+    return without(docs, found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id"), id_col)
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -117,3 +117,86 @@ def test_pipeline(spark):
     assert not any("AKIA" in t and len(t.split("AKIA")[1].split()[0]) >= 12 for t in seen["secret scans"].values())
     pieces = cp.STAGES[-1][1](spark, at, sf).collect()
     assert {r["doc_id"] for r in pieces} == set(seen["secret scans"])
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars int"
+GOOD = "the river runs past the old mill and nobody in the town remembers who built it or why it was left there so long ago"
+
+
+def edge_rows():
+    words = GOOD.split()
+    long = " ".join(f"{w}{i % 50}" for i in range(300) for w in words)
+    texts = [
+        (10, GOOD), (11, GOOD + " "), (12, GOOD.replace("mill", "barn")), (13, None), (14, ""), (None, GOOD), (None, "only here"), (15, long), (16, long + " tail"),
+        (17, "short word"), (17, "short word"), (17, "short \t word"), (18, "one text of an id"), (18, GOOD), (2**62 + 1, GOOD + " twice"), (2**62 + 2, GOOD + " twice"), (9007199254740993, "an id beyond a float's digits"),
+        (19, "password=hunter2hunter2 and more words to stand beside it"),
+    ]
+    return [(i, t, None, "s", None if t is None else len(t)) for i, t in texts]
+
+
+def test_pipeline_stages_on_edge_rows(spark):
+    """Nulls, repeats, empty and very long texts and large ids through every stage; and an empty table."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame(edge_rows(), COLUMNS).repartition(3)
+    key = lambda rows: sorted((str(r["doc_id"]), str(r["text"])) for r in rows)
+    stages = dict(cp.STAGES)
+    first = stages["exact dedup"](spark, docs, sf)
+    assert first.columns == docs.columns
+    got = key(first.collect())
+    ids = [i for i, _ in got]
+    # Each text once, by its smallest id; rows with a null id stay; an id keeps its text that is no copy.
+    assert ids.count("None") == 2 and ids.count("17") == 1 and ("18", "one text of an id") in got and ("18", GOOD) not in got
+    assert ("10", GOOD) in got and "11" in ids and str(2**62 + 1) in ids and str(2**62 + 2) not in ids and "13" in ids and "14" not in ids
+    near = key(stages["minhash near-dedup"](spark, docs, sf).collect())
+    assert {"10", "13", "14", "15", "17", "18", "None"} <= {i for i, _ in near} and "16" not in {i for i, _ in near} and str(2**62 + 2) not in {i for i, _ in near}
+    safe = {r["doc_id"]: r for r in stages["secret scans"](spark, docs, sf).collect()}
+    assert safe[19]["text"].startswith("[SECRET]") and safe[13]["text"] is None and safe[13]["n_chars"] is None and safe[19]["n_chars"] == len(safe[19]["text"])
+    kept = stages["quality classifier"](spark, docs, sf)
+    assert kept.columns == docs.columns and set(key(kept.collect())) <= set(key(docs.collect()))
+    pieces = stages["best-fit packing"](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in pieces} == {r[0] for r in edge_rows()}
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() on tables of its own: what it packs is what the stages keep."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame(edge_rows(), COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, 1, 0), (12, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    out = cp.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r["doc_id"]) for r in out}) == sorted({str(r["doc_id"]) for r in docs.collect()})
+
+
+def test_packing_with_capacities(spark):
+    """Document and cost capacities that bind, whole ids beside nulls, and a piece too long for the cost."""
+    import public_tokenizers as P
+
+    from tellurion.llm import packing
+
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 9 == 0 else 2**53 + 1 + 2 * i, " ".join("word" for _ in range(int(rng.integers(1, 400))))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most, cost in ((3, None), (None, 90_000), (4, 150_000)):
+        seqs = {}
+        out = packing.packed(docs, P.path("word_bpe_49k.json"), max_docs=most, max_cost=cost).collect()
+        for r in out:
+            seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for own in seqs.values():
+            at = 0
+            for o, n in sorted(own):
+                assert o == at
+                at += n
+            assert at <= 2048 and len(own) <= (most or 2048) and sum(n * n for _, n in own) <= (cost or 2048**2)
+        assert {r["doc_id"] for r in out} == {i for i, _ in rows}
+    free = packing.packed(docs, P.path("word_bpe_49k.json"))
+    total = free.groupBy().sum("length").first()[0]
+    assert free.select("sequence_id").distinct().count() <= -(-total // 2048) + 1
+    with pytest.raises(ValueError, match="capacity"):
+        packing.best_fit(np.array([2049]))
