@@ -1,4 +1,10 @@
-"""A training corpus from ``documents`` in five stages; each stage's rows are written and read again by the next."""
+"""A training corpus from ``documents`` in five stages; each stage's rows are written and read again by the next.
+
+Null texts count as empty ones and stay null until they are packed; null ids stay
+null. Rows that repeat an id are judged by their own texts, but for near
+duplicates, where they go together. Ties go to the smaller id. An empty table
+passes through every stage, and columns beside ``text`` and ``n_chars`` stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.llm import exact_dedup, minhash_dedup, packing, quality, secret_scan
-from tellurion.llm.common import land, run_dir, ship, table
+from tellurion.llm.common import land, run_dir, scratch, ship, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +51,9 @@ STAGES = [("quality classifier", good), ("exact dedup", distinct), ("minhash nea
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), run_dir(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = land(stage(spark, docs, sf_dir), f"{path}/{k}")
+        # Once a stage's rows are written, the tables that it made on the way can go.
+        with scratch(spark):
+            docs = land(stage(spark, docs, sf_dir), f"{path}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
