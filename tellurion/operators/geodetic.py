@@ -328,32 +328,40 @@ def along_geodesics(g: Geom, tol: float = 0.01, most: int = 256) -> Geom:
 
 
 def _band(g: Geom, radius: float, steps: int, edges: str = "planar", tol: float = 0.01) -> list:
-    """Strips along segments and circles at positions, in longitude and latitude."""
+    """A strip along each edge and a circle at each position, in longitude and latitude."""
     out, cut = [], densified if edges == "planar" else along_geodesics
     for r in rings(g):
         for c in np.unique(r, axis=0):
             # Turned by an odd angle, so that corners of strips don't fall on the circle's.
             out.append([pl.closed(around(c, radius, 3.7 - 360.0 * np.arange(4 * steps) / (4 * steps)))])
-        if len(r) > 1 and "Point" not in g[0]:
-            r = cut(("LineString", [[r]]), tol)[1][0][0]
-            s, z1, z2 = geo.inverse(r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1])
-            for a, b, u, v, n in zip(r, r[1:], z1, z2, s, strict=False):
-                if n > 0:
-                    out.append([pl.closed(np.concatenate([around(a, radius, [u + 90, u - 90]), around(b, radius, [v - 90, v + 90])]))])
+        for edge in zip(r, r[1:], strict=False) if "Point" not in g[0] else ():
+            if (edge[0] == edge[1]).all():
+                continue
+            # The edge's own curve bends far less than any radius, so its two sides make one ring.
+            c = cut(("LineString", [[np.array(edge)]]), tol)[1][0][0]
+            _, z1, z2 = geo.inverse(c[:-1, 0], c[:-1, 1], c[1:, 0], c[1:, 1])
+            way = np.append(z1, z2[-1])
+            way[1:-1] = z2[:-1] + ((z1[1:] - z2[:-1] + 180) % 360 - 180) / 2
+            sides = [np.stack(geo.direct(c[:, 0], c[:, 1], way + turn, radius)[:2], axis=1) for turn in (90, -90)]
+            out.append([pl.closed(np.concatenate([sides[0], sides[1][::-1]]))])
     return out
 
 
-def _plane_band(parts: list, line: bool, radius: float, steps: int) -> list:
+def _plane_band(f: Frame, g: Geom, radius: float, steps: int, cut, tol: float) -> list:
     """The same in a plane, where directions are the plane's own."""
     out, turn = [], np.radians(3.7 - 360.0 * np.arange(4 * steps) / (4 * steps))
-    for r in (r for part in parts for r in part):
-        for c in np.unique(r, axis=0):
+    for r in rings(g):
+        for c in f.to(np.unique(r, axis=0)):
             out.append([pl.closed(c + radius * np.stack([np.sin(turn), np.cos(turn)], axis=1))])
-        for a, b in zip(r, r[1:], strict=False) if line else ():
-            d = b - a
-            if n := math.hypot(*d):
-                side = radius * np.array([d[1], -d[0]]) / n
-                out.append([pl.closed(np.array([a + side, a - side, b - side, b + side]))])
+        for edge in zip(r, r[1:], strict=False) if "Point" not in g[0] else ():
+            if (edge[0] == edge[1]).all():
+                continue
+            c = f.to(cut(("LineString", [[np.array(edge)]]), tol)[1][0][0])
+            d = np.diff(c, axis=0)
+            d /= np.hypot(*d.T)[:, None]
+            way = np.concatenate([d[:1], (d[:-1] + d[1:]) / 2, d[-1:]])
+            side = radius * np.stack([way[:, 1], -way[:, 0]], axis=1) / np.hypot(*way.T)[:, None]
+            out.append([pl.closed(np.concatenate([c + side, (c - side)[::-1]]))])
     return out
 
 
@@ -381,7 +389,7 @@ def buffer(g: Geom, radius: float, steps: int = 16, edges: str = "planar", metho
         pieces = f.plane(band)
     else:
         f = Frame(g)
-        pieces = _plane_band(f.plane(cut(g, tol) if "Point" not in g[0] else g), "Point" not in g[0], abs(radius), steps)
+        pieces = _plane_band(f, g, abs(radius), steps, cut, tol)
     if radius > 0:
         return f.earth(pl.union(pieces, f.plane(cut(g, tol)) if areal(g) else []))
     return f.earth(pl.difference(f.plane(cut(g, tol)), pieces))

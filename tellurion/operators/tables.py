@@ -220,7 +220,8 @@ def grid_masked(spark: SparkSession, box: tuple[float, float, float, float], siz
     from tellurion.functions.udfs import boolean_intersects
     from tellurion.operators.joins import points_in_regions
 
-    rows, over = grid(spark, box, size, kind, size_y), mask.select(F.col(geom).alias("_mask"))
+    # Landed, as corners are long expressions that tests would repeat.
+    rows, over = land(grid(spark, box, size, kind, size_y)), mask.select(F.col(geom).alias("_mask"))
     if kind == "point":
         return points_in_regions(rows, over.withColumnRenamed("_mask", "geom"), how="left_semi")
     keys = [c for c in rows.columns if c != "geom"]
@@ -233,7 +234,7 @@ def interpolate(samples: DataFrame, box: tuple[float, float, float, float], size
     from tellurion.functions.measure import centroid
     from tellurion.operators.aggregates import idw
 
-    rows = grid(samples.sparkSession, box, size, kind)
+    rows = land(grid(samples.sparkSession, box, size, kind))
     keys = [c for c in rows.columns if c in ("i", "j", "half")]
     rows = rows.withColumn("_cell", F.struct(*keys))
     if kind != "point":

@@ -324,3 +324,10 @@ def tin(spark, sf):
     return t.select(r(F.least("a", "b", "c"), 2).alias("low"), r(F.col("a") + F.col("b") + F.col("c"), 2).alias("total"), r(F.greatest("a", "b", "c"), 2).alias("high"))
 
 
+
+
+@query("buffer_lines")
+def buffer_lines(spark, sf):
+    """Areas within 2 km of each street."""
+    b = u.buffer(F.col("geom"), 2000.0)
+    return spread(V.streets(spark, sf)).select("id", r(u.geodesic_area(b) / 1e6, 2).alias("km2"))
