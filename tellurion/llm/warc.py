@@ -6,8 +6,8 @@ records of its partition to one archive, chunk after chunk, with a running
 SHA-1 that must come out as the header says. Archives get a name of their own for
 each attempt; the manifest lists only those of attempts that were committed.
 
-Reading: archives are parsed as streams. Each record gives chunk rows again; its
-last row carries the payload's size and digest, kept up chunk by chunk.
+Reading: archives are parsed as streams. Each record gives chunk rows again, and each
+row carries the size and digest of the payload so far; the last row's are the payload's.
 
 Of records with equal payloads, that with the largest page_id is the response;
 the others are revisits, which refer to it and carry no payload.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tellurion.llm.common import BROADCAST_ROWS, bounded, land, run_dir, table, text_of
 
-CHUNK = 256 * 1024
+#: Bytes of a chunk; a batch of rows holds a thousand chunks at most.
+CHUNK = 64 * 1024
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "page_id long, record_type string, refers_to long, chunk int, data binary, last boolean, payload_bytes long, payload_digest string"
@@ -152,7 +153,7 @@ def parse(f, chunk: int = CHUNK) -> Iterator[tuple]:
             size += len(data)
             sha.update(data)
             if left:
-                yield page, kind, refers, k, data, False, None, None
+                yield page, kind, refers, k, data, False, size, base64.b32encode(sha.digest()).decode()
                 k += 1
             else:
                 last = data

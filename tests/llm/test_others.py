@@ -96,6 +96,10 @@ def test_warc_chunks(spark):
     rows = sorted(warc.read(manifest, chunk=16).collect(), key=lambda r: r["chunk"])
     assert b"".join(bytes(r["data"]) for r in rows) == b"abcdefghij" * 10 and max(len(r["data"]) for r in rows) <= 16
     assert [r["last"] for r in rows].count(True) == 1
+    # Digests are kept up chunk by chunk.
+    for k, r in enumerate(rows):
+        so_far = (b"abcdefghij" * 10)[: 16 * (k + 1)]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(so_far), base64.b32encode(hashlib.sha1(so_far).digest()).decode())
 
 
 def test_pipeline(spark):
