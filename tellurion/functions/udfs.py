@@ -270,7 +270,6 @@ def scale(geom, factor, origin=None) -> Column:
     return _scale(geom, factor, *_pivot(geom, origin))
 
 
-line_slice = kernel(lambda a, x1, y1, x2, y2: line(g.line_slice(_ring(a), (x1, y1), (x2, y2))))
 polygon_tangents = kernel(lambda a, x, y: ("MultiPoint", [[p[None]] for p in g.polygon_tangents(a, (x, y))]))
 clean_coords = kernel(lambda a, tol: g.clean_coords(a, tol))
 line_slice_along = kernel(lambda a, lo, hi: line(g.line_slice_along(_ring(a), lo, hi)))
@@ -378,6 +377,17 @@ point_to_polygon_distance = _nearest_column(DoubleType(), _signed)
 boolean_point_on_line = _nearest_column(BooleanType(), lambda b, found, x, y, tol: pa.array(found[:, 2] <= tol, pa.bool_(), mask=np.isnan(found[:, 2]) | np.isnan(tol)))
 
 
+def line_slice(geom, x1, y1, x2, y2) -> Column:
+    """The part of a line between the places nearest to two points."""
+
+    def run(col, *at):
+        b, (ax, ay, bx, by) = Batch.of(col), _numbers(at)
+        lo, hi = (_nearest(b, x, y, True)[:, 3] for x, y in ((ax, ay), (bx, by)))
+        return Batch.from_geoms([None if v is None or np.isnan(p + q) else line(g.line_between(_ring(v), float(p), float(q))) for v, p, q in zip(b.geoms(), lo, hi, strict=True)]).arrow()
+
+    return _column(run, GEOMETRY, 1, (geom, x1, y1, x2, y2))
+
+
 def _parallel(one, two, tol: float = 0.1) -> pa.Array:
     """Segment by segment the same bearing, or the opposite one, within ``tol`` degrees."""
     a, b = Batch.of(one), Batch.of(two)

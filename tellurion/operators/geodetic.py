@@ -213,14 +213,18 @@ def point_to_polygon(g: Geom, p) -> float:
 
 
 def line_slice(line: np.ndarray, p, q) -> np.ndarray:
-    """Between the places nearest to two points; a place within a tenth of a millimetre of a position is that position."""
+    return line_between(line, nearest_on_line(line, p)[2], nearest_on_line(line, q)[2])
+
+
+def line_between(line: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Between two places along the line; one within a tenth of a millimetre of a position is that position."""
     total, _ = _measures(line)
 
     def place(at: float) -> float:
         k = int(np.abs(total - at).argmin())
         return float(total[k]) if abs(total[k] - at) < 1e-4 else at
 
-    return line_slice_along(line, *(place(nearest_on_line(line, x)[2]) for x in (p, q)))
+    return line_slice_along(line, place(lo), place(hi))
 
 
 def line_chunk(line: np.ndarray, length: float) -> list[np.ndarray]:

@@ -328,6 +328,6 @@ def tin(spark, sf):
 
 @query("buffer_lines")
 def buffer_lines(spark, sf):
-    """Areas within 2 km of each street."""
-    b = u.buffer(F.col("geom"), 2000.0)
+    """Areas within 2 km of each street, whose edges are followed within a metre."""
+    b = u.buffer(F.col("geom"), 2000.0, tolerance=1.0)
     return spread(V.streets(spark, sf)).select("id", r(u.geodesic_area(b) / 1e6, 2).alias("km2"))
