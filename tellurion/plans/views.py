@@ -65,7 +65,7 @@ def streets(spark: SparkSession, sf: str) -> DataFrame:
 def lattice(spark: SparkSession, sf: str) -> DataFrame:
     """A height for each nation at the nodes of a lattice of five by five: the mean balance of its customers."""
     n = F.col("c_nationkey")
-    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("h"))
+    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("h"))
     return rows.select(F.lit(1).alias("g"), (100 + n % 5 * 2.0).alias("lon"), (30 + F.floor(n / 5) * 1.5).alias("lat"), F.col("h").alias("z"))
 
 
@@ -91,7 +91,7 @@ ts AS (SELECT a.user_id, a.i, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM t
 STREETS = CUSTOMER + """, sm AS (SELECT *, lon + 1.25::DOUBLE + id % 7 * 0.1::DOUBLE AS mx, lat + 0.5::DOUBLE - id % 5 * 0.25::DOUBLE AS my FROM cp),
 sv AS (SELECT id, unnest([0, 1, 2]) AS i, unnest([lon, mx, mx + 1.0::DOUBLE]) AS x, unnest([lat, my, my + (id % 3 - 1) * 1.0::DOUBLE]) AS y FROM sm),
 ss AS (SELECT a.id, a.i, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM sv a JOIN sv b ON a.id = b.id AND b.i = a.i + 1)"""
-LATTICE = """ln AS (SELECT c_nationkey % 5 AS i, c_nationkey // 5 AS j, round(avg(c_acctbal), 2) AS z FROM customer GROUP BY c_nationkey),
+LATTICE = """ln AS (SELECT c_nationkey % 5 AS i, c_nationkey // 5 AS j, avg(c_acctbal) AS z FROM customer GROUP BY c_nationkey),
 lx AS (SELECT *, 100 + i * 2.0::DOUBLE AS x, 30 + j * 1.5::DOUBLE AS y FROM ln),
 tri AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz
   FROM lx a JOIN lx c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN lx b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1))"""
