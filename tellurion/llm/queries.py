@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellurion.llm import byte_bpe, collocations, exact_dedup, hnsw, license_scan, line_dedup, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec, warc
+from tellurion.llm import byte_bpe, collocations, conversation_repair, exact_dedup, hnsw, license_scan, line_dedup, minhash_dedup, packing, quality, secret_scan, sentencepiece_codec, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_collocations": collocations.op12_collocations,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
@@ -25,5 +26,6 @@ SQL = {
     "op5_warc": warc.SQL,
     "op9_license_scan": license_scan.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
     "op12_collocations": collocations.SQL,
 }
