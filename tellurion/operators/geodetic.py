@@ -417,8 +417,23 @@ def convex(g: Geom) -> Geom | None:
 
 
 def concave(g: Geom, max_edge: float) -> Geom | None:
+    """The Delaunay triangles of one geometry's positions whose sides are all within ``max_edge``, as areas."""
+    from tellurion.operators.delaunay import delaunay
+
     f = Frame(g)
-    return f.earth(pl.concave_hull(np.concatenate([f.to(r) for r in rings(g)]), max_edge))
+    p = np.unique(np.concatenate([f.to(r) for r in rings(g)]), axis=0)
+    q = p[delaunay(p)] if len(p) > 2 else np.zeros((0, 3, 2))
+    sides = np.hypot(*np.moveaxis(q - np.roll(q, -1, axis=1), 2, 0))
+    q = q[(sides <= max_edge).all(axis=1)]
+    edges = {}
+    for t in q:
+        for k in range(3):
+            a, b = tuple(t[k]), tuple(t[k - 2])
+            if edges.pop((b, a), None) is None:
+                edges[a, b] = True
+    if not edges:
+        return None
+    return f.earth(pl.assembled(pl.walk(np.array([(*a, *b) for a, b in edges])), 0.0))
 
 
 def _lines_in_plane(g: Geom, change) -> Geom:
@@ -621,36 +636,19 @@ def unkinked(g: Geom) -> list[Geom]:
 
 
 # Sets.
-def tin(points: np.ndarray, z: np.ndarray) -> list[tuple[np.ndarray, tuple[float, float, float]]]:
-    """Delaunay triangles in the plane with their corners' values; of equal positions the first counts."""
-    _, first = np.unique(points, axis=0, return_index=True)
-    p, v = points[np.sort(first)], z[np.sort(first)]
-    f = Frame(("MultiPoint", [[p]]))
-    tri = pl.delaunay(f.to(p))
-    return [(pl.closed(p[t]), tuple(float(x) for x in v[t])) for t in tri]
-
-
-def voronoi(points: np.ndarray, box=None) -> list[Geom]:
-    """Cells within a box; unless one is given, the sites' own, wider by a tenth on each side or as far as a plane reaches."""
-    p = np.asarray(points, float)
-    f = None
-    for share in (0.1 - k / 200 for k in range(21)) if box is None else ():
-        pad = np.maximum(np.ptp(p, axis=0), 1e-9) * max(share, 0.0)
-        box = (*(p.min(0) - pad), *(p.max(0) + pad))
+def voronoi_frame(x0: float, y0: float, x1: float, y1: float) -> tuple[Frame, np.ndarray]:
+    """A plane and, in it, the corners of the sites' box, wider by a tenth on each side or as far as a plane reaches."""
+    lo, hi = np.array([x0, y0]), np.array([x1, y1])
+    for k in range(21):
+        pad = np.maximum(hi - lo, 1e-9) * (0.1 - k / 200)
+        a, b = lo - pad, hi + pad
         try:
-            f = Frame(("MultiPoint", [[np.array([[box[0], box[1]], [box[2], box[3]]])]]))
+            f = Frame(("MultiPoint", [[np.array([a, b])]]))
             break
         except ValueError:
-            continue
-    f = f or Frame(("MultiPoint", [[np.array([[box[0], box[1]], [box[2], box[3]]])]]))
-    corners = f.to(np.array([[box[0], box[1]], [box[2], box[1]], [box[2], box[3]], [box[0], box[3]]]))
-    plane = (*corners.min(0), *corners.max(0))
-    cover = pl.closed(corners)
-    out = []
-    for cell in pl.voronoi(f.to(p), plane):
-        parts = pl.intersection([[cell]], [[cover]]) if len(cell) else []
-        out.append(f.earth(parts) or ("Polygon", []))
-    return out
+            if k == 20:
+                raise
+    return f, f.to(np.array([[a[0], a[1]], [b[0], a[1]], [b[0], b[1]], [a[0], b[1]]]))
 
 
 def isolines(x: np.ndarray, y: np.ndarray, z: np.ndarray, level: float) -> list[np.ndarray]:

@@ -347,77 +347,6 @@ def convex_hull(p: np.ndarray) -> np.ndarray | None:
     return closed(np.array(ring)) if len(ring) > 2 else None
 
 
-def delaunay(p: np.ndarray) -> np.ndarray:
-    """(t, 3) places of distinct points, by insertion with circumcircle tests over whole arrays."""
-    p = np.asarray(p, float)
-    n, mid, size = len(p), p.mean(0), max(np.ptp(p[:, 0]), np.ptp(p[:, 1]), 1e-12)
-    pts = np.concatenate([(p - mid) / size, [[-60, -30], [60, -30], [0, 80]]])
-    tri = np.array([[n, n + 1, n + 2]])
-    centre, radius = _circles(pts, tri)
-    for k in np.lexsort((p[:, 1], p[:, 0])):
-        hit = ((pts[k] - centre) ** 2).sum(1) < radius * (1 + 1e-12)
-        bad = tri[hit]
-        edges = np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]])
-        key = np.sort(edges, axis=1)
-        _, first, count = np.unique(key, axis=0, return_index=True, return_counts=True)
-        rim = edges[first[count == 1]]
-        new = np.column_stack([rim, np.full(len(rim), k)])
-        c, r = _circles(pts, new)
-        ok = np.isfinite(r)
-        tri, centre, radius = np.concatenate([tri[~hit], new[ok]]), np.concatenate([centre[~hit], c[ok]]), np.concatenate([radius[~hit], r[ok]])
-    tri = tri[(tri < n).all(axis=1)]
-    a, b, c = (pts[tri[:, i]] for i in range(3))
-    turn = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
-    tri[turn < 0] = tri[turn < 0][:, [0, 2, 1]]
-    return tri[np.abs(turn) > 1e-14]
-
-
-def _circles(pts: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b, c = (pts[tri[:, i]] for i in range(3))
-    b, c = b - a, c - a
-    d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-    with np.errstate(all="ignore"):
-        ux = (c[:, 1] * (b**2).sum(1) - b[:, 1] * (c**2).sum(1)) / d
-        uy = (b[:, 0] * (c**2).sum(1) - c[:, 0] * (b**2).sum(1)) / d
-    u = np.stack([ux, uy], axis=1)
-    return u + a, (u**2).sum(1)
-
-
-def concave_hull(p: np.ndarray, max_edge: float) -> Parts:
-    """The Delaunay triangles whose sides are all within ``max_edge``, as areas."""
-    p = np.unique(np.asarray(p, float), axis=0)
-    if len(p) < 3:
-        return []
-    tri = delaunay(p)
-    q = p[tri]
-    sides_ = np.hypot(*np.moveaxis(q - np.roll(q, -1, axis=1), 2, 0))
-    tri = tri[(sides_ <= max_edge).all(axis=1)]
-    if not len(tri):
-        return []
-    edges = np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]])
-    _, first, count = np.unique(np.sort(edges, axis=1), axis=0, return_index=True, return_counts=True)
-    rim = edges[first[count == 1]]
-    return assembled(walk(np.concatenate([p[rim[:, 0]], p[rim[:, 1]]], axis=1)), 0.0)
-
-
-def voronoi(p: np.ndarray, box: tuple[float, float, float, float]) -> list[np.ndarray]:
-    """Each site's cell, cut from the box by the bisectors with nearer sites first."""
-    x0, y0, x1, y1 = box
-    out = []
-    for i, s in enumerate(p):
-        cell = np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
-        d = np.hypot(*(p - s).T)
-        for j in np.argsort(d, kind="stable"):
-            if j == i or d[j] == 0:
-                continue
-            if not len(cell) or d[j] > 2 * np.hypot(*(cell - s).T).max():
-                break
-            n = p[j] - s
-            cell = clip_half(cell, (cell - (p[j] + s) / 2) @ n)
-        out.append(closed(cell) if len(cell) > 2 else np.zeros((0, 2)))
-    return out
-
-
 def clip_half(ring: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The part of a convex ring, not closed, where the linear value isn't positive."""
     out = []

@@ -96,38 +96,6 @@ def _per_group(df: DataFrame, key: str, f, schema: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(f, schema)
 
 
-def tin(df: DataFrame, key: str, x: str = "lon", y: str = "lat", z: str = "z") -> DataFrame:
-    """Triangles of each group with their corners' values a, b, c."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(k, pdf):
-        rows = g.tin(pdf[[x, y]].to_numpy(), pdf[z].to_numpy()) if len(pdf) > 2 else []
-        return pd.DataFrame([(k[0], pack(("Polygon", [[r]])), *v) for r, v in rows], columns=[key, "geom", "a", "b", "c"])
-
-    return _per_group(df.select(key, x, y, z), key, run, f"`{key}` {kind}, geom {GEOM_DDL}, a double, b double, c double")
-
-
-def voronoi(df: DataFrame, key: str, fid: str, x: str = "lon", y: str = "lat") -> DataFrame:
-    """The cell of each site in its group; of equal sites the first has it."""
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, fid)}
-
-    def run(k, pdf):
-        pdf = pdf.sort_values(fid).drop_duplicates([x, y])
-        cells = g.voronoi(pdf[[x, y]].to_numpy())
-        return pd.DataFrame({key: k[0], fid: pdf[fid].to_numpy(), "geom": [pack(c) for c in cells]})
-
-    return _per_group(df.select(key, fid, x, y), key, run, f"`{key}` {kinds[key]}, `{fid}` {kinds[fid]}, geom {GEOM_DDL}")
-
-
-def concave_hull(df: DataFrame, key: str, max_edge: float, x: str = "lon", y: str = "lat") -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(k, pdf):
-        return pd.DataFrame({key: [k[0]], "geom": [pack(g.concave(("MultiPoint", [[pdf[[x, y]].to_numpy()]]), max_edge))]})
-
-    return _per_group(df.select(key, x, y), key, run, f"`{key}` {kind}, geom {GEOM_DDL}")
-
-
 def polygonize(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     """Faces bounded by each group's lines."""
     kind = df.schema[key].dataType.simpleString()

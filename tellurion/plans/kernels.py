@@ -8,7 +8,7 @@ from tellurion.functions import crs, helpers, measure, shapes
 from tellurion.functions import types as T
 from tellurion.functions import udfs as u
 from tellurion.operators import aggregates as agg
-from tellurion.operators import joins, tables
+from tellurion.operators import delaunay, joins, tables
 from tellurion.plans import geosql as G
 from tellurion.plans import views as V
 from tellurion.plans.queries import _NODES, _ZONE, _positions, query, r, rs, s_panels
@@ -312,18 +312,46 @@ def clusters_dbscan(spark, sf):
     return tables.dbscan(V.supplier_pt(spark, sf), "sid", 300_000.0, 3, "rlon", "rlat")
 
 
-@query("tin", f"""WITH {_PLANE}, tr AS MATERIALIZED (SELECT a.sid AS i, b.sid AS j, c.sid AS k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, a.z AS az, b.z AS bz, c.z AS cz,
-  sign((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS turn FROM pl a, pl b, pl c WHERE a.sid < b.sid AND b.sid < c.sid),
-wi AS (SELECT i, j, k, max(turn * ((ax - p.x) * ((by_ - p.y) * (power(cx - p.x, 2) + power(cy - p.y, 2)) - (cy - p.y) * (power(bx - p.x, 2) + power(by_ - p.y, 2)))
-  - (ay - p.y) * ((bx - p.x) * (power(cx - p.x, 2) + power(cy - p.y, 2)) - (cx - p.x) * (power(bx - p.x, 2) + power(by_ - p.y, 2)))
-  + (power(ax - p.x, 2) + power(ay - p.y, 2)) * ((bx - p.x) * (cy - p.y) - (by_ - p.y) * (cx - p.x)))) AS most FROM tr, pl p WHERE p.sid NOT IN (i, j, k) AND turn <> 0 GROUP BY ALL)
-SELECT {rs('least(az, bz, cz)', 2)} AS low, {rs('az + bz + cz', 2)} AS total, {rs('greatest(az, bz, cz)', 2)} AS high FROM wi JOIN tr USING (i, j, k) WHERE most < 0""")
+#: A triangle's corner on the left of a, b is the point that sees the two at the widest angle; one that its three sides agree on is a triangle.
+_TIN = f"""{_PLANE}, ap AS MATERIALIZED (SELECT a, b, arg_min(c, cot) AS c FROM (SELECT a.sid AS a, b.sid AS b, c.sid AS c,
+  ((a.x - c.x) * (b.x - c.x) + (a.y - c.y) * (b.y - c.y)) / ((a.x - c.x) * (b.y - c.y) - (a.y - c.y) * (b.x - c.x)) AS cot
+  FROM pl a, pl b, pl c WHERE a.sid <> b.sid AND (a.x - c.x) * (b.y - c.y) - (a.y - c.y) * (b.x - c.x) > 0) GROUP BY a, b),
+tr AS MATERIALIZED (SELECT p.a, p.b, p.c FROM ap p JOIN ap q ON q.a = p.b AND q.b = p.c AND q.c = p.a JOIN ap s ON s.a = p.c AND s.b = p.a AND s.c = p.b WHERE p.a < p.b AND p.a < p.c)"""
+
+
+def _suppliers(spark, sf):
+    return V.supplier_pt(spark, sf).withColumn("g", F.lit(1))
+
+
+@query("tin", f"""WITH {_TIN} SELECT {rs('least(i.z, j.z, k.z)', 2)} AS low, {rs('i.z + j.z + k.z', 2)} AS total, {rs('greatest(i.z, j.z, k.z)', 2)} AS high
+FROM tr JOIN pl i ON i.sid = a JOIN pl j ON j.sid = b JOIN pl k ON k.sid = c""")
 def tin(spark, sf):
     """Triangles over the suppliers, by the heights of their corners."""
-    t = tables.tin(V.supplier_pt(spark, sf).select(F.lit(1).alias("g"), "rlon", "rlat", "sz"), "g", "rlon", "rlat", "sz")
+    t = delaunay.tin(_suppliers(spark, sf), "g", "sid", "rlon", "rlat", "sz")
     return t.select(r(F.least("a", "b", "c"), 2).alias("low"), r(F.col("a") + F.col("b") + F.col("c"), 2).alias("total"), r(F.greatest("a", "b", "c"), 2).alias("high"))
 
 
+@query("delaunay_neighbours", f"WITH {_TIN}, e AS (SELECT a, b FROM tr UNION SELECT b, c FROM tr UNION SELECT c, a FROM tr) SELECT least(a, b) AS a, greatest(a, b) AS b FROM e GROUP BY ALL")
+def delaunay_neighbours(spark, sf):
+    """Suppliers whose Voronoi cells share a side, on the plane without end."""
+    return delaunay.neighbours(_suppliers(spark, sf), "g", "sid", "rlon", "rlat").filter("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+@query("concave_rim", f"""WITH {_TIN}, ok AS (SELECT tr.* FROM tr JOIN pl i ON i.sid = a JOIN pl j ON j.sid = b JOIN pl k ON k.sid = c
+  WHERE greatest(sqrt(power(i.x - j.x, 2) + power(i.y - j.y, 2)), sqrt(power(j.x - k.x, 2) + power(j.y - k.y, 2)), sqrt(power(k.x - i.x, 2) + power(k.y - i.y, 2))) <= 600000.0::DOUBLE),
+e AS (SELECT a, b FROM ok UNION ALL SELECT b, c FROM ok UNION ALL SELECT c, a FROM ok) SELECT min(a) AS a, min(b) AS b FROM e GROUP BY least(a, b), greatest(a, b) HAVING count(*) = 1""")
+def concave_rim(spark, sf):
+    """The sides of the suppliers' concave hull, with the inside on their left."""
+    return delaunay.rim(_suppliers(spark, sf), "g", "sid", 600_000.0, "rlon", "rlat").select("a", "b")
+
+
+@query("concave_hull")
+def concave_hull(spark, sf):
+    """The hull's area and number of parts; the rim that it is made of has SQL, its assembly a test."""
+    h = delaunay.concave_hull(_suppliers(spark, sf), "g", "sid", 600_000.0, "rlon", "rlat")
+    return h.select(F.size("geom.parts").alias("parts"), r(u.geodesic_area(F.col("geom")) / 1e6, 1).alias("km2"))
+
+
 
 
 @query("buffer_lines")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tellurion.functions import crs, measure, shapes, units
 from tellurion.functions import types as T
 from tellurion.operators import aggregates as agg
-from tellurion.operators import joins
+from tellurion.operators import delaunay, joins
 from tellurion.session import spread
 from tellurion.plans import geosql as G
 from tellurion.plans import views as V
@@ -22,6 +22,8 @@ SQL: dict = {}
 
 def query(name: str, sql: str | None = None):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql
@@ -695,8 +697,6 @@ o AS (SELECT user_id, i, lon1, lat1, {az} AS az, {s} AS s FROM gi), {G.direct('o
 _line_query("translate", 1000, 45, sql=f"WITH {TRACKS}, o AS (SELECT user_id, i, x AS lon1, y AS lat1, 45.0::DOUBLE AS az, 1000.0::DOUBLE AS s FROM t), {G.direct('o', 'gd')} {_MOVED}")
 _line_query("rotate", 30, sql=_polar_sql("az1 + 30", "s12"))
 _line_query("scale", 0.5, sql=_polar_sql("az1", "s12 * 0.5::DOUBLE"))
-_line_query("line_slice_along", 1000, 500000)
-_line_query("line_chunk", 400000)
 _line_query("line_offset", 500)
 _line_query("bezier_spline")
 _line_query("simplify", 100000)
@@ -710,12 +710,6 @@ def nearest_point_on_line(spark, sf):
     return V.tracks(spark, sf).select("user_id", n.alias("n")).select("user_id", r(F.col("n.x")).alias("x"), r(F.col("n.y")).alias("y"), r(F.col("n.dist"), 2).alias("metres"), F.col("n.index").alias("index"))
 
 
-@query("validate")
-def validate(spark, sf):
-    u = _udfs()
-    return V.pentagons(spark, sf).select("zone", u.boolean_valid(F.col("geom")).alias("valid"), F.size(u.validate("geom")).alias("issues"))
-
-
 @query("center_of_mass")
 def center_of_mass(spark, sf):
     u = _udfs()
@@ -730,23 +724,12 @@ def tesselate(spark, sf):
     return V.pentagons(spark, sf).select("zone", t.alias("t")).select("zone", r(total, 4).alias("area"))
 
 
-@query("clusters_dbscan")
-def clusters_dbscan(spark, sf):
-    return _tables().dbscan(V.supplier_pt(spark, sf), "sid", 300_000.0, 3, "rlon", "rlat")
-
-
 @query("clusters_kmeans")
 def clusters_kmeans(spark, sf):
     k = _tables().kmeans(V.supplier_pt(spark, sf), "sid", 5, x="rlon", y="rlat")
     return k.select("sid", "cluster", r(F.col("centroid_lon"), 5).alias("lon"), r(F.col("centroid_lat"), 5).alias("lat"))
 
 
-@query("convex_hull")
-def convex_hull(spark, sf):
-    h = _tables().convex_hull(V.supplier_pt(spark, sf), "rlon", "rlat")
-    return h.select(F.posexplode(T.positions_of(F.col("geom"))).alias("i", "p")).select("i", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
-
-
 @query("dissolve", f"""WITH {ZONES}, q AS (SELECT floor(zone / 5)::BIGINT AS row, min(zone) AS zone, max(x1) - min(x0) AS dx, sin(radians(min(y0))) AS lo, sin(radians(max(y1))) AS hi FROM z GROUP BY ALL)
 SELECT row, zone, {rs(f"radians(dx) * ({G.zone('hi')} - {G.zone('lo')}) / 1e6", 0)} AS km2 FROM q""")
 def dissolve(spark, sf):
@@ -764,14 +747,9 @@ def square_grid_counts(spark, sf):
     return out
 
 
-@query("tin")
-def tin(spark, sf):
-    return _tables().tin(V.supplier_pt(spark, sf).select(F.lit(1).alias("g"), "rlon", "rlat", "sz"), "g", "rlon", "rlat", "sz").select(r(F.col("a"), 2).alias("a"), r(F.col("b"), 2).alias("b"), r(F.col("c"), 2).alias("c"))
-
-
 @query("voronoi")
 def voronoi(spark, sf):
-    v = _tables().voronoi(V.supplier_pt(spark, sf).select(F.lit(1).alias("g"), "sid", "rlon", "rlat"), "g", "sid", "rlon", "rlat")
+    v = delaunay.voronoi(V.supplier_pt(spark, sf).select(F.lit(1).alias("g"), "sid", "rlon", "rlat"), "g", "sid", "rlon", "rlat")
     return v.select("sid", r(_udfs().geodesic_area("geom") / 1e6, 1).alias("km2"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -17,11 +18,21 @@ def ship() -> None:
 
 
 def land(df: DataFrame) -> DataFrame:
-    """Computed once, with its lineage cut, in the shared checkpoint folder where the session has one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Computed once, with its lineage cut, in the shared checkpoint folder.
+
+    A session on one machine that has none gets a temporary one; on a cluster
+    ``spark.checkpoint.dir`` must name it.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tellurion-"))
+    return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over the cluster if they come in fewer partitions than it has cores; small files come in one."""
+    """Rows dealt over the cluster if the plan reads too little to come in a partition for each core; the plan's own estimate decides, nothing runs."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(n) if size < n * (128 << 20) else df
