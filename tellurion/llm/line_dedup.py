@@ -35,9 +35,32 @@ LAST = 9223372036854775807
 PLACE = "decimal(38,0)"
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, doc_id, ord, text: ``rid`` tells rows apart, ``ord`` puts null ids last."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (rid, doc_id, text) with ``row``, a number that compares as (id, rid) does, with null ids last.
+
+    Rows whose id is their own need nothing but the id. Those that share one, null
+    ids among them, are put in order over ranges and counted; they are told apart by
+    that count. The rows are landed then, as ``rid`` must be what it was.
+    """
+    rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
+    number = lambda sub: (F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + sub).cast(PLACE)
+    again = rows.groupBy("ord").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("ord")
+    path = run_dir(rows.sparkSession, "rows")
+    again = land(again, f"{path}/again")
+    if not again.limit(1).count():
+        return rows.withColumn("row", number(F.lit(0))).drop("ord")
+    rows = land(rows, f"{path}/rows")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    shared = rows.select("rid", "ord").join(again, "ord", "left_semi").repartitionByRange(n, "ord", "rid").sortWithinPartitions("ord", "rid")
+    shared = land(shared.select(F.col("rid").alias("shared"), F.monotonically_increasing_id().alias("at")), f"{path}/shared")
+    # A row for each partition says how many come before it.
+    sizes = {r["p"]: r["c"] for r in shared.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    if sum(sizes.values()) >= 1 << 31:
+        raise ValueError("more than 2^31 rows share their ids")
+    before = [sum(c for q, c in sizes.items() if q < p) for p in range(max(sizes) + 1)]
+    sub = F.element_at(F.array(*map(F.lit, before)), (F.shiftright("at", 33) + 1).cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    shared = shared.select("shared", sub.alias("sub"))
+    return rows.join(shared, F.col("rid") == F.col("shared"), "left").withColumn("row", number(F.coalesce("sub", F.lit(0)).cast("decimal(10,0)"))).select("rid", "doc_id", "text", "row")
 
 
 def normalised(raw: Column) -> Column:
@@ -152,11 +175,14 @@ def near_lines(rows: DataFrame, first: DataFrame, path: str) -> DataFrame:
     some = first.withColumn("id", F.xxhash64("key")).join(small(some), "id", "left_semi").select("key", "at")
     # Their words come from where each stands first: a document is taken apart for the lines that it is asked for.
     width = F.lit(1 << 31).cast("decimal(10,0)")
-    some = some.select("key", "at", F.floor(F.col("at") / width).cast("long").alias("of"), F.pmod("at", width).cast("int").alias("line"))
+    line = F.pmod("at", width)
+    some = some.select("key", "at", ((F.col("at") - line) / width).cast(PLACE).alias("of"), line.cast("int").alias("line"))
     asked = land(some.groupBy("of").agg(F.collect_list(F.struct("key", "at", "line")).alias("own")), f"{path}/asked")
-    lines = rows.join(small(asked), rows["ord"] == asked["of"]).select(F.split("text", "\n").alias("raw"), "own").select("raw", F.explode("own").alias("o"))
+    # Broadcast by the lines that it holds, not by its rows.
+    held = asked.agg(F.sum(F.size("own"))).first()[0] or 0
+    few = F.broadcast(asked) if held <= BROADCAST_ROWS else asked
+    lines = rows.join(few, rows["row"] == few["of"]).select(F.split("text", "\n").alias("raw"), "own").select("raw", F.explode("own").alias("o"))
     lines = lines.select(F.col("o.key").alias("of"), F.col("o.at").alias("at"), normalised(F.get("raw", F.col("o.line"))).alias("norm"))
-    # An id may come with several texts: the line's own has its key.
     lines = keyed(lines.filter("norm is not null")).filter("key = of").dropDuplicates(["key"]).select("key", "at", "n", "norm")
     lines = land(lines, f"{path}/words")
 
@@ -173,10 +199,11 @@ def near_lines(rows: DataFrame, first: DataFrame, path: str) -> DataFrame:
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, n_lines, n_exact, n_near, dropped for rows of (rid, doc_id, ord, text)."""
+    """rid, doc_id, n_lines, n_exact, n_near, dropped for rows of (rid, doc_id, text)."""
     path = run_dir(rows.sparkSession, "line-dedup")
-    lines = rows.select("rid", "doc_id", "ord", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("norm", normalised(F.col("raw"))).drop("raw")
-    at = (F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")).cast(PLACE)
+    rows = numbered(rows)
+    lines = rows.select("rid", "doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("norm", normalised(F.col("raw"))).drop("raw")
+    at = (F.col("row").cast("decimal(29,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")).cast(PLACE)
     lines = keyed(lines).select("rid", "doc_id", at.alias("at"), "line", "n", "key", *[h.alias(f"h{i}") for i, h in enumerate(halves())])
     lines = land(lines, f"{path}/lines")
     # Numbers only, so that groups are hashed and never sorted.
@@ -197,11 +224,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: doc_id, n_lines, n_exact, n_near, dropped (line numbers from 0, ascending).
 
     Earlier means a smaller id, then a smaller line number. Lines without words
-    are never dropped, and a null text is one such line. Null ids come last. Of
-    rows that repeat an id each keeps the lines that come first under that id.
-    An empty table gives an empty result; other columns play no part.
+    are never dropped, and a null text is one such line. Null ids come last. Rows
+    that repeat an id, or have none, come in their own order and are documents of
+    their own. An empty table gives an empty result; other columns play no part.
     """
-    return marked(numbered(docs, id_col, text_col)).drop("rid")
+    return marked(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))).drop("rid")
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +241,7 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = land(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), f"{path}/rows")
     text = names[docs.columns.index(text_col)]
-    rows = own.select("rid", F.col(names[docs.columns.index(id_col)]).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
+    rows = own.select("rid", F.col(names[docs.columns.index(id_col)]).cast("long").alias("doc_id"), text_of(text).alias("text"))
     gone = marked(rows).filter(F.size("dropped") > 0).select("rid", "dropped")
     out = own.join(gone, "rid", "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
@@ -228,9 +255,10 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 # Every line with a wildcard for each unit and in each gap; lines that share such a string are within one edit.
 SQL = rf"""
-WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
-l AS MATERIALIZED (SELECT doc_id, line, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM d),
-f AS MATERIALIZED (SELECT w, min((doc_id, line)) AS loc, array_to_string(w, ' ') AS s FROM l WHERE len(w) > 0 GROUP BY w),
+WITH src AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM src),
+l AS MATERIALIZED (SELECT rid, doc_id, (coalesce(doc_id, {LAST}), rid, line) AS place, line, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM d),
+f AS MATERIALIZED (SELECT w, min(place) AS loc, array_to_string(w, ' ') AS s FROM l WHERE len(w) > 0 GROUP BY w),
 v AS MATERIALIZED (SELECT DISTINCT w, loc, unnest(list_concat(
     CASE WHEN len(w) >= {WORD_EDITS} THEN list_transform(range(1, len(w) + 1), lambda i: md5('w' || array_to_string(list_concat(w[1 : i - 1], [chr(9)], w[i + 1 :]), ' '))) ELSE [] END,
     CASE WHEN len(w) >= {WORD_EDITS} - 1 THEN list_transform(range(1, len(w) + 2), lambda i: md5('w' || array_to_string(list_concat(w[1 : i - 1], [chr(9)], w[i :]), ' '))) ELSE [] END,
@@ -239,8 +267,8 @@ v AS MATERIALIZED (SELECT DISTINCT w, loc, unnest(list_concat(
   FROM f),
 g AS (SELECT k, min(loc) AS top FROM v GROUP BY k),
 near AS (SELECT w, min(top) AS top FROM v JOIN g USING (k) GROUP BY w),
-t AS (SELECT l.doc_id, l.line, f.loc IS NOT NULL AND (l.doc_id, l.line) <> f.loc AS exact, coalesce(near.top < f.loc, false) AS near
+t AS (SELECT l.rid, l.doc_id, l.line, f.loc IS NOT NULL AND l.place <> f.loc AS exact, coalesce(near.top < f.loc, false) AS near
   FROM l LEFT JOIN f ON f.w = l.w LEFT JOIN near ON near.w = l.w)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
-  coalesce(array_to_string(list_sort(list(line) FILTER (exact OR near)), ','), '') AS dropped FROM t GROUP BY doc_id
+  coalesce(array_to_string(list_sort(list(line) FILTER (exact OR near)), ','), '') AS dropped FROM t GROUP BY rid, doc_id
 """
