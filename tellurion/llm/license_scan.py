@@ -1,10 +1,11 @@
 """License scans: known phrases, and an exact set-similarity join with templates.
 
-A text block is a line with words, together with the lines after it that begin
-within ``WITHIN`` words of its own beginning, so that a notice wrapped over
-several lines stands in one block; lines without words, such as a bare comment
-mark, are passed over. A block matches a template when it holds at least
-``THRESHOLD`` of the template's distinct words.
+A text block is a window of words that slides over the whole text, ``SPAN`` times as
+wide as the template that it is held against has words; lines play no part, so a
+notice may be wrapped, and a long line is no block by itself. A block matches a
+template when it holds at least ``THRESHOLD`` of the template's distinct words.
+Windows that begin at a template word answer for all: any other holds no more than
+the one that begins at its first such word.
 
 The join is exact. The templates' words are ordered by the number of documents
 that hold them, rarest first, counted over the whole corpus. Blocks meet templates
@@ -48,17 +49,21 @@ TEMPLATES = {
     "zlib-notice": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
 }
 THRESHOLD = 0.8
-#: Words from the beginning of a block's first line within which its other lines begin.
-WITHIN = 64
+#: How many times a template's words a block is wide.
+SPAN = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def template_words(text: str) -> list[str]:
+def words_of(text: str) -> list[str]:
     import re
 
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def template_words(text: str) -> list[str]:
+    return sorted(set(words_of(text)))
 
 
 def canonical(text: Column) -> Column:
@@ -110,21 +115,19 @@ def read(df: DataFrame, id_col: str, text_col: str, sets: dict[str, list[str]],
     return rows.select("rid", "doc_id", "n_words", places.alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), "own", F.when(hopeful, F.col("text")).alias("text"))
 
 
-def blocks(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rid, block, own: the template words of each block of the texts, rarest first."""
-    lines = rows.filter("text is not null").select("rid", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    lines = lines.select("rid", "block", words(canonical(F.col("line"))).alias("ws")).withColumn("n", F.size("ws").cast("long")).filter("n > 0")
-    by = Window.partitionBy("rid").orderBy("block")
-    lines = lines.withColumn("start", F.sum("n").over(by) - F.col("n"))
-    near = Window.partitionBy("rid").orderBy("start").rangeBetween(0, WITHIN)
+def blocks(rows: DataFrame, order: list[str], widths: list[int]) -> DataFrame:
+    """rid, block (the word that it begins with), width, own: the template words of each block of the texts, rarest first."""
+    every = rows.filter("text is not null").select("rid", F.posexplode(words(canonical(F.col("text")))).alias("block", "word"))
     # Only template words are carried into the windows.
-    lines = lines.withColumn("ws", F.array_intersect(strings(order), F.col("ws")))
-    lines = lines.withColumn("all", F.flatten(F.collect_list("ws").over(near)))
-    return lines.select("rid", "block", F.array_intersect(strings(order), F.col("all")).alias("own"))
+    tokens = every.filter(F.col("word").isin(order)).withColumn("block", F.col("block").cast("long"))
+    sets = {f"w{w}": F.collect_set("word").over(Window.partitionBy("rid").orderBy("block").rangeBetween(0, w - 1)) for w in widths}
+    own = F.array(*[F.struct(F.lit(w).alias("width"), F.col(f"w{w}").alias("ws")) for w in widths])
+    found = tokens.select("rid", "block", *(c.alias(k) for k, c in sets.items())).select("rid", "block", F.explode(own).alias("b")).select("rid", "block", "b.width", "b.ws")
+    return found.select("rid", "block", "width", F.array_intersect(strings(order), F.col("ws")).alias("own"))
 
 
-def template_rows(spark, sets: dict[str, list[str]], order: list[str], threshold: float) -> DataFrame:
-    """A row for each word of each template's prefix: word, label, ws (all its words, rarest first), prefix, need, at (place in ws)."""
+def template_rows(spark, sets: dict[str, list[str]], order: list[str], threshold: float, widths: dict[str, int]) -> DataFrame:
+    """A row for each word of each template's prefix: word, label, ws (all its words, rarest first), prefix, need, width, at (place in ws)."""
     rank = {w: i for i, w in enumerate(order)}
 
     def with_place(own: Column):
@@ -135,16 +138,16 @@ def template_rows(spark, sets: dict[str, list[str]], order: list[str], threshold
         ws = sorted(ws, key=rank.__getitem__)
         need = needed(len(ws), threshold)
         prefix = ws[: len(ws) - need + 1]
-        own = F.struct(F.lit(label).alias("label"), strings(ws).alias("ws"), strings(prefix).alias("prefix"), F.lit(need).alias("need"))
+        own = F.struct(F.lit(label).alias("label"), strings(ws).alias("ws"), strings(prefix).alias("prefix"), F.lit(need).alias("need"), F.lit(widths[label]).alias("width"))
         out.append(F.transform(strings(prefix), with_place(own)))
     return spark.range(1).select(F.explode(F.concat(*out)).alias("r")).select("r.word", "r.at", "r.t.*")
 
 
 def join_templates(found: DataFrame, templates: DataFrame) -> DataFrame:
     """rid, block, label, score of the blocks that reach a template's threshold."""
-    tokens = found.select("rid", "block", "own", F.posexplode("own").alias("place", "word"))
+    tokens = found.select("rid", "block", "width", "own", F.posexplode("own").alias("place", "word"))
     # Templates are a parameter: a few rows for each.
-    pairs = tokens.join(F.broadcast(templates), "word").filter(F.size("own") >= F.col("need"))
+    pairs = tokens.join(F.broadcast(templates), ["word", "width"]).filter(F.size("own") >= F.col("need"))
     # A pair counts at its first common word, after which enough of both must be left.
     pairs = pairs.filter(F.element_at(F.array_intersect("prefix", "own"), 1) == F.col("word"))
     pairs = pairs.filter(F.least(F.size("ws") - F.col("at"), F.size("own") - F.col("place")) >= F.col("need"))
@@ -167,7 +170,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     # The documents that hold each template word: as many rows as such words.
     held = {r["word"]: r["n"] for r in rows.select(F.explode("own").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
-    found = join_templates(blocks(rows, order), template_rows(df.sparkSession, sets, order, threshold))
+    widths = {k: SPAN * len(words_of(v)) for k, v in templates.items()}
+    found = join_templates(blocks(rows, order, sorted(set(widths.values()))), template_rows(df.sparkSession, sets, order, threshold, widths))
     found = land(found.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("score").alias("score")), f"{path}/found")
     out = rows.drop("text", "own").join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "rid", "left")
     more = F.coalesce("more", F.array().cast("array<string>"))
@@ -184,25 +188,22 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Brute force: every block against every template, every place against every phrase."""
-    sets = ", ".join(f"('{k}', [{', '.join(repr(w) for w in template_words(v))}], {needed(len(template_words(v)), THRESHOLD)})" for k, v in TEMPLATES.items())
+    """Brute force: every window against every template of its width, every place against every phrase."""
+    sets = ", ".join(f"('{k}', [{', '.join(repr(w) for w in template_words(v))}], {needed(len(template_words(v)), THRESHOLD)}, {SPAN * len(words_of(v))})" for k, v in TEMPLATES.items())
     phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{k}')" for p, k in PHRASES.items())
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     low = f"translate({{}}, '{UPPER}', '{LOWER}')"
     return f"""
-WITH templates(label, ws, need) AS (VALUES {sets}),
+WITH templates(label, ws, need, width) AS (VALUES {sets}),
 phrases(ws, label) AS (VALUES {phrases}),
 d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({low.format("coalesce(text, '')")}, '{word}') AS w FROM documents),
 places AS (
   SELECT doc_id, p.label, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d WHERE len(w) > 0) x, phrases p
   WHERE w[i + 1] = p.ws[1] AND w[i + 1 : i + len(p.ws)] = p.ws),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, i, regexp_extract_all({low.format("line")}, '{word}') AS w
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
-begins AS (SELECT doc_id, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS begin_word FROM lines WHERE len(w) > 0),
-blocks AS (SELECT doc_id, list_distinct(flatten(list(w) OVER (PARTITION BY doc_id ORDER BY begin_word RANGE BETWEEN CURRENT ROW AND {WITHIN} FOLLOWING))) AS w FROM begins),
-found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(len(list_intersect(w, ws))::DOUBLE / len(ws)) AS score
-  FROM blocks, templates WHERE len(list_intersect(w, ws)) >= need GROUP BY doc_id)
+windows AS (SELECT doc_id, label, ws, need, width, w, unnest(range(1, len(w) + 1)) AS i FROM d, templates WHERE len(list_intersect(list_distinct(w), ws)) >= need),
+scores AS (SELECT doc_id, label, need, len(list_intersect(list_distinct(w[i : i + width - 1]), ws)) AS common, len(ws) AS n FROM windows WHERE list_contains(ws, w[i])),
+found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(common::DOUBLE / n) AS score FROM scores WHERE common >= need GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(found.ls, [])))), ','), '') AS labels,
