@@ -152,16 +152,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Of several labels of one id the greatest counts; every row that repeats a
     labelled id is an example of its own. Null ids and labels are left out, and
-    null texts are empty ones.
+    null texts are empty ones. A document with more words than are left of
+    ``max_words`` is passed over; ValueError if that leaves one label of two.
     """
     own = labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_label_id").isNotNull() & ~held_out("_label_id"))
     # One label for each id, and at most max_docs ids: this side's size is bounded.
     own = own.groupBy("_label_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("_label_id"), text_of(text_col).alias("text")).join(F.broadcast(own), "_label_id")
-    # Documents in the hash's order until they hold words enough; rows that repeat an id go together.
-    sizes = rows.groupBy("_label_id").agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")) + PASSAGE).alias("n")).orderBy(F.xxhash64("_label_id"), "_label_id").collect()
-    ends = np.cumsum([r["n"] for r in sizes])
-    kept = [r["_label_id"] for r, end in zip(sizes, ends.tolist(), strict=True) if end <= max_words] or [r["_label_id"] for r in sizes[:1]]
+    # Documents in the hash's order that still fit; rows that repeat an id go together.
+    sizes = rows.groupBy("_label_id").agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")) + PASSAGE).alias("n"), F.max("_label").alias("y")).orderBy(F.xxhash64("_label_id"), "_label_id").collect()
+    kept, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= max_words:
+            kept.append(r["_label_id"])
+            total += r["n"]
+    kept_ids = set(kept)
+    if len({r["y"] for r in sizes}) == 2 > len({r["y"] for r in sizes if r["_label_id"] in kept_ids}):
+        raise ValueError(f"no documents of both labels fit within {max_words} words")
     rows = rows.filter(F.col("_label_id").isin(kept)) if len(kept) < len(sizes) else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
