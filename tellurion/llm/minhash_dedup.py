@@ -369,12 +369,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns.
 
-    Rows with a null id or without words all stay. Rows that repeat an id are one
-    document: they go when none of them is kept. An empty table stays empty;
-    columns may have any names.
+    Rows with a null id or without words all stay. Rows that repeat an id are
+    documents of their own, in the order in which they come. An empty table stays
+    empty; columns may have any names.
     """
-    found = near_dedup(docs, id_col, text_col, percent).filter("doc_id is not null")
-    return without(docs, found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id"), id_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    again = docs.select(F.col(id_col).alias("i")).filter("i is not null").groupBy("i").count().filter("count > 1")
+    if not again.limit(1).count():
+        found = near_dedup(docs, id_col, text_col, percent).filter("doc_id is not null and not kept")
+        return without(docs, found.select("doc_id"), id_col)
+    # Ids that repeat give way to numbers in the same order, by which rows are told apart.
+    own = docs.toDF(*names).withColumn("at", F.monotonically_increasing_id())
+    order, n = [F.col(key), F.col("at")], max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    own = own.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.when(F.col(key).isNotNull(), F.monotonically_increasing_id()))
+    own = land(own, f"{run_dir(docs.sparkSession, 'numbered')}/rows")
+    found = near_dedup(own.select("at", text), "at", text, percent).filter("doc_id is not null and not kept")
+    return without(own, found.select("doc_id"), "at").select(*names).toDF(*docs.columns)
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
