@@ -309,7 +309,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     for m in range(1, longest + 1):
         # Empty prefixes are few and hold the vocabulary: they are always split, over slots for the bytes there are.
         slots = max(SLOTS_LEAST, -(-(occurrences if m > 1 else _bytes(docs, text_col) // 6) // SLOT))
-        found = land(merged(land(stripes(rows, m, slots, seed, filters), f"{path}/stripes{m}"), m, least, m == 1), f"{path}/phrases{m}")
+        found = land(merged(stripes(rows, m, slots, seed, filters), m, least, m == 1), f"{path}/phrases{m}")
         if m == 1:
             totals = found.filter(F.col("gram").isNull()).groupBy("lang").agg(F.sum("f").alias("n"))
             found = found.filter(F.col("gram").isNotNull())
