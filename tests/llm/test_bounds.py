@@ -63,3 +63,26 @@ def test_wrapped_notices(spark):
     assert out[1]["labels"] == "apache,apache-notice" and out[1]["score"] == 1.0
     assert out[2]["labels"] == "mit-grant" and out[2]["score"] == 1.0
     assert out[3]["labels"] == "" and out[4]["labels"] == "" and out[4]["score"] == 0.0
+
+
+def test_long_lines_and_long_templates(spark):
+    """A line's words far apart make no notice; a long template wrapped over lines is found whole."""
+    from tellurion.llm import license_scan
+
+    far = " ".join(" ".join(["plain"] * 300 + [w]) for w in ["released", "under", "the", "mit", "license"]) + " filler" * 900
+    text = " ".join(f"clause{i}" if i % 3 else "the" for i in range(400))
+    wrapped = "\n".join(" ".join(text.split()[i : i + 7]) for i in range(0, 400, 7))
+    docs = spark.createDataFrame([(1, far), (2, "x " * 900 + wrapped + " y" * 900), (3, " ".join(text.split()[:250]))], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scan.scan(docs, templates={**license_scan.TEMPLATES, "long": text}).collect()}
+    assert (out[1]["labels"], out[1]["score"]) == ("", 0.0)
+    assert (out[2]["labels"], out[2]["score"]) == ("long", 1.0)
+    assert (out[3]["labels"], out[3]["score"]) == ("", 0.0)
+
+
+def test_near_copy_under_a_repeated_id(spark):
+    """A row goes as a near copy although its id has another, unlike row; that row stays."""
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:99], "other"])
+    rows = [(1, " ".join(words), "a"), (2, near, "b"), (2, " ".join(f"u{i}" for i in range(50)), "c"), (3, near, "d"), (None, near, "e"), (4, "", "f"), (4, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at string").repartition(3)
+    assert sorted(r["at"] for r in minhash_dedup.keep_one(docs).collect()) == ["a", "c", "e", "f", "g"]
