@@ -1,8 +1,12 @@
 """Spatial joins as cell-id equi-joins with an exact residual test.
 
-A point lies in one cell; a region is listed under each cell that its box
-meets. The engine then hash-joins on cells, splits hot cells at run time, and the
-residual test decides. Nothing here falls back to a nested loop.
+A region is listed at the level that its size asks for, under the four cells at most
+that its box meets there; a point is listed under its cell of every level that is in
+use. The engine then hash-joins on cells, splits hot cells at run time, and the
+residual test decides. So a region that is far larger than the others costs four
+rows and a level, and nothing here falls back to a nested loop.
+
+Columns that joins add for themselves have names that the tables don't.
 """
 
 from __future__ import annotations
@@ -25,35 +29,92 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("int")
 
 
-def cells_of(box: Column, size: float) -> list[Column]:
-    """Generators for the columns cx and cy of a box's cells."""
-    return [F.sequence(cell(box[a], size), cell(box[b], size)) for a, b in (("xmin", "xmax"), ("ymin", "ymax"))]
+def fresh(*frames: DataFrame):
+    """Names for columns that none of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+
+    def name(base: str) -> str:
+        own = f"__{base}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        taken.add(own.lower())
+        return own
+
+    return name
+
+
+def level_of(box: Column, least: float = 2.0**-30) -> Column:
+    """The level whose cells, of side 2 to that power, are no smaller than the box nor than ``least``."""
+    return F.ceil(F.log2(F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"], F.lit(least)))).cast("int")
+
+
+def at_level(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def levels_in_use(*rows: DataFrame) -> list[int]:
+    """The levels in the one column of each table, a few dozen at most; a null box has none."""
+    every = rows[0].toDF("l")
+    for other in rows[1:]:
+        every = every.unionByName(other.toDF("l"))
+    return sorted(r["l"] for r in every.filter("l is not null").distinct().collect())
 
 
-def with_cells(df: DataFrame, box: Column, size: float) -> DataFrame:
-    xs, ys = cells_of(box, size)
-    return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+def listed(df: DataFrame, box: str, level: Column, names: tuple[str, str, str]) -> DataFrame:
+    """A row for each cell that the box meets at each of the level's values, with level and cell."""
+    m, cx, cy = names
+    b = F.col(box)
+    rows = df.withColumn(m, level)
+    for c, lo, hi in ((cx, "xmin", "xmax"), (cy, "ymin", "ymax")):
+        rows = rows.withColumn(c, F.explode(F.sequence(at_level(b[lo], F.col(m)), at_level(b[hi], F.col(m)))))
+    return rows
 
 
-def cell_size(regions: DataFrame, geom: str = "geom") -> float:
-    """The median extent of the regions' boxes, one small aggregate."""
-    b = T.bbox(F.col(geom))
-    found = regions.select(F.percentile_approx(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]), 0.5)).first()[0]
-    return max(found or 1.0, 1e-6)
+def placed(df: DataFrame, x: str, y: str, levels: list[int], names: tuple[str, str, str]) -> DataFrame:
+    """A row for each level with the point's cell."""
+    m, cx, cy = names
+    rows = df.withColumn(m, F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels))))
+    return rows.withColumns({cx: at_level(F.col(x), F.col(m)), cy: at_level(F.col(y), F.col(m))})
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, x: str = "lon", y: str = "lat", geom: str = "geom", how: str = "inner", size: float | None = None, ignore_boundary: bool = False) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, x: str = "lon", y: str = "lat", geom: str = "geom", how: str = "inner", ignore_boundary: bool = False) -> DataFrame:
     """Points with each region that they are in; ``how`` is inner, left, left_semi or left_anti.
 
     Column names of the two sides must differ. A null coordinate or region meets nothing.
     """
-    size = size or cell_size(regions, geom)
-    left = points.withColumn("_px", cell(F.col(x), size)).withColumn("_py", cell(F.col(y), size))
-    right = with_cells(regions.withColumn("_box", T.bbox(F.col(geom))), F.col("_box"), size)
-    test = (left["_px"] == right["_cx"]) & (left["_py"] == right["_cy"])
-    test = test & F.col(x).between(F.col("_box")["xmin"], F.col("_box")["xmax"]) & F.col(y).between(F.col("_box")["ymin"], F.col("_box")["ymax"])
-    test = test & point_in_polygon(F.col(x), F.col(y), F.col(geom), ignore_boundary)
-    return left.join(right, test, how).drop("_px", "_py", "_cx", "_cy", "_box")
+    name = fresh(points, regions)
+    box, level, own, other = name("box"), name("level"), (name("m"), name("px"), name("py")), (name("n"), name("cx"), name("cy"))
+    sized = regions.withColumn(box, T.bbox(F.col(geom))).withColumn(level, level_of(F.col(box)))
+    levels = levels_in_use(sized.select(level))
+    if not levels:
+        return points.join(regions.limit(0), F.lit(False), how)
+
+    def joined(left: DataFrame, at: list[int], how: str) -> DataFrame:
+        right = listed(sized if len(at) == len(levels) else sized.filter(F.col(level).isin(at)), box, F.col(level), other)
+        left = placed(left, x, y, at, own)
+        test = F.lit(True)
+        for p, q in zip(own, other, strict=True):
+            test = test & (left[p] == right[q])
+        test = test & F.col(x).between(F.col(box)["xmin"], F.col(box)["xmax"]) & F.col(y).between(F.col(box)["ymin"], F.col(box)["ymax"])
+        test = test & point_in_polygon(F.col(x), F.col(y), F.col(geom), ignore_boundary)
+        return left.join(right, test, how).drop(*own, *other, box, level)
+
+    if how == "inner" or len(levels) == 1:
+        return joined(points, levels, how)
+    # What must tell a point's absence goes level by level, so that each point stays one row.
+    rest, found = points, []
+    for m in levels:
+        if how == "left_semi":
+            found.append(joined(rest, [m], "left_semi"))
+        rest = joined(rest, [m], "left_anti")
+    if how == "left_anti":
+        return rest
+    if how == "left":
+        return joined(points, levels, "inner").unionByName(rest, allowMissingColumns=True)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def tag(points: DataFrame, regions: DataFrame, field: str, out_field: str, point_id: str, region_id: str, x: str = "lon", y: str = "lat") -> DataFrame:
@@ -91,17 +152,22 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, distance=N
     point, before the join. The left side is listed under the cells that its
     circle's box meets. No pair is found across the antimeridian.
     """
-    size = max(1e-6, 2 * radius / DEGREE)
+    name = fresh(left, right)
+    box, level, here, there = name("reach"), name("level"), (name("m"), name("cx"), name("cy")), (name("n"), name("px"), name("py"))
+    start, end = name("from"), name("to")
     dx, dy = reach(F.col(ly), radius)
     a, b = F.col(lx), F.col(ly)
-    box = F.struct((a - dx).alias("xmin"), (b - dy).alias("ymin"), (a + dx).alias("xmax"), (b + dy).alias("ymax"))
-    left, right = left.withColumn("_reach", box), right.withColumn("_px", cell(F.col(rx), size)).withColumn("_py", cell(F.col(ry), size))
+    circle = F.struct((a - dx).alias("xmin"), (b - dy).alias("ymin"), (a + dx).alias("xmax"), (b + dy).alias("ymax"))
+    left = left.withColumn(box, circle).withColumn(level, level_of(circle))
+    levels = levels_in_use(left.select(level))
     if distance is None:
-        left, right = left.withColumn("_from", measure.rhumb_place(a, b)), right.withColumn("_to", measure.rhumb_place(F.col(rx), F.col(ry)))
-    own = with_cells(left, F.col("_reach"), size)
-    test = (own["_cx"] == right["_px"]) & (own["_cy"] == right["_py"]) & F.col(rx).between(F.col("_reach")["xmin"], F.col("_reach")["xmax"]) & F.col(ry).between(F.col("_reach")["ymin"], F.col("_reach")["ymax"])
-    metres = measure.rhumb_between(F.col("_from"), F.col("_to")) if distance is None else distance(a, b, F.col(rx), F.col(ry))
-    pairs = own.join(right, test).withColumn(out, metres).drop("_cx", "_cy", "_px", "_py", "_reach", "_from", "_to")
+        left, right = left.withColumn(start, measure.rhumb_place(a, b)), right.withColumn(end, measure.rhumb_place(F.col(rx), F.col(ry)))
+    own, right = listed(left, box, F.col(level), here), placed(right, rx, ry, levels or [0], there)
+    test = F.col(rx).between(F.col(box)["xmin"], F.col(box)["xmax"]) & F.col(ry).between(F.col(box)["ymin"], F.col(box)["ymax"])
+    for p, q in zip(here, there, strict=True):
+        test = test & (own[p] == right[q])
+    metres = measure.rhumb_between(F.col(start), F.col(end)) if distance is None else distance(a, b, F.col(rx), F.col(ry))
+    pairs = own.join(right, test).withColumn(out, metres).drop(box, level, *here, *there, start, end)
     return pairs.filter(F.col(out) <= radius)
 
 
@@ -131,36 +197,88 @@ def widening(rest: DataFrame, target_id: str, start: float, search, most: float
         radius *= 4
 
 
-def nearest_point(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, start: float | None = None, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
-    """target_id, point_id and distance of the nearest point; the smaller id wins a tie.
+#: Points of a cell that isn't taken apart any further, and the finest cells' level.
+LEAF, FINEST = 8, 40
+#: Metres of a degree of latitude, or of one of longitude times the cosine of latitude, at most.
+DEGREE_MOST = 111_700.0
 
-    Circles start at ``start`` metres, or where they hold a few points.
-    """
-    own = points.select(point_id, rx, ry)
 
-    def search(rest: DataFrame, radius: float) -> DataFrame:
-        found = within_distance(rest, own, radius, distance, lx, ly, rx, ry)
-        best = found.groupBy(target_id).agg(F.min(F.struct("distance", point_id)).alias("b"))
-        return best.select(target_id, F.col(f"b.{point_id}").alias(point_id), F.col("b.distance").alias("distance"))
+def nearest_point(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
+    """target_id, point_id and distance of the nearest point; the smaller id wins a tie."""
+    return nearest_k(targets, points, target_id, point_id, 1, distance, lx, ly, rx, ry).drop("rank")
 
-    return widening(targets.select(target_id, lx, ly), target_id, start or density_radius(own, 4, rx, ry), search)
 
+def nearest_k(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, k: int, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
+    """The k nearest points of each target with their ranks; of points as near as each other the smaller id comes first.
 
-def nearest_k(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, k: int, start: float | None = None, distance=None, lx: str = "lon", ly: str = "lat", rx: str = "rlon", ry: str = "rlat") -> DataFrame:
-    """The k nearest points of each target with their ranks; circles grow until they hold k."""
+    Cells are taken apart from the whole box down, those with few points not at
+    all. Each target keeps the cells that may hold one of its k nearest: those that
+    its circle meets, whose radius is the distance within which cells with k
+    points surely lie. So how points are spread doesn't matter: a target keeps a few
+    cells at each level, and only their points are measured. ``distance`` maps
+    four columns to metres, along rhumb lines (the default) or geodesics. Target
+    ids must be unique; rows with a null position find nothing and are found by none.
+    """
     from pyspark.sql import Window
 
-    own = points.select(point_id, rx, ry)
+    # Of points in one place the first k ids are enough.
+    own = points.select(F.col(point_id).alias("pid"), F.col(rx).alias("x"), F.col(ry).alias("y")).filter("x is not null and y is not null")
+    own = own.withColumn("o", F.row_number().over(Window.partitionBy("x", "y").orderBy("pid"))).filter(F.col("o") <= k).drop("o")
+    ends = own.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
+    aims = targets.select(F.col(target_id).alias("tid"), F.col(lx).alias("tx"), F.col(ly).alias("ty")).filter("tx is not null and ty is not null")
+    schema = [F.col("tid").alias(target_id), F.col("pid").alias(point_id), "distance", "rank"]
+    if ends["x0"] is None:
+        return aims.join(own, F.lit(False)).withColumns({"distance": F.lit(0.0), "rank": F.lit(1)}).select(*schema)
+    x0, y0 = ends["x0"], ends["y0"]
+    side = max(ends["x1"] - x0, ends["y1"] - y0, 1e-9) * (1 + 1e-9)
+    fine = lambda c, lo: F.floor((F.col(c) - lo) / side * float(1 << FINEST)).cast("long")
+    own = land(own.withColumns({"ix": fine("x", x0), "iy": fine("y", y0)}))
     total = own.count()
-    by = Window.partitionBy(target_id)
-
-    def search(rest: DataFrame, radius: float) -> DataFrame:
-        found = within_distance(rest, own, radius, distance, lx, ly, rx, ry)
-        ranked = found.withColumn("rank", F.row_number().over(by.orderBy("distance", point_id))).filter(F.col("rank") <= k)
-        full = ranked.withColumn("most", F.max("rank").over(by)).filter(F.col("most") >= min(k, total))
-        return full.select(target_id, point_id, "distance", "rank")
-
-    return widening(targets.select(target_id, lx, ly), target_id, start or density_radius(own, 3 * k, rx, ry), search)
+    step = 2 if total > LEAF else FINEST
+
+    def cells(level: int) -> DataFrame:
+        """Each cell with its number of points, and the box about them."""
+        at = [F.shiftright(c, FINEST - level).alias(n) for c, n in (("ix", "cx"), ("iy", "cy"))]
+        return own.groupBy(*at).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("xa"), F.min("y").alias("ya"), F.max("x").alias("xb"), F.max("y").alias("yb"))
+
+    far = lambda t, lo, hi: F.greatest(F.abs(F.col(t) - F.col(lo)), F.abs(F.col(t) - F.col(hi)))
+    least_lat = F.greatest(F.lit(0.0), F.least(F.abs(F.col("ty")), F.when((F.col("ya") <= 0) & (F.col("yb") >= 0), 0.0).otherwise(F.least(F.abs("ya"), F.abs("yb")))))
+    crossing = F.when(F.col("ty") * F.col("ya") < 0, 0.0).when(F.col("ty") * F.col("yb") < 0, 0.0).otherwise(least_lat)
+    most = DEGREE_MOST * F.hypot(far("ty", "ya", "yb"), F.cos(F.radians(crossing)) * far("tx", "xa", "xb"))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        """The pairs whose cell the target's circle meets."""
+        ranked = pairs.withColumn("most", most).withColumn("sum", F.sum("m").over(Window.partitionBy("tid").orderBy("most", "level", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)))
+        bound = F.min(F.when(F.col("sum") >= min(k, total), F.col("most"))).over(Window.partitionBy("tid"))
+        ranked = ranked.withColumn("bound", bound * (1 + 1e-9) + 1e-6)
+        dy = F.col("bound") / DEGREE
+        dx = F.least(F.lit(360.0), F.col("bound") / (DEGREE * F.cos(F.radians(F.least(F.lit(89.9), F.abs("ty") + dy)))))
+        meets = (F.col("xb") >= F.col("tx") - dx) & (F.col("xa") <= F.col("tx") + dx) & (F.col("yb") >= F.col("ty") - dy) & (F.col("ya") <= F.col("ty") + dy)
+        return land(ranked.filter(meets).drop("most", "sum", "bound"))
+
+    root = cells(0).withColumn("level", F.lit(0))
+    # One row meets every target.
+    pairs = aims.join(F.broadcast(root))
+    level = 0
+    while level < FINEST:
+        open_ = pairs.filter((F.col("m") > LEAF) & (F.col("level") == level))
+        if level and not open_.limit(1).count():
+            break
+        if not level and total <= LEAF:
+            break
+        level += step
+        below = cells(level).withColumns({"ux": F.shiftright("cx", step), "uy": F.shiftright("cy", step)})
+        parts = open_.select("tid", "tx", "ty", F.col("cx").alias("ux"), F.col("cy").alias("uy")).join(below, ["ux", "uy"]).drop("ux", "uy").withColumn("level", F.lit(level))
+        closed = pairs.filter((F.col("m") <= LEAF) | (F.col("level") < level - step))
+        pairs = pruned(closed.unionByName(parts))
+    used = levels_in_use(pairs.select("level")) or [0]
+    at = own.withColumn("level", F.explode(F.array(*map(F.lit, used))))
+    at = at.select("pid", "x", "y", "level", *(F.expr(f"shiftright({c}, {FINEST} - level)").alias(n) for c, n in (("ix", "cx"), ("iy", "cy"))))
+    metres = measure.rhumb_between(measure.rhumb_place(F.col("tx"), F.col("ty")), measure.rhumb_place(F.col("x"), F.col("y"))) if distance is None else distance(F.col("tx"), F.col("ty"), F.col("x"), F.col("y"))
+    found = pairs.select("tid", "tx", "ty", "level", "cx", "cy").join(at, ["level", "cx", "cy"]).withColumn("distance", metres)
+    if k == 1:
+        return found.groupBy("tid").agg(F.min(F.struct("distance", "pid")).alias("b")).select(F.col("tid"), F.col("b.pid").alias("pid"), F.col("b.distance").alias("distance"), F.lit(1).alias("rank")).select(*schema)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("tid").orderBy("distance", "pid"))).filter(F.col("rank") <= k).select(*schema)
 
 
 def lines_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, radius: float, x: str = "lon", y: str = "lat", geom: str = "geom", but: Column | None = None) -> DataFrame:
@@ -224,14 +342,25 @@ def geodesic_metres(a: Column, b: Column, c: Column, d: Column) -> Column:
     return distance(a, b, c, d, "meters")
 
 
-def boxes_join(left: DataFrame, right: DataFrame, size: float, lbox: str = "lbox", rbox: str = "rbox", how: str = "inner") -> DataFrame:
-    """Pairs of rows whose boxes meet, each once: a pair counts in the cell of its common corner."""
-    a, b = with_cells(left, F.col(lbox), size), with_cells(right, F.col(rbox), size)
-    same = (a["_cx"] == b["_cx"]) & (a["_cy"] == b["_cy"]) & boxes_meet(F.col(lbox), F.col(rbox))
-    corner = (a["_cx"] == cell(F.greatest(F.col(lbox)["xmin"], F.col(rbox)["xmin"]), size)) & (a["_cy"] == cell(F.greatest(F.col(lbox)["ymin"], F.col(rbox)["ymin"]), size))
-    if how == "left_semi":
-        return a.join(b, same & corner, how).drop("_cx", "_cy")
-    return a.join(b, same & corner, how).drop("_cx", "_cy")
+def boxes_join(left: DataFrame, right: DataFrame, size: float, lbox: str = "lbox", rbox: str = "rbox") -> DataFrame:
+    """Pairs of rows whose boxes meet, each once: a pair counts at the level of its larger box, in the cell of its common corner.
+
+    Cells are of ``size`` at least. Each row is listed at its own level and at those in use above it.
+    """
+    name = fresh(left, right)
+    la, lb, own, other = name("la"), name("lb"), (name("m"), name("cx"), name("cy")), (name("n"), name("dx"), name("dy"))
+    a, b = left.withColumn(la, level_of(F.col(lbox), size)), right.withColumn(lb, level_of(F.col(rbox), size))
+    levels = levels_in_use(a.select(la), b.select(lb))
+    if not levels:
+        return left.join(right, F.lit(False))
+    above = lambda l: F.lit(levels[0]) if len(levels) == 1 else F.explode(F.filter(F.array(*map(F.lit, levels)), lambda m: m >= F.col(l)))
+    a, b = listed(a, lbox, above(la), own), listed(b, rbox, above(lb), other)
+    test = boxes_meet(F.col(lbox), F.col(rbox)) & (F.col(own[0]) == F.greatest(F.col(la), F.col(lb)))
+    for p, q in zip(own, other, strict=True):
+        test = test & (a[p] == b[q])
+    for c, lo in ((own[1], "xmin"), (own[2], "ymin")):
+        test = test & (F.col(c) == at_level(F.greatest(F.col(lbox)[lo], F.col(rbox)[lo]), F.col(own[0])))
+    return a.join(b, test).drop(*own, *other, la, lb)
 
 
 def segment_rows(lines: DataFrame, line_id: str, geom: str, out: str) -> DataFrame:
@@ -261,7 +390,7 @@ def nearest_point_plane(points: DataFrame, fid: str, start: float, px: str = "px
 
     def search(rest: DataFrame, radius: float) -> DataFrame:
         box = F.struct((F.col("px") - radius).alias("xmin"), (F.col("py") - radius).alias("ymin"), (F.col("px") + radius).alias("xmax"), (F.col("py") + radius).alias("ymax"))
-        own = with_cells(rest.withColumn("_box", box), F.col("_box"), 2 * radius)
+        own = rest.withColumn("_cx", F.explode(F.sequence(cell(box["xmin"], 2 * radius), cell(box["xmax"], 2 * radius)))).withColumn("_cy", F.explode(F.sequence(cell(box["ymin"], 2 * radius), cell(box["ymax"], 2 * radius))))
         there = others.withColumn("_px", cell(F.col("qx"), 2 * radius)).withColumn("_py", cell(F.col("qy"), 2 * radius))
         d = F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2)
         pairs = own.join(there, (own["_cx"] == there["_px"]) & (own["_cy"] == there["_py"])).filter("fid != other").withColumn("distance", d)

@@ -15,7 +15,7 @@ from tellurion.functions import types as T
 from tellurion.operators import geodetic as g
 from tellurion.operators import planar as pl
 from tellurion.operators.aggregates import bbox, framed
-from tellurion.operators.joins import boxes_join, cell, with_cells
+from tellurion.operators.joins import boxes_join, cell
 from tellurion.session import land, ship
 
 GEOM_DDL = T.GEOMETRY
@@ -240,25 +240,125 @@ def dbscan(df: DataFrame, fid: str, radius: float, min_points: int = 3, x: str =
 
     Clusters are numbered by their least core id; a border point goes to the
     lowest numbered cluster that reaches it. The count includes the point itself.
+
+    Points lie in cells whose diagonal is the radius, so those of a cell are
+    neighbours of each other: a cell with ``min_points`` has core points only, which
+    are of one cluster. No pair of points in one cell is ever listed, and of two
+    cells it is asked once whether any of their core points are near: points are
+    sorted away from the other cell until none is left that could be.
+    """
+    from pyspark.sql import Window
+
+    rows = framed(df, x, y).select(F.col(fid).alias("id"), "px", "py")
+    side = radius / math.sqrt(2) * (1 - 1e-12)
+    rows = land(rows.withColumns({"cx": F.floor(F.col("px") / side).cast("long"), "cy": F.floor(F.col("py") / side).cast("long")}))
+    cells = land(rows.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"), F.min("px").alias("xa"), F.min("py").alias("ya"), F.max("px").alias("xb"), F.max("py").alias("yb")))
+    # The cells that may hold a point within the radius of one of this cell's.
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0) and (abs(i), abs(j)) != (2, 2)])
+    thin = rows.join(cells.filter(F.col("m") < min_points).select("cx", "cy", "m"), ["cx", "cy"])
+    near = near_counts(thin, rows, cells, around, radius, min_points)
+    core = rows.join(cells.filter(F.col("m") >= min_points).select("cx", "cy"), ["cx", "cy"], "left_semi")
+    core = land(core.unionByName(thin.drop("m").join(near.filter(F.col("n") >= min_points).select("id"), "id", "left_semi").select(rows.columns)))
+    home = land(core.groupBy("cx", "cy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k"), F.min("px").alias("xa"), F.min("py").alias("ya"), F.max("px").alias("xb"), F.max("py").alias("yb")))
+    # Cells of core points that reach each other, each pair once.
+    a = home.withColumn("d", F.explode(around)).filter("d.i > 0 or (d.i = 0 and d.j > 0)").withColumns({"ox": F.col("cx") + F.col("d.i"), "oy": F.col("cy") + F.col("d.j")})
+    b = home.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), *(F.col(c).alias(f"o{c}") for c in ("first", "k", "xa", "ya", "xb", "yb")))
+    gap = lambda lo, hi, olo, ohi: F.greatest(F.lit(0.0), F.col(olo) - F.col(hi), F.col(lo) - F.col(ohi))
+    both = a.join(b, ["ox", "oy"]).filter(F.hypot(gap("xa", "xb", "oxa", "oxb"), gap("ya", "yb", "oya", "oyb")) <= radius)
+    links = reaching(both, core, radius)
+    names = home.select("first").withColumn("id", F.col("first"))
+    label = components(links) if links.limit(1).count() else names.select("id", F.col("id").alias("root")).limit(0)
+    label = names.join(label, "id", "left").select("first", F.coalesce("root", "id").alias("root"))
+    number = _numbered(label.select("root").distinct())
+    owned = home.join(label, "first").join(number, "root").select("cx", "cy", "cluster")
+    cores = core.join(owned, ["cx", "cy"])
+    others = rows.join(core.select("id"), "id", "left_anti")
+    # Borders: of each cell about, the nearest core point decides; clusters are those of whole cells.
+    asked = others.withColumn("d", F.explode(F.array_append(around, F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).select("id", "px", "py", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    edge = asked.join(cores.select("cx", "cy", F.col("px").alias("qx"), F.col("py").alias("qy"), "cluster"), ["cx", "cy"]).filter((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= radius * radius)
+    edge = edge.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    named = cores.select("id", "cluster").withColumn("role", F.lit("core")).unionByName(edge.withColumn("role", F.lit("edge")))
+    return rows.select("id").join(named, "id", "left").select(F.col("id").alias(fid), F.coalesce("role", F.lit("noise")).alias("role"), F.col("cluster").cast("int").alias("cluster"))
+
+
+def near_counts(thin: DataFrame, rows: DataFrame, cells: DataFrame, around: Column, radius: float, most: int) -> DataFrame:
+    """id, n: the neighbours of points in cells with fewer than ``most`` points, themselves included.
+
+    A cell about that lies within the radius as a whole counts by its number, without
+    its points; the others' points are measured.
+    """
+    asked = thin.withColumn("d", F.explode(around)).select("id", "px", "py", "m", (F.col("cx") + F.col("d.i")).alias("ox"), (F.col("cy") + F.col("d.j")).alias("oy"))
+    there = cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("m").alias("om"), "xa", "ya", "xb", "yb")
+    asked = asked.join(there, ["ox", "oy"])
+    far = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
+    gap = lambda p, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(p), F.col(p) - F.col(hi))
+    asked = asked.filter(F.hypot(gap("px", "xa", "xb"), gap("py", "ya", "yb")) <= radius).withColumn("all", F.hypot(far("px", "xa", "xb"), far("py", "ya", "yb")) <= radius * (1 - 1e-12))
+    sure = asked.filter("all").select("id", F.col("om").alias("n"))
+    some = asked.filter("not all").join(rows.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("px").alias("qx"), F.col("py").alias("qy")), ["ox", "oy"])
+    some = some.filter((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= radius * radius).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    own = thin.select("id", F.col("m").alias("n"))
+    return own.unionByName(sure).unionByName(some).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def reaching(pairs: DataFrame, core: DataFrame, radius: float) -> DataFrame:
+    """a, b: the first ids of those pairs of cells that hold two core points within the radius of each other.
+
+    Of each cell the points that the other one's box reaches are laid in a lattice whose
+    cells are a sixteenth of the side, and of each lattice cell two points at most in each
+    direction stand for all; pairs that those settle are done, the others list what is left.
     """
-    rows = land(framed(df, x, y).select(F.col(fid).alias("id"), "px", "py"))
-    box = F.struct((F.col("px") - radius).alias("xmin"), (F.col("py") - radius).alias("ymin"), (F.col("px") + radius).alias("xmax"), (F.col("py") + radius).alias("ymax"))
-    own = with_cells(rows.withColumn("_b", box), F.col("_b"), 2 * radius)
-    other = rows.toDF("other", "qx", "qy").withColumn("_px", cell(F.col("qx"), 2 * radius)).withColumn("_py", cell(F.col("qy"), 2 * radius))
-    near = own.join(other, (own["_cx"] == other["_px"]) & (own["_cy"] == other["_py"])).filter((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= radius * radius)
-    near = land(near.select("id", "other"))
-    core = land(near.groupBy("id").count().filter(F.col("count") >= min_points).select("id"))
-    inner = near.join(core, "id").join(core.toDF("other"), "other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    label = components(inner)
-    order = label.select("root").distinct()
     from pyspark.sql import Window
 
-    # Few rows: one for each cluster.
-    number = order.withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    cores = label.join(number, "root").select("id", "cluster")
-    edge = near.join(cores.toDF("other", "cluster"), "other").join(core, "id", "left_anti").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    named = cores.withColumn("role", F.lit("core")).unionByName(edge.withColumn("role", F.lit("edge")))
-    return rows.select("id").join(named, "id", "left").select(F.col("id").alias(fid), F.coalesce("role", F.lit("noise")).alias("role"), "cluster")
+    key = ["cx", "cy", "ox", "oy"]
+    both = pairs.select(*key, "first", "ofirst", "xa", "ya", "xb", "yb", "oxa", "oya", "oxb", "oyb")
+    gap = lambda p, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(p), F.col(p) - F.col(hi))
+    left = both.join(core.select("cx", "cy", "px", "py"), ["cx", "cy"]).withColumn("g", F.hypot(gap("px", "oxa", "oxb"), gap("py", "oya", "oyb"))).filter(F.col("g") <= radius)
+    right = both.join(core.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("px").alias("qx"), F.col("py").alias("qy")), ["ox", "oy"]).withColumn("g", F.hypot(gap("qx", "xa", "xb"), gap("qy", "ya", "yb"))).filter(F.col("g") <= radius)
+    return _reach_rounds(left.select(*key, "first", "ofirst", "px", "py", "g"), right.select(*key, "qx", "qy", "g"), key, radius, Window)
+
+
+def _reach_rounds(left: DataFrame, right: DataFrame, key: list[str], radius: float, window) -> DataFrame:
+    """The nearest points of both sides first; then, for pairs that those don't settle, a finer lattice of what may still be near."""
+    best = lambda df, n: df.withColumn("o", F.row_number().over(window.partitionBy(*key).orderBy("g"))).filter(F.col("o") <= n).drop("o", "g")
+    close = (F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= radius * radius
+    left, right = land(left), land(right)
+    first = land(best(left, 8).join(best(right, 8), key).filter(close).select(*key, "first", "ofirst").distinct())
+    done = first
+    rest_l, rest_r = left.join(first.select(*key), key, "left_anti"), right.join(first.select(*key), key, "left_anti")
+    # Points are merged into boxes of a lattice, ever finer; boxes that lie within the radius as a whole settle
+    # a pair, those that lie beyond it go.
+    parts = 4
+    rest_l, rest_r = land(rest_l.drop("g")), land(rest_r.drop("g"))
+    while rest_l.limit(1).count():
+        size = radius / parts
+        la = rest_l.groupBy(*key, "first", "ofirst", F.floor(F.col("px") / size).alias("i"), F.floor(F.col("py") / size).alias("j")).agg(F.min("px").alias("xa"), F.min("py").alias("ya"), F.max("px").alias("xb"), F.max("py").alias("yb"))
+        rb = rest_r.groupBy(*key, F.floor(F.col("qx") / size).alias("p"), F.floor(F.col("qy") / size).alias("q")).agg(F.min("qx").alias("ua"), F.min("qy").alias("va"), F.max("qx").alias("ub"), F.max("qy").alias("vb"))
+        span = lambda a, b, c, d: F.greatest(F.abs(F.col(b) - F.col(c)), F.abs(F.col(d) - F.col(a)))
+        apart = lambda a, b, c, d: F.greatest(F.lit(0.0), F.col(c) - F.col(b), F.col(a) - F.col(d))
+        met = la.join(rb, key).withColumn("least", F.hypot(apart("xa", "xb", "ua", "ub"), apart("ya", "yb", "va", "vb"))).withColumn("most", F.hypot(span("xa", "xb", "ua", "ub"), span("ya", "yb", "va", "vb")))
+        met = land(met.filter(F.col("least") <= radius).select(*key, "first", "ofirst", "i", "j", "p", "q", "most"))
+        sure = met.filter(F.col("most") <= radius).select(*key, "first", "ofirst").distinct()
+        done = land(done.unionByName(sure))
+        left_over = met.join(sure.select(*key), key, "left_anti")
+        rest_l = land(rest_l.withColumns({"i": F.floor(F.col("px") / size), "j": F.floor(F.col("py") / size)}).join(left_over.select(*key, "i", "j").distinct(), [*key, "i", "j"], "left_semi").drop("i", "j"))
+        rest_r = land(rest_r.withColumns({"p": F.floor(F.col("qx") / size), "q": F.floor(F.col("qy") / size)}).join(left_over.select(*key, "p", "q").distinct(), [*key, "p", "q"], "left_semi").drop("p", "q"))
+        parts *= 8
+        if parts > 1 << 30:
+            # What no lattice tells apart lies within rounding of the radius: the points decide.
+            last = rest_l.join(rest_r, key).filter(close).select(*key, "first", "ofirst").distinct()
+            done = land(done.unionByName(last))
+            break
+    return done.select(F.col("first").alias("a"), F.col("ofirst").alias("b")).distinct()
+
+
+def _numbered(roots: DataFrame) -> DataFrame:
+    """root, cluster: roots numbered in order from 0, over ranges of them."""
+    n = max(int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = land(roots.repartitionByRange(n, "root").sortWithinPartitions("root").withColumn("at", F.monotonically_increasing_id()))
+    sizes = {r["p"]: r["c"] for r in dealt.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    before = [sum(c for q, c in sizes.items() if q < p) for p in range(max(sizes, default=0) + 1)]
+    first = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (F.shiftright("at", 33) + 1).cast("int"))
+    return dealt.select("root", (first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("cluster"))
 
 
 def kmeans(df: DataFrame, fid: str, k: int | None = None, rounds: int = 200, x: str = "lon", y: str = "lat") -> DataFrame:

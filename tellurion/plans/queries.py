@@ -408,7 +408,7 @@ FROM cp JOIN z ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY zone,
 def zone_rollup(spark, sf):
     """Customers by zone: number, balance, and mean rhumb distance to the zone's centre."""
     own = V.zones(spark, sf).withColumn("mid", measure.center(F.col("geom"))).select("zone", "zone_name", "geom", "mid")
-    hits = joins.points_in_regions(V.customer_pt(spark, sf).select("lon", "lat", "z"), own, size=V.ZONE_H)
+    hits = joins.points_in_regions(V.customer_pt(spark, sf).select("lon", "lat", "z"), own)
     km = measure.rhumb_distance(F.col("lon"), F.col("lat"), F.col("mid")["x"], F.col("mid")["y"])
     return hits.select("zone", "zone_name", "z", km.alias("km")).groupBy("zone", "zone_name").agg(F.count(F.lit(1)).alias("customers"), r(F.sum("z"), 2).alias("balance"), r(F.avg("km"), 3).alias("mean_km"))
 
@@ -813,7 +813,7 @@ def geofence_counts(spark, sf):
 
     x, y = V.pt("event_id")
     rows = V.table(spark, sf, "events").select("ts", x.alias("lon"), y.alias("lat"))
-    return zone_counts(rows, V.zones(spark, sf), window="1 day", size=V.ZONE_H).select(F.col("start").cast("timestamp_ntz").alias("start"), "zone", "n")
+    return zone_counts(rows, V.zones(spark, sf), window="1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "zone", "n")
 
 
 @query("geojson_round_trip", f"WITH {TRACKS} SELECT user_id, i::INT AS i, x, y FROM t")

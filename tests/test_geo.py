@@ -148,7 +148,7 @@ def test_point_in_polygon_boundary(spark):
 def test_joins_plan_no_nested_loop(spark):
     pts = helpers.random_points(spark, 50, (0, 0, 10, 10))
     zones = spark.range(4).select(F.col("id").alias("zone"), T.polygon(F.array(T.ring([(0, 0), (5, 0), (5, 5), (0, 5), (0, 0)]))).alias("geom"))
-    plan = joins.points_in_regions(pts, zones, size=5.0)._jdf.queryExecution().toString()
+    plan = joins.points_in_regions(pts, zones)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
@@ -175,9 +175,9 @@ def test_streaming_geofence(spark, tmp_path):
     rows = V.table(spark, sf, "events")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).select("ts", x.alias("lon"), y.alias("lat"))
-    query = zone_counts(stream, V.zones(spark, sf), size=V.ZONE_H).writeStream.format("memory").queryName("fence").outputMode("complete").trigger(availableNow=True).start()
+    query = zone_counts(stream, V.zones(spark, sf)).writeStream.format("memory").queryName("fence").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    want = zone_counts(rows.select("ts", x.alias("lon"), y.alias("lat")), V.zones(spark, sf), size=V.ZONE_H)
+    want = zone_counts(rows.select("ts", x.alias("lon"), y.alias("lat")), V.zones(spark, sf))
     assert sorted(map(tuple, spark.table("fence").collect())) == sorted(map(tuple, want.collect()))
 
 

@@ -125,7 +125,7 @@ def test_nearest_k_is_complete(spark):
     a, b = V.customer_pt(spark, SF).collect(), V.supplier_pt(spark, SF).collect()
     want = {r["id"]: sorted((float(measure.rhumb_distance(np.float64(r["lon"]), np.float64(r["lat"]), np.float64(s["rlon"]), np.float64(s["rlat"]), "meters")), s["sid"]) for s in b)[:3] for r in a}
     got = {}
-    for r in joins.nearest_k(V.customer_pt(spark, SF), V.supplier_pt(spark, SF), "id", "sid", 3, 1000.0).collect():
+    for r in joins.nearest_k(V.customer_pt(spark, SF), V.supplier_pt(spark, SF), "id", "sid", 3).collect():
         got.setdefault(r["id"], {})[r["rank"]] = (r["distance"], r["sid"])
     for i, w in want.items():
         assert [got[i][k][1] for k in (1, 2, 3)] == [s for _, s in w] and [got[i][k][0] for k in (1, 2, 3)] == pytest.approx([d for d, _ in w], abs=1e-5)
