@@ -8,10 +8,10 @@ from tellurion.functions import crs, helpers, measure, shapes
 from tellurion.functions import types as T
 from tellurion.functions import udfs as u
 from tellurion.operators import aggregates as agg
-from tellurion.operators import delaunay, joins, tables
+from tellurion.operators import delaunay, joins, networks, prepared, tables
 from tellurion.plans import geosql as G
 from tellurion.plans import views as V
-from tellurion.plans.queries import _NODES, _ZONE, _positions, query, r, rs, s_panels
+from tellurion.plans.queries import IN_PENTAGON, _NODES, _ZONE, _positions, query, r, rs, s_panels
 from tellurion.plans.views import CUSTOMER, PENTAGONS, STREETS, SUPPLIER, TRACKS, ZONES
 from tellurion.session import spread
 
@@ -359,3 +359,25 @@ def buffer_lines(spark, sf):
     """Areas within 2 km of each street, whose edges are followed within a metre."""
     b = u.buffer(F.col("geom"), 2000.0, tolerance=1.0)
     return spread(V.streets(spark, sf)).select("id", r(u.geodesic_area(b) / 1e6, 2).alias("km2"))
+
+
+@query("prepared_contains", f"WITH {CUSTOMER}, {IN_PENTAGON} SELECT id, zone FROM hit")
+def prepared_contains(spark, sf):
+    """Customers in pentagons that are prepared as cells."""
+    return prepared.contained(V.customer_pt(spark, sf), prepared.prepare(V.pentagons(spark, sf), "zone"), "zone").select("id", "zone")
+
+
+@query("network_self_crossings", f"""WITH {TRACKS}, c AS (SELECT a.user_id, a.px AS ax, a.py AS ay, a.qx - a.px AS sx, a.qy - a.py AS sy, b.px AS cx, b.py AS cy, b.qx - b.px AS tx, b.qy - b.py AS ty FROM ts a JOIN ts b ON a.user_id = b.user_id AND b.i > a.i + 1),
+f AS (SELECT *, ((cx - ax) * ty - (cy - ay) * tx) / nullif(sx * ty - sy * tx, 0) AS u, ((cx - ax) * sy - (cy - ay) * sx) / nullif(sx * ty - sy * tx, 0) AS v FROM c)
+SELECT user_id, count(*) AS crossings, {rs('min(ax + u * sx)')} AS west, {rs('max(ay + u * sy)')} AS north FROM f WHERE u > 0 AND u < 1 AND v > 0 AND v < 1 GROUP BY user_id""")
+def network_self_crossings(spark, sf):
+    """How often each track crosses itself, over whole tracks."""
+    found = networks.self_crossings(spread(V.tracks(spark, sf)), "user_id", size=8.0)
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("crossings"), r(F.min("x")).alias("west"), r(F.max("y")).alias("north"))
+
+
+@query("network_report")
+def network_report(spark, sf):
+    """The streets' faults with ends joined within 2 km, and stubs of 5 km; held against counting in the tests."""
+    out = networks.report(V.streets(spark, sf), "id", tolerance=2000.0, max_undershoot=5000.0, max_overshoot=5000.0, size=1.0)
+    return out.select("code", "line", "other", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "degree", r(F.col("distance"), 2).alias("metres"))

@@ -34,5 +34,5 @@ def land(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over the cluster if the plan reads too little to come in a partition for each core; the plan's own estimate decides, nothing runs."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(n) if size < n * (128 << 20) else df
