@@ -342,9 +342,11 @@ def geodesic_metres(a: Column, b: Column, c: Column, d: Column) -> Column:
     return distance(a, b, c, d, "meters")
 
 
-def boxes_join(left: DataFrame, right: DataFrame, size: float, lbox: str = "lbox", rbox: str = "rbox") -> DataFrame:
+def boxes_join(left: DataFrame, right: DataFrame, size: float, lbox: str = "lbox", rbox: str = "rbox", same: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of rows whose boxes meet, each once: a pair counts at the level of its larger box, in the cell of its common corner.
 
+    ``same`` names a column of each side that must be equal too.
+
     Cells are of ``size`` at least. Each row is listed at its own level and at those in use above it.
     """
     name = fresh(left, right)
@@ -358,6 +360,8 @@ def boxes_join(left: DataFrame, right: DataFrame, size: float, lbox: str = "lbox
     test = boxes_meet(F.col(lbox), F.col(rbox)) & (F.col(own[0]) == F.greatest(F.col(la), F.col(lb)))
     for p, q in zip(own, other, strict=True):
         test = test & (a[p] == b[q])
+    if same:
+        test = test & (a[same[0]] == b[same[1]])
     for c, lo in ((own[1], "xmin"), (own[2], "ymin")):
         test = test & (F.col(c) == at_level(F.greatest(F.col(lbox)[lo], F.col(rbox)[lo]), F.col(own[0])))
     return a.join(b, test).drop(*own, *other, la, lb)

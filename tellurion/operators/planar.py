@@ -202,13 +202,17 @@ def assembled(rings: list[np.ndarray], tol: float) -> Parts:
     return shells
 
 
-def overlay(groups: list[Parts], rule: Callable[[list[np.ndarray]], np.ndarray]) -> Parts:
-    """The region where ``rule`` holds of the groups' insides; each group is filled by non-zero winding."""
+def overlay(groups: list[Parts], rule: Callable[[list[np.ndarray]], np.ndarray], size: float | None = None, straight: float = 4.0) -> Parts:
+    """The region where ``rule`` holds of the groups' insides; each group is filled by non-zero winding.
+
+    ``size`` is the extent that the grid follows, the groups' own unless they are part of
+    something larger; ``straight`` how many grid steps a position may stand off to be left out.
+    """
     own = [segments([r for part in rewound(g) for r in part]) for g in groups]
     every = np.concatenate(own) if own else np.zeros((0, 4))
     if not len(every):
         return []
-    size = extent(every)
+    size = size or extent(every)
     # Slivers thinner than the grid can leave a ring open; a coarser grid closes them.
     for coarse in (1, 2**4, 2**8, 2**12, 2**14, 2**16, 2**18, 2**20):
         grid = size * GRID * coarse
@@ -220,7 +224,7 @@ def overlay(groups: list[Parts], rule: Callable[[list[np.ndarray]], np.ndarray])
         edges[turn] = edges[turn][:, [2, 3, 0, 1]]
         if balanced(edges):
             break
-    return assembled(walk(edges), grid * 4)
+    return assembled(walk(edges), grid * straight)
 
 
 def balanced(edges: np.ndarray) -> bool:

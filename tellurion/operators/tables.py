@@ -36,26 +36,82 @@ def pack(geom) -> dict | None:
 
 
 # Set operations on groups.
-def union_by(df: DataFrame, key: str | None, geom: str = "geom", fid: str = "fid", buckets: int = 32) -> DataFrame:
-    """The union of each group's areas, in two levels: shares of a group first, then the shares' unions.
-
-    A group of any size is dealt over ``buckets`` tasks, so none holds it whole but
-    for what its shares' unions leave.
+#: Areas that one step of a union joins.
+FAN = 16
+
+
+def dense(df: DataFrame, order: list[Column], at: str) -> DataFrame:
+    """Landed rows numbered from 0 in an order, over ranges of it; a count for each partition is all that comes together."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = land(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    sizes = {r["p"]: r["c"] for r in rows.groupBy(F.shiftright(at, 33).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    before = [0]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    first = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (F.shiftright(at, 33) + 1).cast("int"))
+    return rows.withColumn(at, first + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def morton(x: Column, y: Column, bits: int = 20) -> Column:
+    """A place along a space-filling curve from two coordinates in degrees."""
+    out = F.lit(0).cast("long")
+    for c, lo, span, odd in ((x, -180.0, 360.0, 0), (y, -90.0, 180.0, 1)):
+        v = F.greatest(F.lit(0.0), F.least(F.lit(float((1 << bits) - 1)), F.floor((c - lo) / span * float(1 << bits)))).cast("long")
+        for k in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1).cast("long")), 2 * k + odd))
+    return out
+
+
+def union_by(df: DataFrame, key: str | None, geom: str = "geom", fid: str = "fid") -> DataFrame:
+    """The union of each group's areas, up a tree of neighbours.
+
+    Areas are put in the order of a space-filling curve and joined ``FAN`` at a time,
+    as often as it takes. Neighbours share edges, which go at once, so what moves up
+    has fewer positions at each level, and no task holds more than a few areas.
     """
     group = key or "_all"
     rows = df if key else df.withColumn("_all", F.lit(0))
     kind = rows.schema[group].dataType.simpleString()
-    rows = rows.select(group, F.pmod(F.xxhash64(fid), F.lit(buckets)).alias("_share"), F.to_json(F.col(geom)).alias("geom"))
+    rows = rows.select(F.col(group).alias("_key"), F.col(fid).alias("_fid"), F.col(geom).alias("geom")).filter(F.size(T.positions_of(F.col("geom"))) > 0).withColumn("_box", T.bbox(F.col("geom")))
+    boxes = rows.groupBy(F.col("_key").alias("_of")).agg(*(f(f"_box.{c}").alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))))
+    # Every area is laid into its group's own plane first, and what comes of them lies on one grid there.
+    rows = rows.join(boxes, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", "_fid", morton((F.col("_box.xmin") + F.col("_box.xmax")) / 2, (F.col("_box.ymin") + F.col("_box.ymax")) / 2).alias("_z"), F.to_json("geom").alias("geom"), F.array("xmin", "ymin", "xmax", "ymax").alias("_in"))
+
+    def frame(own) -> g.Frame:
+        return g.Frame(("MultiPoint", [[np.array(own, float).reshape(2, 2)]]))
+
+    def extent(own) -> float:
+        f = frame(own)
+        return pl.extent(f.to(np.array([(own[0], own[1]), (own[2], own[3])], float)))
+
+    def laid(batches):
+        for pdf in batches:
+            pdf["geom"] = [pack(("MultiPolygon", frame(b).plane(g.densified(unpack(x))))) for x, b in zip(pdf["geom"], pdf["_in"], strict=True)]
+            yield pdf
+
+    def joined(parts: list, own, straight: float):
+        return pl.overlay([[p for own in parts for p in own]], lambda inside: inside[0], extent(own), straight)
 
     def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [unpack(x) for x in pdf["geom"] if x is not None]
-        out = g.union(*own) if own else None
-        return pd.DataFrame({group: [k[0]], "geom": [pack(out)]})
+        parts = joined([unpack(x)[1] for x in pdf["geom"]], pdf["_in"].iloc[0], 0.0)
+        return pd.DataFrame({"_key": [k[0]], "_at": [k[1]], "geom": [pack(("MultiPolygon", parts))], "_in": [list(pdf["_in"].iloc[0])]})
+
+    def last(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["_in"].iloc[0]
+        return pd.DataFrame({group: [k[0]], "geom": [pack(g.thinned(frame(own).earth(joined([unpack(x)[1] for x in pdf["geom"]], own, 4.0))))]})
 
-    schema = f"`{group}` {kind}, geom {GEOM_DDL}"
     ship()
-    part = rows.groupBy(group, "_share").applyInPandas(run, schema)
-    out = part.withColumn("geom", F.to_json("geom")).groupBy(group).applyInPandas(run, schema)
+    rows = rows.mapInPandas(laid, f"_key {kind}, _fid {rows.schema['_fid'].dataType.simpleString()}, _z long, geom {GEOM_DDL}, _in array<double>")
+    now = dense(rows, [F.col("_key"), F.col("_z"), F.col("_fid")], "_at").select("_key", "_at", F.to_json("geom").alias("geom"), "_in")
+    most = now.agg(F.max("_at")).first()[0] or 0
+    while most >= FAN:
+        now = now.withColumn("_at", F.shiftright("_at", 4)).groupBy("_key", "_at").applyInPandas(run, f"_key {kind}, _at long, geom {GEOM_DDL}, _in array<double>")
+        now = land(now).withColumn("geom", F.to_json("geom"))
+        most //= FAN
+    out = now.groupBy("_key").applyInPandas(last, f"`{group}` {kind}, geom {GEOM_DDL}")
+    # A group of areas that are null or empty has no union.
+    every = (df if key else df.withColumn("_all", F.lit(0))).select(F.col(group).alias("_of")).distinct()
+    out = every.join(out, F.col("_of").eqNullSafe(out[group]), "left").select(F.col("_of").alias(group), "geom")
     return out if key else out.drop("_all")
 
 
@@ -69,6 +125,8 @@ def dissolve(df: DataFrame, prop: str, geom: str = "geom", fid: str = "fid") ->
 def convex_hull(df: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """The hull of a point table: each task's hull first, then the hull of those."""
     mid = bbox(df, x, y).first()
+    if mid["xmin"] is None:
+        return df.sparkSession.createDataFrame([], f"geom {GEOM_DDL}")
     lon0 = (mid["xmin"] + mid["xmax"]) / 2
 
     def run(batches):
@@ -352,13 +410,8 @@ def _reach_rounds(left: DataFrame, right: DataFrame, key: list[str], radius: flo
 
 
 def _numbered(roots: DataFrame) -> DataFrame:
-    """root, cluster: roots numbered in order from 0, over ranges of them."""
-    n = max(int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = land(roots.repartitionByRange(n, "root").sortWithinPartitions("root").withColumn("at", F.monotonically_increasing_id()))
-    sizes = {r["p"]: r["c"] for r in dealt.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    before = [sum(c for q, c in sizes.items() if q < p) for p in range(max(sizes, default=0) + 1)]
-    first = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (F.shiftright("at", 33) + 1).cast("int"))
-    return dealt.select("root", (first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("cluster"))
+    """root, cluster: roots numbered in order from 0."""
+    return dense(roots, [F.col("root")], "cluster")
 
 
 def kmeans(df: DataFrame, fid: str, k: int | None = None, rounds: int = 200, x: str = "lon", y: str = "lat") -> DataFrame:
@@ -370,6 +423,9 @@ def kmeans(df: DataFrame, fid: str, k: int | None = None, rounds: int = 200, x:
     n = df.count()
     k = min(n, k or max(1, round(math.sqrt(n / 2))))
     mid = bbox(df, x, y).first()
+    if mid["xmin"] is None:
+        none = F.lit(None).cast("double")
+        return df.select(fid, F.lit(None).cast("int").alias("cluster"), none.alias("centroid_lon"), none.alias("centroid_lat"))
     lon0 = (mid["xmin"] + mid["xmax"]) / 2
     px, py = crs.tmerc_forward(F.col(x), F.col(y), lon0)
     rows = land(df.select(F.col(fid).alias("id"), px.alias("px"), py.alias("py")))
