@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -18,17 +19,22 @@ def ship() -> None:
 
 
 def land(df: DataFrame) -> DataFrame:
-    """Computed once, with its lineage cut, in the shared checkpoint folder.
+    """Computed once, with its lineage cut, as a table in the shared checkpoint folder.
 
-    A session on one machine that has none gets a temporary one; on a cluster
-    ``spark.checkpoint.dir`` must name it.
+    A table is read with the size that it has; a checkpoint would hand on the
+    size that the optimiser guessed, which joins multiply round after round. A
+    session on one machine that has no such folder gets a temporary one; on a
+    cluster ``spark.checkpoint.dir`` must name it.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tellurion-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
