@@ -278,19 +278,28 @@ def _polygon(ring: list[Column]) -> Column:
 
 
 # Clusters.
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """id, root for links (a, b): labels fall to the least until nothing changes, two steps a round."""
-    both = land(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
+def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """id, root for links (a, b): each id with the least one that it is connected to.
+
+    Links turn into stars by two steps a round: every id's greater neighbours link to
+    the least id about it, then its lesser neighbours do. Chains of any length halve with each
+    round. An id by itself, linked to itself, is its own root.
+    """
+    ids = land(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    now = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now, told = land(now), None
     for _ in range(max_rounds):
-        least = both.join(label.toDF("b", "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(least, label["id"] == least["a"]).select("id", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        jump = new.select("id", "root", "was").join(new.select(F.col("id").alias("root"), F.col("root").alias("up")), "root").select("id", F.least("root", "up").alias("root"), "was")
-        jump = land(jump)
-        label = jump.select("id", "root")
-        if not jump.filter("root != was").limit(1).count():
-            return label
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(below.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = land(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
+        sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if sums == told:
+            return ids.join(now, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("root"))
+        told = sums
+    raise RuntimeError(f"links still change after {max_rounds} rounds")
 
 
 def dbscan(df: DataFrame, fid: str, radius: float, min_points: int = 3, x: str = "lon", y: str = "lat") -> DataFrame:

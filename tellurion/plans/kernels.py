@@ -8,7 +8,7 @@ from tellurion.functions import crs, helpers, measure, shapes
 from tellurion.functions import types as T
 from tellurion.functions import udfs as u
 from tellurion.operators import aggregates as agg
-from tellurion.operators import delaunay, joins, networks, prepared, tables
+from tellurion.operators import contours, delaunay, joins, networks, prepared, tables
 from tellurion.plans import geosql as G
 from tellurion.plans import views as V
 from tellurion.plans.queries import IN_PENTAGON, _NODES, _ZONE, _positions, query, r, rs, s_panels
@@ -381,3 +381,22 @@ def network_report(spark, sf):
     """The streets' faults with ends joined within 2 km, and stubs of 5 km; held against counting in the tests."""
     out = networks.report(V.streets(spark, sf), "id", tolerance=2000.0, max_undershoot=5000.0, max_overshoot=5000.0, size=1.0)
     return out.select("code", "line", "other", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "degree", r(F.col("distance"), 2).alias("metres"))
+
+
+_BALANCES = [2000.0, 5000.0]
+
+
+@query("contour_lengths", f"""WITH nd AS (SELECT c_custkey % 40 AS i, c_custkey // 40 AS j, c_acctbal AS z FROM customer), np AS (SELECT *, 100 + i * 0.1::DOUBLE AS x, 20 + j * 0.05::DOUBLE AS y FROM nd),
+tr AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz, l FROM np a JOIN np c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN np b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1), (SELECT unnest({_BALANCES})::DOUBLE AS l)),
+pt AS (SELECT l, [CASE WHEN (az >= l) <> (bz >= l) THEN [ax + (l - az) / (bz - az) * (bx - ax), ay + (l - az) / (bz - az) * (by_ - ay)] END, CASE WHEN (bz >= l) <> (cz >= l) THEN [bx + (l - bz) / (cz - bz) * (cx - bx), by_ + (l - bz) / (cz - bz) * (cy - by_)] END,
+  CASE WHEN (az >= l) <> (cz >= l) THEN [ax + (l - az) / (cz - az) * (cx - ax), ay + (l - az) / (cz - az) * (cy - ay)] END] AS ps FROM tr),
+sg AS (SELECT l, list_filter(ps, lambda p: p IS NOT NULL) AS ps FROM pt)
+SELECT l AS level, count(*) AS segments, {rs('sum(sqrt(power(ps[1][1] - ps[2][1], 2) + power(ps[1][2] - ps[2][2], 2)))', 4)} AS degrees FROM sg WHERE len(ps) = 2 GROUP BY l""")
+def contour_lengths(spark, sf):
+    """Contours over a lattice of every customer's balance: their segments and their length in degrees, from whole chains."""
+    k = F.col("c_custkey")
+    nodes = V.table(spark, sf, "customer").select(F.lit(1).alias("g"), (100 + k % 40 * 0.1).alias("lon"), (20 + F.floor(k / 40) * 0.05).alias("lat"), F.col("c_acctbal").alias("z"))
+    ring = F.col("geom.parts")[0][0]
+    steps = F.zip_with(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, F.size(ring) - 1), lambda p, q: F.sqrt((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2))
+    own = contours.isolines(nodes, "g", _BALANCES).select("level", (F.size(ring) - 1).alias("n"), F.aggregate(steps, F.lit(0.0), lambda a, b: a + b).alias("d"))
+    return own.groupBy("level").agg(F.sum("n").alias("segments"), r(F.sum("d"), 4).alias("degrees"))

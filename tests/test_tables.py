@@ -51,3 +51,13 @@ def test_empty_tables(spark):
     assert tables.union_by(areas, None).count() == 0 and tables.dissolve(areas, "side").count() == 0
     nulls = cells(spark, 2).withColumn("geom", F.when(F.col("fid") == 0, F.col("geom")))
     assert tables.union_by(nulls, None).select(F.size("geom.parts").alias("n")).first()["n"] == 1
+
+
+def test_components_of_chains(spark):
+    """A long chain in random order of ids, a ring, a star, a pair and a loop."""
+    rng = np.random.default_rng(1)
+    chain = rng.permutation(400).tolist()
+    links = [*zip(chain, chain[1:], strict=False), *((1000 + k, 1000 + (k + 1) % 7) for k in range(7)), *((2000, 2000 + k) for k in range(1, 50)), (3001, 3000), (4000, 4000)]
+    got = {r["id"]: r["root"] for r in tables.components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long"), 30).collect()}
+    assert got == {i: 1000 * (i // 1000) for i in {x for pair in links for x in pair}}
+    assert tables.components(spark.createDataFrame([], "a long, b long")).count() == 0
