@@ -8,6 +8,7 @@ edge is computed over the whole batch at once; the rest over one row's rings.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -237,7 +238,8 @@ simplify_topology = kernel(lambda a, tol: g.simplified(a, tol, True))
 convex = kernel(g.convex)
 concave = kernel(g.concave)
 polygon_smooth = kernel(lambda a, n: g.smoothed(a, int(n)))
-bezier_spline = kernel(lambda a: g.bezier_spline(a))
+#: With sharpness and steps, if wanted.
+bezier_spline = kernel(lambda a, sharpness=0.85, steps=16: g.bezier_spline(a, sharpness, int(steps)))
 translate = moved(lambda x, y, d, b: geo.direct(x, y, b, d))
 
 
@@ -274,7 +276,8 @@ polygon_tangents = kernel(lambda a, x, y: ("MultiPoint", [[p[None]] for p in g.p
 clean_coords = kernel(lambda a, tol: g.clean_coords(a, tol))
 line_slice_along = kernel(lambda a, lo, hi: line(g.line_slice_along(_ring(a), lo, hi)))
 line_chunk = kernel(lambda a, n: lines(g.line_chunk(_ring(a), n)))
-line_offset = kernel(lambda a, d: line(g.line_offset(_ring(a), d)))
+#: A distance and, if wanted, the steps of an arc.
+line_offset = kernel(lambda a, d, steps=32: line(g.line_offset(_ring(a), d, int(steps))))
 bbox_clip = kernel(lambda a, x0, y0, x1, y1: g.bbox_clip(a, (x0, y0, x1, y1)))
 tesselate = kernel(lambda a: ("MultiPolygon", [[t] for p in a[1] for t in pl.tesselate(p)]))
 kinks = kernel(lambda a: ("MultiPoint", [[p[None]] for p in pl.kinks(a[1])]))
@@ -287,37 +290,50 @@ union = kernel(g.union, geoms=2)
 xor = kernel(g.xor, geoms=2)
 mask = kernel(g.mask, geoms=2)
 line_split = kernel(lambda a, b: lines(pl.line_split(_ring(a), g.rings(b))), geoms=2)
-line_overlap = kernel(lambda a, b: lines(g.line_overlap(_ring(a), _ring(b))), geoms=2)
+#: With a tolerance in metres, if wanted.
+line_overlap = kernel(lambda a, b, tol=1e-6: lines(g.line_overlap(_ring(a), _ring(b), max(tol, 1e-6))), geoms=2)
 
 # Shapes about a point: x, y and their measures, over whole batches.
 STEPS = 64
 
 
-def _circle(x, y, r):
-    return geo.direct(x, y, -360.0 * np.arange(STEPS + 1) / STEPS, r)[:2]
+def _circle(steps, x, y, r):
+    return geo.direct(x, y, -360.0 * np.arange(steps + 1) / steps, r)[:2]
 
 
-def _arc(x, y, r, a, b):
+def _arc(steps, x, y, r, a, b):
     sweep = (b - a) % 360
-    return geo.direct(x, y, a + np.where(sweep == 0, 360.0, sweep) * np.arange(STEPS + 1) / STEPS, r)[:2]
+    return geo.direct(x, y, a + np.where(sweep == 0, 360.0, sweep) * np.arange(steps + 1) / steps, r)[:2]
 
 
-def _ellipse(x, y, a, b, turn):
-    t = 2 * np.pi * np.arange(STEPS + 1) / STEPS
+def _ellipse(steps, x, y, a, b, turn):
+    t = 2 * np.pi * np.arange(steps + 1) / steps
     east, north = a * np.cos(t), b * np.sin(t)
     return geo.direct(x, y, np.degrees(np.arctan2(east, north)) + turn, np.hypot(east, north))[:2]
 
 
-def _great_circle(x, y, x2, y2, steps=100):
+def _great_circle(steps, x, y, x2, y2):
     s, az, _ = geo.inverse(x, y, x2, y2)
     return geo.direct(x, y, az, s * np.arange(steps) / (steps - 1))[:2]
 
 
-circle = shaped("Polygon", _circle)
-line_arc = shaped("LineString", _arc)
-ellipse = shaped("Polygon", _ellipse)
-great_circle = shaped("LineString", _great_circle)
-sector = kernel(lambda x, y, r, a, b: g.sector((x, y), r, a, b), geoms=0)
+def stepped(kind: str, f: Callable, least: int, usual: int = STEPS) -> Callable[..., Column]:
+    """A shape with a number of steps, which is a plain number and not a column."""
+
+    def made(*args, steps: int = usual) -> Column:
+        if steps < least:
+            raise ValueError(f"at least {least} steps are needed")
+        return shaped(kind, partial(f, steps))(*args)
+
+    return made
+
+
+circle = stepped("Polygon", _circle, 3)
+line_arc = stepped("LineString", _arc, 1)
+ellipse = stepped("Polygon", _ellipse, 8)
+great_circle = stepped("LineString", _great_circle, 2, 100)
+#: x, y, radius, two bearings and, if wanted, steps.
+sector = kernel(lambda x, y, r, a, b, n=STEPS: g.sector((x, y), r, a, b, int(n)), geoms=0)
 
 # Positions, numbers and tests.
 along = kernel(lambda a, d: tuple(g.along(_ring(a), d).tolist()), POSITION)
@@ -402,12 +418,9 @@ def _parallel(one, two, tol: float = 0.1) -> pa.Array:
     return pa.array(same & ~apart, pa.bool_(), mask=np.array([k is None or j is None for k, j in zip(a.kinds, b.kinds, strict=True)], bool))
 
 
-def boolean_parallel(a, b) -> Column:
-    return _column(_parallel_run, BooleanType(), 2, (a, b))
-
-
-def _parallel_run(a, b):
-    return _parallel(a, b)
+def boolean_parallel(a, b, tolerance: float = 0.1) -> Column:
+    """Whether the segments' bearings agree within ``tolerance`` degrees, whatever their direction."""
+    return _column(lambda one, two: _parallel(one, two, tolerance), BooleanType(), 2, (a, b))
 
 
 relate = kernel(lambda a, b: pl.relate(*a, *b), StringType(), geoms=2)

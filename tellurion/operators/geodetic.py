@@ -511,9 +511,20 @@ def line_overlap(a: np.ndarray, b: np.ndarray, tol: float = 1e-6) -> list[np.nda
     """Runs of line a that lie on line b, within ``tol`` metres."""
     f = Frame(("LineString", [[a]]), ("LineString", [[b]]))
     p, s = f.to(a), pl.segments([f.to(b)])
-    edges = [e.reshape(2, 2) for piece in pl.line_split(p, [f.to(b)], near=max(tol, 1e-6)) for e in np.concatenate([piece[:-1], piece[1:]], axis=1)]
-    out: list[np.ndarray] = []
+    q = f.to(b)
+    edges = [e.reshape(2, 2) for piece in pl.line_split(p, [q], near=max(tol, 1e-6)) for e in np.concatenate([piece[:-1], piece[1:]], axis=1)]
+    # The other line's positions that are near end an overlap too, where they stand over the line.
+    cut = []
     for e in edges:
+        d = e[1] - e[0]
+        t = (q - e[0]) @ d / max(float(d @ d), 1e-300)
+        near = np.hypot(*(q - (e[0] + t[:, None] * d)).T) <= max(tol, 1e-6)
+        at = np.unique(np.concatenate([[0.0], t[near & (t > 1e-12) & (t < 1 - 1e-12)], [1.0]]))
+        places = e[0] + at[:, None] * d
+        places[-1] = e[1]
+        cut += [places[k : k + 2] for k in range(len(at) - 1)]
+    out: list[np.ndarray] = []
+    for e in cut:
         d = pl.distances(np.array([e[0], e.mean(0), e[1]]), s)
         if d.max() <= max(tol, 1e-6):
             if out and np.hypot(*(out[-1][-1] - e[0])) < 1e-6:
