@@ -58,20 +58,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same over batches; then the worker, which lives on, gives back the memory that it took."""
+def give_back() -> None:
+    """Memory that a worker, which lives on, took and needs no more."""
+    import ctypes
+    import gc
 
-    def wrapped(batches: Iterator) -> Iterator:
-        import ctypes
-        import gc
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
-        import pyarrow
 
+def bounded(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same over batches; then the worker gives back the memory that it took."""
+
+    def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
 
     return wrapped
 

@@ -24,12 +24,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import BROADCAST_ROWS, bounded, land, run_dir, table, text_of, without
+from tellurion.llm.common import BROADCAST_ROWS, bounded, give_back, land, run_dir, table, text_of, without
 
 SHINGLE, BUCKETS, BAND = 5, 128, 4
 MANTISSA = 10
@@ -37,6 +36,8 @@ MANTISSA = 10
 PERCENT = 85
 #: Classes in a block of an open bucket.
 BLOCK = 256
+#: Bytes of a group after which a worker gives its memory back.
+LARGE = 16 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -308,16 +309,23 @@ def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of:
     open_ = open_.select("key", "id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     full = open_.join(classes.select("id", "n", "reg").join(sets, "id"), "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["own", "id"])
-        left = 0 if pdf["i"].iat[0] == pdf["j"].iat[0] else int((pdf["own"] == pdf["i"]).sum())
-        if left == 0 and pdf["i"].iat[0] != pdf["j"].iat[0] or left == len(pdf):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        regs = np.frombuffer(b"".join(pdf["reg"]), np.uint16).reshape(-1, BUCKETS)
-        out = _joined(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), regs, [np.frombuffer(x, np.uint64) for x in pdf["items"]], left, percent)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    def run(t: pa.Table) -> pa.Table:
+        # Sets stay where Arrow has them; only their order is sorted.
+        ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left = 0 if i == j else int((own == i).sum())
+        out: list[tuple[int, int]] = []
+        if (i == j or left) and left < len(ids):
+            order = np.lexsort((ids, own))
+            regs = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)[order]
+            items = [np.frombuffer(t.column("items")[k].as_buffer(), np.uint64) for k in order.tolist()]
+            out = _joined(ids[order], t.column("root").to_numpy()[order], t.column("n").to_numpy()[order], regs, items, left, percent)
+            if t.nbytes > LARGE:
+                del items
+                give_back()
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
