@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.common import bounded, land, run_dir, table, text_of
+from tellurion.llm.common import bounded, land, run_dir, store, table, text_of
 
 CAPACITY = 2048
 #: Documents in a sequence, and its attention cost. These bind nothing that tokens don't, so that sequences are few.
@@ -118,7 +118,7 @@ def separable(path: str) -> tuple[bool, bool]:
     return by_word, latin
 
 
-_made: dict[tuple, Words] = {}
+_made: dict[tuple, Words] = store(__name__)
 
 
 def tokeniser(path: str) -> Words:
