@@ -11,7 +11,8 @@ sets have full sketches too. Runs of registers are band keys.
    chance collisions of registers, may reach the bound, and is then verified
    on the full sets. Verified links give components.
 3. Buckets whose classes all lie in one component can add nothing. The classes of
-   the others are dealt in blocks, and the block pairs are compared in place:
+   the others meet under their bucket's pivot, which most buckets of a family share,
+   and are dealt in blocks there; the block pairs are compared in place:
    estimates first, then full sets, keeping only links that join what isn't
    joined yet. Nothing is capped; all links found give the final components.
 
@@ -167,8 +168,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, full: bool = False) -> DataFrame:
-    """doc_id, n (set size), digest of the set, and its registers, or with ``full`` the set itself, as bytes."""
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n (set size), digest of the set, and its registers, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,25 +177,37 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, full: bool = False) ->
                 x = b.slice(at, 512)
                 own = [shingles(t.as_py()) for t in x.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [x.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own], pa.binary()), pa.array([s.tobytes() if full else registers(s).tobytes() if len(s) else b"" for s in own], pa.binary())],
-                    ["doc_id", "n", "digest", "items" if full else "reg"],
+                    [x.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([digest_of(s) if len(s) else None for s in own], pa.binary()), pa.array([registers(s).tobytes() if len(s) else b"" for s in own], pa.binary())],
+                    ["doc_id", "n", "digest", "reg"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), f"doc_id long, n long, digest binary, {'items' if full else 'reg'} binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(bounded(run), "doc_id long, n long, digest binary, reg binary")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, needed: DataFrame, path: str) -> DataFrame:
+def digest_of(own: np.ndarray) -> bytes:
+    """The digest by which equal sets are told."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def full_sets(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, needed: DataFrame, path: str, repeats: bool = True) -> DataFrame:
     """id, items: the full sets of the classes in ``needed``, hashed anew from their texts.
 
-    Sets are larger than their texts, so only those that a pair asks for are ever stored.
+    Sets are larger than their texts, so only those that a pair asks for are ever
+    stored, where they are made; they are shuffled only if ids may come again (``repeats``).
     """
     own = land(classes.join(needed, "id", "left_semi").select("id", "digest"), f"{path}-of")
-    ids = own.select(F.col("id").alias("_class_id"))
-    ids = F.broadcast(ids) if own.count() <= BROADCAST_ROWS else ids
-    rows = sketches(docs.join(ids, docs[id_col].cast("long") == ids["_class_id"], "left_semi"), id_col, text_col, full=True)
-    # An id may come with several texts: the class's has its digest.
-    rows = rows.withColumnRenamed("doc_id", "id").join(own, ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    return land(rows.select("id", "items"), path)
+    asked = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                x = b.slice(at, 512)
+                # An id may come with several texts: the class's has its digest.
+                found = [(i, s.tobytes()) for i, t, d in zip(*x.columns, strict=True) if digest_of(s := shingles(t.as_py())) == d.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["id", "items"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(asked, "id").select("id", "text", "digest").mapInArrow(bounded(run), "id long, items binary")
+    return land(rows.dropDuplicates(["id"]) if repeats else rows, path)
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -298,15 +311,24 @@ def open_buckets(rooted: DataFrame) -> DataFrame:
     return counts.groupBy("lo", "hi", "n", "all", "bits").agg(F.min("key").alias("key")).select("key", "n")
 
 
+def by_pivot(rooted: DataFrame) -> DataFrame:
+    """pivot, id, root, n: the members of open buckets, once for each pivot, and the pivot's number of them.
+
+    Two classes of one bucket still meet, under its pivot; those that meet in many buckets meet once there.
+    """
+    met = rooted.join(open_buckets(rooted), "key", "left_semi").select("pivot", "id", "root").distinct()
+    return met.join(met.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), "pivot")
+
+
 def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], path: str, percent: int = PERCENT) -> DataFrame:
     """Links inside buckets that hold several components, by block pairs."""
-    rooted = member.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    rooted = member.join(roots, "id", "left").select("key", "pivot", "id", F.coalesce("root", "id").alias("root"))
     rooted = land(rooted, f"{path}/rooted")
-    open_ = land(rooted.join(open_buckets(rooted), "key"), f"{path}/open")
+    open_ = land(by_pivot(rooted), f"{path}/open")
     sets = sets_of(open_.select("id").distinct(), f"{path}/open-sets")
     open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", "id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    open_ = open_.select("pivot", "id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     full = open_.join(classes.select("id", "n", "reg").join(sets, "id"), "id")
 
     def run(t: pa.Table) -> pa.Table:
@@ -325,7 +347,7 @@ def open_links(member: DataFrame, classes: DataFrame, roots: DataFrame, sets_of:
                 give_back()
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return full.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -347,9 +369,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = land(classes.withColumnRenamed("doc_id", "id"), f"{path}/classes")
 
     def sets_of(needed: DataFrame, to: str) -> DataFrame:
-        return full_sets(docs, id_col, text_col, classes, needed, to)
+        return full_sets(docs, id_col, text_col, classes, needed, to, repeats)
 
-    every = bands(classes)
+    repeats = keyed.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    # Dealt by key once, for the pivots and for the members that they are joined to.
+    every = bands(classes).repartition("key")
     # One pivot for each bucket: the member whose id a hash puts first, so that
     # the buckets of a family mostly share their pivot.
     chosen = every.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -361,7 +385,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{path}/sets")
     links = land(verify(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b"), percent), f"{path}/links")
     roots = land(components(links, f"{path}/rounds"), f"{path}/roots")
-    more = land(open_links(member.select("key", "id"), classes, roots, sets_of, path, percent), f"{path}/more")
+    more = land(open_links(member, classes, roots, sets_of, path, percent), f"{path}/more")
     if more.count():
         roots = land(components(links.unionByName(more), f"{path}/rounds-2"), f"{path}/roots-2")
 
