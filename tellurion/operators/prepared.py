@@ -91,7 +91,9 @@ def contained(points: DataFrame, prepared: Prepared, area_id: str, x: str = "lon
     lx, ly = _line(F.col(i).cast("double"), size), _line(F.col(j) + 0.5, size)
 
     def side(e: Column, a: Column, b: Column) -> Column:
-        return (e["q"]["x"] - e["p"]["x"]) * (b - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (a - e["p"]["x"]) > 0
+        """Whether a place is on the left of an edge, rounded as a ray cast rounds it; one at a flat edge's height is above it, as rays have it."""
+        p, q = e["p"], e["q"]
+        return F.when(q["y"] == p["y"], b >= p["y"]).otherwise(a < (q["x"] - p["x"]) * (b - p["y"]) / (q["y"] - p["y"]) + p["x"])
 
     def crosses(e: Column) -> Column:
         up = ((e["p"]["x"] > lx) != (e["q"]["x"] > lx)) & (side(e, lx, ly) != side(e, lx, py))

@@ -72,3 +72,20 @@ def test_boundary(spark, ignore, hits):
 def test_no_areas(spark):
     own = spark.createDataFrame([(0, 110.25, 30.5)], "id long, lon double, lat double")
     assert pr.contained(own, pr.prepare(areas(spark, SHAPES).limit(0), "zone"), "zone").count() == 0
+
+
+def test_points_at_the_rounding_of_an_edge(spark, tmp_path):
+    """Customers so near a pentagon's edge that only the ray's own rounding tells their side, and points at a flat edge's height."""
+    from tellurion.operators.joins import points_in_regions
+    from tellurion.plans import views as V
+
+    spark.createDataFrame([(k, f"n{k}", 0) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, 0.0, 0, "s") for k in (40195, 59685, 79175, 1570, 82840)], "c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    points, zones = V.customer_pt(spark, str(tmp_path)), V.pentagons(spark, str(tmp_path))
+    same = lambda df: sorted(tuple(r) for r in df.select("id", "zone").collect())
+    assert same(pr.contained(points, pr.prepare(zones, "zone"), "zone")) == same(points_in_regions(points, zones))
+    flat = {k: [[np.array(ring, float)[::way]]] for k, (ring, way) in enumerate((r, w) for r in ([(0, 1), (5, 1), (6, 3), (0, 3), (0, 1)], [(0, 1), (5, 1), (6, -1), (0, -1), (0, 1)], [(0, 0), (2, 0), (2, 1), (5, 1), (5, 2), (0, 2), (0, 0)]) for w in (1, -1))}
+    pts = [(x / 8, y / 4) for x in range(-4, 56) for y in range(-8, 16)]
+    own = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "id long, lon double, lat double")
+    zones = areas(spark, flat)
+    assert same(pr.contained(own, pr.prepare(zones, "zone"), "zone")) == same(points_in_regions(own, zones))
