@@ -91,7 +91,10 @@ def meetings(left: DataFrame, right: DataFrame, left_keep: list[str], right_keep
     shared = [*CELL, "_l", *ENDS]
     rows = a.select(*shared, F.lit(True).alias("_left"), own(left_keep).alias("_a"), none(right, right_keep).alias("_o"))
     rows = rows.unionByName(b.select(*shared, F.lit(False).alias("_left"), none(left, left_keep).alias("_a"), own(right_keep).alias("_o")))
-    rows = rows.repartition(*CELL).sortWithinPartitions(*CELL)
+    # So many parts that each core has one, however few bytes there are.
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(parts, *CELL).sortWithinPartitions(*CELL)
     fields = [left.schema[c] for c in left_keep] + [right.schema[c] for c in right_keep]
     schema = StructType([StructField(f.name, f.dataType) for f in fields] + [StructField(c, DoubleType()) for c in "xy"])
     found = rows.mapInArrow(lambda batches: _cells(batches, how, less), schema)
@@ -103,62 +106,86 @@ def meetings(left: DataFrame, right: DataFrame, left_keep: list[str], right_keep
 
 def _cells(batches, how: str, less):
     """Places of each cell, of which a task's rows come one after the other."""
-    held = []
+    held: list = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in CELL], axis=1)
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        ends = np.append(starts[1:], len(key))
-        for lo, hi in zip(starts, ends, strict=True):
-            if held and (key[lo] != held[0][0]).any():
-                yield from _cell([b for _, b in held], how, less)
-                held = []
-            held.append((key[lo], batch.slice(lo, hi - lo)))
+        key = _keys(batch)
+        new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if held and (key[0] != last).any():
+            yield from _whole(held, how, less)
+            held = []
+        if len(new):
+            yield from _whole([*held, batch.slice(0, new[-1])], how, less)
+            held, batch = [], batch.slice(new[-1])
+        held.append(batch)
+        last = key[-1]
     if held:
-        yield from _cell([b for _, b in held], how, less)
+        yield from _whole(held, how, less)
 
 
-def _cell(parts: list[pa.RecordBatch], how: str, less):
-    is_left = np.concatenate([p.column("_left").to_numpy(zero_copy_only=False) for p in parts])
-    if is_left.all() or not is_left.any():
+def _keys(batch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in CELL], axis=1)
+
+
+def _whole(parts: list[pa.RecordBatch], how: str, less):
+    """Places of the whole cells of these rows."""
+    rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    key, is_left = _keys(rows), rows.column("_left").to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+    ends = np.append(starts[1:], len(key))
+    lefts = np.add.reduceat(is_left.astype(np.int64), starts)
+    both = (lefts > 0) & (lefts < ends - starts)
+    if not both.any():
         return
-    rows = pa.Table.from_batches(parts).combine_chunks()
     at = np.stack([rows.column(c).to_numpy() for c in ENDS], axis=1)
-    own = rows.column("_l").to_numpy()
-    m, cx, cy = (int(rows.column(c)[0].as_py()) for c in CELL[:3])
-    i, j = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-    # Each chunk of rows against all of the other side that it can meet.
-    step = max(1, AT_ONCE // len(j))
-    order = _numbers(rows, is_left, less) if less else None
-    for k in range(0, len(i), step):
-        s = i[k : k + step]
-        hit, t, x, y = _meet(at[s], at[j], how)
-        s, t = s[hit], j[t]
-        keep = np.maximum(own[s], own[t]) == m
-        if order:
-            before, same = np.zeros(len(s), bool), np.ones(len(s), bool)
-            for one, two in order:
-                before |= same & (one[s] < two[t])
-                same &= one[s] == two[t]
-            keep &= before
-        # A place that rounding puts beyond an end counts at that end.
-        for axis, v, c in ((0, x, cx), (1, y, cy)):
-            p, q = at[s][:, axis::2], at[t][:, axis::2]
-            inside = np.minimum(np.maximum(v, np.maximum(p.min(1), q.min(1))), np.minimum(p.max(1), q.max(1)))
-            keep &= np.floor(inside / 2.0**m) == c
-        if keep.any():
-            s, t, x, y = s[keep], t[keep], x[keep], y[keep]
-            a, b = rows.column("_a").take(pa.array(s)).combine_chunks(), rows.column("_o").take(pa.array(t)).combine_chunks()
-            cols = {f.name: v for side in (a, b) for f, v in zip(side.type, side.flatten(), strict=True)}
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(x), pa.array(y)], names=[*cols, "x", "y"])
-
-
-def _numbers(rows: pa.Table, is_left, less):
+    own, order = rows.column("_l").to_numpy(), _numbers(rows, is_left, less) if less else None
+    found, n = [], 0
+    for lo, hi in zip(starts[both], ends[both], strict=True):
+        side = is_left[lo:hi]
+        i, j = lo + np.flatnonzero(side), lo + np.flatnonzero(~side)
+        step = max(1, AT_ONCE // len(j))
+        for k in range(0, len(i), step):
+            s = i[k : k + step]
+            hit, t, x, y = _meet(at[s], at[j], how)
+            if len(hit):
+                found.append((s[hit], j[t], x, y))
+                n += len(hit)
+            if n >= AT_ONCE:
+                yield from _counted(rows, at, own, key, order, found)
+                found, n = [], 0
+    if found:
+        yield from _counted(rows, at, own, key, order, found)
+
+
+def _counted(rows, at, own, key, order, found):
+    """The places that count in their cell, in order."""
+    s, t, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    m = key[s, 0]
+    keep = np.maximum(own[s], own[t]) == m
+    if order:
+        before, same = np.zeros(len(s), bool), np.ones(len(s), bool)
+        for one, two in order:
+            before |= same & (one[s] < two[t])
+            same &= one[s] == two[t]
+        keep &= before
+    # A place that rounding puts beyond an end counts at that end.
+    for axis, v in ((0, x), (1, y)):
+        p, q = at[s][:, axis::2], at[t][:, axis::2]
+        inside = np.minimum(np.maximum(v, np.maximum(p.min(1), q.min(1))), np.minimum(p.max(1), q.max(1)))
+        keep &= np.floor(inside / 2.0**m) == key[s, 1 + axis]
+    if keep.any():
+        s, t, x, y = s[keep], t[keep], x[keep], y[keep]
+        sides = (rows.column("_a").take(pa.array(s)), rows.column("_o").take(pa.array(t)))
+        cols = {f.name: v for side in sides for f, v in zip(side.type, side.flatten(), strict=True)}
+        yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(x), pa.array(y)], names=[*cols, "x", "y"])
+
+
+def _numbers(rows: pa.RecordBatch, is_left, less):
     """The columns that must come in order, if all are whole numbers; others are compared later."""
     out = []
     for one, two in zip(*less, strict=True):
-        pair = [rows.column(c).combine_chunks().field(n) for c, n in (("_a", one), ("_o", two))]
+        pair = [rows.column(c).field(n) for c, n in (("_a", one), ("_o", two))]
         if any(not pa.types.is_integer(v.type) or v.filter(pa.array(mine)).null_count for v, mine in zip(pair, (is_left, ~is_left), strict=True)):
             return None
         out.append([v.fill_null(0).to_numpy(zero_copy_only=False) for v in pair])
