@@ -153,25 +153,31 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, distance=N
     point, before the join. The left side is listed under the cells that its
     circle's box meets. No pair is found across the antimeridian.
     """
+    if distance is None:
+        from tellurion.operators import near
+
+        return near.pairs(left, right, radius, lx, ly, rx, ry, out)
     name = fresh(left, right)
     box, level, here, there = name("reach"), name("level"), (name("m"), name("cx"), name("cy")), (name("n"), name("px"), name("py"))
-    start, end = name("from"), name("to")
     dx, dy = reach(F.col(ly), radius)
     a, b = F.col(lx), F.col(ly)
     circle = F.struct((a - dx).alias("xmin"), (b - dy).alias("ymin"), (a + dx).alias("xmax"), (b + dy).alias("ymax"))
     left = left.withColumn(box, circle).withColumn(level, level_of(circle))
     levels = levels_in_use(left.select(level))
-    if distance is None:
-        left, right = left.withColumn(start, measure.rhumb_place(a, b)), right.withColumn(end, measure.rhumb_place(F.col(rx), F.col(ry)))
     own, right = listed(left, box, F.col(level), here), placed(right, rx, ry, levels or [0], there)
     test = F.col(rx).between(F.col(box)["xmin"], F.col(box)["xmax"]) & F.col(ry).between(F.col(box)["ymin"], F.col(box)["ymax"])
     for p, q in zip(here, there, strict=True):
         test = test & (own[p] == right[q])
-    metres = measure.rhumb_between(F.col(start), F.col(end)) if distance is None else distance(a, b, F.col(rx), F.col(ry))
-    pairs = own.join(right, test).withColumn(out, metres).drop(box, level, *here, *there, start, end)
+    pairs = own.join(right, test).withColumn(out, distance(a, b, F.col(rx), F.col(ry))).drop(box, level, *here, *there)
     return pairs.filter(F.col(out) <= radius)
 
 
+def halvings(points: DataFrame, radius: float, x: str, y: str) -> int:
+    """How much finer than a circle's box cells should be, so that a cell holds some hundred points at least: three times at most; one small aggregate."""
+    each = density_radius(points, 64, x, y)
+    return max(0, min(3, math.ceil(math.log2(max(1.0, radius / each)))))
+
+
 def density_radius(points: DataFrame, per_circle: float, x: str, y: str) -> float:
     """Metres of a circle that holds so many points where they are spread evenly over their box; one small aggregate."""
     s = points.agg(F.count(x).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
@@ -413,7 +419,17 @@ def snap_points(points: DataFrame, reference: DataFrame, point_id: str, line_id:
     """
     ends = reference.select(F.explode(T.positions_of(F.col(geom))).alias("_p")).select(F.col("_p.x").alias("_vx"), F.col("_p.y").alias("_vy")).distinct()
     own = points.select(point_id, x, y)
-    at = within_distance(own, ends, tolerance, geodesic_metres, x, y, "_vx", "_vy").groupBy(point_id).agg(F.min(F.struct("distance", "_vx", "_vy")).alias("_v"))
+    # Circles grow to the tolerance from one that holds a few positions, so a crowd of them isn't measured.
+    at, rest, radius = None, own, 0.0
+    while radius < tolerance:
+        radius = min(tolerance, radius * 4 or density_radius(ends, 4, "_vx", "_vy"))
+        found = within_distance(rest, ends, radius, geodesic_metres, x, y, "_vx", "_vy").groupBy(point_id).agg(F.min(F.struct("distance", "_vx", "_vy")).alias("_v"))
+        found = land(found)
+        at = found if at is None else at.unionByName(found)
+        if radius < tolerance:
+            rest = land(rest.join(found, point_id, "left_anti"))
+    if at is None:
+        at = own.select(point_id, F.lit(None).cast("struct<distance:double,_vx:double,_vy:double>").alias("_v")).limit(0)
     rest = own.join(at, point_id, "left_anti")
     near = lines_within(rest, reference, point_id, line_id, tolerance, x, y, geom).select(point_id, F.col("x").alias("_ex"), F.col("y").alias("_ey"))
     out = own.join(at, point_id, "left").join(near, point_id, "left")

@@ -105,7 +105,25 @@ def meetings(left: DataFrame, right: DataFrame, left_keep: list[str], right_keep
 
 
 def _cells(batches, how: str, less):
-    """Places of each cell, of which a task's rows come one after the other."""
+    """Places of each cell."""
+
+    def state(rows):
+        is_left = rows.column("_left").to_numpy(zero_copy_only=False)
+        return np.stack([rows.column(c).to_numpy() for c in ENDS], axis=1), _numbers(rows, is_left, less) if less else None
+
+    def test(held, i, j):
+        hit, t, x, y = _meet(held[0][i], held[0][j], how)
+        return i[hit], j[t], x, y
+
+    yield from each_cell(batches, state, test, lambda rows, held, found: _counted(rows, held[0], rows.column("_l").to_numpy(), _keys(rows), held[1], found))
+
+
+def each_cell(batches, state, test, finish):
+    """Whole cells of a task's rows, which come one cell after the other.
+
+    ``state(rows)`` is made once for some whole cells, ``test(state, i, j)`` gives arrays for a cell's left
+    rows i and others j, and ``finish(rows, state, arrays)`` the batches of what was found.
+    """
     held: list = []
     for batch in batches:
         if not batch.num_rows:
@@ -113,23 +131,22 @@ def _cells(batches, how: str, less):
         key = _keys(batch)
         new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         if held and (key[0] != last).any():
-            yield from _whole(held, how, less)
+            yield from _whole(held, state, test, finish)
             held = []
         if len(new):
-            yield from _whole([*held, batch.slice(0, new[-1])], how, less)
+            yield from _whole([*held, batch.slice(0, new[-1])], state, test, finish)
             held, batch = [], batch.slice(new[-1])
         held.append(batch)
         last = key[-1]
     if held:
-        yield from _whole(held, how, less)
+        yield from _whole(held, state, test, finish)
 
 
 def _keys(batch) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in CELL], axis=1)
 
 
-def _whole(parts: list[pa.RecordBatch], how: str, less):
-    """Places of the whole cells of these rows."""
+def _whole(parts: list[pa.RecordBatch], state, test, finish):
     rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
     key, is_left = _keys(rows), rows.column("_left").to_numpy(zero_copy_only=False)
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
@@ -138,29 +155,31 @@ def _whole(parts: list[pa.RecordBatch], how: str, less):
     both = (lefts > 0) & (lefts < ends - starts)
     if not both.any():
         return
-    at = np.stack([rows.column(c).to_numpy() for c in ENDS], axis=1)
-    own, order = rows.column("_l").to_numpy(), _numbers(rows, is_left, less) if less else None
+    made = state(rows)
     found, n = [], 0
+    together = lambda: tuple(np.concatenate(v) for v in zip(*found, strict=True))
     for lo, hi in zip(starts[both], ends[both], strict=True):
         side = is_left[lo:hi]
         i, j = lo + np.flatnonzero(side), lo + np.flatnonzero(~side)
-        step = max(1, AT_ONCE // len(j))
+        # Neither side's length sets how many pairs are tested at once.
+        wide = min(len(j), AT_ONCE)
+        step = max(1, AT_ONCE // wide)
         for k in range(0, len(i), step):
-            s = i[k : k + step]
-            hit, t, x, y = _meet(at[s], at[j], how)
-            if len(hit):
-                found.append((s[hit], j[t], x, y))
-                n += len(hit)
-            if n >= AT_ONCE:
-                yield from _counted(rows, at, own, key, order, found)
-                found, n = [], 0
+            for h in range(0, len(j), wide):
+                hits = test(made, i[k : k + step], j[h : h + wide])
+                if len(hits[0]):
+                    found.append(hits)
+                    n += len(hits[0])
+                if n >= AT_ONCE:
+                    yield from finish(rows, made, together())
+                    found, n = [], 0
     if found:
-        yield from _counted(rows, at, own, key, order, found)
+        yield from finish(rows, made, together())
 
 
 def _counted(rows, at, own, key, order, found):
     """The places that count in their cell, in order."""
-    s, t, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    s, t, x, y = found
     m = key[s, 0]
     keep = np.maximum(own[s], own[t]) == m
     if order:
