@@ -235,7 +235,7 @@ SELECT cp.id, coalesce(n.x, lon) AS x, coalesce(n.y, lat) AS y, n.x IS NOT NULL
 def snap_to(spark, sf):
     """Customers moved onto suppliers within 60 km."""
     reference = V.supplier_pt(spark, sf).select("sid", T.point("rlon", "rlat").alias("geom"))
-    return joins.snap_points(V.customer_pt(spark, sf), reference, "id", "sid", 60_000.0)
+    return joins.snap_points(spread(V.customer_pt(spark, sf)), spread(reference), "id", "sid", 60_000.0)
 
 
 @query("nearest_line")
