@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -276,6 +276,29 @@ polygon_tangents = kernel(lambda a, x, y: ("MultiPoint", [[p[None]] for p in g.p
 clean_coords = kernel(lambda a, tol: g.clean_coords(a, tol))
 line_slice_along = kernel(lambda a, lo, hi: line(g.line_slice_along(_ring(a), lo, hi)))
 line_chunk = kernel(lambda a, n: lines(g.line_chunk(_ring(a), n)))
+
+
+def line_chunk_positions(rows: DataFrame, key: str, length: float, geom: str = "geom") -> DataFrame:
+    """key, i, x, y of the positions of ``line_chunk``'s pieces, numbered along each line; pieces leave a task a few lines at a time."""
+    ship()
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNKED):
+                some = batch.slice(lo, CHUNKED)
+                own = [None if v is None else np.concatenate(g.line_chunk(_ring(v), length)) for v in Batch.of(some.column(1)).geoms()]
+                count = np.array([0 if v is None else len(v) for v in own])
+                if count.any():
+                    xy = np.concatenate([v for v in own if v is not None])
+                    i = np.concatenate([np.arange(n) for n in count]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(np.repeat(np.arange(len(own)), count))), pa.array(i), pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=[key, "i", "x", "y"])
+
+    schema = StructType([rows.schema[key], StructField("i", IntegerType()), StructField("x", DoubleType()), StructField("y", DoubleType())])
+    return rows.select(key, geom).mapInArrow(run, schema)
+
+
+#: Lines whose pieces are held at once.
+CHUNKED = 32
 #: A distance and, if wanted, the steps of an arc.
 line_offset = kernel(lambda a, d, steps=32: line(g.line_offset(_ring(a), d, int(steps))))
 bbox_clip = kernel(lambda a, x0, y0, x1, y1: g.bbox_clip(a, (x0, y0, x1, y1)))
@@ -393,13 +416,51 @@ point_to_polygon_distance = _nearest_column(DoubleType(), _signed)
 boolean_point_on_line = _nearest_column(BooleanType(), lambda b, found, x, y, tol: pa.array(found[:, 2] <= tol, pa.bool_(), mask=np.isnan(found[:, 2]) | np.isnan(tol)))
 
 
+def _between(b: Batch, lo: np.ndarray, hi: np.ndarray) -> Batch:
+    """Of each line what lies between two places along it, as ``line_between`` has it; lines of as many positions are measured together."""
+    ok = np.array([k is not None for k in b.kinds], bool) & ~np.isnan(lo + hi)
+    rings = np.diff(b.parts[b.rows]) if len(b.kinds) else np.zeros(0, int)
+    first = b.rings[np.minimum(b.parts[b.rows[:-1]], len(b.rings) - 1)] if len(b.kinds) else np.zeros(0, int)
+    size = np.where(rings == 1, b.rings[np.minimum(b.parts[b.rows[:-1]] + 1, len(b.rings) - 1)] - first, 0) if len(b.kinds) else rings
+    if (ok & ((rings != 1) | (size < 2))).any():
+        # Lines of several parts go one by one.
+        return Batch.from_geoms([line(g.line_between(_ring(v), float(p), float(q))) if k else None for v, p, q, k in zip(b.geoms(), lo, hi, ok, strict=True)])
+    rows, xy = [np.zeros(0, int)], [np.zeros((0, 2))]
+    for n in np.unique(size[ok]):
+        own = np.flatnonzero(ok & (size == n))
+        at = b.xy[first[own, None] + np.arange(n)]
+        s, az, _ = geo.inverse(*(at[:, :-1, c].ravel() for c in (0, 1)), *(at[:, 1:, c].ravel() for c in (0, 1)))
+        az, total = az.reshape(len(own), n - 1), np.concatenate([np.zeros((len(own), 1)), np.cumsum(s.reshape(len(own), n - 1), axis=1)], axis=1)
+        every, ends = np.arange(len(own)), []
+        for d in (lo[own], hi[own]):
+            off = np.abs(total - d[:, None])
+            k = off.argmin(axis=1)
+            ends.append(np.where(off[every, k] < 1e-4, total[every, k], d))
+        start, stop = np.maximum(0.0, np.minimum(*ends)), np.minimum(np.maximum(*ends), total[:, -1])
+        if (start >= stop).any():
+            raise ValueError("the slice is empty")
+        cut = []
+        for d in (start, stop):
+            k = np.minimum((total <= d[:, None]).sum(axis=1) - 1, n - 2)
+            x, y, _ = geo.direct(at[every, k, 0], at[every, k, 1], az[every, k], d - total[every, k])
+            cut.append(np.stack([x, y], axis=1)[:, None])
+        inner = (total > start[:, None] + 1e-9) & (total < stop[:, None] - 1e-9)
+        keep = np.concatenate([np.ones((len(own), 1), bool), inner, np.ones((len(own), 1), bool)], axis=1)
+        rows.append(np.repeat(own, keep.sum(axis=1)))
+        xy.append(np.concatenate([cut[0], at, cut[1]], axis=1)[keep])
+    row, xy = np.concatenate(rows), np.concatenate(xy)
+    count = np.bincount(row, minlength=len(ok))
+    ends = np.concatenate([[0], np.cumsum(ok)])
+    return Batch(["LineString" if k else None for k in ok], ends, np.arange(ends[-1] + 1), np.concatenate([[0], np.cumsum(count[ok])]), xy[np.argsort(row, kind="stable")])
+
+
 def line_slice(geom, x1, y1, x2, y2) -> Column:
     """The part of a line between the places nearest to two points."""
 
     def run(col, *at):
         b, (ax, ay, bx, by) = Batch.of(col), _numbers(at)
         lo, hi = (_nearest(b, x, y, True)[:, 3] for x, y in ((ax, ay), (bx, by)))
-        return Batch.from_geoms([None if v is None or np.isnan(p + q) else line(g.line_between(_ring(v), float(p), float(q))) for v, p, q in zip(b.geoms(), lo, hi, strict=True)]).arrow()
+        return _between(b, lo, hi).arrow()
 
     return _column(run, GEOMETRY, 1, (geom, x1, y1, x2, y2))
 
