@@ -49,7 +49,13 @@ def _line_query(name: str, sql: str, *args):
 
 
 _line_query("line_slice_along", _pieces("SELECT DISTINCT user_id, 0 AS k, 1000.0::DOUBLE AS lo, least(500000.0::DOUBLE, total) AS hi, total FROM cum"), 1000, 500000)
-_line_query("line_chunk", _pieces("SELECT user_id, k, k * 400000.0::DOUBLE AS lo, least((k + 1) * 400000.0::DOUBLE, total) AS hi, total FROM (SELECT user_id, total, unnest(range(ceil(total / 400000 - 1e-12)::BIGINT)) AS k FROM (SELECT DISTINCT user_id, total FROM cum))"), 400000)
+
+
+@query("line_chunk", _pieces("SELECT user_id, k, k * 400000.0::DOUBLE AS lo, least((k + 1) * 400000.0::DOUBLE, total) AS hi, total FROM (SELECT user_id, total, unnest(range(ceil(total / 400000 - 1e-12)::BIGINT)) AS k FROM (SELECT DISTINCT user_id, total FROM cum))"))
+def line_chunk(spark, sf):
+    rows = u.line_chunk_positions(spread(V.tracks(spark, sf)), "user_id", 400_000.0)
+    return rows.select("user_id", "i", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
+
 
 
 @query("line_slice", f"WITH {STREETS} SELECT id, (i - 1)::INT AS i, {rs('x')} AS x, {rs('y')} AS y FROM sv WHERE i > 0")
